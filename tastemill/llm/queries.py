@@ -2,7 +2,22 @@
 
 from __future__ import annotations
 
-from tastemill.llm import packing, token_counts
+from tastemill.llm import decontamination, exact_dedup, packing, pii, quality, token_counts, warc
 
-QUERIES = {f.__name__: f for f in (token_counts.op1_token_counts, packing.op10_packing)}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        token_counts.op1_token_counts,
+        exact_dedup.op2_exact_dedup,
+        warc.op4_warc,
+        pii.op5_pii,
+        decontamination.op7_decontamination,
+        quality.op8_quality,
+        packing.op10_packing,
+    )
+}
+ORACLES: dict[str, str] = {
+    "op2_exact_dedup": exact_dedup.ORACLE,
+    "op4_warc": warc.ORACLE,
+    "op7_decontamination": decontamination.ORACLE,
+}
