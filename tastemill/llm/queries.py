@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tastemill.llm import decontamination, exact_dedup, packing, pii, quality, token_counts, warc
+from tastemill.llm import decontamination, exact_dedup, packing, pii, quality, substring_dedup, token_counts, warc
 
 QUERIES = {
     f.__name__: f
     for f in (
         token_counts.op1_token_counts,
         exact_dedup.op2_exact_dedup,
+        substring_dedup.op3_substring_dedup,
         warc.op4_warc,
         pii.op5_pii,
         decontamination.op7_decontamination,
@@ -18,6 +19,7 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": exact_dedup.ORACLE,
+    "op3_substring_dedup": substring_dedup.ORACLE,
     "op4_warc": warc.ORACLE,
     "op7_decontamination": decontamination.ORACLE,
 }
