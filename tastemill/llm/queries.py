@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tastemill.llm import decontamination, exact_dedup, packing, pii, quality, substring_dedup, token_counts, warc
+from tastemill.llm import decontamination, exact_dedup, packing, pii, quality, substring_dedup, suffix_dedup, token_counts, warc
 
 QUERIES = {
     f.__name__: f
@@ -14,6 +14,7 @@ QUERIES = {
         pii.op5_pii,
         decontamination.op7_decontamination,
         quality.op8_quality,
+        suffix_dedup.op9_suffix_dedup,
         packing.op10_packing,
     )
 }
