@@ -1,25 +1,54 @@
-"""The corpus pipeline: quality, exact copies, near copies, benchmark passages, packing."""
+"""The corpus pipeline: quality, exact copies, near copies, benchmark passages, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all rows that the stage before has kept,
+and returns the columns of ``docs``; the last one returns packed token pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tastemill.llm import packing
+from tastemill.llm import decontamination, exact_dedup, ngram_join, packing, quality
+from tastemill.llm._jobs import written
 
-#: No SQL can state the classifier's and the tokenizer's rows; tests hold each stage against a brute-force version.
+#: No SQL can state the classifier's and the tokenizer's rows; tests hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that score below 0.5 under a field fitted on the labelled rows of ``docs``."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal without white space, one stays."""
+    return exact_dedup.drop_copies(docs)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a five-word shingle similarity of 0.8, that with the smallest id stays."""
+    return ngram_join.drop_similar(docs)
+
+
+def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item."""
+    return decontamination.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(docs, packing.tokenizer_text()))
 
 
-STAGES = [("packing", packed)]
+STAGES = [
+    ("quality", good_quality),
+    ("exact", without_copies),
+    ("near", without_near_copies),
+    ("leaks", without_leaks),
+    ("packing", packed),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tastemill.llm._jobs import written
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

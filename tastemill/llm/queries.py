@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tastemill.llm import decontamination, exact_dedup, packing, pii, quality, substring_dedup, suffix_dedup, token_counts, warc
+from tastemill.llm import decontamination, exact_dedup, ngram_join, packing, pii, quality, substring_dedup, suffix_dedup, token_counts, warc
 
 QUERIES = {
     f.__name__: f
@@ -12,6 +12,7 @@ QUERIES = {
         substring_dedup.op3_substring_dedup,
         warc.op4_warc,
         pii.op5_pii,
+        ngram_join.op6_ngram_join,
         decontamination.op7_decontamination,
         quality.op8_quality,
         suffix_dedup.op9_suffix_dedup,
@@ -22,5 +23,6 @@ ORACLES: dict[str, str] = {
     "op2_exact_dedup": exact_dedup.ORACLE,
     "op3_substring_dedup": substring_dedup.ORACLE,
     "op4_warc": warc.ORACLE,
+    "op6_ngram_join": ngram_join.ORACLE,
     "op7_decontamination": decontamination.ORACLE,
 }
