@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tastemill.plans import analysis, relations
+
+# both modules register where relations keeps the tables
+QUERIES = relations.QUERIES
+ORACLES = relations.ORACLES
+
+__all__ = ["ORACLES", "QUERIES", "analysis"]
