@@ -27,12 +27,13 @@ def join_one(left: DataFrame, right: DataFrame, key: str, drop: tuple[str, ...]
         return left.join(dim.hint(hint) if hint else dim, key, "inner")
     if enforce != "error":
         raise ValueError("enforce is 'error' or 'drop'")
-    # the count and the check ride in the key column, so no optimiser rule can prune them
     others = [c for c in dim.columns if c != key]
     one = dim.groupBy(key).agg(F.count("*").alias("__n"), *(F.first(c).alias(c) for c in others))
     joined = left.join(one.hint(hint) if hint else one, key, "left")
-    checked = F.when(F.col("__n") == 1, F.col(key)).otherwise(F.raise_error(F.concat(F.lit(f"{key} without exactly one right row: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast(left.schema[key].dataType))
-    return joined.withColumn(key, checked).select(*left.columns, *others)
+    message = F.concat(F.lit(f"{key} without exactly one right row: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
+    # as a filter the check can't be pruned, whatever columns are used later
+    checked = F.when(F.coalesce("__n", F.lit(0)) == 1, F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
+    return joined.where(checked).select(*left.columns, *others)
 
 
 def join_ratings(ratings: DataFrame, users: DataFrame, movies: DataFrame, enforce: str = "error", hint: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:

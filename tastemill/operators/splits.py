@@ -13,8 +13,8 @@ def cumulative_buckets(weights: list[int]) -> list[int]:
     """Upper bounds of the splits, each truncated on its own; the last one is the modulus."""
     total, out, at = sum(weights), [], 0
     for w in weights:
-        at += w
-        out.append(int(100 * at / total))
+        at += int(100 * (w / total))
+        out.append(at)
     return out
 
 
