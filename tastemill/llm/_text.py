@@ -126,18 +126,27 @@ class Words:
         return out, ends - lengths, ends
 
 
-def prefix_sums(buf: np.ndarray) -> np.ndarray:
-    """n + 1 running sums of (byte + 1) * base**position modulo 2**64."""
-    n = len(buf)
-    out = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _power_table(_BASE, n), out=out[1:])
-    return out
+#: hashes are computed over so many values at a time, which keeps the arrays in cache and memory small
+BLOCK = 1 << 19
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    sums = prefix_sums(buf)
-    inverse = _power_table(_BASE_INVERSE, len(buf) + 1)
-    return mix((sums[ends] - sums[starts]) * inverse[starts], 1)
+    """Hash of each buf[start:end]; spans are in order and don't overlap."""
+    out = np.empty(len(starts), dtype=np.uint64)
+    i = 0
+    while i < len(starts):
+        low = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, low + BLOCK, "right")))
+        high = int(ends[j - 1])
+        sums = np.zeros(high - low + 1, dtype=np.uint64)
+        sums[1:] = buf[low:high]
+        sums[1:] += np.uint64(1)
+        sums[1:] *= _power_table(_BASE, high - low)
+        np.cumsum(sums, out=sums)
+        a, b = starts[i:j] - low, ends[i:j] - low
+        out[i:j] = (sums[b] - sums[a]) * _power_table(_BASE_INVERSE, high - low + 1)[a]
+        i = j
+    return mix(out, 1)
 
 
 def window_hashes(values: np.ndarray, k: int) -> np.ndarray:
@@ -145,9 +154,16 @@ def window_hashes(values: np.ndarray, k: int) -> np.ndarray:
     n = len(values) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    sums = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * _power_table(_BASE, len(values)), out=sums[1:])
-    return mix((sums[k:] - sums[:n]) * _power_table(_BASE_INVERSE, n), 2)
+    out = np.empty(n, dtype=np.uint64)
+    for low in range(0, n, BLOCK):
+        m = min(BLOCK, n - low)
+        sums = np.zeros(m + k, dtype=np.uint64)
+        sums[1:] = values[low : low + m + k - 1]
+        sums[1:] += np.uint64(1)
+        sums[1:] *= _power_table(_BASE, m + k - 1)
+        np.cumsum(sums, out=sums)
+        out[low : low + m] = mix((sums[k:] - sums[:m]) * _power_table(_BASE_INVERSE, m), 2)
+    return out
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:

@@ -1,8 +1,8 @@
 """Operator 6: similarity self-join of word-shingle sets with signature trees.
 
-Equal sets are one class. Classes that share a rare shingle (one of the few that a set can't
-do without at the wanted similarity) are candidates; connected candidates form a cluster,
-which goes to one task. There the sets hang in a signature tree: a node holds the
+Equal sets are one class. Similar sets differ in few shingles, so when the shingles are dealt
+into somewhat more parts than that, some part is the same in both sets; classes with an
+equal part are candidates. Connected candidates form a cluster, which goes to one task. There the sets hang in a signature tree: a node holds the
 OR-combined bitmap and the size range of the sets below it, and pairs of nodes are walked
 together, cut off where the bitmaps and sizes leave no room for enough overlap, or where
 both nodes lie in one component already. What is left is verified on the whole sets.
@@ -22,11 +22,10 @@ from pyspark.sql import functions as F
 
 from tastemill.llm._components import components
 from tastemill.llm._jobs import NO_ID, id_key, parts, written
-from tastemill.llm._spans import ranges
 from tastemill.llm._text import Words, distinct_by_row, mix, pieces, shingles
 
 CLASSES = "doc long, n long, set long, check long"
-PREFIX = "token long, n long, set long, doc long"
+PARTS = "part long, set long, doc long"
 LINKS = "a long, b long"
 FANOUT = 16
 
@@ -65,9 +64,56 @@ def _frequent(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([key, pa.array(np.append(n[often], piece.num_rows).astype(np.int64))], names=["key", "n"])
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], k: int, share: tuple[int, int], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The rarest shingles of each set: two sets of the wanted similarity have one of them in common."""
-    for piece in pieces(batches, "text"):
+class Parting:
+    """Into how many parts sets of a size are dealt, so that similar sets have an equal part.
+
+    Sizes lie in classes, such that similar sets are in one class or in neighbouring ones;
+    every set is dealt once with the class above and once with the one below. Two similar
+    sets of a pair of classes differ in at most ``differ`` shingles, so of ``parts`` parts at
+    least parts - differ are equal. Parts with fewer than ``strong`` shingles say little. A
+    set with fewer than parts - differ of them can leave them out: one of its equal parts
+    is strong. ``parts`` is chosen so that sets usually can.
+    """
+
+    def __init__(self, share: tuple[int, int], largest: int):
+        p, q = share
+        self.bounds = [1, 2]
+        while self.bounds[-1] <= largest:
+            self.bounds.append(max(self.bounds[-1] + 1, (self.bounds[-1] - 1) * q // p + 1))
+        self.bounds.append(max(self.bounds[-1] + 1, (self.bounds[-1] - 1) * q // p + 1))
+        differ, parts, strong = [], [], []
+        for c in range(len(self.bounds) - 2):
+            x = self.bounds[c + 1] - 1
+            y = min(self.bounds[c + 2] - 1, x * q // p)
+            differ.append((q - p) * (x + y) // (q + p))
+            n, s = self._choose(self.bounds[c], differ[-1])
+            parts.append(n)
+            strong.append(s)
+        self.differ, self.parts, self.strong = np.array(differ), np.array(parts), np.array(strong)
+
+    @staticmethod
+    def _choose(size: int, differ: int) -> tuple[int, int]:
+        if differ == 0:
+            return 0, 1  # such sets are similar only if they are equal: they are one class already
+        for strong in (4, 3, 2, 1):
+            n = np.arange(differ + 1, 4 * differ + 8)
+            mean = size / n
+            weak = sum(np.exp(-mean) * mean**i / (1, 1, 2, 6)[i] for i in range(strong))
+            enough = n * (1 - weak) - 2 * np.sqrt(n * weak * (1 - weak)) > differ
+            if enough.any() and size / n[enough.argmax()] >= strong:
+                return int(n[enough.argmax()]), strong
+        return differ + 1, 1
+
+    @property
+    def weakest(self) -> int:
+        """The least evidence that large sets are candidates by."""
+        return int(self.strong[self.differ > 8].min(initial=4))
+
+
+def _part_keys(batches: Iterator[pa.RecordBatch], k: int, parting: Parting, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Keys of the parts of each set. Very frequent shingles belong to no part: what sets differ by gets no more."""
+    bounds = np.array(parting.bounds)
+    for piece in pieces(batches, "text", 2 << 20):
         rows, hashed, n = _sets(piece.column(1), k)
         one, _ = _prints(rows, hashed, n)
         doc = piece.column(0).to_numpy()
@@ -78,16 +124,55 @@ def _prefixes(batches: Iterator[pa.RecordBatch], k: int, share: tuple[int, int],
         sent = np.zeros(len(doc), dtype=bool)
         sent[order[first]] = True
         sent &= n > 0
-        rank = hashed >> np.uint64(1)
+        own = sent[rows]
         if len(hot):
             at = np.minimum(np.searchsorted(hot, hashed), len(hot) - 1)
-            rank = np.where(hot[at] == hashed, rank | np.uint64(1 << 63), rank)
-        by = np.lexsort((rank, rows))
-        size = n - (n * share[0] + share[1] - 1) // share[1] + 1
-        start = np.concatenate([[0], np.cumsum(n)])[:-1]
-        at = by[ranges(start[sent], size[sent])]
-        row = rows[at]
-        yield pa.RecordBatch.from_arrays([pa.array(hashed[at].astype(np.int64)), pa.array(n[row]), pa.array(one[row]), pa.array(doc[row])], names=["token", "n", "set", "doc"])
+            own &= hot[at] != hashed
+        rows, hashed = rows[own], hashed[own]
+        place, value = mix(hashed, 21) >> np.uint64(32), mix(hashed, 22)
+        upper = np.searchsorted(bounds, n, "right") - 1
+        keys, sets, docs = [], [], []
+        for pair in (upper, upper - 1):
+            number = np.where(sent & (pair >= 0), parting.parts[np.maximum(pair, 0)], 0)
+            base = np.cumsum(number) - number
+            total = int(number.sum())
+            if not total:
+                continue
+            mine = number[rows] > 0
+            at = base[rows[mine]] + ((place[mine] * number[rows[mine]].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+            sums = np.zeros(total, dtype=np.uint64)
+            np.add.at(sums, at, value[mine])
+            row = np.repeat(np.arange(len(n)), number)
+            strong = np.bincount(at, minlength=total) >= parting.strong[pair[row]]
+            plenty = np.bincount(row, strong, minlength=len(n)) > parting.differ[np.maximum(pair, 0)]
+            emit = np.flatnonzero(strong | ~plenty[row])
+            name = (pair[row[emit]] << 32).astype(np.uint64) + (emit - base[row[emit]]).astype(np.uint64)
+            keys.append(mix(sums[emit] + mix(name, 23), 24).astype(np.int64))
+            sets.append(one[row[emit]])
+            docs.append(doc[row[emit]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (keys, sets, docs)], names=["part", "set", "doc"])
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between the classes of each part, from one to the next; the input is sorted by (part, set, doc).
+
+    A class is named by its smallest id, which is that of the first of its rows.
+    """
+    part, last_set, name = None, None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        parts_, sets, docs = (batch.column(i).to_numpy() for i in range(3))
+        if part is not None:  # the last class of the batch before goes on here
+            parts_, sets, docs = np.append(part, parts_), np.append(last_set, sets), np.append(name, docs)
+        new_part = np.append(True, parts_[1:] != parts_[:-1])
+        new = new_part | np.append(True, sets[1:] != sets[:-1])
+        at = np.flatnonzero(new)
+        names, fresh = docs[at], new_part[at]
+        a, b = names[:-1][~fresh[1:]], names[1:][~fresh[1:]]
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b], axis=0)
+        part, last_set, name = parts_[-1], sets[-1], names[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
 def _members(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -257,19 +342,12 @@ def similar_groups(df: DataFrame, k: int = 3, share: tuple[int, int] = (9, 10),
     rows = written(docs.mapInArrow(lambda b: _classes(b, k), CLASSES), "join-classes")
     classes = rows.where("n > 0").groupBy("n", "set", "check").agg(F.min("doc").alias("rep"))
 
-    counted = docs.mapInArrow(lambda b: _frequent(b, k), "key long, n long")
-    counted = written(counted.groupBy("key").agg(F.sum("n").alias("n")), "join-frequent")
-    total = counted.where("key is null").agg(F.sum("n")).first()[0] or 0
-    often = counted.where(F.col("key").isNotNull() & (F.col("n") > max(8, total // 1000))).select("key").collect()
-    hot = np.sort(np.array([r[0] for r in often], dtype=np.int64).astype(np.uint64))
-
-    prefixes = docs.mapInArrow(lambda b: _prefixes(b, k, share, hot), PREFIX)
-    # classes by token; after this one shuffle by token, copies fall together and neighbours by size are candidates
-    n = parts(spark, 40 * (rows.agg(F.sum(F.col("n") * (share[1] - share[0]) / share[1] + 1)).first()[0] or 0))
-    holders = prefixes.repartition(n, "token").groupBy("token", "n", "set").agg(F.min("doc").alias("doc"))
-    w = _window("token")
-    near = holders.select("doc", "n", F.lag("doc").over(w).alias("before"), F.lag("n").over(w).alias("n_before"))
-    edges = near.where((F.col("n_before") * share[1] >= F.col("n") * share[0]) & (F.col("before") != F.col("doc"))).select(F.least("doc", "before").alias("a"), F.greatest("doc", "before").alias("b"))
+    largest, tokens = rows.agg(F.max("n"), F.sum("n")).first()
+    parting = Parting(share, int(largest or 1))
+    hot = _hot(docs, k, rows) if parting.weakest < 3 else np.zeros(0, np.uint64)
+    keys = docs.mapInArrow(lambda b: _part_keys(b, k, parting, hot), PARTS)
+    n = parts(spark, 24 * (tokens or 0) * 5 * (share[1] - share[0]) / share[1] / 2)
+    edges = keys.repartition(n, "part").sortWithinPartitions("part", "set", "doc").mapInArrow(_neighbours, LINKS)
     clusters = components(edges)
     sizes = classes.select("rep", "n").groupBy("rep").agg(F.sum("n").alias("n"))
     members = written(clusters.join(sizes, F.col("node") == F.col("rep")).select(F.col("root").alias("cluster"), F.col("node").alias("member"), "n"), "join-members")
@@ -288,10 +366,11 @@ def similar_groups(df: DataFrame, k: int = 3, share: tuple[int, int] = (9, 10),
     return out
 
 
-def _window(token: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(token).orderBy("n", "doc", "set")
+def _hot(docs: DataFrame, k: int, rows: DataFrame) -> np.ndarray:
+    """Shingles of more than a thousandth of all documents: a bounded list, whatever the corpus."""
+    counted = docs.mapInArrow(lambda b: _frequent(b, k), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    often = counted.where(F.col("key").isNotNull() & (F.col("n") > max(8, rows.count() // 1000))).select("key").collect()
+    return np.sort(np.array([r[0] for r in often], dtype=np.int64).astype(np.uint64))
 
 
 def _large_clusters(docs: DataFrame, large: DataFrame, k: int, share: tuple[int, int], pivots: int = 8) -> DataFrame:
