@@ -185,7 +185,7 @@ def fit_field(x: np.ndarray, size: np.ndarray, rows: np.ndarray, label: np.ndarr
     return field
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, most_lines: int = 2000) -> Field:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, most_lines: int = 256) -> Field:
     """Fit on at most ``sample`` labelled documents of at most ``most_lines`` lines each.
 
     The sample is the labelled ids with the smallest hashes. Labels other than 0 and 1 and
