@@ -149,12 +149,13 @@ def inbatch_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT vec_id, vec_id % 64 AS batch, CAST(embedding AS double[]) AS q, list_reverse(CAST(embedding AS double[])) AS c, 1.0::double / (1 + label) AS p FROM embeddings WHERE vec_id < 100000000),
+WITH e AS (SELECT vec_id, vec_id % greatest(64, (SELECT count(*) FROM embeddings) // 64) AS batch, CAST(embedding AS double[]) AS q, list_reverse(CAST(embedding AS double[])) AS c, 1.0::double / (1 + label) AS p FROM embeddings),
 s AS (SELECT a.batch, a.vec_id AS qid, b.vec_id AS cid, list_dot_product(a.q, b.c) / 0.1 - 0.5 * ln(greatest(b.p, 1e-6)) AS score FROM e a JOIN e b USING (batch))
 SELECT batch, round(min(score), 6) AS min_score, round(max(score), 6) AS max_score, round(avg(score), 6) AS mean_score FROM s GROUP BY batch""", views=False)
 def corrected_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score statistics of batches after temperature and log-q correction, through the SQL form of the pairs."""
-    rows = _batches(spark, sf_dir).withColumn("batch", F.col("vec_id") % 64)
+    rows = _batches(spark, sf_dir)
+    rows = rows.withColumn("batch", F.col("vec_id") % max(64, rows.count() // 64))  # batches of about 64
     p = rows.select(F.col("vec_id").alias("cid"), (1.0 / F.col("weight")).alias("p"))
     scores = ranking.log_q(ranking.score_pairs(rows, "batch", "vec_id", "q", "c"), p, 0.1, 0.5)
     return _round(ranking.score_stats(scores), "min_score", "max_score", "mean_score")
