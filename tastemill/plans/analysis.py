@@ -235,6 +235,38 @@ def error_by_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(ranking.error_metrics(rows, "rating", "guess", ("chunk",)), "rmse", "mae", "mse")
 
 
+@query("""
+SELECT gender, occupation, count(*) AS n, round(sqrt(avg(pow(rating - 3.0::double, 2))), 6) AS rmse, round(avg(abs(rating - 3.0::double)), 6) AS mae, round(avg(pow(rating - 3.0::double, 2)), 6) AS mse
+FROM fx_ratings JOIN fx_users USING (user_id) GROUP BY ROLLUP (gender, occupation)""")
+def error_by_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors overall, by gender, and by gender and occupation."""
+    rows = _joined(spark, sf_dir).withColumn("guess", F.lit(3.0))
+    return _round(ranking.error_metrics(rows, "rating", "guess", ("gender", "occupation"), rollup=True), "rmse", "mae", "mse")
+
+
+@query("""
+SELECT zipcode, count(*) AS n FROM fx_users JOIN fx_ratings USING (user_id) GROUP BY zipcode ORDER BY n DESC, zipcode LIMIT 20""")
+def top_zipcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = joins.join_one(fixtures.ratings(spark, sf_dir), fixtures.users(spark, sf_dir), "user_id")
+    return profile.top_values(rows, "zipcode", 20)
+
+
+@query("""
+, h AS (SELECT 'odd' AS side, avg(CASE WHEN rating > 3 THEN 1.0::double ELSE 0 END) AS liked, count(*)::double AS n FROM fx_ratings WHERE user_id % 2 = 1), b AS (SELECT avg(CASE WHEN rating > 3 THEN 1.0::double ELSE 0 END) AS liked FROM fx_ratings WHERE user_id % 2 = 0)
+SELECT 'liked' AS metric, round(h.liked, 6) AS value, round(greatest(0.1, b.liked), 6) AS bound, h.liked >= greatest(0.1, b.liked) AS passed FROM h, b
+UNION ALL SELECT 'n', n, 1000.0, n >= 1000 FROM h""")
+def gate_against_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of liked ratings of the odd users must reach that of the even ones, on enough rows."""
+    rows = fixtures.ratings(spark, sf_dir)
+
+    def metrics(part: DataFrame) -> DataFrame:
+        one = part.agg(F.avg((F.col("rating") > 3).cast("double")).alias("liked"), F.count("*").cast("double").alias("n"))
+        return one.select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in one.columns))).alias("m")).select("m.*")
+
+    base = metrics(rows.where("user_id % 2 = 0")).where("metric = 'liked'")
+    return _round(ranking.quality_gate(metrics(rows.where("user_id % 2 = 1")), {"liked": 0.1, "n": 1000.0}, base), "value", "bound")
+
+
 @query("""
 , m AS (SELECT unnest(['rmse', 'mae', 'count']) AS metric, unnest([-sqrt(avg(pow(rating - 3.0::double, 2))), -avg(abs(rating - 3.0::double)), count(*)::double]) AS value FROM fx_ratings)
 SELECT metric, round(value, 6) AS value, bound, value >= bound AS passed FROM m JOIN (VALUES ('rmse', -2.0::double), ('mae', -0.5), ('count', 100.0)) b(metric, bound) USING (metric)""")
