@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tastemill.llm._jobs import NO_ID, parts, text_bytes, written
 from tastemill.llm._spans import SPANS, covered, heavy, keyed, ranges, span_batch, with_spans
-from tastemill.llm._text import Words, mix, pieces, sliding_min, span_hashes, window_hashes
+from tastemill.llm._text import Words, mix, pieces, release_memory, sliding_min, span_hashes, window_hashes
 
 PACKED = "bucket int, packed binary"
 KEPT = "doc long, text string, n_words long, n_removed long"
@@ -63,7 +63,7 @@ def _frequent(batches: Iterator[pa.RecordBatch], k: int, m: int) -> Iterator[pa.
 
 def _pack(columns: list, data: bytes) -> bytes:
     head = b"".join(np.asarray(c, dtype=t).tobytes() for c, t in zip(columns, _FIELDS, strict=True))
-    return zstandard.ZstdCompressor(level=1).compress(struct.pack("<q", len(columns[0])) + head + data)
+    return zstandard.ZstdCompressor(level=3).compress(struct.pack("<q", len(columns[0])) + head + data)
 
 
 def _unpack(packed: bytes) -> tuple[list[np.ndarray], bytes]:
@@ -81,7 +81,7 @@ def _send(batches: Iterator[pa.RecordBatch], k: int, m: int, buckets: int, hot:
     A packed string holds (doc, tie, first word, windows, bytes) and the text of its
     super-k-mers; entries of zero bytes are spans found here, as (doc, tie, start, end).
     """
-    for piece in pieces(batches, "text"):
+    for piece in pieces(batches, "text", 3 << 20):
         piece = piece.take(pa.array(np.argsort(piece.column(0).to_numpy(), kind="stable")))
         words = Words(piece.column(2))
         at, n, least = _runs(words, k, m, hot)
@@ -207,6 +207,8 @@ def _count(batches: Iterator[pa.RecordBatch], k: int, limit: int) -> Iterator[pa
                 step = max(limit, 2 * bucket.bytes)
         if bucket.columns:
             yield bucket.settle()
+        del bucket
+        release_memory()
 
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +230,7 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([piece.column(0), texts, pa.array(words.counts), pa.array(removed)], names=["doc", "text", "n_words", "n_removed"])
 
 
-def repeated_windows(docs: DataFrame, k: int = 20, m: int = 3, memory: int = 24 << 20) -> DataFrame:
+def repeated_windows(docs: DataFrame, k: int = 20, m: int = 3, memory: int = 12 << 20) -> DataFrame:
     """(doc, tie, s, e): word ranges of keyed() documents covered by a window that also starts earlier."""
     spark = docs.sparkSession
     size = 3 * text_bytes(docs)

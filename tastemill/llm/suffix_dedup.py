@@ -24,8 +24,7 @@ from pyspark.sql import functions as F
 
 from tastemill.llm._jobs import NO_ID, parts, text_bytes, written
 from tastemill.llm._spans import SPANS, covered, heavy, keyed, ranges, span_batch, with_spans
-from tastemill.llm._text import column_bytes, mix, pieces, prefix_sums, sliding_min
-from tastemill.llm._text import _BASE_INVERSE, _power_table
+from tastemill.llm._text import column_bytes, mix, pieces, release_memory, sliding_min, window_hashes
 
 RUNS = "bucket int, run binary"
 KEPT = "doc long, kept binary, n_bytes long, n_removed long, n_spans long"
@@ -34,11 +33,7 @@ _FIELDS = (np.int64, np.int64, np.int64, np.int32, np.int32, np.int32)  # doc, t
 
 def _gram_hashes(buf: np.ndarray, q: int) -> np.ndarray:
     """Upper 32 bits of the hash of every q bytes."""
-    n = len(buf) - q + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    sums = prefix_sums(buf)
-    return mix((sums[q:] - sums[:n]) * _power_table(_BASE_INVERSE, n), 4) >> np.uint64(32)
+    return window_hashes(buf, q) >> np.uint64(32)
 
 
 def _anchors(buf: np.ndarray, offsets: np.ndarray, length: int, q: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -64,7 +59,7 @@ def _anchors(buf: np.ndarray, offsets: np.ndarray, length: int, q: int, hot: np.
 
 def _frequent(batches: Iterator[pa.RecordBatch], length: int, q: int) -> Iterator[pa.RecordBatch]:
     """The grams that anchor many windows in a piece, with their numbers of runs."""
-    for piece in pieces(batches, "text"):
+    for piece in pieces(batches, "text", 3 << 20):
         buf, offsets = column_bytes(piece.column(1))
         _, _, anchor, gram = _anchors(buf, offsets, length, q, np.zeros(0, np.uint64))
         keys, n = np.unique(gram, return_counts=True)
@@ -95,7 +90,7 @@ def front_coded(suffixes: list[bytes]) -> tuple[list[int], list[bytes]]:
 
 def _pack(columns: list, data: bytes) -> bytes:
     head = b"".join(np.asarray(c, dtype=t).tobytes() for c, t in zip(columns, _FIELDS, strict=True))
-    return zstandard.ZstdCompressor(level=1).compress(struct.pack("<q", len(columns[0])) + head + data)
+    return zstandard.ZstdCompressor(level=3).compress(struct.pack("<q", len(columns[0])) + head + data)
 
 
 def _unpack(packed: bytes) -> tuple[list[np.ndarray], bytes]:
@@ -115,7 +110,7 @@ def _send(batches: Iterator[pa.RecordBatch], length: int, q: int, buckets: int,
     one is sent; all of their windows are repeats, and are put down as spans: entries
     with shared < 0, from place to left.
     """
-    for piece in pieces(batches, "text"):
+    for piece in pieces(batches, "text", 3 << 20):
         buf, offsets = column_bytes(piece.column(2))
         at, n, anchor, gram = _anchors(buf, offsets, length, q, hot)
         if not len(at):
@@ -284,6 +279,8 @@ def _merge(batches: Iterator[pa.RecordBatch], length: int, q: int, fan_in: int =
         entry, first, last = repeated_offsets([s for _, s, _ in merged], np.array([n for n, _, _ in merged]), [left[v] for v in value.tolist()], length, q)
         doc, tie, place = (np.concatenate([c[i] for c in columns])[value[entry]] for i in range(3))
         yield span_batch(doc, tie, place - last, place - first + length)
+        del merged, left, runs, columns
+        release_memory()
 
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
