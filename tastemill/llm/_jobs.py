@@ -49,3 +49,12 @@ def parts(spark: SparkSession, size: float, each: int = 64 << 20) -> int:
 
 def id_key(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
+
+
+#: rows of a few numbers each that may be broadcast: some 50 MB
+BROADCAST_ROWS = 1_000_000
+
+
+def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """The small side of a join against whole texts: broadcast while its counted rows are few, shuffled beyond."""
+    return F.broadcast(df) if df.count() <= most else df.hint("merge")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastemill.llm._jobs import id_key, NO_ID, written
+from tastemill.llm._jobs import NO_ID, id_key, small_side, written
 from tastemill.llm._text import Words, distinct_by_row, pieces, shingles
 
 MATCHES = "doc long, item_id long, n_item_shingles long, n_shared long, containment double"
@@ -130,6 +130,7 @@ def _search(batches: Iterator[pa.RecordBatch], index: ItemIndex) -> Iterator[pa.
 def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no item (see leaks)."""
     found = leaks(docs.select("doc_id", "text"), items).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__leak")).distinct()
+    found = small_side(written(found, "leaks-dropped"))
     return docs.withColumn("__id", id_key()).join(found, F.col("__id") == F.col("__leak"), "left_anti").drop("__id")
 
 

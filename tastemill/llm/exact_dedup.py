@@ -19,8 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastemill.llm._jobs import NO_ID, id_key, parts, written
-from tastemill.llm._text import _IS_SPACE, column_bytes, pieces
+from tastemill.llm._jobs import NO_ID, id_key, parts, small_side, written
+from tastemill.llm._text import _IS_SPACE, column_bytes, pieces, release_memory
 
 ROWS = "link boolean, row long, doc long, n_chars long, n_bytes long, digest binary, content binary, n long"
 GROUPS = "full boolean, digest binary, content binary, n long, n_chars long, doc long, row long"
@@ -102,6 +102,8 @@ def _records(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Recor
         row += m
     if table.contents:
         yield _contents(table)
+    table.clear()
+    release_memory()
 
 
 def _contents(t: ContentTable) -> pa.RecordBatch:
@@ -126,6 +128,8 @@ def _bucket(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Record
     for lo in range(0, len(table.contents), 20_000):
         part = slice(lo, lo + 20_000)
         yield _groups([(False, d, None, n, -b[0], b[1], b[2]) for d, n, b in zip(table.digests[part], table.counts[part], table.best[part], strict=True)])
+    table.clear()
+    release_memory()
 
 
 def _groups(rows: list[tuple]) -> pa.RecordBatch:
@@ -171,12 +175,16 @@ def exact_groups(df: DataFrame, memory: int = 48 << 20) -> DataFrame:
 
 def drop_copies(df: DataFrame) -> DataFrame:
     """The rows of ``df``, all columns, that stay: one of each group of equal texts (see exact_groups)."""
-    kept = exact_groups(df.select("doc_id", "text")).where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__kept_id"), F.col("text_sha256").alias("__kept_digest"))
+    groups = exact_groups(df.select("doc_id", "text")).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__gone_id"), F.col("text_sha256").alias("__gone_digest"), "kept")
+    gone = groups.groupBy("__gone_id", "__gone_digest").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    gone = written(gone.where("not kept or n > 1"), "exact-dropped")
     digest = F.sha2(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"[\x20\x09-\x0D]+", ""), 256)
-    out = df.withColumns({"__id": id_key(), "__digest": digest}).join(kept, (F.col("__id") == F.col("__kept_id")) & (F.col("__digest") == F.col("__kept_digest")), "left_semi")
-    # rows that repeat id and text pass the join together; one of them stays
-    none_repeated = df.groupBy(id_key().alias("i"), F.xxhash64("text").alias("t")).count().where("count > 1").isEmpty()
-    return (out if none_repeated else out.dropDuplicates(["__id", "__digest"])).drop("__id", "__digest")
+    keyed = df.withColumns({"__id": id_key(), "__digest": digest})
+    same = (F.col("__id") == F.col("__gone_id")) & (F.col("__digest") == F.col("__gone_digest"))
+    out = keyed.join(small_side(gone.where("not kept").drop("kept", "n")), same, "left_anti")
+    # rows that repeat id and text go through the join together; one of them stays
+    repeated = not gone.where("kept and n > 1").isEmpty()
+    return (out.dropDuplicates(["__id", "__digest"]) if repeated else out).drop("__id", "__digest")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

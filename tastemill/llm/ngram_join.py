@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tastemill.llm._components import components
-from tastemill.llm._jobs import NO_ID, id_key, parts, written
-from tastemill.llm._text import Words, distinct_by_row, mix, pieces, shingles
+from tastemill.llm._jobs import NO_ID, id_key, parts, small_side, written
+from tastemill.llm._text import Words, distinct_by_row, mix, pieces, release_memory, shingles
 
 CLASSES = "doc long, n long, set long, check long"
 PARTS = "part long, set long, doc long"
@@ -307,6 +307,7 @@ def _join(batches: Iterator[pa.RecordBatch], share: tuple[int, int]) -> Iterator
         if len(found) > 10_000:
             yield _links(found)
             found = []
+    release_memory()
     yield _links(found)
 
 
@@ -317,7 +318,7 @@ def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
 def _tree_join(texts: DataFrame, units: DataFrame, k: int, share: tuple[int, int], name: str) -> DataFrame:
     """Links of units (unit, member, label): one task holds the sets of a unit."""
     spark = texts.sparkSession
-    rows = units.join(texts, F.col("member") == F.col("doc")).select("unit", "doc", "label", "text")
+    rows = texts.join(small_side(units), F.col("member") == F.col("doc")).select("unit", "doc", "label", "text")
     sets = rows.mapInArrow(lambda b: _members(b, k), "unit long, doc long, label long, n long, shingles binary")
     n = parts(spark, 8 * (units.agg(F.sum("n")).first()[0] or 0), 48 << 20)
     return written(sets.repartition(n, "unit").sortWithinPartitions("unit", "doc").mapInArrow(lambda b: _join(b, share), LINKS), name)
@@ -410,6 +411,7 @@ def drop_similar(df: DataFrame, k: int = 5, share: tuple[int, int] = (8, 10)) ->
     """The rows of ``df``, all columns, whose doc_id is the smallest of its group of similar rows (see similar_groups)."""
     groups = similar_groups(df.select("doc_id", "text"), k, share)
     gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__gone")).distinct()
+    gone = small_side(written(gone, "join-dropped"))
     return df.withColumn("__id", id_key()).join(gone, F.col("__id") == F.col("__gone"), "left_anti").drop("__id")
 
 
