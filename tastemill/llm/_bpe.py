@@ -67,7 +67,7 @@ def split_starts(points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Encoder:
     """Ids of many texts at once; ``special`` strings are encoded as their own ids."""
 
-    SLOTS = 1 << 21
+    SLOTS = 1 << 20
 
     def __init__(self, tokenizer_json: str):
         import tiktoken
@@ -87,6 +87,10 @@ class Encoder:
         self.entry = np.full(self.SLOTS, -1, dtype=np.int32)
         self.first, self.count, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
+    def forget(self) -> None:
+        """Empty the table after a task; the vocabulary stays."""
+        self._reset()
+
     def _find(self, hashed: np.ndarray) -> np.ndarray:
         """Entry of each hash, or -1."""
         out = np.full(len(hashed), -1, dtype=np.int64)

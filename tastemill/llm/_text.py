@@ -7,6 +7,7 @@ documents are found with a few array operations and no per-word Python.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,6 +62,16 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+
+
+def release_memory() -> None:
+    """Give freed memory back: Python workers live on after a task, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that a piece holds at most ``limit`` bytes of text, or one row."""
     for batch in batches:
@@ -74,6 +85,8 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 << 20) -
             end = min(n, max(at + 1, end))
             yield batch.slice(at, end - at)
             at = end
+        del batch
+        release_memory()
 
 
 class Words:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tastemill.llm._bpe import encoder
-from tastemill.llm._text import pieces
+from tastemill.llm._text import pieces, release_memory
 
 TIERS = (256, 512, 1024, 2048)
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
@@ -152,7 +152,7 @@ def pack(df: DataFrame, tokenizer_json: str, end_id: int = 1, tiers: tuple[int,
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = encoder(spec.value)
         packer = Packer(tiers, step_tokens, buffer, TaskContext.get().partitionId() << 32)
-        for piece in pieces(batches, "text"):
+        for piece in pieces(batches, "text", 2 << 20):
             ids, offsets = ids_of.encode(piece.column(1))
             for i, doc in enumerate(piece.column(0).to_pylist()):
                 packer.add(doc, np.append(ids[offsets[i] : offsets[i + 1]], np.int32(end_id)))
@@ -160,6 +160,8 @@ def pack(df: DataFrame, tokenizer_json: str, end_id: int = 1, tiers: tuple[int,
                     yield flush(packer)
         packer.close()
         yield flush(packer)
+        ids_of.forget()
+        release_memory()
 
     def flush(packer: Packer) -> pa.RecordBatch:
         rows, packer.out = packer.out, []

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tastemill.llm._text import Words, pieces, span_hashes
 
@@ -216,15 +217,14 @@ def quality_scores(docs: DataFrame, field: Field) -> DataFrame:
     doc_id and repeated rows: scored row by row. Empty table: no rows. Only the text
     enters the score; other columns are ignored.
     """
-    return _scored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), field)
+    return _scored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), field, ["doc_id"])
 
 
-def _scored(df: DataFrame, field: Field) -> DataFrame:
-    """Adds score to a frame that has a column text; used on whole rows by the pipeline."""
+def _scored(df: DataFrame, field: Field, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of a frame with a column text, and score."""
     shared = df.sparkSession.sparkContext.broadcast(field)  # a few hundred numbers
     text = df.columns.index("text")
-    keep = [c for c in df.columns if c != "text"] if df.columns == ["doc_id", "text"] else df.columns
-    fields = [df.schema[c] for c in keep]
+    schema = StructType([*(df.schema[c] for c in keep), StructField("score", DoubleType())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text", 4 << 20):
@@ -232,9 +232,7 @@ def _scored(df: DataFrame, field: Field) -> DataFrame:
             score = pa.array(shared.value.scores(x, size, rows), pa.float64())
             yield pa.RecordBatch.from_arrays([*(piece.column(piece.schema.get_field_index(c)) for c in keep), score], names=[*keep, "score"])
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    return df.mapInArrow(task, StructType([*fields, StructField("score", DoubleType())]))
+    return df.mapInArrow(task, schema)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -252,4 +250,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that score 0.5 or more under a field fitted on ``labels``."""
     field = train(docs.select("doc_id", "text"), labels.where(~held_out()).select("doc_id", "quality"))
     narrow = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
-    return _scored(narrow, field).where("score >= 0.5").select("row.*")
+    return _scored(narrow, field, ["row"]).where("score >= 0.5").select("row.*")
