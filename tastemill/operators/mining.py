@@ -31,9 +31,17 @@ def association_rules(model: FPGrowthModel, min_confidence: float = 0.6, min_ant
     return rules.orderBy(F.desc("lift"), itemset_label(F.col("antecedent")), itemset_label(F.col("consequent")))
 
 
-def apply_rules(model: FPGrowthModel, baskets_: DataFrame) -> DataFrame:
-    """Adds ``prediction``: the consequents that a basket's items lead to."""
-    return model.transform(baskets_)
+def apply_rules(model: FPGrowthModel, baskets_: DataFrame, min_antecedent: int = 1) -> DataFrame:
+    """Adds ``prediction``: the consequents that a basket's items lead to and that it does not hold, by rules of at least ``min_antecedent`` items."""
+    rules = model.associationRules.where(F.size("antecedent") >= min_antecedent).groupBy("antecedent").agg(F.flatten(F.collect_set("consequent")).alias("__to"))
+    rules = rules.withColumn("__key", F.element_at("antecedent", 1))
+    items = F.col(model.getItemsCol())
+    # equal baskets are worked out once, and meet only the rules whose first item they hold
+    distinct = baskets_.select(items.alias("__items")).distinct()
+    met = distinct.withColumn("__key", F.explode(F.array_distinct("__items"))).join(rules, "__key").where(F.size(F.array_except("antecedent", "__items")) == 0)
+    new = met.select("__items", F.explode(F.array_except("__to", "__items")).alias("__new")).groupBy("__items").agg(F.collect_set("__new").alias("__new"))
+    out = baskets_.join(new, items == F.col("__items"), "left")
+    return out.withColumn("prediction", F.coalesce("__new", F.array_except(items, items), F.array())).drop("__items", "__new")
 
 
 def save_model(model: FPGrowthModel, path: str) -> FPGrowthModel:

@@ -314,7 +314,7 @@ i1 AS (SELECT g, count(*) AS f FROM t GROUP BY g), i2 AS (SELECT x.g AS a, y.g A
 @query(_BASKETS + """
 SELECT '["' || g || '"]' AS label, f AS freq, round(f / n, 6) AS support FROM i1, n WHERE f >= ceil(0.02 * n) UNION ALL SELECT '["' || a || '","' || b || '"]', f, round(f / n, 6) FROM i2, n WHERE f >= ceil(0.02 * n)""")
 def frequent_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FP-growth itemsets of one and two genres, which counting can confirm."""
+    """FP-growth itemsets of one and two genres, which counting can confirm; the longer ones are in long_itemsets."""
     rows = _genre_baskets(spark, sf_dir).select("items")
     model = mining.fit_itemsets(rows, 0.02, 0.1)
     return mining.frequent_itemsets(model, rows.count()).where(F.size("items") <= 2).select("label", "freq", F.round("support", R).alias("support"))
@@ -325,18 +325,34 @@ def frequent_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT '["' || x || '"]' AS antecedent, '["' || y || '"]' AS consequent, round(d.f / p.f, 6) AS confidence, round(d.f / p.f / (q.f / n), 6) AS lift
 FROM d JOIN i1 p ON p.g = x JOIN i1 q ON q.g = y, n WHERE d.f >= ceil(0.02 * n) AND d.f / p.f >= 0.1""")
 def assoc_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules from one genre to another; longer antecedents are in rules_applied."""
+    """Rules from one genre to another; longer antecedents are in long_rules."""
     model = mining.fit_itemsets(_genre_baskets(spark, sf_dir).select("items"), 0.02, 0.1)
     rules = mining.association_rules(model, 0.1, 1).where(F.size("antecedent") == 1)
     return rules.select(fx.itemset_label(F.col("antecedent")).alias("antecedent"), fx.itemset_label(F.col("consequent")).alias("consequent"), F.round("confidence", R).alias("confidence"), F.round("lift", R).alias("lift"))
 
 
+@query()
+def long_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FP-growth itemsets of three genres and more, at the operator's own support."""
+    rows = _genre_baskets(spark, sf_dir).select("items")
+    model = mining.fit_itemsets(rows, min_confidence=0.1)
+    return mining.frequent_itemsets(model, rows.count(), 3).select("label", F.size("items").alias("size"), "freq", F.round("support", R).alias("support"))
+
+
+@query()
+def long_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules with two genres and more before the arrow, at the operator's own support."""
+    model = mining.fit_itemsets(_genre_baskets(spark, sf_dir).select("items"), min_confidence=0.1)
+    rules = mining.association_rules(model, 0.1, 2)
+    return rules.select(fx.itemset_label(F.col("antecedent")).alias("antecedent"), fx.itemset_label(F.col("consequent")).alias("consequent"), *(F.round(c, R).alias(c) for c in ("confidence", "lift", "support")))
+
+
 @query()
 def rules_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules of the even users' baskets, with at least two genres before the arrow, applied to the odd users'."""
     rows = _genre_baskets(spark, sf_dir)
     model = mining.save_model(mining.fit_itemsets(rows.where("user_id % 2 = 0"), 0.01, 0.3), _place(spark, "rules"))
-    return mining.apply_rules(model, rows.where("user_id % 2 = 1")).select("user_id", "day", F.array_join("items", ",").alias("items"), F.array_join(F.sort_array("prediction"), ",").alias("prediction"))
+    return mining.apply_rules(model, rows.where("user_id % 2 = 1"), 2).select("user_id", "day", F.array_join("items", ",").alias("items"), F.array_join(F.sort_array("prediction"), ",").alias("prediction"))
 
 
 @query()

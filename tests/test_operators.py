@@ -1,4 +1,5 @@
 import math
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -6,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tastemill.operators import mining, popularity, profile, ranking, ranks, splits
+from tastemill.plans import analysis
 from tastemill.streaming import jobs
 
 
@@ -163,3 +165,45 @@ def test_itemsets_agree_with_cooccurrence(spark, tmp_path):
     found = {r.label: r.freq for r in mining.sequential_patterns(ordered, "user", "item", ["t"], 0.9, 3).collect()}
     assert found["(a) -> (b) -> (a)"] == 4 and "(b) -> (b) -> (b)" not in found
     assert pd.DataFrame([r.asDict() for r in mining.patterns_by_length(mining.sequential_patterns(ordered, "user", "item", ["t"], 0.9, 2)).collect()]).set_index("length").patterns.to_dict() == {1: 2, 2: 4}
+
+
+def genre_days(spark):
+    rows = [(u, 0, [g for i, g in enumerate(("Action", "Comedy", "Drama", "War")) if (u * 7 + i * 3) % 4 or u % 5 == i]) for u in range(60)]
+    return rows, spark.createDataFrame(rows, "user_id long, day long, items array<string>")
+
+
+def test_longer_itemsets_and_rules_equal_brute_force(spark, monkeypatch):
+    rows, days = genre_days(spark)
+    monkeypatch.setattr(analysis, "_genre_baskets", lambda *_: days)
+    count = lambda s: sum(set(s) <= set(r[2]) for r in rows)
+    sets = {s: count(s) for k in (3, 4) for s in combinations(("Action", "Comedy", "Drama", "War"), k) if count(s) >= 0.005 * 60}
+    label = lambda s: "[" + ",".join(f'"{x}"' for x in s) + "]"
+    found = {r.label: (r.freq, r.size, r.support) for r in analysis.long_itemsets(spark, "").collect()}
+    assert found == {label(s): (n, len(s), round(n / 60, 6)) for s, n in sets.items()} and max(map(len, sets)) == 4
+    want = {}
+    for s, n in sets.items():
+        for y in s:
+            x = tuple(g for g in s if g != y)
+            if n / count(x) >= 0.1:
+                want[label(x), label((y,))] = pytest.approx((n / count(x), n / count(x) / (count((y,)) / 60), n / 60), abs=1e-6)
+    assert {(r.antecedent, r.consequent): (r.confidence, r.lift, r.support) for r in analysis.long_rules(spark, "").collect()} == want
+
+
+def test_rules_applied_have_two_genres_before_the_arrow(spark, monkeypatch):
+    rows, days = genre_days(spark)
+    rows += [(61, 0, ["Action"]), (63, 0, ["Action", "Drama"]), (65, 0, None), (67, 0, [])]
+    days = days.unionByName(spark.createDataFrame(rows[-4:], days.schema))
+    monkeypatch.setattr(analysis, "_genre_baskets", lambda *_: days)
+    fit = [set(r[2]) for r in rows if r[0] % 2 == 0]
+    genres, count = sorted(set().union(*fit)), lambda s: sum(set(s) <= b for b in fit)
+
+    def led_to(basket, least):
+        rules = ((x, y) for k in range(least, 4) for x in combinations(sorted(basket), k) for y in genres if y not in basket)
+        return sorted({y for x, y in rules if count(x) and count((*x, y)) >= max(0.01 * len(fit), 1) and count((*x, y)) / count(x) >= 0.3})
+
+    want = {r[0]: ",".join(led_to(r[2] or (), 2)) for r in rows if r[0] % 2}
+    assert want[61] == "" and want[63] and led_to(["Action"], 1)
+    assert {r.user_id: r.prediction for r in analysis.rules_applied(spark, "").collect()} == want
+    model = mining.fit_itemsets(days.where("user_id % 2 = 0").select("items"), 0.01, 0.3)
+    plain = lambda df: {r.user_id: sorted(r.prediction) for r in df.collect()}
+    assert plain(mining.apply_rules(model, days)) == plain(model.transform(days))
