@@ -357,9 +357,9 @@ def rules_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def seq_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Patterns in each user's ratings of the day, in order of time."""
+    """Patterns in each user's ratings of the day, in order of time, at the operator's own support and length."""
     rows = fixtures.events(spark, sf_dir).withColumn("owner", F.concat_ws("-", "user_id", F.floor(F.col("timestamp") / 86400)))
-    return mining.sequential_patterns(rows, "owner", "rating", ["timestamp", "event_id"], 0.05, 4).select("label", "length", "freq")
+    return mining.sequential_patterns(rows, "owner", "rating", ["timestamp", "event_id"]).select("label", "length", "freq")
 
 
 @query()

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tastemill.operators import mining, popularity, profile, ranking, ranks, splits
-from tastemill.plans import analysis
+from tastemill.plans import analysis, fixtures
 from tastemill.streaming import jobs
 
 
@@ -207,3 +207,16 @@ def test_rules_applied_have_two_genres_before_the_arrow(spark, monkeypatch):
     model = mining.fit_itemsets(days.where("user_id % 2 = 0").select("items"), 0.01, 0.3)
     plain = lambda df: {r.user_id: sorted(r.prediction) for r in df.collect()}
     assert plain(mining.apply_rules(model, days)) == plain(model.transform(days))
+
+
+def test_seq_patterns_are_long_and_rare_ones_too(spark, monkeypatch):
+    days = [[1, 2, 3, 4, 5, 1, 2]] * 3 + [[4, 4, 2]] + [[3]] * 96  # supports of 3 %, 1 % and 96 %
+    rows = [(100 * u + i, u, r, i) for u, ratings in enumerate(days) for i, r in enumerate(ratings)]
+    monkeypatch.setattr(fixtures, "events", lambda *_: spark.createDataFrame(rows, "event_id long, user_id long, rating int, timestamp long"))
+    want = {}
+    for ratings in days:
+        for s in {s for k in range(1, len(ratings) + 1) for s in combinations(ratings, k)}:
+            want[s] = want.get(s, 0) + 1
+    label = lambda s: " -> ".join(f"({x})" for x in s)
+    assert {r.label: (r.length, r.freq) for r in analysis.seq_patterns(spark, "").collect()} == {label(s): (len(s), n) for s, n in want.items()}
+    assert max(map(len, want)) == 7
