@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tastemill.functions import features as fx
 from tastemill.operators import joins, mining, models, popularity, profile, ranking, splits
 from tastemill.plans import fixtures
+from tastemill.plans.fixtures import TIES
 from tastemill.plans.relations import _day, _joined, _place, query
 from tastemill.streaming import jobs
 
@@ -370,20 +371,25 @@ def als_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rated_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.metadata_features(_joined(spark, sf_dir)).withColumn("movie_id", F.col("movie_id") % 500)
+    """Features by real movie ids; a fifth of the ratings, by the hash of their keys, is held out."""
+    rows = _joined(spark, sf_dir, True)
+    # weights are made once for each text of genres, not for each rating
+    texts = rows.select("genres").distinct().select(F.col("genres").alias("__text"), fx.multi_hot_scaled(fx.genre_names(F.col("genres"))).alias("weights"))
+    rows = rows.join(texts, F.col("genres").eqNullSafe(F.col("__text")))
+    return rows.select("movie_id", fx.rating01(F.col("rating")).cast("float").alias("rating"), F.col("weights").alias("genres"), (F.pmod(F.xxhash64(*TIES), F.lit(5)) == 0).alias("held"))
 
 
 @query()
 def fm_rating(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors of the rating machine for two grid points, the better one marked."""
     rows = _rated_features(spark, sf_dir)
-    train, held = rows.where("movie_id % 5 <> 0"), rows.where("movie_id % 5 = 0")
+    train, held = rows.where("not held"), rows.where("held")
 
     def errors(model) -> float:
         out = models.clipped(models.score_batches(models.genre_vectors(held), model))
         return ranking.error_metrics(out, "rating", "prediction").first()["rmse"]
 
-    best, _, trials = models.search(lambda factors: models.fit_rating(train, factors=factors, iterations=10), [{"factors": 2}, {"factors": 4}], errors, largest=False)
+    best, _, trials = models.search(lambda factors: models.fit_rating(train, factors=factors), [{"factors": 2}, {"factors": 4}], errors, largest=False)
     return spark.createDataFrame([(t["factors"], float(v), t == best) for t, v in trials], "factors int, rmse double, best boolean")
 
 

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tastemill.operators import mining, popularity, profile, ranking, ranks, splits
+from tastemill.operators import mining, models, popularity, profile, ranking, ranks, splits
 from tastemill.plans import analysis, fixtures
 from tastemill.streaming import jobs
 
@@ -220,3 +220,39 @@ def test_seq_patterns_are_long_and_rare_ones_too(spark, monkeypatch):
     label = lambda s: " -> ".join(f"({x})" for x in s)
     assert {r.label: (r.length, r.freq) for r in analysis.seq_patterns(spark, "").collect()} == {label(s): (len(s), n) for s, n in want.items()}
     assert max(map(len, want)) == 7
+
+
+def test_rating_machine_gradient_and_real_movie_ids(spark, monkeypatch, tmp_path):
+    rng = np.random.default_rng(2)
+    w = [rng.normal(size=s) for s in ((1,), (3,), (3, 2), (18,), (18, 2))]
+    movie, genres, n, mean = np.array([0, 2, 1]), rng.random((3, 18)), np.array([1, 4, 2]), rng.random(3)
+
+    def loss():
+        v = np.concatenate([w[2], w[4]])
+        x = np.concatenate([np.eye(3)[movie], genres], 1)
+        pairs = sum(np.outer(x[:, i] * x[:, j], v[i] @ v[j])[:, 0] for i in range(21) for j in range(i))
+        return (n * (w[0] + x @ np.concatenate([w[1], w[3]]) + pairs - mean) ** 2).sum()
+
+    a, b, c, d, e = models._gradient(w, movie, genres, n, mean)
+    for at, got in ((0, a), (3, b), (4, c), (1, d[[0, 2, 1]]), (2, e[[0, 2, 1]])):
+        for place in np.ndindex(w[at].shape):
+            w[at][place] += 1e-5
+            up = loss()
+            w[at][place] -= 2e-5
+            assert got[place] == pytest.approx((up - loss()) / 2e-5, rel=1e-4, abs=1e-4)
+            w[at][place] += 1e-5
+    # movies 500 apart, of one genre, with opposite ratings; one id is beyond an int
+    ids = [7, 507, 10**10, 10**10 + 500]
+    rows = [(u, m, 5 if k % 2 else 1, u, "Drama", u, k, m, u) for u in range(60) for k, m in enumerate(ids)]
+    joined = spark.createDataFrame(rows, "user_id long, movie_id long, rating int, timestamp long, genres string, l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long")
+    monkeypatch.setattr(analysis, "_joined", lambda *_: joined)
+    out = analysis.fm_rating(spark, "").collect()
+    assert sorted(r.factors for r in out) == [2, 4] and sum(r.best for r in out) == 1 and all(r.rmse < 0.1 for r in out)
+    held = {r.movie_id: r.n for r in analysis._rated_features(spark, "").where("held").groupBy("movie_id").agg(F.count("*").alias("n")).collect()}
+    assert set(held) == set(ids) and 0 < sum(held.values()) < 120
+    model = models.fit_rating(analysis._rated_features(spark, "").where("not held"), factors=2)
+    model.write().save(str(tmp_path / "machine"))
+    asked = models.genre_vectors(analysis._rated_features(spark, "").select("genres").limit(1).crossJoin(spark.createDataFrame([(7,), (507,), (8,)], "movie_id long")))
+    for m in (model, models.PipelineModel.load(str(tmp_path / "machine"))):
+        got = {r.movie_id: r.prediction for r in models.score_batches(asked, m).collect()}
+        assert got[7] < 0.2 and got[507] > 0.8 and 0.2 < got[8] < 0.8  # a new movie rests on its genres
