@@ -42,11 +42,10 @@ def _anchors(buf: np.ndarray, offsets: np.ndarray, length: int, q: int, hot: np.
     if not windows.sum():
         return (np.zeros(0, np.int64),) * 4
     grams = _gram_hashes(buf, q)
+    grams &= np.uint64((1 << 31) - 1)
     if len(hot):
         at = np.minimum(np.searchsorted(hot, grams), len(hot) - 1)
-        grams = np.where(hot[at] == grams, grams | np.uint64(1 << 31), grams & np.uint64((1 << 31) - 1))
-    else:
-        grams &= np.uint64((1 << 31) - 1)
+        grams = np.where(hot[at] == grams, grams | np.uint64(1 << 31), grams)
     # value and place in one number: the smallest is the leftmost of the smallest grams
     best = sliding_min((grams << np.uint64(32)) | np.arange(len(grams), dtype=np.uint64), length - q + 1)
     own = ranges(offsets[:-1][windows > 0], windows[windows > 0])

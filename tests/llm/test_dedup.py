@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from tests.llm.conftest import documents
 
@@ -153,3 +154,14 @@ def test_drop_similar_keeps_columns_and_one_of_each_group(spark):
     out = ngram_join.drop_similar(documents(spark, rows))
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert sorted(r.doc_id for r in out.collect()) == [1, 3, 4, 5]
+
+
+def test_hot_grams_of_either_top_bit_are_demoted():
+    text = np.frombuffer(hashlib.sha512(b"grams").digest() * 2, np.uint8)
+    offsets, length, q = np.array([0, len(text)]), 24, 8
+    hashes = suffix_dedup._gram_hashes(text, q)
+    assert len(set((hashes >> np.uint64(31)).tolist())) == 2
+    for h in sorted(set(hashes.tolist())):
+        low = h & ((1 << 31) - 1)
+        _, _, anchor, gram = suffix_dedup._anchors(text, offsets, length, q, np.array([low], dtype=np.uint64))
+        assert low not in gram.tolist() and h not in hashes[anchor].tolist()
