@@ -1,7 +1,9 @@
 """The corpus pipeline: quality, exact copies, near copies, benchmark passages, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the stage before has kept,
-and returns the columns of ``docs``; the last one returns packed token pieces.
+and returns the columns of ``docs``, whatever they are called; the last one returns packed
+token pieces. Empty tables give empty tables. Null doc_id is an id like others, smaller than
+all of them; null text counts as empty.
 """
 
 from __future__ import annotations
@@ -16,26 +18,36 @@ ORACLE_SQL = None
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that score below 0.5 under a field fitted on the labelled rows of ``docs``."""
+    """Drops documents that score below 0.5 under a field fitted on the labelled rows of ``docs``.
+
+    Null, empty and blank texts score the share of good documents; repeated rows are judged one by one.
+    """
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal without white space, one stays."""
+    """Of texts that are equal without white space, the longest original stays, then the smallest doc_id.
+
+    Null, empty and blank texts are one group; of rows that repeat both id and text one stays.
+    """
     return exact_dedup.drop_copies(docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a five-word shingle similarity of 0.8, that with the smallest id stays."""
+    """Of documents linked by a five-word shingle similarity of 0.8, that with the smallest id stays.
+
+    Texts without words are linked with nothing; rows that repeat an id stay or go together.
+    """
     return ngram_join.drop_similar(docs)
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
+    """Drops documents that hold a benchmark item, by four fifths of its five-word shingles; null items are no items."""
     return decontamination.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of all documents, packed without padding; null and empty texts are the end id alone, repeated rows are packed once each."""
     return packing.digest(packing.pack(docs, packing.tokenizer_text()))
 
 

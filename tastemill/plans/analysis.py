@@ -9,7 +9,8 @@ from tastemill.functions import features as fx
 from tastemill.operators import joins, mining, models, popularity, profile, ranking, splits
 from tastemill.plans import fixtures
 from tastemill.plans.fixtures import TIES
-from tastemill.plans.relations import _day, _joined, _place, query
+from tastemill.plans.relations import _day, _joined, query
+from tastemill.sources.folders import shared_path
 from tastemill.streaming import jobs
 
 R = 6  # decimals that both engines are compared on
@@ -352,7 +353,7 @@ def long_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rules_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules of the even users' baskets, with at least two genres before the arrow, applied to the odd users'."""
     rows = _genre_baskets(spark, sf_dir)
-    model = mining.save_model(mining.fit_itemsets(rows.where("user_id % 2 = 0"), 0.01, 0.3), _place(spark, "rules"))
+    model = mining.save_model(mining.fit_itemsets(rows.where("user_id % 2 = 0"), 0.01, 0.3), shared_path(spark, "rules"))
     return mining.apply_rules(model, rows.where("user_id % 2 = 1"), 2).select("user_id", "day", F.array_join("items", ",").alias("items"), F.array_join(F.sort_array("prediction"), ",").alias("prediction"))
 
 
@@ -415,7 +416,7 @@ def stream_popularity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """popularity_ema as keyed state over a stream; each item's last update."""
     raw = _stream(spark, sf_dir, "events")
     steps = raw.select(F.get_json_object("props", "$.k").cast("bigint").alias("movie_id"), (F.floor(F.col("event_id") / 50) + 1).alias("step"))
-    out = jobs.run_available(jobs.stream_item_gap(steps, "movie_id", "step", 0.1), _place(spark, "stream"), _place(spark, "state"), "update")
+    out = jobs.run_available(jobs.stream_item_gap(steps, "movie_id", "step", 0.1), shared_path(spark, "stream"), shared_path(spark, "state"), "update")
     return _round(out.groupBy("item").agg(F.max_by(F.struct("n", "last_step", "b", "p"), "micro_batch").alias("s")).select("item", "s.*"), "b", "p")
 
 
@@ -427,7 +428,7 @@ def stream_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     rating = F.when(kind == "purchase", 5).when(kind == "click", 4).when(kind == "view", 3).when(kind == "signup", 2).otherwise(1)
     rows = raw.select("user_id", F.get_json_object("props", "$.k").cast("bigint").alias("movie_id"), rating.alias("rating"), fixtures._epoch("ts").alias("timestamp"))
-    out = jobs.run_available(jobs.stream_features(rows, fixtures.users(spark, sf_dir), fixtures.movies(spark, sf_dir)), _place(spark, "stream"), _place(spark, "state"))
+    out = jobs.run_available(jobs.stream_features(rows, fixtures.users(spark, sf_dir), fixtures.movies(spark, sf_dir)), shared_path(spark, "stream"), shared_path(spark, "state"))
     return out.select(F.col("user_id").cast("long").alias("user_id"), F.col("movie_id").cast("long").alias("movie_id"), (F.col("rating") * 4 + 1).cast("int").alias("rating"), F.col("rating").cast("double").alias("rating01"), F.col("gender").cast("double").alias("gender"))
 
 
@@ -440,6 +441,6 @@ def genre_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     rating = F.when(kind == "purchase", 5).when(kind == "click", 4).when(kind == "view", 3).when(kind == "signup", 2).otherwise(1)
     rows = raw.select(F.to_timestamp_ltz(F.col("ts").cast("string")).alias("ts"), F.get_json_object("props", "$.k").cast("bigint").alias("movie_id"), rating.alias("rating"))
-    out = jobs.run_available(jobs.stream_genre_trend(rows, fixtures.movies(spark, sf_dir), "ts"), _place(spark, "stream"), _place(spark, "state"), "update")
+    out = jobs.run_available(jobs.stream_genre_trend(rows, fixtures.movies(spark, sf_dir), "ts"), shared_path(spark, "stream"), shared_path(spark, "state"), "update")
     last = out.groupBy("start", "genre").agg(F.max_by(F.struct("n", "mean_rating"), "micro_batch").alias("s"))
     return last.select(F.col("start").cast("timestamp_ntz").alias("day"), "genre", "s.n", F.round("s.mean_rating", R).alias("mean_rating"))

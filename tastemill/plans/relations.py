@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +11,7 @@ from tastemill.operators import joins, ranks, splits
 from tastemill.plans import fixtures
 from tastemill.plans.fixtures import SQL, TIES
 from tastemill.sources import delimited, sinks
+from tastemill.sources.folders import shared_path
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -289,15 +287,10 @@ def entity_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.with_defaults(users, empty).unionByName(fx.with_defaults(movies, empty))
 
 
-def _place(spark: SparkSession, name: str) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tastemill-", dir="/tmp")
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("""
 SELECT user_id, movie_id, rating, timestamp FROM fx_ratings""")
 def roundtrip_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _place(spark, "text")
+    path = shared_path(spark, "text")
     sinks.write_delimited(fixtures.ratings(spark, sf_dir), path)
     spec = delimited.SourceSpec("ratings", path, (("user_id", int), ("movie_id", int), ("rating", int), ("timestamp", int)))
     return delimited.read_delimited(spark, spec)
@@ -306,7 +299,7 @@ def roundtrip_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT user_id, movie_id, rating, timestamp, CASE WHEN rating > 3 THEN 'liked' WHEN rating = 3 THEN 'neutral' ELSE 'disliked' END AS sentiment, CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END AS split FROM fx_ratings""")
 def roundtrip_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _place(spark, "export")
+    path = shared_path(spark, "export")
     rows = fixtures.ratings(spark, sf_dir).withColumn("split", F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd"))
     sinks.export_ratings(rows, path)
     return spark.read.parquet(path)
