@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-from tastemill.llm._text import column_bytes, span_hashes
+from tastemill.llm._text import column_bytes, eights, equal_spans, span_hashes
 
 _SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
 # Unicode White_Space, and the English endings that split at an apostrophe.
@@ -86,18 +86,23 @@ class Encoder:
         self.key = np.zeros(self.SLOTS, dtype=np.uint64)
         self.entry = np.full(self.SLOTS, -1, dtype=np.int32)
         self.first, self.count, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        #: the bytes of all entries, and where each starts; n + 1 values
+        self.bytes, self.edge = np.zeros(0, np.uint8), np.zeros(1, np.int64)
+        self.view = eights(self.bytes)
 
     def forget(self) -> None:
         """Empty the table after a task; the vocabulary stays."""
         self._reset()
 
-    def _find(self, hashed: np.ndarray) -> np.ndarray:
-        """Entry of each hash, or -1."""
+    def _find(self, hashed: np.ndarray, view: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Entry of each split, found by hash and equal bytes, or -1."""
         out = np.full(len(hashed), -1, dtype=np.int64)
         todo, slot = np.arange(len(hashed)), (hashed & np.uint64(self.SLOTS - 1)).astype(np.int64)
         while len(todo):
             entry = self.entry[slot]
             same = (entry >= 0) & (self.key[slot] == hashed[todo])
+            at, own = np.flatnonzero(same), entry[same]
+            same[at] = equal_spans(view, starts[todo[at]], ends[todo[at]], self.view, self.edge[own], self.edge[own + 1])
             out[todo[same]] = entry[same]
             on = (entry >= 0) & ~same
             todo, slot = todo[on], (slot[on] + 1) & (self.SLOTS - 1)
@@ -112,6 +117,9 @@ class Encoder:
         self.first = np.concatenate([self.first, total + np.cumsum(count) - count])
         self.count = np.concatenate([self.count, count])
         self.flat = np.concatenate([self.flat, np.fromiter((x for p in ids for x in p), dtype=np.int32, count=int(count.sum()))])
+        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(pieces), np.uint8)])
+        self.edge = np.concatenate([self.edge, self.edge[-1] + np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))])
+        self.view = eights(self.bytes)
         todo, slot = np.arange(len(hashed)), (hashed & np.uint64(self.SLOTS - 1)).astype(np.int64)
         while len(todo):
             free = self.entry[slot] < 0
@@ -126,41 +134,44 @@ class Encoder:
         data = raw.tobytes()
         if any(s.encode() in data for s in self.special):
             return self._encode_plainly(column)
-        text = data.decode("utf-8", "replace")
-        points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
-        chars = np.zeros(len(raw) + 1, dtype=np.int64)
-        np.cumsum((raw & 0xC0) != 0x80, out=chars[1:])
-        if chars[-1] != len(points):  # broken UTF-8
+        try:
+            text = data.decode()
+        except UnicodeDecodeError:
             return self._encode_plainly(column)
-        offsets = chars[byte_offsets]
-        starts = split_starts(points, offsets)
-        ends = np.append(starts[1:], len(points))[: len(starts)]
-        hashed = span_hashes(points, starts, ends)
-        entry = self._find(hashed)
-        missing = np.flatnonzero(entry < 0)
-        if len(missing):
+        points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+        lead = np.flatnonzero((raw & 0xC0) != 0x80)
+        chars = np.searchsorted(lead, byte_offsets)
+        split = split_starts(points, chars)
+        starts = lead[split]
+        ends = np.append(starts[1:], len(raw))[: len(starts)]
+        hashed, view = span_hashes(raw, starts, ends), eights(raw)
+        entry = self._find(hashed, view, starts, ends)
+        # splits with one hash are added one after another, as equal bytes decide
+        while len(missing := np.flatnonzero(entry < 0)):
             fresh, at = np.unique(hashed[missing], return_index=True)
             at = missing[at]
             for lo in range(0, len(fresh), self.SLOTS // 4):
                 part = slice(lo, lo + self.SLOTS // 4)
                 before = len(self.first)
-                self._add(fresh[part], [text[a:b].encode() for a, b in zip(starts[at[part]].tolist(), ends[at[part]].tolist(), strict=True)])
+                self._add(fresh[part], [data[a:b] for a, b in zip(starts[at[part]].tolist(), ends[at[part]].tolist(), strict=True)])
                 if len(self.first) < before:  # the table was emptied
                     return self._encode_again(column) if column.nbytes and len(fresh) < self.SLOTS // 4 else self._encode_plainly(column)
-            entry[missing] = self._find(hashed[missing])
+            entry[missing] = self._find(hashed[missing], view, starts[missing], ends[missing])
         count = self.count[entry]
         done = np.zeros(len(count) + 1, dtype=np.int64)
         np.cumsum(count, out=done[1:])
         ids = self.flat[np.repeat(self.first[entry] - done[:-1], count) + np.arange(done[-1])]
-        return ids, done[np.searchsorted(starts, offsets)]
+        return ids, done[np.searchsorted(split, chars)]
 
     def _encode_again(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         self._reset()
         return self.encode(column)
 
     def _encode_plainly(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Through the tokenizers library, where a text holds a special token's string."""
-        ids = [x.ids for x in _tokenizer(self.json).encode_batch([x or "" for x in column.to_pylist()], add_special_tokens=False)]
+        """Through the tokenizers library, where a text holds a special token's string or broken UTF-8."""
+        raw, at = column_bytes(column)
+        texts = [raw[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        ids = [x.ids for x in _tokenizer(self.json).encode_batch(texts, add_special_tokens=False)]
         offsets = np.zeros(len(ids) + 1, dtype=np.int64)
         np.cumsum([len(x) for x in ids], out=offsets[1:])
         return np.fromiter((x for row in ids for x in row), dtype=np.int32, count=int(offsets[-1])), offsets

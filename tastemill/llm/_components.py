@@ -5,33 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tastemill.llm._jobs import written
+from tastemill.llm._jobs import written_at
+from tastemill.sources.folders import delete
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of edges (a, b): root is the smallest node that it reaches.
 
+    Nodes are longs and not null. Repeated edges, edges in both directions and chains of any
+    length count once; an edge from a node to itself says nothing, so a node with no other
+    edge is not in the result. No edges: no rows. Other columns are ignored.
+
     Each step re-hangs edges towards smaller neighbours; minima are aggregated before the
     shuffle, and the joins that follow are split by the adaptive skew join. Steps are
-    written to the shared folder, so lineage stays short. Converges in about log steps.
+    written to the shared folder, so lineage stays short, and each is deleted once the next
+    one is there. Converges in about log steps.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e, mark = _step(e)
+    e, mark, path = _step(e)
     while mark is not None:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m")).withColumn("m", F.least("m", "k"))
         large = both.where("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
         small = large.join(least, F.col("u") == F.col("k")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e, new = _step(small.unionByName(least.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct())
+        e, new, after = _step(small.unionByName(least.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct())
+        delete(e.sparkSession, path)
+        path = after
         if new == mark:
             break
         mark = new
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _step(e: DataFrame) -> tuple[DataFrame, tuple | None]:
-    """The edges, written; and a mark that two equal edge sets share (None: no edges)."""
-    out = written(e, "components")
+def _step(e: DataFrame) -> tuple[DataFrame, tuple | None, str]:
+    """The edges, written; a mark that two equal edge sets share (None: no edges); and the path."""
+    out, path = written_at(e, "components")
     n, mark = out.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return out, (n, mark) if n else None
+    return out, (n, mark) if n else None, path

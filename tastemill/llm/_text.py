@@ -141,29 +141,59 @@ class Words:
 
 #: hashes are computed over so many values at a time, which keeps the arrays in cache and memory small
 BLOCK = 1 << 19
+#: keeps the first 0 .. 8 bytes of eight
+_HEAD = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
+
+
+def eights(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; behind the end are zeros."""
+    padded = np.zeros(len(buf) + 8, dtype=np.uint8)
+    padded[: len(buf)] = buf
+    return np.ndarray((len(buf) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+
+
+def span_chunks(view: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(value, number in its span, first chunk of each span): spans of eights() cut into chunks of eight bytes."""
+    n = np.maximum((ends - starts + 7) >> 3, 1)
+    first = np.cumsum(n) - n
+    number = np.arange(int(n.sum())) - np.repeat(first, n)
+    at = np.repeat(starts, n) + 8 * number
+    return view[at] & _HEAD[np.minimum(np.repeat(ends, n) - at, 8)], number, first
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of each buf[start:end]; spans are in order and don't overlap."""
-    out = np.empty(len(starts), dtype=np.uint64)
-    i = 0
-    while i < len(starts):
-        low = int(starts[i])
-        j = max(i + 1, int(np.searchsorted(ends, low + BLOCK, "right")))
-        high = int(ends[j - 1])
-        sums = np.zeros(high - low + 1, dtype=np.uint64)
-        sums[1:] = buf[low:high]
-        sums[1:] += np.uint64(1)
-        sums[1:] *= _power_table(_BASE, high - low)
-        np.cumsum(sums, out=sums)
-        a, b = starts[i:j] - low, ends[i:j] - low
-        out[i:j] = (sums[b] - sums[a]) * _power_table(_BASE_INVERSE, high - low + 1)[a]
-        i = j
-    return mix(out, 1)
+    """Hash of the bytes of each buf[start:end].
+
+    Chunks of eight bytes are scrambled together with their number in the span and summed up. No
+    polynomial is formed over the bytes: modulo 2**64 those are equal for different self-similar texts.
+    """
+    view, out = eights(buf), np.empty(len(starts), dtype=np.uint64)
+    longest = int((ends - starts).max(initial=0))
+    salt = mix(np.arange(longest // 8 + 2, dtype=np.uint64), 5)
+    for lo in range(0, len(starts), BLOCK // 4):
+        a, b = starts[lo : lo + BLOCK // 4], ends[lo : lo + BLOCK // 4]
+        value, number, first = span_chunks(view, a, b)
+        sums = np.add.reduceat(mix(value ^ salt[number], 6), first)
+        out[lo : lo + BLOCK // 4] = mix(sums + (b - a).astype(np.uint64), 1)
+    return out
+
+
+def equal_spans(a: np.ndarray, a_starts: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_starts: np.ndarray, b_ends: np.ndarray) -> np.ndarray:
+    """Whether each span of eights() ``a`` holds the same bytes as that of ``b``."""
+    out = a_ends - a_starts == b_ends - b_starts
+    own = np.flatnonzero(out)
+    if len(own):
+        x, _, first = span_chunks(a, a_starts[own], a_ends[own])
+        y, _, _ = span_chunks(b, b_starts[own], b_ends[own])
+        out[own] = np.logical_and.reduceat(x == y, first)
+    return out
 
 
 def window_hashes(values: np.ndarray, k: int) -> np.ndarray:
-    """Hash of every k consecutive values; out[i] covers values[i : i + k]."""
+    """Hash of every k consecutive values; out[i] covers values[i : i + k].
+
+    A polynomial modulo 2**64 over scrambled values: fit for k of a few hundred at most.
+    """
     n = len(values) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)

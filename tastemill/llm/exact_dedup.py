@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastemill.llm._jobs import NO_ID, id_key, parts, small_side, written
+from tastemill.llm._jobs import NO_ID, every_column, id_key, parts, split_listed, written
 from tastemill.llm._text import _IS_SPACE, column_bytes, pieces, release_memory
 
 ROWS = "link boolean, row long, doc long, n_chars long, n_bytes long, digest binary, content binary, n long"
@@ -174,17 +174,22 @@ def exact_groups(df: DataFrame, memory: int = 48 << 20) -> DataFrame:
 
 
 def drop_copies(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, all columns, that stay: one of each group of equal texts (see exact_groups)."""
-    groups = exact_groups(df.select("doc_id", "text")).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__gone_id"), F.col("text_sha256").alias("__gone_digest"), "kept")
-    gone = groups.groupBy("__gone_id", "__gone_digest").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
-    gone = written(gone.where("not kept or n > 1"), "exact-dropped")
-    digest = F.sha2(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"[\x20\x09-\x0D]+", ""), 256)
-    keyed = df.withColumns({"__id": id_key(), "__digest": digest})
-    same = (F.col("__id") == F.col("__gone_id")) & (F.col("__digest") == F.col("__gone_digest"))
-    out = keyed.join(small_side(gone.where("not kept").drop("kept", "n")), same, "left_anti")
-    # rows that repeat id and text go through the join together; one of them stays
-    repeated = not gone.where("kept and n > 1").isEmpty()
-    return (out.dropDuplicates(["__id", "__digest"]) if repeated else out).drop("__id", "__digest")
+    """The rows of ``df``, all columns, that stay: one of each group of equal texts (see exact_groups).
+
+    Null, empty and blank texts are one group, of which one row stays. Null doc_id is smaller
+    than any other. Of rows that repeat an id and a text, one stays; which of them, if other
+    columns differ, is not defined. Empty table: no rows. Columns may have any names.
+    """
+    groups = exact_groups(df.select("doc_id", "text")).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("gone_id"), F.col("text_sha256").alias("gone_digest"), "kept")
+    gone = groups.groupBy("gone_id", "gone_digest").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    gone = written(gone.where("not kept or n > 1"), "exact-dropped").drop("n")
+    digest = F.sha2(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", ""), 256)
+    rows = df.select(id_key().alias("id"), digest.alias("digest"), every_column(df).alias("row"))
+    stay, asked = split_listed(rows, ["id", "digest"], gone, ["gone_id", "gone_digest"])
+    own = asked.join(gone.hint("merge"), (F.col("id") == F.col("gone_id")) & (F.col("digest") == F.col("gone_digest")), "left")
+    # rows that repeat id and text are all listed: one of them stays
+    own = own.where("kept is null or kept").dropDuplicates(["id", "digest"])
+    return stay.select("row").unionByName(own.select("row")).select("row.*")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

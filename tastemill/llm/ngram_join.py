@@ -2,10 +2,11 @@
 
 Equal sets are one class. Similar sets differ in few shingles, so when the shingles are dealt
 into somewhat more parts than that, some part is the same in both sets; classes with an
-equal part are candidates. Connected candidates form a cluster, which goes to one task. There the sets hang in a signature tree: a node holds the
-OR-combined bitmap and the size range of the sets below it, and pairs of nodes are walked
-together, cut off where the bitmaps and sizes leave no room for enough overlap, or where
-both nodes lie in one component already. What is left is verified on the whole sets.
+equal part are candidates. Connected candidates form a cluster, which goes to one task.
+There the sets hang in a signature tree: a node holds the OR-combined bitmap and the size
+range of the sets below it, and pairs of nodes are walked together, cut off where the
+bitmaps and sizes leave no room for enough overlap, or where both nodes lie in one
+component already: components come out, not all links. What is left is verified on the whole sets.
 Clusters too large for a task are cut into blocks with common pivots, and only sets that
 these leave apart are compared across blocks.
 """
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tastemill.llm._components import components
-from tastemill.llm._jobs import NO_ID, id_key, parts, small_side, written
+from tastemill.llm._jobs import NO_ID, among, id_key, parts, without, written
 from tastemill.llm._text import Words, distinct_by_row, mix, pieces, release_memory, shingles
 
 CLASSES = "doc long, n long, set long, check long"
@@ -176,12 +177,26 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _members(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """(unit, doc, label, n, shingles) of rows (unit, doc, label, text)."""
+    """(unit, doc, label, shingles) of rows (doc, text, units): a text's set is made once and goes to each of its units."""
     for piece in pieces(batches, "text"):
-        rows, hashed, n = _sets(piece.column(3), k)
+        rows, hashed, n = _sets(piece.column(1), k)
         cuts = np.concatenate([[0], np.cumsum(n)]).tolist()
-        sets = pa.array([hashed[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
-        yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), piece.column(2), pa.array(n), sets], names=["unit", "doc", "label", "n", "shingles"])
+        sets = [hashed[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        docs, units = piece.column(0).to_pylist(), piece.column(2).to_pylist()
+        out, size = [], 0
+        for doc, own, shingle_set in zip(docs, units, sets, strict=True):
+            for u in own:
+                out.append((u["unit"], doc, u["label"], shingle_set))
+                size += len(shingle_set)
+                if size > 8 << 20:
+                    yield _member_batch(out)
+                    out, size = [], 0
+        yield _member_batch(out)
+
+
+def _member_batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["unit", "doc", "label", "shingles"])
 
 
 class Unions:
@@ -316,15 +331,19 @@ def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _tree_join(texts: DataFrame, units: DataFrame, k: int, share: tuple[int, int], name: str) -> DataFrame:
-    """Links of units (unit, member, label): one task holds the sets of a unit."""
+    """Links of units (unit, member, label, n): one task holds the sets of a unit.
+
+    Texts that are in no unit are not shuffled; the others are once, and their sets go on to their units.
+    """
     spark = texts.sparkSession
-    rows = texts.join(small_side(units), F.col("member") == F.col("doc")).select("unit", "doc", "label", "text")
-    sets = rows.mapInArrow(lambda b: _members(b, k), "unit long, doc long, label long, n long, shingles binary")
+    own = units.groupBy("member").agg(F.collect_set(F.struct("unit", "label")).alias("units"))
+    rows = among(texts, ["doc"], own, ["member"]).select("doc", "text", "units")
+    sets = rows.mapInArrow(lambda b: _members(b, k), "unit long, doc long, label long, shingles binary")
     n = parts(spark, 8 * (units.agg(F.sum("n")).first()[0] or 0), 48 << 20)
     return written(sets.repartition(n, "unit").sortWithinPartitions("unit", "doc").mapInArrow(lambda b: _join(b, share), LINKS), name)
 
 
-def similar_groups(df: DataFrame, k: int = 3, share: tuple[int, int] = (9, 10), most: int = 4096, memory: int = 24 << 20) -> DataFrame:
+def similar_groups(df: DataFrame, k: int = 3, share: tuple[int, int] = (9, 10), most: int = 1024, memory: int = 24 << 20) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of (doc_id, text).
 
     A row's set holds the distinct ``k``-word shingles of its whole text, A-Z lower-cased,
@@ -408,11 +427,15 @@ def _large_clusters(docs: DataFrame, large: DataFrame, k: int, share: tuple[int,
 
 
 def drop_similar(df: DataFrame, k: int = 5, share: tuple[int, int] = (8, 10)) -> DataFrame:
-    """The rows of ``df``, all columns, whose doc_id is the smallest of its group of similar rows (see similar_groups)."""
+    """The rows of ``df``, all columns, whose doc_id is the smallest of its group of similar rows (see similar_groups).
+
+    Null, empty and blank texts are similar to nothing and stay. Null doc_id is smaller than
+    any other. Rows that repeat an id stay or go together. Empty table: no rows. Columns may
+    have any names.
+    """
     groups = similar_groups(df.select("doc_id", "text"), k, share)
-    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__gone")).distinct()
-    gone = small_side(written(gone, "join-dropped"))
-    return df.withColumn("__id", id_key()).join(gone, F.col("__id") == F.col("__gone"), "left_anti").drop("__id")
+    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("gone")).distinct()
+    return without(df, written(gone, "join-dropped"), {"gone": id_key()})
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

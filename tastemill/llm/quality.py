@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from tastemill.llm._jobs import every_column
 from tastemill.llm._text import Words, pieces, span_hashes
 
 OWN = 14  # features of a line itself, the constant included
@@ -38,7 +39,7 @@ _KIND[[0x20, 0x0A, 0x0B, 0x0C, 0x0D]] = 255
 
 
 def line_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features, bytes, lines before each row) of the lines of some texts; blank lines are none."""
+    """(own features, bytes, lines before each row) of the lines of some texts; blank lines are none."""
     words = Words(column)
     buf, offsets = words.buf, words.offsets
     n = len(buf)
@@ -55,17 +56,19 @@ def line_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     of_word = number[of_word] if len(of_word) else of_word
     m = len(starts)
     rows = np.searchsorted(starts, offsets)
-    x = np.zeros((m, FEATURES), dtype=np.float64)
+    x = np.zeros((m, OWN), dtype=np.float32)
     if not m:
         return x, np.zeros(0), rows
     kind = _KIND[buf]
-    count = np.empty((8, m))
-    for k in range(8):
+
+    def count(which: np.ndarray) -> np.ndarray:
+        """How many of some bytes each line has."""
         sums = np.zeros(n + 1, dtype=np.int32)
-        np.cumsum(kind == k, out=sums[1:])
-        count[k] = sums[ends] - sums[starts]
-    solid = np.maximum(count.sum(axis=0), 1)
-    letters = np.maximum(count[_UPPER] + count[_LOWER], 1)
+        np.cumsum(which, out=sums[1:])
+        return sums[ends] - sums[starts]
+
+    solid = np.maximum(count(kind != 255), 1)
+    letters = np.maximum(count(kind <= _LOWER), 1)
     n_words = np.bincount(of_word, minlength=m)
     length = (words.ends - words.starts).astype(np.float64)
     hashed = words.hashes()
@@ -83,20 +86,44 @@ def line_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     x[:, 3] = np.minimum(np.bincount(of_word, length, minlength=m) / n_words / 10, 3)
     x[:, 4] = np.bincount(of_word, length <= 3, minlength=m) / n_words
     x[:, 5] = np.bincount(of_word, length >= 15, minlength=m) / n_words
-    x[:, 6] = count[_UPPER] / letters
-    x[:, 7] = count[_DIGIT] / solid
-    x[:, 8] = count[_SIGN] / solid
-    x[:, 9] = np.minimum(count[_BANG] / n_words, 2)
-    x[:, 10] = np.minimum(count[_BAR] / n_words, 2)
-    x[:, 11] = np.minimum(count[_STOP] / n_words, 2)
+    x[:, 6] = count(kind == _UPPER) / letters
+    x[:, 7] = count(kind == _DIGIT) / solid
+    x[:, 8] = count(kind == _SIGN) / solid
+    x[:, 9] = np.minimum(count(kind == _BANG) / n_words, 2)
+    x[:, 10] = np.minimum(count(kind == _BAR) / n_words, 2)
+    x[:, 11] = np.minimum(count(kind == _STOP) / n_words, 2)
     x[:, 12] = np.bincount(of_word[order], new, minlength=m) / n_words
     x[:, 13] = again
-    before, after = np.flatnonzero(of_row[1:] == of_row[:-1]) + 1, np.flatnonzero(of_row[1:] == of_row[:-1])
-    x[before, OWN : 2 * OWN - 1] = x[before - 1, 1:OWN]
+    return x, (ends - starts).astype(np.float64), rows
+
+
+def _edges(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lines that have one before them in their row, and lines that have one after them."""
+    inner = np.ones(int(rows[-1]), dtype=bool)
+    inner[rows[:-1][np.diff(rows) > 0]] = False
+    before = np.flatnonzero(inner)
+    return before, before - 1
+
+
+def with_neighbours(own: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """All features of lines: their own, and those of the lines before and after."""
+    x = np.zeros((len(own), FEATURES), dtype=np.float64)
+    x[:, :OWN] = own
+    before, after = _edges(rows)
+    x[before, OWN : 2 * OWN - 1] = own[before - 1, 1:]
     x[before, -2] = 1
-    x[after, 2 * OWN - 1 : 3 * OWN - 2] = x[after + 1, 1:OWN]
+    x[after, 2 * OWN - 1 : 3 * OWN - 2] = own[after + 1, 1:]
     x[after, -1] = 1
-    return x, (ends - starts).astype(np.float64), rows
+    return x
+
+
+def logits(own: np.ndarray, rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """with_neighbours(own, rows) @ weights, without that matrix."""
+    out = own @ weights[:OWN]
+    before, after = _edges(rows)
+    out[before] += (own[:, 1:] @ weights[OWN : 2 * OWN - 1])[before - 1] + weights[-2]
+    out[after] += (own[:, 1:] @ weights[2 * OWN - 1 : 3 * OWN - 2])[after + 1] + weights[-1]
+    return out
 
 
 @dataclass
@@ -109,19 +136,17 @@ class Field:
     shift: float
     prior: float
 
-    def marginals(self, x: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        return forward_backward(x @ self.weights, rows, self.transition)[0]
-
-    def scores(self, x: np.ndarray, size: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        good = np.clip(self.mean(x, size, rows), 1e-6, 1 - 1e-6)
+    def scores(self, own: np.ndarray, size: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        good = np.clip(self.mean(logits(own, rows, self.weights), size, rows), 1e-6, 1 - 1e-6)
         out = 1 / (1 + np.exp(-(self.slope * np.log(good / (1 - good)) + self.shift)))
         out[np.diff(rows) == 0] = self.prior
         return out
 
-    def mean(self, x: np.ndarray, size: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    def mean(self, logit: np.ndarray, size: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """The length-weighted mean of the marginals of each row's lines."""
         sums = lambda v: np.diff(np.concatenate([[0], np.cumsum(v)])[rows])
         total = sums(size)
-        return sums(self.marginals(x, rows) * size) / np.where(total > 0, total, 1)
+        return sums(forward_backward(logit, rows, self.transition)[0] * size) / np.where(total > 0, total, 1)
 
 
 def forward_backward(logit: np.ndarray, rows: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,7 +197,7 @@ def fit_field(x: np.ndarray, size: np.ndarray, rows: np.ndarray, label: np.ndarr
         theta += 0.15 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
         theta[FEATURES:] = np.clip(theta[FEATURES:], -3, 3)
     field = Field(theta[:FEATURES], theta[FEATURES:].reshape(2, 2), 1.0, 0.0, prior)
-    mean = np.clip(field.mean(x, size, rows), 1e-6, 1 - 1e-6)[lines > 0]
+    mean = np.clip(field.mean(x @ field.weights, size, rows), 1e-6, 1 - 1e-6)[lines > 0]
     z, t = np.log(mean / (1 - mean)), label[lines > 0]
     a, b = 1.0, 0.0
     for _ in range(50):  # Newton steps of a logistic regression on one number
@@ -190,24 +215,26 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, most_lines: in
     """Fit on at most ``sample`` labelled documents of at most ``most_lines`` lines each.
 
     The sample is the labelled ids with the smallest hashes. Labels other than 0 and 1 and
-    null ids are left out; of an id's labels the smallest counts.
+    null ids are left out; of an id's labels the smallest counts, and of rows that repeat an
+    id that with the smallest features. Without both labels, every score is the share of good ones.
     """
     chosen = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "id").select("id", "text", "label")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, "text", 4 << 20):
-            x, size, rows = line_features(piece.column(1))
+        for piece in pieces(batches, "text", 1 << 20):
+            own, size, rows = line_features(piece.column(1))
             keep = [i for i in range(piece.num_rows) if rows[i + 1] - rows[i] <= most_lines]
-            parts = [(piece.column(0)[i].as_py(), piece.column(2)[i].as_py(), x[rows[i] : rows[i + 1]].astype(np.float32).tobytes(), size[rows[i] : rows[i + 1]].astype(np.float32).tobytes()) for i in keep]
+            parts = [(piece.column(0)[i].as_py(), piece.column(2)[i].as_py(), own[rows[i] : rows[i + 1]].tobytes(), size[rows[i] : rows[i + 1]].astype(np.float32).tobytes()) for i in keep]
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in parts], t) for k, t in enumerate([pa.int64(), pa.int32(), pa.binary(), pa.binary()])], names=["id", "label", "x", "size"])
 
-    found = sorted({r.id: r for r in texts.mapInArrow(task, "id long, label int, x binary, size binary").collect()}.values(), key=lambda r: r.id)
+    seen = sorted(texts.mapInArrow(task, "id long, label int, x binary, size binary").collect(), key=lambda r: (r.id, bytes(r.x)))
+    found = [r for i, r in enumerate(seen) if i == 0 or seen[i - 1].id != r.id]
     size = [np.frombuffer(r["size"], np.float32) for r in found]
     rows = np.concatenate([[0], np.cumsum([len(s) for s in size])]).astype(np.int64)
-    x = np.concatenate([np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES) for r in found] or [np.zeros((0, FEATURES))])
-    return fit_field(x.astype(np.float64), np.concatenate(size or [np.zeros(0)]).astype(np.float64), rows, np.array([r["label"] for r in found], dtype=np.int64))
+    own = np.concatenate([np.frombuffer(r["x"], np.float32).reshape(-1, OWN) for r in found] or [np.zeros((0, OWN))])
+    return fit_field(with_neighbours(own, rows), np.concatenate(size or [np.zeros(0)]).astype(np.float64), rows, np.array([r["label"] for r in found], dtype=np.int64))
 
 
 def quality_scores(docs: DataFrame, field: Field) -> DataFrame:
@@ -227,9 +254,8 @@ def _scored(df: DataFrame, field: Field, keep: list[str]) -> DataFrame:
     schema = StructType([*(df.schema[c] for c in keep), StructField("score", DoubleType())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, "text", 4 << 20):
-            x, size, rows = line_features(piece.column(text))
-            score = pa.array(shared.value.scores(x, size, rows), pa.float64())
+        for piece in pieces(batches, "text", 1 << 20):
+            score = pa.array(shared.value.scores(*line_features(piece.column(text))), pa.float64())
             yield pa.RecordBatch.from_arrays([*(piece.column(piece.schema.get_field_index(c)) for c in keep), score], names=[*keep, "score"])
 
     return df.mapInArrow(task, schema)
@@ -247,7 +273,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that score 0.5 or more under a field fitted on ``labels``."""
+    """The rows of ``docs``, all columns, that score 0.5 or more under a field fitted on ``labels``.
+
+    Null, empty and blank texts have the share of good documents as their score. Null doc_id
+    and repeated rows are judged row by row. Empty table: no rows; no labels: all rows stay.
+    Columns may have any names.
+    """
     field = train(docs.select("doc_id", "text"), labels.where(~held_out()).select("doc_id", "quality"))
-    narrow = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
+    narrow = docs.select(every_column(docs).alias("row"), F.col("text").cast("string").alias("text"))
     return _scored(narrow, field, ["row"]).where("score >= 0.5").select("row.*")

@@ -5,7 +5,8 @@ smallest hash among its m-word grams. Consecutive windows with one minimiser tra
 packed string (a super-k-mer) to the minimiser's bucket, so equal windows always meet.
 There the windows are sorted, and all but the earliest of equal ones are removed. Grams
 that are very frequent in the corpus rank behind all others, so that a common line does
-not draw its neighbours' windows into one bucket.
+not draw its neighbours' windows into one bucket. A bucket that still holds too many
+different windows is dealt again, each window by its own hash.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastemill.llm._jobs import NO_ID, parts, text_bytes, written
-from tastemill.llm._spans import SPANS, covered, heavy, keyed, ranges, span_batch, with_spans
+from tastemill.llm._jobs import NO_ID, parts, text_bytes
+from tastemill.llm._spans import FOUND, again_batch, covered, heavy, keyed, ranges, span_batch, spans_and_rest, with_spans
 from tastemill.llm._text import Words, mix, pieces, release_memory, sliding_min, span_hashes, window_hashes
 
 PACKED = "bucket int, packed binary"
@@ -131,6 +132,14 @@ class Bucket:
         self.columns.append(columns)
         self.bytes += len(data)
 
+    def packed(self) -> Iterator[bytes]:
+        """All that is held, in strings of about a megabyte."""
+        columns = [np.concatenate([c[i] for c in self.columns]) for i in range(5)]
+        size = np.cumsum(columns[4])
+        cuts = [0, *(np.flatnonzero(np.diff(size >> 20)) + 1).tolist(), len(size)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield _pack([c[a:b] for c in columns], b" ".join(self.texts[a:b]))
+
     def settle(self) -> pa.RecordBatch:
         doc, tie, place, n, _ = (np.concatenate([c[i] for c in self.columns]).astype(np.int64) for i in range(5))
         order = np.lexsort((place, doc))
@@ -187,30 +196,62 @@ class Bucket:
         return np.array(out, dtype=np.int64)
 
 
-def _count(batches: Iterator[pa.RecordBatch], k: int, limit: int) -> Iterator[pa.RecordBatch]:
-    """Spans of repeated windows, bucket by bucket; a bucket beyond ``limit`` bytes is settled in steps."""
+def _count(batches: Iterator[pa.RecordBatch], k: int, limit: int, most: int | None) -> Iterator[pa.RecordBatch]:
+    """Spans of repeated windows, bucket by bucket, as FOUND.
+
+    A bucket is settled after every ``limit`` bytes. If more than ``most`` bytes of different
+    windows are left then, these and what follows come out to be dealt again.
+    """
 
     def rows() -> Iterator[tuple[int, bytes]]:
         for b in batches:
             yield from zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
 
     for _, own in groupby(rows(), key=lambda r: r[0]):
-        bucket, step = Bucket(k), limit
+        bucket, step, full = Bucket(k), limit, False
         for _, packed in own:
             columns, data = _unpack(packed)
             if not data:
                 yield span_batch(columns[0], columns[1], columns[2], columns[3])
                 continue
+            if full:
+                yield again_batch([packed])
+                continue
             bucket.add(columns, data)
             if bucket.bytes > step:
                 yield bucket.settle()
-                step = max(limit, 2 * bucket.bytes)
+                step = bucket.bytes + limit
+                if most is not None and bucket.bytes > most:
+                    for held in bucket.packed():
+                        yield again_batch([held])
+                    bucket, full = Bucket(k), True
         if bucket.columns:
             yield bucket.settle()
         del bucket
         release_memory()
 
 
+def _send_windows(batches: Iterator[pa.RecordBatch], k: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Packed super-k-mers again, each window by itself to the bucket of its hash."""
+    for batch in batches:
+        for packed in batch.column(0).to_pylist():
+            (doc, tie, place, n, _), data = _unpack(packed)
+            n = n.astype(np.int64)
+            buf = np.frombuffer(data + b" ", np.uint8)
+            ends = np.flatnonzero(buf == 0x20)
+            starts = np.append(0, ends[:-1] + 1)
+            first = np.cumsum(n + k - 1) - (n + k - 1)
+            word, of = ranges(first, n), np.repeat(np.arange(len(n)), n)
+            bucket = (mix(window_hashes(span_hashes(buf, starts, ends), k)[word], 8) % np.uint64(buckets)).astype(np.int64)
+            at, a, b = place[of] + word - first[of], starts[word], ends[word + k - 1]
+            order = np.argsort(bucket, kind="stable")
+            out = []
+            for group in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+                texts = [data[x:y] for x, y in zip(a[group].tolist(), b[group].tolist(), strict=True)]
+                out.append((int(bucket[group[0]]), _pack([doc[of[group]], tie[of[group]], at[group], np.ones(len(group)), (b - a)[group]], b" ".join(texts))))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int32()), pa.array([p for _, p in out], pa.binary())], names=["bucket", "packed"])
+
+
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for piece in pieces(batches, "text"):
         words = Words(piece.column(1))
@@ -231,16 +272,25 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_windows(docs: DataFrame, k: int = 20, m: int = 3, memory: int = 12 << 20) -> DataFrame:
-    """(doc, tie, s, e): word ranges of keyed() documents covered by a window that also starts earlier."""
+    """(doc, tie, s, e): word ranges of keyed() documents covered by a window that also starts earlier.
+
+    A task holds about 4 * ``memory`` bytes of packed strings at most.
+    """
     spark = docs.sparkSession
-    size = 3 * text_bytes(docs)
-    n = parts(spark, size)
+    n = parts(spark, 3 * text_bytes(docs))
     buckets = 4 * n
     narrow = docs.select("doc", "text")
-    often = heavy(narrow.mapInArrow(lambda b: _frequent(b, k, m), "key long, n long"), 1 / max(2000, 2 * buckets))
+    often = heavy(narrow.mapInArrow(lambda b: _frequent(b, k, m), "key long, n long"))
     hot = np.array(sorted(x for x in often if x >= 0), dtype=np.uint64)
     sent = docs.mapInArrow(lambda b: _send(b, k, m, buckets, hot), PACKED)
-    return sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: _count(b, k, memory), SPANS)
+    counted = sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: _count(b, k, memory, 3 * memory), FOUND)
+    spans, rest, size = spans_and_rest(counted, "repeated-windows")
+    if not size:
+        return spans
+    n = parts(spark, 3 * k * size)
+    alone = rest.mapInArrow(lambda b: _send_windows(b, k, 4 * n), PACKED)
+    counted = alone.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: _count(b, k, memory, None), FOUND)
+    return spans.unionByName(spans_and_rest(counted, "repeated-windows-again")[0])
 
 
 def drop_repeats(df: DataFrame, k: int = 20) -> DataFrame:
@@ -256,8 +306,7 @@ def drop_repeats(df: DataFrame, k: int = 20) -> DataFrame:
     Empty table: no rows. Other columns are ignored.
     """
     docs = keyed(df)
-    spans = written(repeated_windows(docs, k), "repeated-windows")
-    return with_spans(docs, spans).mapInArrow(_keep, KEPT).select(F.nullif("doc", F.lit(NO_ID)).alias("doc_id"), "text", "n_words", "n_removed")
+    return with_spans(docs, repeated_windows(docs, k)).mapInArrow(_keep, KEPT).select(F.nullif("doc", F.lit(NO_ID)).alias("doc_id"), "text", "n_words", "n_removed")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,10 +4,13 @@ The suffixes that are sorted start at anchors: each window of ``length`` bytes h
 the leftmost of its ``q``-byte grams with the smallest hash, so equal windows hold equal
 anchors at equal offsets and only one suffix in some ninety has to be sorted. Every task
 sorts its suffixes into runs, front-codes them and sends each slice to the task of its
-hash range. A loser tree merges the runs there: it carries the length of the prefix that
-each candidate shares with the last winner, decides by that number where it can, and
-otherwise compares from there on. Shared prefixes with the neighbours to the right of an
-anchor, and the same to its left, say which windows occur more than once.
+bucket. Buckets are ranges of the anchors' hashes and not of the suffixes themselves: equal
+windows have to meet, and no suffix array of the whole corpus is wanted. A loser tree
+merges the runs there: it carries the length of the prefix that each candidate shares with
+the last winner, decides by that number where it can, and otherwise compares from there
+on. Shared prefixes with the neighbours to the right of an anchor, and the same to its
+left, say which windows occur more than once. A bucket that holds too much is dealt again
+by anchors of another hash, and at last window by window.
 """
 
 from __future__ import annotations
@@ -22,26 +25,32 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastemill.llm._jobs import NO_ID, parts, text_bytes, written
-from tastemill.llm._spans import SPANS, covered, heavy, keyed, ranges, span_batch, with_spans
+from tastemill.llm._jobs import NO_ID, parts, text_bytes
+from tastemill.llm._spans import FOUND, again_batch, covered, heavy, keyed, ranges, span_batch, spans_and_rest, with_spans
 from tastemill.llm._text import column_bytes, mix, pieces, release_memory, sliding_min, window_hashes
 
 RUNS = "bucket int, run binary"
+#: how often overfull buckets are dealt again by other anchors, before each window goes by itself
+LEVELS = 3
 KEPT = "doc long, kept binary, n_bytes long, n_removed long, n_spans long"
 _FIELDS = (np.int64, np.int64, np.int64, np.int32, np.int32, np.int32)  # doc, tie, place, left, shared, tail
 
 
-def _gram_hashes(buf: np.ndarray, q: int) -> np.ndarray:
-    """Upper 32 bits of the hash of every q bytes."""
-    return window_hashes(buf, q) >> np.uint64(32)
+def _gram_hashes(buf: np.ndarray, q: int, level: int = 0) -> np.ndarray:
+    """Upper 32 bits of the hash of every q bytes; every level has its own order."""
+    hashed = window_hashes(buf, q)
+    return (mix(hashed, 40 + level) if level else hashed) >> np.uint64(32)
 
 
-def _anchors(buf: np.ndarray, offsets: np.ndarray, length: int, q: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _anchors(buf: np.ndarray, offsets: np.ndarray, length: int, q: int, hot: np.ndarray, level: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first window, windows, anchor, gram hash) of the runs of windows with one anchor; a window is named by its first byte."""
     windows = np.maximum(np.diff(offsets) - length + 1, 0)
     if not windows.sum():
         return (np.zeros(0, np.int64),) * 4
-    grams = _gram_hashes(buf, q)
+    if level > LEVELS:  # each window by itself
+        own = ranges(offsets[:-1][windows > 0], windows[windows > 0])
+        return own, np.ones(len(own), np.int64), own, (window_hashes(buf, length)[own] >> np.uint64(32)).astype(np.int64)
+    grams = _gram_hashes(buf, q, level)
     grams &= np.uint64((1 << 31) - 1)
     if len(hot):
         at = np.minimum(np.searchsorted(hot, grams), len(hot) - 1)
@@ -102,48 +111,69 @@ def _unpack(packed: bytes) -> tuple[list[np.ndarray], bytes]:
 
 
 def _send(batches: Iterator[pa.RecordBatch], length: int, q: int, buckets: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Sorted, front-coded runs of a piece's suffixes by bucket.
+    """Runs of the documents, piece by piece."""
+    for piece in pieces(batches, "text", 3 << 20):
+        buf, offsets = column_bytes(piece.column(2))
+        doc, tie = piece.column(0).to_numpy(), piece.column(1).to_numpy()
+        yield from _runs(buf, offsets, doc, tie, np.zeros(len(doc), np.int64), length, q, buckets, hot, 0)
+
+
+def _send_again(batches: Iterator[pa.RecordBatch], length: int, q: int, buckets: int, level: int) -> Iterator[pa.RecordBatch]:
+    """Runs of the entries of packed runs by the anchors of a level."""
+    for batch in batches:
+        for packed in batch.column(0).to_pylist():
+            (doc, tie, place, left, shared, tails), data = _unpack(packed)
+            ends = int(tails.sum()) + np.cumsum(left, dtype=np.int64)
+            sides = [data[e - n : e] for e, n in zip(ends.tolist(), left.tolist(), strict=True)]
+            texts = [side + right for side, (_, right, _) in zip(sides, _decoded(shared.tolist(), tails.tolist(), data, 0), strict=True)]
+            offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+            cuts = [0, *(np.flatnonzero(np.diff(offsets[1:] >> 22)) + 1).tolist(), len(texts)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                buf = np.frombuffer(b"".join(texts[a:b]), np.uint8)
+                yield from _runs(buf, offsets[a : b + 1] - offsets[a], doc[a:b], tie[a:b], (place - left)[a:b], length, q, buckets, np.zeros(0, np.uint64), level)
+
+
+def _runs(buf: np.ndarray, offsets: np.ndarray, docs: np.ndarray, ties: np.ndarray, base: np.ndarray, length: int, q: int, buckets: int, hot: np.ndarray, level: int) -> Iterator[pa.RecordBatch]:
+    """Sorted, front-coded runs of some texts' suffixes by bucket; a text starts ``base`` bytes into its document.
 
     An entry has (doc, tie, place of its anchor, bytes to the left of it, shared, tail);
-    the data hold all tails, then all left sides. Of entries with equal bytes in a piece
-    one is sent; all of their windows are repeats, and are put down as spans: entries
-    with shared < 0, from place to left.
+    the data hold all tails, then all left sides. Of entries with equal bytes one is sent;
+    all of their windows are repeats, and are put down as spans: entries with shared < 0,
+    from place to left.
     """
-    for piece in pieces(batches, "text", 3 << 20):
-        buf, offsets = column_bytes(piece.column(2))
-        at, n, anchor, gram = _anchors(buf, offsets, length, q, hot)
-        if not len(at):
-            continue
-        raw = buf.tobytes()
-        row = np.searchsorted(offsets, at, "right") - 1
-        doc, tie = piece.column(0).to_numpy()[row], piece.column(1).to_numpy()[row]
-        place, left = anchor - offsets[row], anchor - at
-        bucket = (mix(gram.astype(np.uint64), 9) % np.uint64(buckets)).astype(np.int64)
-        ends = at + n + length - 1
-        seen: dict[tuple[bytes, int], int] = {}
-        sent, again = np.ones(len(at), dtype=bool), np.zeros(len(at), dtype=bool)
-        for i, (a, b, c) in enumerate(zip(at.tolist(), ends.tolist(), left.tolist(), strict=True)):
-            j = seen.setdefault((raw[a:b], c), i)
-            if j != i:
-                sent[i] = False
-                again[i] = again[j] = True
-        del seen
-        order = np.flatnonzero(sent)
-        right = [raw[a:b] for a, b in zip(anchor[order].tolist(), ends[order].tolist(), strict=True)]
-        own = bucket[order].tolist()
-        by = sorted(range(len(right)), key=lambda i: (own[i], right[i]))
-        out = []
-        for b, group in groupby(by, key=lambda i: own[i]):
-            g = list(group)
-            shared, tails = front_coded([right[i] for i in g])
-            i = order[g]
-            sides = [raw[x:y] for x, y in zip(at[i].tolist(), anchor[i].tolist(), strict=True)]
-            out.append((b, _pack([doc[i], tie[i], place[i], left[i], shared, list(map(len, tails))], b"".join(tails) + b"".join(sides))))
-        if again.any():
-            i = np.flatnonzero(again)
-            s = at[i] - offsets[row[i]]
-            out.append((int(bucket[i[0]]), _pack([doc[i], tie[i], s, s + n[i] + length - 1, np.full(len(i), -1), np.zeros(len(i))], b"")))
-        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([r for _, r in out], pa.binary())], names=["bucket", "run"])
+    at, n, anchor, gram = _anchors(buf, offsets, length, q, hot, level)
+    if not len(at):
+        return
+    raw = buf.tobytes()
+    row = np.searchsorted(offsets, at, "right") - 1
+    doc, tie, base = docs[row], ties[row], base[row]
+    place, left = base + anchor - offsets[row], anchor - at
+    bucket = (mix(gram.astype(np.uint64), 9) % np.uint64(buckets)).astype(np.int64)
+    ends = at + n + length - 1
+    seen: dict[tuple[bytes, int], int] = {}
+    sent, again = np.ones(len(at), dtype=bool), np.zeros(len(at), dtype=bool)
+    for i, (a, b, c) in enumerate(zip(at.tolist(), ends.tolist(), left.tolist(), strict=True)):
+        j = seen.setdefault((raw[a:b], c), i)
+        if j != i:
+            sent[i] = False
+            again[i] = again[j] = True
+    del seen
+    order = np.flatnonzero(sent)
+    right = [raw[a:b] for a, b in zip(anchor[order].tolist(), ends[order].tolist(), strict=True)]
+    own = bucket[order].tolist()
+    by = sorted(range(len(right)), key=lambda i: (own[i], right[i]))
+    out = []
+    for b, group in groupby(by, key=lambda i: own[i]):
+        g = list(group)
+        shared, tails = front_coded([right[i] for i in g])
+        i = order[g]
+        sides = [raw[x:y] for x, y in zip(at[i].tolist(), anchor[i].tolist(), strict=True)]
+        out.append((b, _pack([doc[i], tie[i], place[i], left[i], shared, list(map(len, tails))], b"".join(tails) + b"".join(sides))))
+    if again.any():
+        i = np.flatnonzero(again)
+        s = base[i] + at[i] - offsets[row[i]]
+        out.append((int(bucket[i[0]]), _pack([doc[i], tie[i], s, s + n[i] + length - 1, np.full(len(i), -1), np.zeros(len(i))], b"")))
+    yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([r for _, r in out], pa.binary())], names=["bucket", "run"])
 
 
 class PrefixLoserTree:
@@ -249,8 +279,8 @@ def repeated_offsets(right: list[bytes], shared: np.ndarray, left: list[bytes],
     return pick[entry], first, np.nonzero(edge == -1)[1] - 1
 
 
-def _merge(batches: Iterator[pa.RecordBatch], length: int, q: int, fan_in: int = 256) -> Iterator[pa.RecordBatch]:
-    """Spans of repeated windows, bucket by bucket."""
+def _merge(batches: Iterator[pa.RecordBatch], length: int, q: int, most: int | None, fan_in: int = 256) -> Iterator[pa.RecordBatch]:
+    """Spans of repeated windows, bucket by bucket, as FOUND; a bucket of more than ``most`` bytes comes out to be dealt again."""
 
     def rows() -> Iterator[tuple[int, bytes]]:
         for b in batches:
@@ -260,15 +290,27 @@ def _merge(batches: Iterator[pa.RecordBatch], length: int, q: int, fan_in: int =
         columns: list[list[np.ndarray]] = []
         left: list[bytes] = []
         runs: list[Iterator[tuple[int, bytes, int]]] = []
+        held: list[bytes] = []
+        size = 0
         for _, packed in own:
             (doc, tie, place, n_left, shared, tails), data = _unpack(packed)
             if len(shared) and shared[0] < 0:
                 yield span_batch(doc, tie, place, n_left)
                 continue
+            if size < 0:
+                yield again_batch([packed])
+                continue
+            held.append(packed)
             runs.append(_decoded(shared.tolist(), tails.tolist(), data, len(left)))
             ends = (int(tails.sum()) + np.cumsum(n_left)).tolist()
             left += [data[e - n : e] for e, n in zip(ends, n_left.tolist(), strict=True)]
             columns.append([doc, tie, place])
+            size += len(data) + 300 * len(doc)
+            if most is not None and size > most:
+                for run in held:
+                    yield again_batch([run])
+                columns, left, runs, held, size = [], [], [], [], -1
+        del held
         if not columns:
             continue
         while len(runs) > fan_in:
@@ -299,15 +341,26 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([piece.column(0), kept, pa.array(np.diff(offsets)), pa.array(removed), pa.array(spans)], names=["doc", "kept", "n_bytes", "n_removed", "n_spans"])
 
 
-def repeated_strings(docs: DataFrame, length: int = 200, q: int = 16) -> DataFrame:
-    """(doc, tie, s, e): byte ranges of keyed() documents covered by a string of ``length`` bytes that also starts elsewhere."""
-    spark = docs.sparkSession
+def repeated_strings(docs: DataFrame, length: int = 200, q: int = 16, memory: int = 96 << 20) -> DataFrame:
+    """(doc, tie, s, e): byte ranges of keyed() documents covered by a string of ``length`` bytes that also starts elsewhere.
+
+    ``memory`` bounds the bytes of a bucket's entries in a task, but for what is left after all levels.
+    """
+    spark, q = docs.sparkSession, min(q, length)
     n = parts(spark, 3.2 * text_bytes(docs))
-    buckets = 4 * n
-    often = heavy(docs.select("doc", "text").mapInArrow(lambda b: _frequent(b, length, q), "key long, n long"), 1 / max(2000, 2 * buckets))
+    often = heavy(docs.select("doc", "text").mapInArrow(lambda b: _frequent(b, length, q), "key long, n long"))
     hot = np.array(sorted(x for x in often if x >= 0), dtype=np.uint64)
-    sent = docs.mapInArrow(lambda b: _send(b, length, q, buckets, hot), RUNS)
-    return sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: _merge(b, length, q), SPANS)
+    sent, spans, level = docs.mapInArrow(lambda b, k=4 * n: _send(b, length, q, k, hot), RUNS), None, 0
+    while True:
+        most = memory if level <= LEVELS else None
+        merged = sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda b, most=most: _merge(b, length, q, most), FOUND)
+        found, rest, size = spans_and_rest(merged, f"repeated-strings-{level}")
+        spans = found if spans is None else spans.unionByName(found)
+        if not size:
+            return spans
+        level += 1
+        n = parts(spark, 4 * size if level <= LEVELS else 2 * length * size)
+        sent = rest.mapInArrow(lambda b, k=4 * n, level=level: _send_again(b, length, q, k, level), RUNS)
 
 
 def drop_repeated_strings(df: DataFrame, length: int = 200) -> DataFrame:
@@ -318,12 +371,11 @@ def drop_repeated_strings(df: DataFrame, length: int = 200) -> DataFrame:
     as a cut may fall inside a character; ``n_spans`` counts the maximal removed runs.
 
     Null, empty or short texts lose nothing. Rows that repeat an id and a text are copies
-    of one another. Null doc_id is an id like others. Empty table: no rows. Other columns
+    of one another: all they share goes. Null doc_id is an id like others. Empty table: no rows. Other columns
     are ignored.
     """
     docs = keyed(df)
-    spans = written(repeated_strings(docs, length), "repeated-strings")
-    return with_spans(docs, spans).mapInArrow(_keep, KEPT).select(F.nullif("doc", F.lit(NO_ID)).alias("doc_id"), "kept", "n_bytes", "n_removed", "n_spans")
+    return with_spans(docs, repeated_strings(docs, length)).mapInArrow(_keep, KEPT).select(F.nullif("doc", F.lit(NO_ID)).alias("doc_id"), "kept", "n_bytes", "n_removed", "n_spans")
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

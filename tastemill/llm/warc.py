@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastemill.llm._jobs import parts, shared_path, written
+from tastemill.llm._jobs import parts, shared_path, split_listed, written
 from tastemill.llm._merge import LoserTree
 
 CAPTURES = "url_key string, timestamp string, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, file string, at long"
@@ -47,13 +47,15 @@ def with_first_capture(pages: DataFrame, least: int = 100) -> DataFrame:
     """Adds payload, n, digest and ``first``: the smallest page_id with the same payload, if that has ``least`` bytes."""
     full = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"), F.col("date"))
     full = full.withColumns({"n": F.octet_length("payload").cast("long"), "digest": F.sha2("payload", 256)})
-    # only payloads that occur twice have more than one row here; a hot one is split by the adaptive skew join
     firsts = full.where(F.col("n") >= least).groupBy(F.col("digest").alias("d")).agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    return full.join(firsts, F.col("digest") == F.col("d"), "left").drop("d")
+    firsts = written(firsts, "warc-repeated")
+    # only pages whose payload may occur twice are shuffled; a hot payload is split by the adaptive skew join
+    stay, asked = split_listed(full, ["digest"], firsts, ["d"])
+    return asked.join(firsts.hint("merge"), F.col("digest") == F.col("d"), "left").drop("d").unionByName(stay, allowMissingColumns=True)
 
 
 def records(captures: DataFrame) -> DataFrame:
-    """One WARC record a row, without the two line ends behind it."""
+    """(value, size): one WARC record a row, without the two line ends behind it, and the bytes of its block."""
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("none")), F.lit(">"))
     target = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
@@ -71,12 +73,21 @@ def records(captures: DataFrame) -> DataFrame:
         F.lit("Content-Type: application/http;msgtype=response"),
         F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
     ]
-    return captures.select(F.concat(F.concat_ws(LINE, *lines), F.lit(GAP), block).alias("value"))
+    return captures.select(F.concat(F.concat_ws(LINE, *lines), F.lit(GAP), block).alias("value"), F.octet_length(block).alias("size"))
 
 
-def write_archives(pages: DataFrame, path: str, per_file: int = 5000) -> None:
-    """Gzipped WARC files of at most ``per_file`` records under ``path``; pages: page_id, url, html, date (ISO, UTC)."""
-    records(with_first_capture(pages)).write.option("lineSep", GAP).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+def write_archives(pages: DataFrame, path: str, per_file: int = 5000, small: int = 1 << 16) -> None:
+    """Gzipped WARC files under ``path``; pages: page_id, url, html, date (ISO, UTC).
+
+    A file holds at most ``per_file`` records of less than ``small`` bytes, half as many of
+    less than twice that, and so on: about per_file * small bytes, or one record.
+    """
+    # a record's number in its task, without the task's own number
+    number = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    grade = F.greatest(F.lit(0), F.floor(F.log2(F.greatest(F.col("size"), F.lit(1)) / small)) + 1).cast("int")
+    each = F.greatest(F.lit(1), F.floor(F.lit(per_file) / F.pow(F.lit(2.0), "grade")))
+    rows = records(with_first_capture(pages)).withColumns({"grade": grade, "number": number}).select("value", "grade", F.floor(F.col("number") / each).alias("volume"))
+    rows.write.partitionBy("grade", "volume").option("lineSep", GAP).option("compression", "gzip").text(path)
 
 
 def _stream(content: bytes) -> Iterator[bytes]:
@@ -158,7 +169,7 @@ def _read(batches: Iterator[pa.RecordBatch], run_rows: int) -> Iterator[pa.Recor
 
     for batch in batches:
         for i in range(batch.num_rows):
-            file = batch.column(0)[i].as_py().rpartition("/")[2]
+            file = "/".join(batch.column(0)[i].as_py().rsplit("/", 3)[1:])  # grade, volume, name
             for at, fields, block in parse(batch.column(1)[i].as_py()):
                 if fields["warc-type"] in ("response", "revisit"):
                     held.append(_capture(file, at, fields, block))

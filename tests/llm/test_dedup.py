@@ -85,10 +85,12 @@ def test_windows_that_share_a_hash(monkeypatch):
     texts = [b"a b c", b"b c", b"x y z"]
     column = lambda *v: np.array(v)
     bucket.add([column(1, 2, 3), column(0, 0, 0), column(0, 0, 0), column(2, 1, 2), column(5, 3, 5)], b" ".join(texts))
-    assert bucket.settle().to_pylist() == [{"doc": 2, "tie": 0, "s": 0, "e": 2}]
+    assert bucket.settle().to_pylist() == [{"again": False, "doc": 2, "tie": 0, "s": 0, "e": 2, "packed": None}]
 
 
-def test_repeated_strings(spark):
+@pytest.mark.parametrize("memory", [0, 900, 96 << 20])
+def test_repeated_strings(spark, memory, monkeypatch):
+    monkeypatch.setattr(suffix_dedup.repeated_strings, "__defaults__", (200, 16, memory))
     rows = corpus(3)
     length = 30
     raw = [(low(i), (t or "").encode()) for i, t in rows]

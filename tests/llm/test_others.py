@@ -47,7 +47,7 @@ def test_warc_round_trip(spark):
 
 def test_archives_are_warc_files(spark, tmp_path):
     warc.write_archives(pages(spark, [(i, f"http://h/{i}", "t" * i, "2024-01-01T00:00:00Z") for i in range(5)]).coalesce(1), str(tmp_path / "w"), per_file=2)
-    files = sorted((tmp_path / "w").glob("part-*.gz"))
+    files = sorted((tmp_path / "w").rglob("part-*.gz"))
     assert len(files) == 3
     data = gzip.decompress(files[0].read_bytes())
     assert data.startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and data.endswith(b"\r\n\r\n")
@@ -127,17 +127,24 @@ def test_leaks(spark):
         rows.append((i, " ".join(own) + "\n" + " ".join(leak)))
     rows += [(None, rows[0][1]), (3, rows[3][1]), (99, None)]
 
-    def grams(t):
+    def grams(t, k):
         w = (t or "").lower().split()
-        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
 
-    want = sorted(str((i, j, len(grams(q)), len(grams(q) & grams(t)))) for i, t in rows for j, q in items if grams(q) and 10 * len(grams(q) & grams(t)) >= 8 * len(grams(q)))
+    def held(q, t):  # an item shorter than five words is one shingle
+        k = min(5, len((q or "").split()))
+        want = grams(q, k) if k else set()
+        shared = len(want & grams(t, k)) if k else 0
+        return (len(want), shared) if want and 10 * shared >= 8 * len(want) else None
+
+    want = sorted(str((i, j, *own)) for i, t in rows for j, q in items if (own := held(q, t)))
+    assert any(len((q or "").split()) == 3 and held(q, t) for _, t in rows for _, q in items)
     table = spark.createDataFrame(items, "item_id long, text string")
-    for block in (7, 20_000):
-        out = decontamination.leaks(documents(spark, rows).repartition(3), table, block=block).collect()
+    for block, size in ((7, 16 << 20), (20_000, 500), (20_000, 16 << 20)):
+        out = decontamination.leaks(documents(spark, rows).repartition(3), table, block=block, block_bytes=size).collect()
         assert sorted(str((r.doc_id, r.item_id, r.n_item_shingles, r.n_shared)) for r in out) == want
     kept = decontamination.drop_leaks(documents(spark, rows), table)
-    hit = {i for i, t in rows for _, q in items if grams(q) and 10 * len(grams(q) & grams(t)) >= 8 * len(grams(q))}
+    hit = {i for i, t in rows for _, q in items if held(q, t)}
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(i) for i, _ in rows if i not in hit)
     assert decontamination.leaks(documents(spark, []), table).count() == 0 and decontamination.leaks(documents(spark, rows), table.where("false")).count() == 0
@@ -191,6 +198,9 @@ def test_quality_on_held_out_rows(spark):
 def test_line_features_keep_to_their_rows():
     texts = ["One line.\n\nTWO!! | x", "", "solo"]
     x, size, rows = quality.line_features(pa.array(texts))
+    weights = np.random.default_rng(5).normal(size=quality.FEATURES)
+    assert np.allclose(quality.logits(x, rows, weights), quality.with_neighbours(x, rows) @ weights, atol=1e-5)
+    assert quality.with_neighbours(x, rows)[:, -2:].tolist() == [[0, 1], [1, 0], [0, 0]]  # a line before, a line after
     assert rows.tolist() == [0, 2, 2, 3] and len(size) == 3
     for i, t in enumerate(texts):
         own, _, _ = quality.line_features(pa.array([t]))
