@@ -8,6 +8,7 @@ Nothing here depends on the session time zone.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,16 +43,21 @@ def genre_names(genres: Column) -> Column:
     return F.split(F.replace(genres, F.lit("Children's"), F.lit("Children")), "[|]")
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value worked out once and not again for every element that a lambda inside visits."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def multi_hot(tokens: Column, vocab: tuple = GENRES) -> Column:
     """How often each name of the vocabulary occurs."""
-    return F.transform(F.array(*(F.lit(v) for v in vocab)), lambda v: F.size(F.filter(tokens, lambda t: t == v)))
+    names = F.array(*(F.lit(v) for v in vocab))
+    return _once(tokens, lambda own: F.transform(names, lambda v: F.size(F.filter(own, lambda t: t == v))))
 
 
 def multi_hot_scaled(tokens: Column, vocab: tuple = GENRES) -> Column:
     """Counts that sum to 1; an array of nulls where no name is known."""
-    counts = multi_hot(tokens, vocab)
-    total = F.aggregate(counts, F.lit(0), lambda a, x: a + x)
-    return F.transform(counts, lambda x: F.try_divide(x, total).cast("float"))
+    with_total = _once(multi_hot(tokens, vocab), lambda c: F.struct(c.alias("c"), F.aggregate(c, F.lit(0), lambda a, x: a + x).alias("n")))
+    return _once(with_total, lambda p: F.transform(p["c"], lambda x: F.try_divide(x, p["n"]).cast("float")))
 
 
 def flags(weights: Column) -> Column:
@@ -82,6 +88,11 @@ def clip_id(value: Column, offset: int, n: int) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(n - 1), value - offset))
 
 
+def concat_vectors(*vectors: Column) -> Column:
+    """One vector of the values of several, in their order; null if one of them is."""
+    return F.concat(*vectors)
+
+
 def append_bias(vector: Column, bias: Column) -> Column:
     return F.array_append(vector, bias)
 
@@ -172,12 +183,14 @@ def timestamp_of(yr: Column, seconds: Column) -> Column:
     return start + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))
 
 
-def featurize(df: DataFrame, vocab: tuple = GENRES, dates: str = "compat") -> DataFrame:
-    """Joined ratings to the feature table: floats, and ``genres`` as an array of weights."""
+def featurize(df: DataFrame, vocab: tuple = GENRES, dates: str = "compat", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Joined ratings to the feature table: ids as longs, floats, and ``genres`` as an array of weights.
+
+    Ids and the seconds into the year exceed what a float can tell apart, so they are long and
+    double. ``keep`` names columns that are carried along.
+    """
     ts = F.col("timestamp")
     scalars = {
-        "user_id": F.col("user_id"),
-        "movie_id": F.col("movie_id"),
         "rating": rating01(F.col("rating")),
         "gender": gender_code(F.col("gender")),
         "age": age_scaled(F.col("age")),
@@ -188,13 +201,13 @@ def featurize(df: DataFrame, vocab: tuple = GENRES, dates: str = "compat") -> Da
         "month": month(ts, dates),
         "yr": year(ts, dates),
         "yr_z": year_scaled(ts, dates),
-        "sec_into_yr": seconds_into_year(ts, dates),
     }
-    return df.select(*(c.cast("float").alias(n) for n, c in scalars.items()), multi_hot_scaled(genre_names(F.col("genres")), vocab).alias("genres"))
+    ids = [F.col(c).cast("long").alias(c) for c in ("user_id", "movie_id")]
+    return df.select(*ids, seconds_into_year(ts, dates).cast("double").alias("sec_into_yr"), *(c.cast("float").alias(n) for n, c in scalars.items()), multi_hot_scaled(genre_names(F.col("genres")), vocab).alias("genres"), *keep)
 
 
 def metadata_features(df: DataFrame, vocab: tuple = GENRES) -> DataFrame:
-    return df.select(F.col("movie_id").cast("float"), rating01(F.col("rating")).cast("float").alias("rating"), multi_hot_scaled(genre_names(F.col("genres")), vocab).alias("genres"))
+    return df.select(F.col("movie_id").cast("long").alias("movie_id"), rating01(F.col("rating")).cast("float").alias("rating"), multi_hot_scaled(genre_names(F.col("genres")), vocab).alias("genres"))
 
 
 def with_defaults(df: DataFrame, defaults: dict[str, object]) -> DataFrame:

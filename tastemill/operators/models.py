@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tastemill.functions.vocab import GENRES
+from tastemill.operators.ranking import quality_gate
 from tastemill.operators.ranks import global_row_number
 
 
@@ -122,6 +123,17 @@ def search(fit: Callable[..., object], grid: Iterable[dict], score: Callable[[ob
     return best[0], best[1], trials
 
 
+def approve(baseline: Transformer, candidate: Transformer, errors: Callable[[Transformer], dict[str, float]], bounds: dict[str, float], df: DataFrame) -> tuple[DataFrame, Transformer]:
+    """((metric, value, bound, passed), the approved model): a candidate must reach lower bounds and a baseline's values.
+
+    ``errors`` gives a model's metrics on held-out rows, higher being better; the baseline stays
+    approved if any of them fails. ``df`` only lends its session.
+    """
+    rows = lambda m: df.sparkSession.createDataFrame(sorted(errors(m).items()), "metric string, value double")
+    verdict = quality_gate(rows(candidate), bounds, rows(baseline))
+    return verdict, candidate if all(r.passed for r in verdict.select("passed").collect()) else baseline
+
+
 def score_batches(df: DataFrame, model: Transformer) -> DataFrame:
     return model.transform(df)
 

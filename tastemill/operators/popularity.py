@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tastemill.operators.profile import histogram, percentiles
+from tastemill.operators.profile import exact_percentiles, histogram, percentiles
 
 
 def gaps(df: DataFrame, item: str, step: str) -> DataFrame:
@@ -35,7 +35,7 @@ def popularity_part(b: Column, head: float | Column, tail: float | Column) -> Co
 
 def with_parts(gaps_: DataFrame, low: float = 0.2, high: float = 0.8) -> DataFrame:
     """Adds ``part`` with the thresholds at two percentiles of b."""
-    cut = gaps_.agg(F.percentile("b", F.array(F.lit(low), F.lit(high))).alias("__cut"))  # one row
+    cut = exact_percentiles(gaps_, "b", [low, high], name="__cut").select("__cut")  # one row
     return gaps_.crossJoin(F.broadcast(cut)).withColumn("part", popularity_part(F.col("b"), F.get("__cut", 0), F.get("__cut", 1))).drop("__cut")
 
 

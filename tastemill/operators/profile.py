@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, NumericType, StringType
 
+from tastemill.operators.ranks import quantile_bucket
+
 CONSTRAINTS = "feature string, type string, min_fraction double, min_count long, shape int, domain array<string>"
 
 
@@ -15,12 +17,40 @@ def frequencies(df: DataFrame, *columns: str) -> DataFrame:
     return df.groupBy(*columns).agg(F.count("*").alias("n"))
 
 
+def exact_percentiles(df: DataFrame, value: str, ps: list[float], by: tuple[str, ...] = (), name: str = "q") -> DataFrame:
+    """(*by, n, ``name``): exact percentiles (shares ps) of each group's values with linear interpolation, as an array; n counts the values.
+
+    Equal values are counted first; the counts are summed up inside ordered buckets and
+    shifted by the sizes of the buckets before, so no buffer holds a group's values.
+    """
+    groups = [f"__g{i}" for i in range(len(by))]
+    keys = [F.col(c).alias(g) for c, g in zip(by, groups, strict=True)]
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__n"))
+    counts = counts.withColumn("__b", quantile_bucket(counts, "__v", 64))
+    # at most 64 rows for each group
+    sizes = counts.groupBy(*groups, "__b").agg(F.sum("__n").alias("__s"))
+    w = Window.partitionBy(*groups)
+    sizes = sizes.select(*(F.col(g).alias(f"{g}_") for g in groups), F.col("__b").alias("__b_"), (F.sum("__s").over(w.orderBy("__b")) - F.col("__s")).alias("__before"), F.sum("__s").over(w).alias("__total"))
+    same = [F.col(g).eqNullSafe(F.col(f"{g}_")) for g in groups] + [F.col("__b") == F.col("__b_")]
+    inside = F.sum("__n").over(Window.partitionBy(*groups, "__b").orderBy("__v"))
+    rows = counts.withColumn("__end", inside).join(sizes, same).withColumn("__end", F.col("__end") + F.col("__before"))
+    first, found = F.col("__end") - F.col("__n"), []
+    for i, p in enumerate(ps):
+        at = F.lit(p) * (F.col("__total") - 1)
+        holds = lambda k: F.max(F.when((first <= k) & (k < F.col("__end")), F.col("__v")))
+        found += [holds(F.floor(at)).alias(f"__lo{i}"), holds(F.ceil(at)).alias(f"__hi{i}"), F.max(at - F.floor(at)).alias(f"__at{i}")]
+    out = rows.groupBy(*groups).agg(F.max("__total").alias("n"), *found)
+    q = F.array(*(F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * F.col(f"__at{i}") for i in range(len(ps))))
+    return out.select(*(F.col(g).alias(c) for c, g in zip(by, groups, strict=True)), "n", q.alias(name))
+
+
 def summary(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(feature, n, mean, std, min, q25, q50, q75, max) of numeric columns in one pass."""
+    """(feature, n, mean, std, min, q25, q50, q75, max) of numeric columns; those without values are left out."""
     one = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns)))
     long = df.select(one.alias("x")).select("x.*")
-    q = lambda p: F.percentile("value", F.lit(p))
-    return long.groupBy("feature").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev("value").alias("std"), F.min("value").alias("min"), q(0.25).alias("q25"), q(0.5).alias("q50"), q(0.75).alias("q75"), F.max("value").alias("max"))
+    q = exact_percentiles(long, "value", [0.25, 0.5, 0.75], ("feature",)).select(F.col("feature").alias("__f"), "q")
+    rows = long.groupBy("feature").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    return rows.join(q, F.col("feature") == F.col("__f")).select("feature", "n", "mean", "std", "min", *(F.get("q", i).alias(c) for i, c in enumerate(("q25", "q50", "q75"))), "max")
 
 
 def _bin(value: Column, low: Column, high: Column, bins: int) -> Column:
@@ -45,15 +75,17 @@ def histogram2d(df: DataFrame, x: str, y: str, bins: int = 10) -> DataFrame:
 
 def percentiles(df: DataFrame, column: str, ps: list[float]) -> DataFrame:
     """(p, value): exact percentiles with linear interpolation, one row each."""
-    found = df.agg(F.percentile(column, F.array(*(F.lit(p / 100) for p in ps))).alias("v"))
-    return found.select(F.explode(F.arrays_zip(F.array(*(F.lit(float(p)) for p in ps)).alias("p"), F.col("v").alias("value"))).alias("z")).select(F.col("z.p").alias("p"), F.col("z.value").alias("value"))
+    found = exact_percentiles(df, column, [p / 100 for p in ps])
+    return found.select(F.explode(F.arrays_zip(F.array(*(F.lit(float(p)) for p in ps)).alias("p"), F.col("q").alias("value"))).alias("z")).select(F.col("z.p").alias("p"), F.col("z.value").alias("value"))
 
 
 def box_stats(df: DataFrame, value: str, by: list[str], exact: bool = True) -> DataFrame:
-    """Minimum, quartiles and maximum of each group."""
-    at = F.array(*(F.lit(p) for p in (0.0, 0.25, 0.5, 0.75, 1.0)))
-    q = F.percentile(value, at) if exact else F.percentile_approx(value, at)
-    out = df.groupBy(*by).agg(q.alias("q"), F.count("*").alias("n"))
+    """Minimum, quartiles and maximum of each group's values, and their number."""
+    at = [0.0, 0.25, 0.5, 0.75, 1.0]
+    if exact:
+        out = exact_percentiles(df, value, at, tuple(by))
+    else:
+        out = df.groupBy(*by).agg(F.percentile_approx(value, F.array(*(F.lit(p) for p in at))).alias("q"), F.count(value).alias("n"))
     return out.select(*by, *(F.get("q", i).cast("double").alias(n) for i, n in enumerate(("low", "q25", "q50", "q75", "high"))), "n")
 
 
@@ -64,25 +96,24 @@ def cooccurrence(df: DataFrame, items: str) -> DataFrame:
     return pairs.groupBy("item_a", "item_b").agg(F.count("*").alias("n"))
 
 
-def distance_correlation(df: DataFrame, x: str, y: str, max_cells: int = 2000) -> DataFrame:
-    """(x, y, n, cells, dcov, dcor) of two numeric columns, exact while their distinct pairs fit ``max_cells``.
+def distance_correlation(df: DataFrame, x: str, y: str, grid: int | None = None, block: int = 2000) -> DataFrame:
+    """(x, y, n, cells, dcov, dcor) of two numeric columns.
 
     Rows are first counted by distinct pair; the double sums over pairs of cells then weigh
-    counts instead of rows. With more cells, both columns are put on an even grid whose size
-    keeps the bound (the number of cells is part of the result).
+    counts instead of rows, in blocks of about ``block`` cells against blocks. Only on
+    request are both columns put on an even ``grid`` first, which makes the result approximate.
     """
     cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(F.count("*").alias("w"))
-    n_cells = cells.count()
-    if n_cells > max_cells:
-        grid = int(max_cells**0.5)
-        lo, hi, lo2, hi2 = cells.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    if grid:
+        lo, hi, lo2, hi2 = (v or 0.0 for v in cells.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first())
         snap = lambda c, a, b: F.lit(a) + F.least(F.floor((F.col(c) - a) / max((b - a) / grid, 1e-300)), F.lit(grid - 1)) * ((b - a) / grid)
         cells = cells.groupBy(snap("x", lo, hi).alias("x"), snap("y", lo2, hi2).alias("y")).agg(F.sum("w").alias("w"))
-        n_cells = cells.count()
-    cells = cells.coalesce(1) if n_cells <= 256 else cells
-    other = cells.select(F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("w").alias("w2"))
-    # both sides hold at most max_cells rows
-    pairs = cells.crossJoin(F.broadcast(other)).select("x", "y", "w", "w2", F.abs(F.col("x") - F.col("x2")).alias("a"), F.abs(F.col("y") - F.col("y2")).alias("b"))
+    n_cells = cells.count()
+    blocks = max(1, -(-n_cells // block))
+    mine, every = F.pmod(F.xxhash64("x", "y"), F.lit(blocks)), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    other = cells.select(F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("w").alias("w2")).withColumns({"j2": F.pmod(F.xxhash64("x2", "y2"), F.lit(blocks)), "i2": every})
+    pairs = cells.withColumns({"i": mine, "j": every}).join(other, (F.col("i") == F.col("i2")) & (F.col("j") == F.col("j2")))
+    pairs = pairs.select("x", "y", "w", "w2", F.abs(F.col("x") - F.col("x2")).alias("a"), F.abs(F.col("y") - F.col("y2")).alias("b"))
     row = pairs.groupBy("x", "y", "w").agg(F.sum(F.col("w2") * F.col("a")).alias("ra"), F.sum(F.col("w2") * F.col("b")).alias("rb"), *(F.sum(F.col("w2") * F.col(p) * F.col(q)).alias(p + q) for p, q in (("a", "b"), ("a", "a"), ("b", "b"))))
     w = F.col("w")
     s = row.agg(F.sum("w").alias("n"), *(F.sum(w * F.col(c)).alias(f"s_{c}") for c in ("ra", "rb", "ab", "aa", "bb")), *(F.sum(w * F.col(p) * F.col(q)).alias(f"m_{p[1]}{q[1]}") for p, q in (("ra", "rb"), ("ra", "ra"), ("rb", "rb"))))
@@ -97,9 +128,19 @@ def distance_correlation(df: DataFrame, x: str, y: str, max_cells: int = 2000) -
     return s.select(F.lit(x).alias("x"), F.lit(y).alias("y"), "n", F.lit(n_cells).alias("cells"), F.sqrt(zero(ab)).alias("dcov"), dcor.alias("dcor"))
 
 
-def independence(df: DataFrame, x: str, y: str, threshold: float = 3.841459, max_cells: int = 2000) -> DataFrame:
+def distance_matrix(df: DataFrame, columns: list[str], grid: int | None = None) -> DataFrame:
+    """distance_correlation of every pair of columns, the earlier one as x."""
+    out = None
+    for i, x in enumerate(columns):
+        for y in columns[i + 1 :]:
+            one = distance_correlation(df, x, y, grid)
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+def independence(df: DataFrame, x: str, y: str, threshold: float = 3.841459, grid: int | None = None) -> DataFrame:
     """Adds ``dependent``: n times the squared distance covariance reaches the threshold (one degree of freedom)."""
-    out = distance_correlation(df, x, y, max_cells)
+    out = distance_correlation(df, x, y, grid)
     return out.withColumn("dependent", F.col("n") * F.col("dcov") ** 2 >= threshold)
 
 
@@ -121,16 +162,26 @@ def top_values(df: DataFrame, column: str, n: int = 20) -> DataFrame:
 
 
 def infer_constraints(df: DataFrame, max_domain: int = 20) -> DataFrame:
-    """(feature, type, min_fraction, min_count, shape, domain) as the data suggest: small string domains are listed."""
-    rows = None
-    for f in df.schema:
-        kind = "array" if isinstance(f.dataType, ArrayType) else "string" if isinstance(f.dataType, StringType) else "float" if f.dataType.simpleString() in ("float", "double") else "int"
-        shape = F.max(F.size(f.name)) if kind == "array" else F.lit(1)
-        values = F.slice(F.array_sort(F.collect_set(f.name)), 1, max_domain + 1) if kind == "string" and df.select(F.approx_count_distinct(f.name)).first()[0] <= 2 * max_domain else F.lit(None).cast("array<string>")
-        one = df.agg(F.count(f.name).alias("present"), F.count("*").alias("n"), shape.cast("int").alias("shape"), values.alias("domain"))
-        one = one.select(F.lit(f.name).alias("feature"), F.lit(kind).alias("type"), F.coalesce(F.try_divide("present", "n"), F.lit(0.0)).alias("min_fraction"), F.least("present", F.lit(1)).cast("long").alias("min_count"), "shape", F.when(F.size("domain") <= max_domain, F.col("domain")).alias("domain"))
-        rows = one if rows is None else rows.unionByName(one)
-    return rows
+    """(feature, type, min_fraction, min_count, shape, domain) as the data suggest: small string domains are listed.
+
+    Two scans, whatever the number of columns: distinct values are estimated first, and
+    collected only where they are few.
+    """
+    kinds = {f.name: "array" if isinstance(f.dataType, ArrayType) else "string" if isinstance(f.dataType, StringType) else "float" if f.dataType.simpleString() in ("float", "double") else "int" for f in df.schema}
+    text = [c for c, k in kinds.items() if k == "string"]
+    about = df.agg(*(F.approx_count_distinct(c).alias(c) for c in text)).first() if text else None
+    few = [c for c in text if about[c] <= 2 * max_domain]
+    one = df.agg(
+        F.count("*").alias("n"),
+        *(F.count(c).alias(f"present:{c}") for c in kinds),
+        *(F.max(F.size(c)).alias(f"shape:{c}") for c, k in kinds.items() if k == "array"),
+        *(F.slice(F.array_sort(F.collect_set(c)), 1, max_domain + 1).alias(f"domain:{c}") for c in few),
+    ).first()  # one row
+    rows = []
+    for c, kind in kinds.items():
+        present, domain = one[f"present:{c}"], one[f"domain:{c}"] if c in few else None
+        rows.append((c, kind, present / one["n"] if one["n"] else 0.0, min(present, 1), one[f"shape:{c}"] if kind == "array" else 1, domain if domain is not None and len(domain) <= max_domain else None))
+    return df.sparkSession.createDataFrame(rows, CONSTRAINTS)
 
 
 def load_constraints(text: str) -> list[dict]:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tastemill.functions import features as fx
+from tastemill.functions.vocab import GENRES
 from tastemill.operators import joins, mining, models, popularity, profile, ranking, splits
 from tastemill.plans import fixtures
 from tastemill.plans.fixtures import TIES
@@ -278,13 +279,27 @@ def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(ranking.quality_gate(metrics, {"rmse": -2.0, "mae": -0.5, "count": 100.0}), "value")
 
 
-@query("""
-, c AS (SELECT rating::double AS x, occupation::double AS y, count(*)::double AS w FROM fx_ratings JOIN fx_users USING (user_id) GROUP BY ALL), n AS (SELECT sum(w) AS n FROM c),
+def _distance_sql(x: str, y: str, tail: str) -> str:
+    """Double sums over pairs of cells, in a view ``v``; then ``tail``."""
+    return f"""(WITH c AS (SELECT {x}::double AS x, {y}::double AS y, count(*)::double AS w FROM fx_ratings JOIN fx_users USING (user_id) GROUP BY ALL), n AS (SELECT sum(w) AS n FROM c),
 p AS (SELECT a.x, a.y, a.w, b.w AS w2, abs(a.x - b.x) AS a, abs(a.y - b.y) AS b FROM c a, c b),
 r AS (SELECT x, y, w, sum(w2 * a) AS ra, sum(w2 * b) AS rb, sum(w2 * a * b) AS ab, sum(w2 * a * a) AS aa, sum(w2 * b * b) AS bb FROM p GROUP BY x, y, w),
 s AS (SELECT sum(w * ra) AS sa, sum(w * rb) AS sb, sum(w * ab) AS sab, sum(w * aa) AS saa, sum(w * bb) AS sbb, sum(w * ra * rb) AS mab, sum(w * ra * ra) AS maa, sum(w * rb * rb) AS mbb FROM r),
 v AS (SELECT n, sab / pow(n, 2) - 2 * mab / pow(n, 3) + sa * sb / pow(n, 4) AS vab, saa / pow(n, 2) - 2 * maa / pow(n, 3) + sa * sa / pow(n, 4) AS vaa, sbb / pow(n, 2) - 2 * mbb / pow(n, 3) + sb * sb / pow(n, 4) AS vbb FROM s, n)
-SELECT 'rating' AS x, 'occupation' AS y, CAST(n AS bigint) AS n, round(sqrt(greatest(vab, 0)), 5) AS dcov, round(sqrt(greatest(vab, 0) / sqrt(vaa * vbb)), 5) AS dcor, n * greatest(vab, 0) >= 3.841459 AS dependent FROM v""")
+SELECT '{x}' AS x, '{y}' AS y, CAST(n AS bigint) AS n, round(sqrt(greatest(vab, 0)), 5) AS dcov, round(sqrt(greatest(vab, 0) / sqrt(vaa * vbb)), 5) AS dcor{tail} FROM v)"""
+
+
+_NUMBERS = ("rating", "age", "occupation", "movie_id % 10")
+
+
+@query("\n" + "\nUNION ALL ".join(_distance_sql(x, y, "").replace("'movie_id % 10'", "'movie_digit'") for i, x in enumerate(_NUMBERS) for y in _NUMBERS[i + 1 :]))
+def distance_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance correlation of all pairs of four columns, exact."""
+    rows = _joined(spark, sf_dir).select("rating", "age", "occupation", (F.col("movie_id") % 10).alias("movie_digit")).persist()
+    return profile.distance_matrix(rows, rows.columns).select("x", "y", "n", F.round("dcov", 5).alias("dcov"), F.round("dcor", 5).alias("dcor"))
+
+
+@query("\nSELECT * FROM " + _distance_sql("rating", "occupation", ", n * greatest(vab, 0) >= 3.841459 AS dependent"))
 def distance_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = profile.independence(_joined(spark, sf_dir), "rating", "occupation")
     return out.select("x", "y", "n", F.round("dcov", 5).alias("dcov"), F.round("dcor", 5).alias("dcor"), "dependent")
@@ -294,10 +309,12 @@ def distance_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
 , t AS (SELECT DISTINCT user_id, movie_id FROM fx_events), n AS (SELECT count(DISTINCT user_id) AS n FROM t)
 SELECT a.movie_id || ',' || b.movie_id AS items, count(*) AS freq, round(count(*) / max(n), 6) AS support FROM t a JOIN t b ON a.user_id = b.user_id AND a.movie_id < b.movie_id, n GROUP BY a.movie_id, b.movie_id HAVING count(*) >= 0.1 * max(n)""")
 def frequent_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of items in a tenth of the baskets: exact counts from pairs made inside each basket."""
-    rows = mining.baskets(fixtures.events(spark, sf_dir), "user_id", "movie_id")
-    n = rows.count()
-    pairs = profile.cooccurrence(rows, "items").where(f"item_a < item_b and n >= 0.1 * {n}")
+    """Pairs of items in a tenth of the baskets, counted exactly: items that are rarer themselves make no pairs."""
+    rows = fixtures.events(spark, sf_dir).select("user_id", "movie_id").distinct()
+    n = rows.select("user_id").distinct().count()
+    often = rows.groupBy("movie_id").agg(F.count("*").alias("n")).where(F.col("n") >= 0.1 * n).select("movie_id")
+    baskets = mining.baskets(rows.join(often, "movie_id", "left_semi"), "user_id", "movie_id")
+    pairs = profile.cooccurrence(baskets, "items").where(f"item_a < item_b and n >= 0.1 * {n}")
     return pairs.select(F.concat_ws(",", "item_a", "item_b").alias("items"), F.col("n").alias("freq"), F.round(F.col("n") / n, R).alias("support"))
 
 
@@ -333,19 +350,34 @@ def assoc_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.select(fx.itemset_label(F.col("antecedent")).alias("antecedent"), fx.itemset_label(F.col("consequent")).alias("consequent"), F.round("confidence", R).alias("confidence"), F.round("lift", R).alias("lift"))
 
 
-@query()
+_ITEMS = (*GENRES, "Unknown")
+# every set of items is a number; its baskets are counted by adding up, item by item, the sets that hold it
+_SETS = _BASKETS + f"""
+, names AS (SELECT unnest({fixtures._list(_ITEMS)}) AS g, unnest(range({len(_ITEMS)})) AS i),
+masks AS (SELECT mask, count(*) AS f FROM (SELECT user_id, day, bit_or(1 << CAST(i AS int)) AS mask FROM t JOIN names USING (g) GROUP BY user_id, day) GROUP BY mask),
+z0 AS (SELECT CAST(r AS int) AS m, coalesce(f, 0) AS f FROM range({1 << len(_ITEMS)}) x(r) LEFT JOIN masks ON mask = r)""" + "".join(
+    f", z{k + 1} AS (SELECT m, CASE WHEN m & {1 << k} = 0 THEN sum(f) OVER (PARTITION BY m & {~(1 << k) & ((1 << len(_ITEMS)) - 1)}) ELSE f END AS f FROM z{k})" for k in range(len(_ITEMS))
+) + f", z AS MATERIALIZED (SELECT m, CAST(f AS bigint) AS f FROM z{len(_ITEMS)} WHERE f > 0)"
+_NAMED = "(SELECT '[\"' || string_agg(g, '\",\"' ORDER BY g) || '\"]' FROM names WHERE {m} & (1 << CAST(i AS int)) <> 0)"
+
+
+@query(_SETS + f"""
+SELECT {_NAMED.format(m="m")} AS label, CAST(bit_count(m) AS int) AS size, f AS freq, round(f / n, 6) AS support FROM z, n WHERE bit_count(m) >= 3 AND f >= ceil(0.005 * n)""")
 def long_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FP-growth itemsets of three genres and more, at the operator's own support."""
-    rows = _genre_baskets(spark, sf_dir).select("items")
+    rows = _genre_baskets(spark, sf_dir).select("items").persist()  # grouped once, read by the fit's passes and the count
     model = mining.fit_itemsets(rows, min_confidence=0.1)
     return mining.frequent_itemsets(model, rows.count(), 3).select("label", F.size("items").alias("size"), "freq", F.round("support", R).alias("support"))
 
 
-@query()
+@query(_SETS + f"""
+, s AS (SELECT m, f, m - (1 << CAST(i AS int)) AS x, 1 << CAST(i AS int) AS y FROM z JOIN names ON m & (1 << CAST(i AS int)) <> 0, n WHERE bit_count(m) >= 3 AND f >= ceil(0.005 * n))
+SELECT {_NAMED.format(m="s.x")} AS antecedent, {_NAMED.format(m="s.y")} AS consequent, round(s.f / p.f, 6) AS confidence, round(s.f / p.f / (q.f / n), 6) AS lift, round(s.f / n, 6) AS support
+FROM s JOIN z p ON p.m = s.x JOIN z q ON q.m = s.y, n WHERE s.f / p.f >= 0.6""")
 def long_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules with two genres and more before the arrow, at the operator's own support."""
-    model = mining.fit_itemsets(_genre_baskets(spark, sf_dir).select("items"), min_confidence=0.1)
-    rules = mining.association_rules(model, 0.1, 2)
+    """Rules with two genres and more before the arrow, at the operator's own support and confidence, by lift."""
+    model = mining.fit_itemsets(_genre_baskets(spark, sf_dir).select("items").persist())
+    rules = mining.association_rules(model)
     return rules.select(fx.itemset_label(F.col("antecedent")).alias("antecedent"), fx.itemset_label(F.col("consequent")).alias("consequent"), *(F.round(c, R).alias(c) for c in ("confidence", "lift", "support")))
 
 
@@ -394,6 +426,36 @@ def fm_rating(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(t["factors"], float(v), t == best) for t, v in trials], "factors int, rmse double, best boolean")
 
 
+def _approved(spark: SparkSession, sf_dir: str):
+    """A baseline on genres alone, a candidate that knows the movies too, and the gate between them."""
+    rows = _rated_features(spark, sf_dir)
+    train, held = rows.where("not held").persist(), models.genre_vectors(rows.where("held")).persist()
+    baseline = models.fit_rating(train.withColumn("movie_id", F.lit(0)), factors=2, iterations=10)
+    candidate = models.fit_rating(train, factors=2, iterations=10)
+
+    def metrics(model) -> dict[str, float]:
+        e = ranking.error_metrics(models.clipped(models.score_batches(held, model)), "rating", "prediction").first()
+        return {"rmse": -float(e["rmse"]), "mae": -float(e["mae"]), "count": float(e["n"])}
+
+    return rows, *models.approve(baseline, candidate, metrics, {"rmse": -0.5, "count": 100.0}, rows)
+
+
+@query()
+def candidate_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out metrics of the candidate, what it had to reach, and whether it did; errors are negative."""
+    return _approved(spark, sf_dir)[1]
+
+
+@query()
+def approved_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rating scored in a batch by the approved model, which is saved and loaded, summed up by movie."""
+    rows, _, model = _approved(spark, sf_dir)
+    path = shared_path(spark, "approved")
+    model.write().save(path)
+    scored = models.clipped(models.score_batches(models.genre_vectors(rows), models.PipelineModel.load(path)))
+    return scored.groupBy("movie_id").agg(F.count("*").alias("n"), F.avg("prediction").alias("mean_prediction"), F.avg("rating").alias("mean_rating"))
+
+
 @query()
 def drift_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors expected on the second half in time, by chunk, from a model of the first half's errors."""
@@ -429,7 +491,7 @@ def stream_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     rating = F.when(kind == "purchase", 5).when(kind == "click", 4).when(kind == "view", 3).when(kind == "signup", 2).otherwise(1)
     rows = raw.select("user_id", F.get_json_object("props", "$.k").cast("bigint").alias("movie_id"), rating.alias("rating"), fixtures._epoch("ts").alias("timestamp"))
     out = jobs.run_available(jobs.stream_features(rows, fixtures.users(spark, sf_dir), fixtures.movies(spark, sf_dir)), shared_path(spark, "stream"), shared_path(spark, "state"))
-    return out.select(F.col("user_id").cast("long").alias("user_id"), F.col("movie_id").cast("long").alias("movie_id"), (F.col("rating") * 4 + 1).cast("int").alias("rating"), F.col("rating").cast("double").alias("rating01"), F.col("gender").cast("double").alias("gender"))
+    return out.select("user_id", "movie_id", (F.col("rating") * 4 + 1).cast("int").alias("rating"), F.col("rating").cast("double").alias("rating01"), F.col("gender").cast("double").alias("gender"))
 
 
 @query("""

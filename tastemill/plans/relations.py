@@ -209,7 +209,7 @@ _COLUMNS = [c.strip() for c in _KEYS.split(",")]
 
 
 @query(_RN + f"""
-SELECT {_KEYS}, CASE WHEN rn <= floor(n * 0.8) THEN 'train' WHEN rn <= floor(n * 0.8) + floor(n * 0.1) THEN 'val' ELSE 'test' END AS split FROM r""")
+SELECT {_KEYS}, CASE WHEN rn <= floor(n * 0.8) THEN 'train' WHEN rn <= floor(n * 0.8) + floor((n - floor(n * 0.8)) / 2) THEN 'val' ELSE 'test' END AS split FROM r""")
 def time_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = splits.time_split(fixtures.ratings(spark, sf_dir, True), {"train": 0.8, "val": 0.1, "test": 0.1}, TIME_ORDER, _day())
     return out.select(*_COLUMNS, "split")
@@ -265,7 +265,7 @@ def batch_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT event_id, true AS ok, date_trunc('second', ts) AS rebuilt, round(ln(rating), 6) AS log_rating, round(log2(rating + 1), 6) AS log2_rating,
-  round(pow(2.0, rating) - 1, 6) AS gain, 'r' || rating AS first_set, rating + 1 AS with_bias_last, CAST(round(rating / 2, 0) AS bigint) AS half_up, CAST(ceil(rating / 2) AS bigint) AS up
+  round(pow(2.0, rating) - 1, 6) AS gain, 'r' || rating AS first_set, rating + 1 AS with_bias_last, rating || ',' || rating + 1 || ',' || rating * 2 AS joined, CAST(round(rating / 2, 0) AS bigint) AS half_up, CAST(ceil(rating / 2) AS bigint) AS up
 FROM fx_events JOIN (SELECT event_id, ts FROM events) USING (event_id)""")
 def feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     ts, rating = F.col("timestamp"), F.col("rating")
@@ -273,7 +273,7 @@ def feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     vector = fx.append_bias(F.array(rating), rating + 1)
     return fixtures.events(spark, sf_dir).select(
         "event_id", rebuilt.isNotNull().alias("ok"), rebuilt.alias("rebuilt"), F.round(F.log(rating), 6).alias("log_rating"), F.round(F.log2(rating + 1), 6).alias("log2_rating"), F.round(F.pow(F.lit(2.0), rating) - 1, 6).alias("gain"),
-        F.concat(F.lit("r"), F.get(F.get(fx.singles(F.array(rating)), 0), 0).cast("string")).alias("first_set"), F.get(vector, 1).alias("with_bias_last"), F.round(rating / 2).cast("long").alias("half_up"), F.ceil(rating / 2).alias("up"),
+        F.concat(F.lit("r"), F.get(F.get(fx.singles(F.array(rating)), 0), 0).cast("string")).alias("first_set"), F.get(vector, 1).alias("with_bias_last"), F.array_join(fx.concat_vectors(vector, F.array(rating * 2)).cast("array<string>"), ",").alias("joined"), F.round(rating / 2).cast("long").alias("half_up"), F.ceil(rating / 2).alias("up"),
     )
 
 
@@ -310,3 +310,58 @@ SELECT user_id, movie_id, rating, timestamp, CASE WHEN timestamp < 900000000 THE
 def presplit_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fixtures.ratings(spark, sf_dir)
     return splits.from_presplit({"train": rows.where("timestamp < 900000000"), "eval": rows.where("timestamp >= 900000000")})
+
+
+@query("""
+SELECT 'user' AS side, user_id AS id, zipcode AS label, occupation AS number FROM fx_users UNION ALL SELECT 'movie', movie_id, title, length(genres) FROM fx_movies""")
+def roundtrip_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "entities")
+    sinks.export_entities(fixtures.users(spark, sf_dir), fixtures.movies(spark, sf_dir), path)
+    users = spark.read.parquet(f"{path}/users").select(F.lit("user").alias("side"), F.col("user_id").alias("id"), F.col("zipcode").alias("label"), F.col("occupation").alias("number"))
+    return users.unionByName(spark.read.parquet(f"{path}/movies").select(F.lit("movie").alias("side"), F.col("movie_id").alias("id"), F.col("title").alias("label"), F.length("genres").alias("number")))
+
+
+@query("""
+SELECT user_id, movie_id, round((rating - 1) / 4, 6) AS rating, occupation, CAST(floor(timestamp / 3600) AS bigint) % 24 AS hr, CASE WHEN timestamp < 900000000 THEN 'train' ELSE 'eval' END AS split,
+  len(list_distinct(list_filter(string_split(replace(genres, 'Children''s', 'Children'), '|'), lambda x: x <> 'Unknown'))) AS n_genres FROM fx_ratings JOIN fx_users USING (user_id) JOIN fx_movies USING (movie_id)""")
+def roundtrip_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feature rows written by split and read back, arrays included."""
+    path = shared_path(spark, "features")
+    sinks.export_features(_joined(spark, sf_dir).withColumn("split", F.when(F.col("timestamp") < 900_000_000, "train").otherwise("eval")), path)
+    rows = spark.read.parquet(path)
+    n_genres = F.size(F.filter("genres", lambda x: x > 0)).cast("long")
+    return rows.select("user_id", "movie_id", F.round(F.col("rating").cast("double"), 6).alias("rating"), F.col("occupation").cast("int").alias("occupation"), F.col("hr").cast("long").alias("hr"), "split", n_genres.alias("n_genres"))
+
+
+@query("""
+, f AS (SELECT user_id FROM fx_ratings JOIN fx_movies USING (movie_id) WHERE rating >= 5 GROUP BY user_id HAVING count(*) FILTER (contains(genres, '|')) = 0 AND count(DISTINCT genres) = 1)
+SELECT kind, user_id, gender, age, occupation, zipcode FROM fx_users, (VALUES ('text'), ('parquet')) k(kind) WHERE user_id IN (SELECT user_id FROM f)""")
+def roundtrip_single_genre(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The single-genre users as text and as Parquet, read back from both."""
+    path = shared_path(spark, "single-genre")
+    sinks.export_rows(splits.single_genre_users(fixtures.ratings(spark, sf_dir), fixtures.movies(spark, sf_dir), fixtures.users(spark, sf_dir)), path)
+    spec = delimited.SourceSpec("users", f"{path}/text", (("user_id", int), ("gender", str), ("age", int), ("occupation", int), ("zipcode", str)))
+    text = delimited.read_delimited(spark, spec).withColumn("occupation", F.col("occupation").cast("int"))
+    return text.select(F.lit("text").alias("kind"), "*").unionByName(spark.read.parquet(f"{path}/parquet").select(F.lit("parquet").alias("kind"), "*"))
+
+
+@query("""
+SELECT 6040 + row_number() OVER (ORDER BY title, movie_id) AS movie_id, movie_id AS movie_id_orig FROM fx_movies""")
+def roundtrip_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mapping of renumbered movies, written as text and read back."""
+    path = shared_path(spark, "mapping")
+    _, mapping = ranks.renumber(fixtures.movies(spark, sf_dir), "movie_id", ["title", "movie_id"], 6040, F.substring("title", 1, 2))
+    sinks.write_mapping(mapping, path)
+    spec = delimited.SourceSpec("movies", path, (("movie_id", int), ("movie_id_orig", int)), sep=",", header=True)
+    return delimited.read_delimited(spark, spec)
+
+
+@query("""
+, h AS (SELECT *, sha256(concat_ws('|', user_id, gender, age, occupation, zipcode)) AS h FROM fx_users),
+b AS (SELECT *, list_reduce(list_transform(range(0, 8), lambda i: ('0x' || substr(h, CAST(i * 8 + 1 AS int), 8))::bigint), lambda a, x: (a * 4294967296 + x) % 100, 0) AS b FROM h)
+SELECT user_id, gender, age, CAST(occupation AS bigint) AS occupation, zipcode, CASE WHEN b < 80 THEN 'train' WHEN b < 90 THEN 'eval' ELSE 'test' END AS split FROM b""")
+def source_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users written with commas, read as a source that splits itself 8 : 1 : 1 by the hash of each row."""
+    path = shared_path(spark, "source")
+    sinks.write_delimited(fixtures.users(spark, sf_dir), path, ",")
+    return delimited.read_split(spark, delimited.SourceSpec("users", path, (("user_id", int), ("gender", str), ("age", int), ("occupation", int), ("zipcode", str)), sep=","))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DoubleType, LongType, StringType, StructField, StructType
 
+from tastemill.operators.splits import hash_split
+
 _TYPES: dict[object, DataType] = {int: LongType(), float: DoubleType(), str: StringType(), bytes: StringType()}
 RELATIONS = ("ratings", "users", "movies")
 
@@ -78,6 +80,12 @@ def read_relations(spark: SparkSession, specs: list[SourceSpec]) -> dict[str, Da
     return {s.name: read_delimited(spark, s) for s in specs}
 
 
+def read_split(spark: SparkSession, spec: SourceSpec, weights: dict[str, int] | None = None, keys: tuple[str, ...] | None = None) -> DataFrame:
+    """A relation with ``split`` added: by the hash of its key columns (all columns), 8 : 1 : 1 where no weights are given."""
+    rows = read_delimited(spark, spec)
+    return hash_split(rows, weights or {"train": 8, "eval": 1, "test": 1}, list(keys or rows.columns))
+
+
 def read_parquet_prefix(spark: SparkSession, folder: str, key: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{key}*.parquet")
 

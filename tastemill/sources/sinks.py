@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tastemill.functions.features import featurize
 from tastemill.operators.splits import dev_tier, sentiment_split
 
 
@@ -47,6 +48,29 @@ def export_ratings(df: DataFrame, path: str, tier: str = "full", order_by: tuple
     write_dataset(out, path, ("split", "sentiment"), mode)
 
 
+def export_entities(users: DataFrame, movies: DataFrame, path: str, mode: str = "error") -> None:
+    """The users and movies that go with exported ratings, as Parquet under path/users and path/movies."""
+    write_dataset(users, f"{path}/users", (), mode)
+    write_dataset(movies, f"{path}/movies", (), mode)
+
+
+def export_features(joined: DataFrame, path: str, split: str = "split", mode: str = "error") -> None:
+    """Feature rows of joined ratings, by split; ``genres`` stays an array of floats."""
+    features = featurize(joined, keep=(split,))
+    write_dataset(features, path, (split,), mode)
+
+
+def export_rows(df: DataFrame, path: str, mode: str = "error") -> None:
+    """A small cohort both as text (path/text) and as Parquet (path/parquet)."""
+    write_delimited(df, f"{path}/text", mode=mode)
+    write_dataset(df, f"{path}/parquet", (), mode)
+
+
+def write_mapping(mapping: DataFrame, path: str, mode: str = "error") -> None:
+    """New and old ids as comma-separated text with a header."""
+    write_delimited(mapping, path, ",", True, mode)
+
+
 def readback_problems(written: DataFrame, source: DataFrame) -> list[str]:
     """What differs between a file read back and its source: columns, types, number of rows."""
     problems = []

@@ -34,7 +34,9 @@ def test_buckets_and_hash_split(spark):
 def test_splits_are_disjoint_and_complete(spark):
     rows = spark.createDataFrame([(u, i, i % 9) for u, n in ((1, 1), (2, 2), (3, 3), (4, 10)) for i in range(n)], "user_id int, movie_id int, timestamp int")
     by_time = splits.time_split(rows, {"train": 0.8, "val": 0.1, "test": 0.1}, ["timestamp", "user_id", "movie_id"])
-    assert {r.split: r.n for r in profile.split_counts(by_time).collect()} == {"train": 12, "val": 1, "test": 3}
+    assert {r.split: r.n for r in profile.split_counts(by_time).collect()} == {"train": 12, "val": 2, "test": 2}
+    more = splits.time_split(spark.range(19), {"train": 0.8, "val": 0.1, "test": 0.1}, ["id"])
+    assert {r.split: r.n for r in profile.split_counts(more).collect()} == {"train": 15, "val": 2, "test": 2}
     own = splits.per_user_split(rows, [F.col("movie_id")])
     names = {(r.user_id, r.movie_id): r.split for r in own.collect()}
     assert len(names) == 16 and names[3, 0] == "test" and names[3, 1] == "val" and names[3, 2] == "train"
@@ -142,7 +144,12 @@ def test_profiles(spark):
     cov, va, vb = (max((center(p) * center(q)).mean(), 0) for p, q in ((a, b), (a, a), (b, b)))
     d = profile.distance_correlation(rows, "x", "y").first()
     assert d.dcov == pytest.approx(math.sqrt(cov)) and d.dcor == pytest.approx(math.sqrt(cov / math.sqrt(va * vb)))
-    assert profile.distance_correlation(rows, "x", "y", max_cells=16).first().cells <= 16
+    for block in (7, 20):  # blocks of cells against blocks give the same
+        other = profile.distance_correlation(rows, "x", "y", block=block).first()
+        assert (other.n, other.cells) == (60, d.cells) and other.dcov == pytest.approx(d.dcov)
+    assert profile.distance_correlation(rows, "x", "y", grid=4).first().cells <= 16
+    matrix = {(r.x, r.y): r.dcor for r in profile.distance_matrix(rows.withColumn("z", F.lit(1.0)), ["x", "y", "z"]).collect()}
+    assert matrix == {("x", "y"): pytest.approx(d.dcor), ("x", "z"): 0.0, ("y", "z"): 0.0}
     stats = {r.feature: r for r in profile.feature_stats(rows, None).collect()}
     assert stats["s"].missing == 20 and stats["x"].zeros == 9
     found = profile.anomalies(rows, profile.load_constraints('[{"feature": "s", "type": "string", "min_fraction": 1.0, "domain": ["b"]}, {"feature": "x", "type": "int"}, {"feature": "z", "type": "int"}]'))
@@ -184,7 +191,7 @@ def test_longer_itemsets_and_rules_equal_brute_force(spark, monkeypatch):
     for s, n in sets.items():
         for y in s:
             x = tuple(g for g in s if g != y)
-            if n / count(x) >= 0.1:
+            if n / count(x) >= 0.6:
                 want[label(x), label((y,))] = pytest.approx((n / count(x), n / count(x) / (count((y,)) / 60), n / 60), abs=1e-6)
     assert {(r.antecedent, r.consequent): (r.confidence, r.lift, r.support) for r in analysis.long_rules(spark, "").collect()} == want
 
@@ -256,3 +263,62 @@ def test_rating_machine_gradient_and_real_movie_ids(spark, monkeypatch, tmp_path
     for m in (model, models.PipelineModel.load(str(tmp_path / "machine"))):
         got = {r.movie_id: r.prediction for r in models.score_batches(asked, m).collect()}
         assert got[7] < 0.2 and got[507] > 0.8 and 0.2 < got[8] < 0.8  # a new movie rests on its genres
+
+
+def test_exact_percentiles_by_group(spark):
+    rng = np.random.default_rng(6)
+    data = [(k, float(v)) for k in ("a", "b", None) for v in rng.integers(0, 40, size=rng.integers(1, 300))] + [("a", None), ("c", None)]
+    df = spark.createDataFrame(data, "k string, v double")
+    ps = [0.0, 0.2, 0.5, 0.99, 1.0]
+    got = {r.k: (r.n, list(r.q)) for r in profile.exact_percentiles(df, "v", ps, ("k",)).collect()}
+    for k in ("a", "b", None):
+        values = [v for g, v in data if g == k and v is not None]
+        assert got.pop(k) == (len(values), pytest.approx(np.percentile(values, [100 * p for p in ps])))
+    assert got == {}  # a group without values
+    assert profile.exact_percentiles(df.where("false"), "v", ps).first().q == [None] * 5
+    assert [r.value for r in profile.percentiles(spark.range(1, 100_001).select(F.col("id").cast("double").alias("x")), "x", [50]).collect()] == [50_000.5]
+
+
+def test_a_worse_candidate_is_not_approved(spark):
+    rows = [(u, m, 1.0 if m == 1 else 0.0) for u in range(40) for m in (1, 2)]
+    df = models.genre_vectors(spark.createDataFrame(rows, "user_id long, movie_id long, rating float").withColumn("genres", F.expr("transform(sequence(1, 18), x -> float(0))")))
+    good = models.fit_rating(df, factors=2)
+    bad = models.fit_rating(df.withColumn("rating", 1 - F.col("rating")), factors=2)
+
+    def errors(model):
+        e = ranking.error_metrics(models.clipped(models.score_batches(df, model)), "rating", "prediction").first()
+        return {"rmse": -float(e["rmse"]), "count": float(e["n"])}
+
+    verdict, model = models.approve(bad, good, errors, {"rmse": -0.5, "count": 10.0}, df)
+    assert model is good and all(r.passed for r in verdict.collect())
+    verdict, model = models.approve(good, bad, errors, {"rmse": -2.0}, df)
+    assert model is good and {r.metric: r.passed for r in verdict.collect()} == {"rmse": False, "count": True}
+    verdict, model = models.approve(bad, good, errors, {"count": 1000.0}, df)  # better, on too few rows
+    assert model is bad and {r.metric: r.passed for r in verdict.collect()} == {"rmse": True, "count": False}
+
+
+def test_features_keep_large_ids_apart(spark):
+    from tastemill.functions.features import featurize, metadata_features
+
+    big = 1 << 24
+    rows = spark.createDataFrame([(big + i, big + 1 - i, 3, 978300760 + i, "F", 25, 1, "War|Drama") for i in range(2)], "user_id long, movie_id long, rating int, timestamp long, gender string, age int, occupation int, genres string")
+    assert {(r.user_id, r.movie_id) for r in featurize(rows).collect()} == {(big, big + 1), (big + 1, big)}
+    assert len({r.sec_into_yr for r in featurize(rows).collect()}) == 2
+    assert {r.movie_id for r in metadata_features(rows).collect()} == {big, big + 1}
+
+
+def test_sessions_end_after_a_gap(spark, tmp_path):
+    for i, times in enumerate((["2024-01-01 01:00", "2024-01-01 01:20", "2024-01-01 03:00"], ["2024-01-03 00:00"])):
+        spark.createDataFrame([(1, t) for t in times], "user long, t string").select("user", F.col("t").cast("timestamp").alias("ts")).coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
+        stream = spark.readStream.schema("user long, ts timestamp").parquet(f"{tmp_path}/in/*")
+        out = jobs.run_available(jobs.stream_sessions(stream, "user", "ts"), str(tmp_path / "out"), str(tmp_path / "state"))
+    assert sorted((r.start, r.n) for r in out.select(F.date_format("start", "HH:mm").alias("start"), "n").collect()) == [("01:00", 2), ("03:00", 1)]
+
+
+def test_top_k_of_empty_sides_and_constraints(spark):
+    items = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "item long, vector array<double>")
+    asked = items.withColumnRenamed("item", "qid")
+    assert ranking.top_k(asked.where("false"), items, 2).count() == ranking.top_k(asked, items.where("false"), 2).count() == 0
+    df = spark.createDataFrame([("a", 1, [1.0]), (None, 2, [1.0])], "s string, i int, v array<double>")
+    got = {r.feature: (r.type, r.min_fraction, r.min_count, r.shape, r.domain) for r in profile.infer_constraints(df, 5).collect()}
+    assert got == {"s": ("string", 0.5, 1, 1, ["a"]), "i": ("int", 1.0, 1, 1, None), "v": ("array", 1.0, 1, 1, None)}

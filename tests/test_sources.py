@@ -53,3 +53,26 @@ def test_sinks_read_back(spark, tmp_path):
     table = spark.createDataFrame([(1, [0.5, 1.5])], "id int, embedding array<double>")
     sinks.write_embeddings(table, str(tmp_path / "emb"), single=True)
     assert spark.read.parquet(str(tmp_path / "emb")).dtypes == [("id", "int"), ("embedding", "array<float>")]
+
+
+def test_sources_that_split_themselves(spark, tmp_path):
+    (tmp_path / "u.csv").write_text("".join(f"{i},n{i}\n" for i in range(500)))
+    rows = delimited.read_split(spark, spec(tmp_path / "u.csv", sep=",")).collect()
+    sizes = {s: sum(r.split == s for r in rows) for s in ("train", "eval", "test")}
+    assert sum(sizes.values()) == 500 and sizes["train"] > 350 and min(sizes.values()) > 20
+    assert {r.split for r in delimited.read_split(spark, spec(tmp_path / "u.csv", sep=","), {"all": 1}, ("user_id",)).collect()} == {"all"}
+    both = delimited.read_relations(spark, [spec(tmp_path / "u.csv", sep=",")])
+    assert list(both) == ["users"] and both["users"].count() == 500
+    both["users"].coalesce(1).write.parquet(str(tmp_path / "p" / "users-1.parquet"))
+    assert delimited.read_parquet_prefix(spark, str(tmp_path / "p"), "users").count() == 500
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from tastemill.sources import folders
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        folders.shared_folder(cluster)
+    assert folders.shared_path(spark, "x") != folders.shared_path(spark, "x")
