@@ -73,7 +73,8 @@ class Parting:
     sets of a pair of classes differ in at most ``differ`` shingles, so of ``parts`` parts at
     least parts - differ are equal. Parts with fewer than ``strong`` shingles say little. A
     set with fewer than parts - differ of them can leave them out: one of its equal parts
-    is strong. ``parts`` is chosen so that sets usually can.
+    is strong. It also needs no more than its first differ + 1 strong parts: the first one
+    that is equal in both sets has at most ``differ`` others before it in either. ``parts`` is chosen so that sets usually can.
     """
 
     def __init__(self, share: tuple[int, int], largest: int):
@@ -145,8 +146,11 @@ def _part_keys(batches: Iterator[pa.RecordBatch], k: int, parting: Parting, hot:
             np.add.at(sums, at, value[mine])
             row = np.repeat(np.arange(len(n)), number)
             strong = np.bincount(at, minlength=total) >= parting.strong[pair[row]]
-            plenty = np.bincount(row, strong, minlength=len(n)) > parting.differ[np.maximum(pair, 0)]
-            emit = np.flatnonzero(strong | ~plenty[row])
+            least = parting.differ[np.maximum(pair, 0)] + 1
+            plenty = np.bincount(row, strong, minlength=len(n)) >= least
+            count = np.concatenate([[0], np.cumsum(strong)])
+            early = count[1:] - count[base[row]] <= least[row]
+            emit = np.flatnonzero(strong & early | ~plenty[row])
             name = (pair[row[emit]] << 32).astype(np.uint64) + (emit - base[row[emit]]).astype(np.uint64)
             keys.append(mix(sums[emit] + mix(name, 23), 24).astype(np.int64))
             sets.append(one[row[emit]])
@@ -343,7 +347,7 @@ def _tree_join(texts: DataFrame, units: DataFrame, k: int, share: tuple[int, int
     return written(sets.repartition(n, "unit").sortWithinPartitions("unit", "doc").mapInArrow(lambda b: _join(b, share), LINKS), name)
 
 
-def similar_groups(df: DataFrame, k: int = 3, share: tuple[int, int] = (9, 10), most: int = 1024, memory: int = 24 << 20) -> DataFrame:
+def similar_groups(df: DataFrame, k: int = 3, share: tuple[int, int] = (9, 10), most: int = 2048, memory: int = 24 << 20) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of (doc_id, text).
 
     A row's set holds the distinct ``k``-word shingles of its whole text, A-Z lower-cased,
