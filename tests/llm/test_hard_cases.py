@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tests.llm.conftest import documents
 
-from tastemill.llm import _jobs, _spans, decontamination, exact_dedup, ngram_join, packing, quality, substring_dedup, suffix_dedup, warc
+from tastemill.llm import _components, _jobs, _spans, decontamination, exact_dedup, ngram_join, packing, quality, substring_dedup, suffix_dedup, warc
 from tastemill.llm._bpe import Encoder
 from tastemill.llm._components import components
 from tastemill.llm._text import Words, span_hashes
@@ -158,7 +158,9 @@ def test_rows_that_repeat_an_id_and_a_text_share_their_spans(spark):
     assert len(out) == 31 and max(len(r.starts or ()) for r in out) == 6  # one for each window, however many rows
 
 
-def test_components_of_stars_and_chains(spark):
+@pytest.mark.parametrize("stars", [512, 2])
+def test_components_of_stars_and_chains(spark, monkeypatch, stars):
+    monkeypatch.setattr(_components, "STARS", stars)  # all nodes are stars, or next to none
     edges = [(0, i) for i in range(1, 300)] + [(i, i + 1) for i in range(1000, 1060)] + [(7, 7), (2000, 2001), (2001, 2000), (2000, 2001)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(300), 0), **dict.fromkeys(range(1000, 1061), 1000), 2000: 2000, 2001: 2000}
