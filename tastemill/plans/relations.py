@@ -365,3 +365,66 @@ def source_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "source")
     sinks.write_delimited(fixtures.users(spark, sf_dir), path, ",")
     return delimited.read_split(spark, delimited.SourceSpec("users", path, (("user_id", int), ("gender", str), ("age", int), ("occupation", int), ("zipcode", str)), sep=","))
+
+
+_USER_FIELDS = (("user_id", int), ("gender", str), ("age", int), ("occupation", int), ("zipcode", str))
+
+
+@query("""
+SELECT movie_id, title || ' é' AS title, genres FROM fx_movies""")
+def mixed_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Movies with an accent in each title, written half in UTF-8 and half in ISO-8859-1, read as one relation."""
+    path = shared_path(spark, "mixed")
+    rows = fixtures.movies(spark, sf_dir).select("movie_id", F.concat("title", F.lit(" é")).alias("title"), "genres")
+    for odd, charset in ((0, "UTF-8"), (1, "ISO-8859-1")):
+        rows.where(F.col("movie_id") % 2 == odd).write.option("sep", "::").option("encoding", charset).option("quote", "").csv(f"{path}/{charset}")
+    return delimited.read_delimited(spark, delimited.SourceSpec("movies", f"{path}/*", (("movie_id", int), ("title", str), ("genres", str))))
+
+
+@query("""
+SELECT CASE WHEN user_id % 10 <> 0 THEN user_id END AS user_id, gender, CASE WHEN user_id % 15 <> 0 THEN age END AS age, CAST(occupation AS bigint) AS occupation, zipcode,
+  concat_ws(',', CASE WHEN user_id % 10 = 0 THEN 'user_id' END, CASE WHEN user_id % 15 = 0 THEN 'age' END) AS rejected FROM fx_users""")
+def rejected_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as text, some cells spoilt, cast to the declared types; the columns at fault are named."""
+    spoilt = {"user_id": F.when(F.col("user_id") % 10 == 0, "no id").otherwise(F.col("user_id").cast("string")), "age": F.when(F.col("user_id") % 15 == 0, "old").otherwise(F.col("age").cast("string")), "occupation": F.col("occupation").cast("string")}
+    schema = delimited.SourceSpec("users", "as text", _USER_FIELDS).schema
+    out = delimited.cast_typed(fixtures.users(spark, sf_dir).withColumns(spoilt), schema, "reject")
+    return out.withColumn("rejected", F.array_join("rejected", ","))
+
+
+@query("""
+SELECT user_id % 10 = 0 AS corrupt, count(*) AS n, count(DISTINCT zipcode) FILTER (user_id % 10 <> 0) AS zipcodes FROM fx_users GROUP BY ALL""")
+def corrupt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as text with a header, every tenth id spoilt, read so that bad rows are kept apart."""
+    path = shared_path(spark, "corrupt")
+    sinks.write_delimited(fixtures.users(spark, sf_dir).withColumn("user_id", F.when(F.col("user_id") % 10 == 0, "no id").otherwise(F.col("user_id").cast("string"))), path, ",", header=True)
+    rows = delimited.read_delimited(spark, delimited.SourceSpec("users", path, _USER_FIELDS, sep=",", header=True), "PERMISSIVE")
+    corrupt = F.col("_corrupt").isNotNull()
+    return rows.groupBy(corrupt.alias("corrupt")).agg(F.count("*").alias("n"), F.countDistinct(F.when(~F.col("_corrupt").isNotNull(), F.col("zipcode"))).alias("zipcodes"))
+
+
+@query("""
+SELECT 'joined' AS source, movie_id, count(*) AS n, CAST(sum(rating) AS bigint) AS stars FROM fx_ratings WHERE rating >= 3 GROUP BY movie_id""")
+def kept_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Joined ratings with a fixed column list, written by prefix, rewritten, and left alone where they are there; read by prefix."""
+    path, columns = shared_path(spark, "kept"), ["user_id", "movie_id", "rating", "genres"]
+    rows = _joined(spark, sf_dir)
+    target = f"{path}/joined-1.parquet"
+    sinks.write_dataset(rows, target, (), columns=columns)
+    sinks.write_dataset(rows.where("rating >= 3"), target, (), "overwrite", columns=columns)
+    sinks.write_dataset(rows, target, (), "ignore", columns=columns)
+    out = delimited.read_parquet_prefix(spark, path, "joined")
+    return out.groupBy("movie_id").agg(F.count("*").alias("n"), F.sum("rating").alias("stars")).select(F.lit("joined").alias("source"), "movie_id", "n", "stars")
+
+
+@query("""
+SELECT CAST(vec_id AS int) AS id, len(embedding) AS width, round(CAST(embedding[1] AS double), 5) AS first, round(CAST(embedding[len(embedding)] AS double), 5) AS last, '' AS problems FROM embeddings""", views=False)
+def roundtrip_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings written as 32-bit ids and float lists and read back, with what differs from the source."""
+    path = shared_path(spark, "embeddings")
+    rows = fixtures.table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("int").alias("id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    sinks.write_embeddings(rows, path)
+    back = spark.read.parquet(path)
+    problems = ", ".join(sinks.readback_problems(back, rows))
+    ends = [F.round(F.element_at("embedding", i).cast("double"), 5).alias(n) for i, n in ((1, "first"), (-1, "last"))]
+    return back.select("id", F.size("embedding").cast("long").alias("width"), *ends, F.lit(problems).alias("problems"))

@@ -65,7 +65,7 @@ def decoded(c: Column) -> Column:
 
 
 def read_delimited(spark: SparkSession, spec: SourceSpec, mode: str = "FAILFAST") -> DataFrame:
-    """A typed relation. ``mode``: FAILFAST raises on a bad row; PERMISSIVE adds ``_corrupt`` with the row's text."""
+    """A typed relation. ``mode``: FAILFAST raises on a bad cell of the columns that are read; PERMISSIVE adds ``_corrupt`` with the row's text where any cell is bad."""
     spec.validate()
     mixed = spec.encoding == "utf-8-or-latin1"
     schema = StructType([*spec.schema.fields, StructField("_corrupt", StringType())]) if mode == "PERMISSIVE" else spec.schema
@@ -73,6 +73,8 @@ def read_delimited(spark: SparkSession, spec: SourceSpec, mode: str = "FAILFAST"
     if mode == "PERMISSIVE":
         reader = reader.option("columnNameOfCorruptRecord", "_corrupt")
     df = reader.csv(spec.path)
+    if mode == "PERMISSIVE":  # the condition always holds; it keeps every column in the scan, as a cell that isn't parsed can't be found bad
+        df = df.withColumn("_corrupt", F.when(F.bit_count(F.hash(*(n for n, _ in spec.fields))) >= 0, F.col("_corrupt")))
     return df.withColumns({n: decoded(F.col(n)) for n, t in spec.fields if t in (str, bytes)}) if mixed else df
 
 
