@@ -13,7 +13,7 @@ these leave apart are compared across blocks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import numpy as np
@@ -255,6 +255,29 @@ class SignatureTree:
             ok[own] = (p + q) * np.minimum(overlap, np.minimum(hi[x], hi[y])) >= p * (lo[x] + lo[y])
         return ok
 
+    def pairs(self, share: tuple[int, int], wanted: Callable[[int, np.ndarray, np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs i < j of sets that may be similar, in bounded portions; pairs of nodes that ``wanted`` denies are not walked."""
+
+        def walk(level: int, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for a in range(0, len(i), 4096):
+                x, y = i[a : a + 4096], j[a : a + 4096]
+                keep = x < y if level == 0 else x <= y
+                if wanted:
+                    keep = keep & wanted(level, x, y)
+                x, y = x[keep], y[keep]
+                keep = self.possible(level, x, y, share)
+                x, y = x[keep], y[keep]
+                if level == 0:
+                    yield x, y
+                elif len(x):
+                    below, last = np.arange(FANOUT), len(self.levels[level - 1][0])
+                    u = (x[:, None] * FANOUT + below).repeat(FANOUT, axis=1).ravel()
+                    v = np.tile(y[:, None] * FANOUT + below, (1, FANOUT)).ravel()
+                    keep = (u < last) & (v < last) & (u <= v)
+                    yield from walk(level - 1, u[keep], v[keep])
+
+        return walk(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))
+
     def similar(self, i: int, j: int, share: tuple[int, int]) -> bool:
         x, y = self.sets[i], self.sets[j]
         if len(x) > len(y):
@@ -282,31 +305,14 @@ def links(docs: list[int], labels: list[int], sets: list[np.ndarray], share: tup
     near = near[tree.possible(0, near, near + 1, share)]
     settle(near, near + 1)
 
-    def walk(level: int, i: np.ndarray, j: np.ndarray) -> None:
-        """Pairs of nodes with i <= j that may hold similar sets, in bounded portions."""
-        for a in range(0, len(i), 4096):
-            x, y = i[a : a + 4096], j[a : a + 4096]
-            root = unions.roots()
-            lo = FANOUT**level
-            at = np.arange(0, len(root), lo)
-            least, most = np.minimum.reduceat(root, at), np.maximum.reduceat(root, at)
-            apart = ~((least[x] == most[x]) & (least[y] == most[y]) & (least[x] == least[y]))
-            if level == 0:
-                apart &= x < y
-            x, y = x[apart], y[apart]
-            keep = tree.possible(level, x, y, share)
-            x, y = x[keep], y[keep]
-            if level == 0:
-                settle(x, y)
-            elif len(x):
-                below, last = np.arange(FANOUT), len(tree.levels[level - 1][0])
-                u = (x[:, None] * FANOUT + below).repeat(FANOUT, axis=1).ravel()
-                v = np.tile(y[:, None] * FANOUT + below, (1, FANOUT)).ravel()
-                keep = (u < last) & (v < last) & (u <= v)
-                walk(level - 1, u[keep], v[keep])
-
-    top = len(tree.levels) - 1
-    walk(top, np.zeros(1, np.int64), np.zeros(1, np.int64))
+    def apart(level: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        root = unions.roots()
+        at = np.arange(0, len(root), FANOUT**level)
+        least, most = np.minimum.reduceat(root, at), np.maximum.reduceat(root, at)
+        return ~((least[i] == most[i]) & (least[j] == most[j]) & (least[i] == least[j]))
+
+    for i, j in tree.pairs(share, apart):
+        settle(i, j)
     return out
 
 
@@ -347,6 +353,20 @@ def _tree_join(texts: DataFrame, units: DataFrame, k: int, share: tuple[int, int
     return written(sets.repartition(n, "unit").sortWithinPartitions("unit", "doc").mapInArrow(lambda b: _join(b, share), LINKS), name)
 
 
+def _candidates(docs: DataFrame, k: int, share: tuple[int, int]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows' sets (doc, n, set, check), their classes (n, set, check, rep, copies) and clusters of reps (node, root) that may be similar."""
+    rows = written(docs.mapInArrow(lambda b: _classes(b, k), CLASSES), "join-classes")
+    classes = rows.where("n > 0").groupBy("n", "set", "check").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"))
+
+    largest, tokens = rows.agg(F.max("n"), F.sum("n")).first()
+    parting = Parting(share, int(largest or 1))
+    hot = _hot(docs, k, rows) if parting.weakest < 3 else np.zeros(0, np.uint64)
+    keys = docs.mapInArrow(lambda b: _part_keys(b, k, parting, hot), PARTS)
+    n = parts(docs.sparkSession, 24 * (tokens or 0) * 5 * (share[1] - share[0]) / share[1] / 2)
+    edges = keys.repartition(n, "part").sortWithinPartitions("part", "set", "doc").mapInArrow(_neighbours, LINKS)
+    return rows, classes, components(edges)
+
+
 def similar_groups(df: DataFrame, k: int = 3, share: tuple[int, int] = (9, 10), most: int = 2048, memory: int = 24 << 20) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of (doc_id, text).
 
@@ -363,16 +383,7 @@ def similar_groups(df: DataFrame, k: int = 3, share: tuple[int, int] = (9, 10),
     """
     spark = df.sparkSession
     docs = df.select(id_key().alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = written(docs.mapInArrow(lambda b: _classes(b, k), CLASSES), "join-classes")
-    classes = rows.where("n > 0").groupBy("n", "set", "check").agg(F.min("doc").alias("rep"))
-
-    largest, tokens = rows.agg(F.max("n"), F.sum("n")).first()
-    parting = Parting(share, int(largest or 1))
-    hot = _hot(docs, k, rows) if parting.weakest < 3 else np.zeros(0, np.uint64)
-    keys = docs.mapInArrow(lambda b: _part_keys(b, k, parting, hot), PARTS)
-    n = parts(spark, 24 * (tokens or 0) * 5 * (share[1] - share[0]) / share[1] / 2)
-    edges = keys.repartition(n, "part").sortWithinPartitions("part", "set", "doc").mapInArrow(_neighbours, LINKS)
-    clusters = components(edges)
+    rows, classes, clusters = _candidates(docs, k, share)
     sizes = classes.select("rep", "n").groupBy("rep").agg(F.sum("n").alias("n"))
     members = written(clusters.join(sizes, F.col("node") == F.col("rep")).select(F.col("root").alias("cluster"), F.col("node").alias("member"), "n"), "join-members")
     loads = members.groupBy("cluster").agg(F.count("*").alias("sets"), F.sum("n").alias("load"))
@@ -430,6 +441,75 @@ def _large_clusters(docs: DataFrame, large: DataFrame, k: int, share: tuple[int,
     return found.unionByName(crossed)
 
 
+def _named_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """(doc, set, check, shingles) of rows (doc, text)."""
+    for piece in pieces(batches, "text"):
+        rows, hashed, n = _sets(piece.column(1), k)
+        one, two = _prints(rows, hashed, n)
+        cuts = np.concatenate([[0], np.cumsum(n)]).tolist()
+        sets = pa.array([hashed[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
+        yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(one), pa.array(two), sets], names=["doc", "set", "check", "shingles"])
+
+
+def _tally(batches: Iterator[pa.RecordBatch], share: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """(set, check, links): the copies of the sets that a set is similar to in its unit; the input is sorted by unit.
+
+    Sets of side 2 meet all of their unit, sets of sides 0 and 1 only each other.
+    """
+
+    def rows() -> Iterator[tuple]:
+        for b in batches:
+            yield from zip(*(b.column(c).to_pylist() for c in ("unit", "side", "set", "check", "copies", "shingles")), strict=True)
+
+    for _, own in groupby(rows(), key=lambda r: r[0]):
+        members = list({(r[2], r[3]): r for r in own}.values())
+        sets = [np.frombuffer(r[5], np.uint64) for r in members]
+        order = sorted(range(len(sets)), key=lambda i: (int(sets[i][0]), len(sets[i])))
+        members, sets = [members[i] for i in order], [sets[i] for i in order]
+        side, copies, found = np.array([r[1] for r in members]), [r[4] for r in members], [0] * len(members)
+        tree = SignatureTree(sets)
+        for i, j in tree.pairs(share):
+            meet = (side[i] != side[j]) | (side[i] == 2)
+            for a, b in zip(i[meet].tolist(), j[meet].tolist(), strict=True):
+                if tree.similar(a, b, share):
+                    found[a] += copies[b]
+                    found[b] += copies[a]
+        yield pa.RecordBatch.from_arrays([pa.array([r[2] for r in members], pa.int64()), pa.array([r[3] for r in members], pa.int64()), pa.array(found, pa.int64())], names=["set", "check", "links"])
+    release_memory()
+
+
+def link_counts(df: DataFrame, k: int = 3, share: tuple[int, int] = (9, 10), most: int = 2048, memory: int = 24 << 20) -> DataFrame:
+    """(doc_id, n_shingles, n_links) of each row of (doc_id, text): the number of other rows that it links with.
+
+    Sets, links and bounds are those of similar_groups, but every pair of a cluster that the
+    signature trees leave is verified, also where both are in one component already; no pair
+    is sent out. Clusters beyond a task are cut into blocks, and each block meets each: that
+    is quadratic in a cluster's different sets, as the links themselves are. Equal sets are
+    one set with a number of copies.
+
+    Null, empty and blank texts link with nothing: 0. Rows that repeat an id or a text count
+    one by one. Null doc_id shows as null. Empty table: no rows. Other columns are ignored.
+    """
+    spark = df.sparkSession
+    docs = df.select(id_key().alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows, classes, clusters = _candidates(docs, k, share)
+    members = written(classes.join(clusters, F.col("rep") == F.col("node")).select(F.col("root").alias("cluster"), "rep", "set", "check", "n", "copies"), "links-members")
+    blocks = F.when((F.count("*") > most) | (8 * F.sum("n") > memory), F.ceil(F.greatest(2 * F.count("*") / most, 16 * F.sum("n") / memory))).otherwise(1).cast("long")
+    loads = members.groupBy(F.col("cluster").alias("c")).agg(F.count("*").alias("sets"), blocks.alias("blocks")).where("sets > 1")
+    own = F.pmod("set", "blocks")
+    units = members.join(loads, F.col("cluster") == F.col("c")).withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
+    units = units.select(F.xxhash64("cluster", F.least("block", "other"), F.greatest("block", "other")).alias("unit"), side.alias("side"), F.col("rep").alias("member"), F.col("set").alias("set_"), F.col("check").alias("check_"), "copies", "n")
+    sets = among(docs, ["doc"], members.select("rep").distinct(), ["rep"]).select("doc", "text").mapInArrow(lambda b: _named_sets(b, k), "doc long, set long, check long, shingles binary")
+    dealt = sets.join(units, (F.col("doc") == F.col("member")) & (F.col("set") == F.col("set_")) & (F.col("check") == F.col("check_")))
+    n = parts(spark, 8 * (units.agg(F.sum("n")).first()[0] or 0), 48 << 20)
+    dealt = dealt.select("unit", "side", "set", "check", "copies", "shingles").repartition(n, "unit").sortWithinPartitions("unit", "set", "check")
+    counted = dealt.mapInArrow(lambda b: _tally(b, share), "set long, check long, links long").groupBy("set", "check").agg(F.sum("links").alias("links"))
+    counted = classes.join(counted, ["set", "check"], "left").select(F.col("n").alias("n_"), F.col("set").alias("set_"), F.col("check").alias("check_"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    out = rows.join(counted, (F.col("n") == F.col("n_")) & (F.col("set") == F.col("set_")) & (F.col("check") == F.col("check_")), "left")
+    return out.select(F.nullif("doc", F.lit(NO_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("links", F.lit(0).cast("long")).alias("n_links"))
+
+
 def drop_similar(df: DataFrame, k: int = 5, share: tuple[int, int] = (8, 10)) -> DataFrame:
     """The rows of ``df``, all columns, whose doc_id is the smallest of its group of similar rows (see similar_groups).
 

@@ -120,13 +120,17 @@ def test_prefix_loser_tree_merges_and_knows_shared_prefixes():
         assert all(b[0] == suffix_dedup.shared_prefix(a[1], b[1]) for a, b in zip(merged, merged[1:], strict=False))
 
 
-def brute_components(rows, k, p, q):
+def shingle_sets(rows, k):
     def shingles(t):
         w = re.split(SEP + "+", (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
         w = [x for x in w if x]
         return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
 
-    sets = [(low(i), shingles(t)) for i, t in rows]
+    return [(low(i), shingles(t)) for i, t in rows]
+
+
+def brute_components(rows, k, p, q):
+    sets = shingle_sets(rows, k)
     root = {i: i for i, _ in sets}
     changed = True
     while changed:
@@ -146,8 +150,18 @@ def test_similar_groups(spark, k, p, q, most):
     assert sorted((low(r.doc_id), r.n_shingles, low(r.component_id)) for r in got) == brute_components(rows, k, p, q)
 
 
+@pytest.mark.parametrize(("k", "p", "q", "most"), [(3, 9, 10, 4096), (2, 7, 10, 4096), (2, 6, 10, 6)])
+def test_link_counts(spark, k, p, q, most):
+    rows = [*corpus(5, n=80), (5, "yet another text of five"), (2, "yet another text of five")]
+    sets = shingle_sets(rows, k)
+    want = sorted((i, len(a), sum(bool(x != y and a and b and q * len(a & b) >= p * len(a | b)) for y, (_, b) in enumerate(sets))) for x, (i, a) in enumerate(sets))
+    got = ngram_join.link_counts(documents(spark, rows).repartition(3), k, (p, q), most=most).collect()
+    assert sorted((low(r.doc_id), r.n_shingles, r.n_links) for r in got) == want
+
+
 def test_similar_groups_of_an_empty_table(spark):
     assert ngram_join.similar_groups(documents(spark, [])).count() == 0
+    assert ngram_join.link_counts(documents(spark, [])).count() == 0
 
 
 def test_drop_similar_keeps_columns_and_one_of_each_group(spark):
