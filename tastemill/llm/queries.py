@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tastemill.llm import decontamination, exact_dedup, ngram_join, packing, pii, quality, substring_dedup, suffix_dedup, token_counts, warc
+from tastemill.llm import decontamination, exact_dedup, ngram_join, packing, pii, quality, simhash, substring_dedup, suffix_dedup, token_counts, warc
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,7 @@ QUERIES = {
         quality.op8_quality,
         suffix_dedup.op9_suffix_dedup,
         packing.op10_packing,
+        simhash.op11_simhash,
     )
 }
 ORACLES: dict[str, str] = {
