@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tastemill.llm import decontamination, exact_dedup, ngram_join, packing, pii, quality, simhash, substring_dedup, suffix_dedup, token_counts, warc
+from tastemill.llm import conversation_trie, decontamination, exact_dedup, ngram_join, packing, pii, quality, simhash, substring_dedup, suffix_dedup, token_counts, warc
 
 QUERIES = {
     f.__name__: f
@@ -18,6 +18,7 @@ QUERIES = {
         suffix_dedup.op9_suffix_dedup,
         packing.op10_packing,
         simhash.op11_simhash,
+        conversation_trie.op12_conversation_trie,
     )
 }
 ORACLES: dict[str, str] = {
@@ -26,4 +27,5 @@ ORACLES: dict[str, str] = {
     "op4_warc": warc.ORACLE,
     "op6_ngram_join": ngram_join.ORACLE,
     "op7_decontamination": decontamination.ORACLE,
+    "op12_conversation_trie": conversation_trie.ORACLE,
 }
