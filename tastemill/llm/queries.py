@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tastemill.llm import conversation_trie, decontamination, exact_dedup, ngram_join, packing, pii, quality, simhash, substring_dedup, suffix_dedup, token_counts, warc
+from tastemill.llm import conversation_trie, decontamination, exact_dedup, hard_negatives, ngram_join, packing, pii, quality, simhash, substring_dedup, suffix_dedup, token_counts, warc
 
 QUERIES = {
     f.__name__: f
@@ -19,6 +19,7 @@ QUERIES = {
         packing.op10_packing,
         simhash.op11_simhash,
         conversation_trie.op12_conversation_trie,
+        hard_negatives.op13_hard_negatives,
     )
 }
 ORACLES: dict[str, str] = {
@@ -28,4 +29,5 @@ ORACLES: dict[str, str] = {
     "op6_ngram_join": ngram_join.ORACLE,
     "op7_decontamination": decontamination.ORACLE,
     "op12_conversation_trie": conversation_trie.ORACLE,
+    "op13_hard_negatives": hard_negatives.ORACLE,
 }
