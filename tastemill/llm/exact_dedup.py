@@ -177,8 +177,8 @@ def drop_copies(df: DataFrame) -> DataFrame:
     """The rows of ``df``, all columns, that stay: one of each group of equal texts (see exact_groups).
 
     Null, empty and blank texts are one group, of which one row stays. Null doc_id is smaller
-    than any other. Of rows that repeat an id and a text, one stays; which of them, if other
-    columns differ, is not defined. Empty table: no rows. Columns may have any names.
+    than any other. Of rows that repeat an id and a text without white space, one with
+    the longest original stays; which of them, if several are as long, is not defined. Empty table: no rows. Columns may have any names.
     """
     groups = exact_groups(df.select("doc_id", "text")).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("gone_id"), F.col("text_sha256").alias("gone_digest"), "kept")
     gone = groups.groupBy("gone_id", "gone_digest").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
@@ -187,8 +187,9 @@ def drop_copies(df: DataFrame) -> DataFrame:
     rows = df.select(id_key().alias("id"), digest.alias("digest"), every_column(df).alias("row"))
     stay, asked = split_listed(rows, ["id", "digest"], gone, ["gone_id", "gone_digest"])
     own = asked.join(gone.hint("merge"), (F.col("id") == F.col("gone_id")) & (F.col("digest") == F.col("gone_digest")), "left")
-    # rows that repeat id and text are all listed: one of them stays
-    own = own.where("kept is null or kept").dropDuplicates(["id", "digest"])
+    # rows that repeat an id and a text without white space are all listed: the longest original stays
+    size = F.length(F.coalesce(F.col("row.text").cast("string"), F.lit("")))
+    own = own.where("kept is null or kept").groupBy("id", "digest").agg(F.max_by("row", size).alias("row"))
     return stay.select("row").unionByName(own.select("row")).select("row.*")
 
 

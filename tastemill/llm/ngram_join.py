@@ -72,7 +72,7 @@ class Parting:
     every set is dealt once with the class above and once with the one below. Two similar
     sets of a pair of classes differ in at most ``differ`` shingles, so of ``parts`` parts at
     least parts - differ are equal. Parts with fewer than ``strong`` shingles say little. A
-    set with fewer than parts - differ of them can leave them out: one of its equal parts
+    set with at least differ + 1 strong parts can leave them out: one of its equal parts
     is strong. It also needs no more than its first differ + 1 strong parts: the first one
     that is equal in both sets has at most ``differ`` others before it in either. ``parts`` is chosen so that sets usually can.
     """
@@ -112,8 +112,13 @@ class Parting:
         return int(self.strong[self.differ > 8].min(initial=4))
 
 
-def _part_keys(batches: Iterator[pa.RecordBatch], k: int, parting: Parting, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Keys of the parts of each set. Very frequent shingles belong to no part: what sets differ by gets no more."""
+def _part_keys(batches: Iterator[pa.RecordBatch], k: int, parting: Parting, hot: np.ndarray, share: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """Keys of the parts of each set. Very frequent shingles belong to no part: what sets differ by gets no more.
+
+    A set with few strong parts sends all that hold a shingle. Two such sets may be equal in
+    empty parts alone, which say nothing: a set that has one also sends its first shingles,
+    as many as similar sets need to share one, in an order with very frequent ones last.
+    """
     bounds = np.array(parting.bounds)
     for piece in pieces(batches, "text", 2 << 20):
         rows, hashed, n = _sets(piece.column(1), k)
@@ -127,10 +132,11 @@ def _part_keys(batches: Iterator[pa.RecordBatch], k: int, parting: Parting, hot:
         sent[order[first]] = True
         sent &= n > 0
         own = sent[rows]
+        common = np.zeros(len(hashed), dtype=bool)
         if len(hot):
-            at = np.minimum(np.searchsorted(hot, hashed), len(hot) - 1)
-            own &= hot[at] != hashed
-        rows, hashed = rows[own], hashed[own]
+            common = hot[np.minimum(np.searchsorted(hot, hashed), len(hot) - 1)] == hashed
+        every_row, every_shingle, last = rows[own], hashed[own], common[own]
+        rows, hashed = rows[own & ~common], hashed[own & ~common]
         place, value = mix(hashed, 21) >> np.uint64(32), mix(hashed, 22)
         upper = np.searchsorted(bounds, n, "right") - 1
         keys, sets, docs = [], [], []
@@ -145,19 +151,34 @@ def _part_keys(batches: Iterator[pa.RecordBatch], k: int, parting: Parting, hot:
             sums = np.zeros(total, dtype=np.uint64)
             np.add.at(sums, at, value[mine])
             row = np.repeat(np.arange(len(n)), number)
-            strong = np.bincount(at, minlength=total) >= parting.strong[pair[row]]
+            held = np.bincount(at, minlength=total)
+            strong = held >= parting.strong[pair[row]]
             least = parting.differ[np.maximum(pair, 0)] + 1
             plenty = np.bincount(row, strong, minlength=len(n)) >= least
             count = np.concatenate([[0], np.cumsum(strong)])
             early = count[1:] - count[base[row]] <= least[row]
-            emit = np.flatnonzero(strong & early | ~plenty[row])
+            emit = np.flatnonzero(strong & early | ~plenty[row] & (held > 0))
             name = (pair[row[emit]] << 32).astype(np.uint64) + (emit - base[row[emit]]).astype(np.uint64)
-            keys.append(mix(sums[emit] + mix(name, 23), 24).astype(np.int64))
-            sets.append(one[row[emit]])
-            docs.append(doc[row[emit]])
+            empty = (np.bincount(row, held == 0, minlength=len(n)) > 0) & ~plenty
+            first_row, first_shingle = _first_shingles(every_row, every_shingle, last, np.where(empty, n - (-(-share[0] * n // share[1])) + 1, 0))
+            first_name = (pair[first_row] << 32).astype(np.uint64) + np.uint64(1 << 31)
+            keys += [mix(sums[emit] + mix(name, 23), 24).astype(np.int64), mix(mix(first_shingle, 22) + mix(first_name, 23), 24).astype(np.int64)]
+            sets += [one[row[emit]], one[first_row]]
+            docs += [doc[row[emit]], doc[first_row]]
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (keys, sets, docs)], names=["part", "set", "doc"])
 
 
+def _first_shingles(rows: np.ndarray, hashed: np.ndarray, last: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, shingle) of the first ``wanted`` shingles of each row, those marked ``last`` at the end, the others by a hash."""
+    own = wanted[rows] > 0
+    rows, hashed, last = rows[own], hashed[own], last[own]
+    order = np.lexsort((mix(hashed, 25), last, rows))
+    rows, hashed = rows[order], hashed[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    first = place < wanted[rows]
+    return rows[first], hashed[first]
+
+
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links between the classes of each part, from one to the next; the input is sorted by (part, set, doc).
 
@@ -361,7 +382,7 @@ def _candidates(docs: DataFrame, k: int, share: tuple[int, int]) -> tuple[DataFr
     largest, tokens = rows.agg(F.max("n"), F.sum("n")).first()
     parting = Parting(share, int(largest or 1))
     hot = _hot(docs, k, rows) if parting.weakest < 3 else np.zeros(0, np.uint64)
-    keys = docs.mapInArrow(lambda b: _part_keys(b, k, parting, hot), PARTS)
+    keys = docs.mapInArrow(lambda b: _part_keys(b, k, parting, hot, share), PARTS)
     n = parts(docs.sparkSession, 24 * (tokens or 0) * 5 * (share[1] - share[0]) / share[1] / 2)
     edges = keys.repartition(n, "part").sortWithinPartitions("part", "set", "doc").mapInArrow(_neighbours, LINKS)
     return rows, classes, components(edges)
@@ -402,9 +423,9 @@ def similar_groups(df: DataFrame, k: int = 3, share: tuple[int, int] = (9, 10),
 
 
 def _hot(docs: DataFrame, k: int, rows: DataFrame) -> np.ndarray:
-    """Shingles of more than a thousandth of all documents: a bounded list, whatever the corpus."""
+    """Shingles of more than a thousandth of all documents, the most frequent 65,536 at most: which ones they are changes no link."""
     counted = docs.mapInArrow(lambda b: _frequent(b, k), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    often = counted.where(F.col("key").isNotNull() & (F.col("n") > max(8, rows.count() // 1000))).select("key").collect()
+    often = counted.where(F.col("key").isNotNull() & (F.col("n") > max(8, rows.count() // 1000))).orderBy(F.desc("n"), "key").limit(1 << 16).select("key").collect()
     return np.sort(np.array([r[0] for r in often], dtype=np.int64).astype(np.uint64))
 
 

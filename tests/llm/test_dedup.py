@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tests.llm.conftest import documents
 
@@ -181,3 +182,42 @@ def test_hot_grams_of_either_top_bit_are_demoted():
         low = h & ((1 << 31) - 1)
         _, _, anchor, gram = suffix_dedup._anchors(text, offsets, length, q, np.array([low], dtype=np.uint64))
         assert low not in gram.tolist() and h not in hashes[anchor].tolist()
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_the_longest_original_of_one_id_stays(spark, turned):
+    rows = [(1, "ab"), (1, "a  b"), (2, "a b"), (None, "x"), (None, " x "), (3, "y")]
+    kept = exact_dedup.drop_copies(documents(spark, rows[::-1] if turned else rows).coalesce(1)).collect()
+    assert sorted((low(r.doc_id), r.text) for r in kept) == [(low(None), " x "), (1, "a  b"), (3, "y")]
+
+
+@pytest.mark.parametrize(("k", "share"), [(5, (8, 10)), (3, (9, 10))])
+def test_unrelated_short_texts_share_no_key(spark, k, share):
+    """Sets with few strong parts or empty ones are no candidates of sets that they share nothing with."""
+    rng = random.Random(7)
+    df = documents(spark, [(i, " ".join(f"{i}x{rng.random()}" for _ in range(9 if i % 2 else 12))) for i in range(20_000)])
+    assert ngram_join._candidates(df.selectExpr("doc_id AS doc", "text"), k, share)[2].count() == 0
+
+
+@pytest.mark.parametrize(("k", "share"), [(5, (8, 10)), (3, (9, 10)), (1, (5, 10))])
+def test_short_sets_lose_no_link(spark, monkeypatch, k, share):
+    """Small sets, many of them with empty parts, with and without very frequent shingles."""
+    rng, rows = random.Random(11), []
+    for i in range(150):
+        words = [f"w{rng.randrange(30)}" for _ in range(rng.randint(k + 1, k + 14))]
+        rows.append((10 * i, " ".join(words)))
+        rows.append((10 * i + 1, " ".join([*words, "tail"])))
+        rows.append((10 * i + 2, " ".join(words[1:])))
+    sets = {i: {tuple(w[j : j + k]) for w in [t.split()] for j in range(len(w) - k + 1)} or {tuple(t.split())} for i, t in rows}
+    label = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            if i < j and share[1] * len(sets[i] & sets[j]) >= share[0] * len(sets[i] | sets[j]) and label[i] != label[j]:
+                a, b = label[i], label[j]
+                label = {x: min(a, b) if v in (a, b) else v for x, v in label.items()}
+    out = ngram_join.similar_groups(documents(spark, rows), k, share).collect()
+    assert {r.doc_id: r.component_id for r in out} == label
+    common = np.sort(np.array([h for t in ("w1", "w2", "tail") for h in ngram_join._sets(pa.array([t]), 1)[1]], dtype=np.uint64))
+    monkeypatch.setattr(ngram_join, "_hot", lambda *a: common if k == 1 else np.zeros(0, np.uint64))
+    out = ngram_join.similar_groups(documents(spark, rows), k, share).collect()
+    assert {r.doc_id: r.component_id for r in out} == label
