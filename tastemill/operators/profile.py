@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, NumericType, StringType
 
-from tastemill.operators.ranks import quantile_bucket
+from tastemill.operators.dependence import distance_pairs
+from tastemill.operators.ranks import running
 
 CONSTRAINTS = "feature string, type string, min_fraction double, min_count long, shape int, domain array<string>"
 
@@ -20,20 +22,17 @@ def frequencies(df: DataFrame, *columns: str) -> DataFrame:
 def exact_percentiles(df: DataFrame, value: str, ps: list[float], by: tuple[str, ...] = (), name: str = "q") -> DataFrame:
     """(*by, n, ``name``): exact percentiles (shares ps) of each group's values with linear interpolation, as an array; n counts the values.
 
-    Equal values are counted first; the counts are summed up inside ordered buckets and
-    shifted by the sizes of the buckets before, so no buffer holds a group's values.
+    Equal values are counted first, once; the counts are summed up in the order of the values
+    (see ranks.running), so no buffer holds a group's values.
     """
     groups = [f"__g{i}" for i in range(len(by))]
     keys = [F.col(c).alias(g) for c, g in zip(by, groups, strict=True)]
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__n"))
-    counts = counts.withColumn("__b", quantile_bucket(counts, "__v", 64))
-    # at most 64 rows for each group
-    sizes = counts.groupBy(*groups, "__b").agg(F.sum("__n").alias("__s"))
-    w = Window.partitionBy(*groups)
-    sizes = sizes.select(*(F.col(g).alias(f"{g}_") for g in groups), F.col("__b").alias("__b_"), (F.sum("__s").over(w.orderBy("__b")) - F.col("__s")).alias("__before"), F.sum("__s").over(w).alias("__total"))
-    same = [F.col(g).eqNullSafe(F.col(f"{g}_")) for g in groups] + [F.col("__b") == F.col("__b_")]
-    inside = F.sum("__n").over(Window.partitionBy(*groups, "__b").orderBy("__v"))
-    rows = counts.withColumn("__end", inside).join(sizes, same).withColumn("__end", F.col("__end") + F.col("__before"))
+    placed = running(counts, [*groups, "__v"], {"__before": F.col("__n")})
+    sizes = placed.groupBy(*(F.col(g).alias(f"{g}_") for g in groups)).agg(F.min("__before").alias("__start"), F.sum("__n").alias("__total"))
+    # without groups there is one row of sizes
+    rows = placed.join(sizes, [F.col(g).eqNullSafe(F.col(f"{g}_")) for g in groups]) if groups else placed.crossJoin(F.broadcast(sizes))
+    rows = rows.withColumn("__end", F.col("__before") - F.col("__start") + F.col("__n"))
     first, found = F.col("__end") - F.col("__n"), []
     for i, p in enumerate(ps):
         at = F.lit(p) * (F.col("__total") - 1)
@@ -96,46 +95,14 @@ def cooccurrence(df: DataFrame, items: str) -> DataFrame:
     return pairs.groupBy("item_a", "item_b").agg(F.count("*").alias("n"))
 
 
-def distance_correlation(df: DataFrame, x: str, y: str, grid: int | None = None, block: int = 2000) -> DataFrame:
-    """(x, y, n, cells, dcov, dcor) of two numeric columns.
-
-    Rows are first counted by distinct pair; the double sums over pairs of cells then weigh
-    counts instead of rows, in blocks of about ``block`` cells against blocks. Only on
-    request are both columns put on an even ``grid`` first, which makes the result approximate.
-    """
-    cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(F.count("*").alias("w"))
-    if grid:
-        lo, hi, lo2, hi2 = (v or 0.0 for v in cells.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first())
-        snap = lambda c, a, b: F.lit(a) + F.least(F.floor((F.col(c) - a) / max((b - a) / grid, 1e-300)), F.lit(grid - 1)) * ((b - a) / grid)
-        cells = cells.groupBy(snap("x", lo, hi).alias("x"), snap("y", lo2, hi2).alias("y")).agg(F.sum("w").alias("w"))
-    n_cells = cells.count()
-    blocks = max(1, -(-n_cells // block))
-    mine, every = F.pmod(F.xxhash64("x", "y"), F.lit(blocks)), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    other = cells.select(F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("w").alias("w2")).withColumns({"j2": F.pmod(F.xxhash64("x2", "y2"), F.lit(blocks)), "i2": every})
-    pairs = cells.withColumns({"i": mine, "j": every}).join(other, (F.col("i") == F.col("i2")) & (F.col("j") == F.col("j2")))
-    pairs = pairs.select("x", "y", "w", "w2", F.abs(F.col("x") - F.col("x2")).alias("a"), F.abs(F.col("y") - F.col("y2")).alias("b"))
-    row = pairs.groupBy("x", "y", "w").agg(F.sum(F.col("w2") * F.col("a")).alias("ra"), F.sum(F.col("w2") * F.col("b")).alias("rb"), *(F.sum(F.col("w2") * F.col(p) * F.col(q)).alias(p + q) for p, q in (("a", "b"), ("a", "a"), ("b", "b"))))
-    w = F.col("w")
-    s = row.agg(F.sum("w").alias("n"), *(F.sum(w * F.col(c)).alias(f"s_{c}") for c in ("ra", "rb", "ab", "aa", "bb")), *(F.sum(w * F.col(p) * F.col(q)).alias(f"m_{p[1]}{q[1]}") for p, q in (("ra", "rb"), ("ra", "ra"), ("rb", "rb"))))
-
-    def cov(p: str, q: str) -> Column:
-        n = F.col("n").cast("double")
-        return F.col(f"s_{p}{q}") / n**2 - 2 * F.col(f"m_{p}{q}") / n**3 + F.col(f"s_r{p}") * F.col(f"s_r{q}") / n**4
-
-    ab, aa, bb = cov("a", "b"), cov("a", "a"), cov("b", "b")
-    zero = lambda c: F.greatest(c, F.lit(0.0))
-    dcor = F.coalesce(F.sqrt(F.try_divide(zero(ab), F.nullif(F.sqrt(zero(aa) * zero(bb)), F.lit(0.0)))), F.lit(0.0))
-    return s.select(F.lit(x).alias("x"), F.lit(y).alias("y"), "n", F.lit(n_cells).alias("cells"), F.sqrt(zero(ab)).alias("dcov"), dcor.alias("dcor"))
+def distance_correlation(df: DataFrame, x: str, y: str, grid: int | None = None) -> DataFrame:
+    """(x, y, n, cells, dcov, dcor) of two numeric columns (see dependence.distance_pairs)."""
+    return distance_pairs(df, [(x, y)], grid)
 
 
 def distance_matrix(df: DataFrame, columns: list[str], grid: int | None = None) -> DataFrame:
-    """distance_correlation of every pair of columns, the earlier one as x."""
-    out = None
-    for i, x in enumerate(columns):
-        for y in columns[i + 1 :]:
-            one = distance_correlation(df, x, y, grid)
-            out = one if out is None else out.unionByName(one)
-    return out
+    """The same for every pair of columns, the earlier one as x, all pairs in the same jobs."""
+    return distance_pairs(df, list(combinations(columns, 2)), grid)
 
 
 def independence(df: DataFrame, x: str, y: str, threshold: float = 3.841459, grid: int | None = None) -> DataFrame:

@@ -5,40 +5,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tastemill.sources.folders import kept
+
 
 def shared_hash(value: Column, seed: int = 0) -> Column:
     """A 32-bit multiplicative hash of an integer column, in plain integer arithmetic."""
     return F.pmod(F.pmod(value, F.lit(2147483647)).cast("long") * 2654435761 + seed * 40503, F.lit(4294967296))
 
 
-def quantile_bucket(df: DataFrame, column: str, n: int) -> Column:
-    """A bucket number that grows with a numeric column; about n even buckets."""
-    cuts = sorted(set(df.approxQuantile(column, [i / n for i in range(1, n)], 1 / (4 * n)))) if n > 1 else []
-    out = F.lit(0)
-    for c in cuts:
-        out = out + (F.col(column) > c).cast("int")
-    return out
+#: rows of a sorted range
+RANGE = 1 << 20
 
 
-def global_row_number(df: DataFrame, order_by: list[str], bucket: Column | None = None, offset: int = 0, name: str = "rn", buckets: int = 64) -> DataFrame:
-    """Dense numbers from offset + 1 in the order of ``order_by``, whose last column makes it unique.
+def running(df: DataFrame, order_by: list[str], sums: dict[str, Column] | None = None, each: int = RANGE, cheap: bool = False) -> DataFrame:
+    """Adds ``__rn``, the rows before a row, and for each of ``sums`` its total over those rows; the order must be unique.
 
-    ``bucket`` must not decrease along the order. Rows are numbered inside their bucket and
-    shifted by the sizes of the buckets before it, so each task sorts one bucket.
+    The frame is kept once (``cheap``: it is read or counted anew instead), counted, and cut into ranges of about ``each`` rows by all columns
+    of the order, so that many equal first columns are cut too. Each range is sorted by a
+    task and shifted by the ranges before it, of which there is one row for each.
     """
-    if bucket is None:
-        bucket = quantile_bucket(df, order_by[0], buckets)
-    rows = df.withColumn("__bucket", bucket)
-    sizes = rows.groupBy("__bucket").agg(F.count("*").alias("__size"))
-    # one row for each bucket: this window is over a small table
-    before = sizes.select(F.col("__bucket").alias("__b"), (F.sum("__size").over(Window.orderBy("__bucket")) - F.col("__size")).alias("__before"))
-    inside = F.row_number().over(Window.partitionBy("__bucket").orderBy(*order_by))
-    numbered = rows.withColumn("__inside", inside).join(before, F.col("__bucket").eqNullSafe(F.col("__b")))
-    return numbered.withColumn(name, F.col("__inside") + F.col("__before") + offset).drop("__bucket", "__inside", "__b", "__before")
-
-
-def renumber(df: DataFrame, id_col: str, order_by: list[str], offset: int, bucket: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    rows, sums = df if cheap else kept(df, "running-input"), sums or {}
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // each))
+    dealt = kept(rows.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by).withColumn("__at", F.monotonically_increasing_id()), "running")
+    # the number of the partition is in the upper bits
+    part, inside = F.shiftrightunsigned("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
+    sizes = dealt.groupBy(part.alias("__part_")).agg(F.count("*").alias("__rn_"), *(F.sum(c).alias(f"{name}_") for name, c in sums.items()))
+    earlier = Window.orderBy("__part_").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("__part_", *(F.coalesce(F.sum(f"{c}_").over(earlier), F.lit(0)).alias(f"{c}_") for c in ("__rn", *sums)))
+    # a row for each million rows, so it can be sent to all tasks
+    out = dealt.withColumn("__part", part).join(F.broadcast(before), F.col("__part") == F.col("__part_")).withColumn("__rn", inside + F.col("__rn_"))
+    own = Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    for name, c in sums.items():
+        out = out.withColumn(name, F.coalesce(F.sum(c).over(own), F.lit(0)) + F.col(f"{name}_"))
+    return out.select(*df.columns, "__rn", *sums)
+
+
+def global_row_number(df: DataFrame, order_by: list[str], offset: int = 0, name: str = "rn") -> DataFrame:
+    """Dense numbers from offset + 1 in the order of ``order_by``, whose last columns make it unique."""
+    return running(df, order_by).select(*df.columns, (F.col("__rn") + 1 + offset).alias(name))
+
+
+def renumber(df: DataFrame, id_col: str, order_by: list[str], offset: int) -> tuple[DataFrame, DataFrame]:
     """(rows with new ids, mapping of new to old ids)."""
-    numbered = global_row_number(df, order_by, bucket, offset, "__new")
+    numbered = global_row_number(df, order_by, offset, "__new")
     mapping = numbered.select(F.col("__new").alias(id_col), F.col(id_col).alias(f"{id_col}_orig"))
     return numbered.withColumn(id_col, F.col("__new")).drop("__new"), mapping

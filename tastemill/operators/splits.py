@@ -51,13 +51,13 @@ def from_presplit(frames: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def time_split(df: DataFrame, fractions: dict[str, float], order_by: list[str], bucket: Column | None = None) -> DataFrame:
+def time_split(df: DataFrame, fractions: dict[str, float], order_by: list[str]) -> DataFrame:
     """Adds ``split`` by position in time: each split takes the floor of its share of what those before it leave.
 
     So of 19 rows at 0.8, 0.1, 0.1, train has 15, and val half of the other 4.
     """
     n = df.count()
-    numbered = global_row_number(df, order_by, bucket, name="__rn")
+    numbered = global_row_number(df, order_by, name="__rn")
     names, bound, left, split = list(fractions), 0, sum(fractions.values()), None
     for name in names[:-1]:
         bound += int((n - bound) * fractions[name] / left + 1e-9)
@@ -66,13 +66,13 @@ def time_split(df: DataFrame, fractions: dict[str, float], order_by: list[str],
     return numbered.withColumn("split", split.otherwise(names[-1])).drop("__rn")
 
 
-def time_user_split(df: DataFrame, order_by: list[str], test: float = 0.1, train_users: float = 0.8889, seed: int = 42, bucket: Column | None = None) -> DataFrame:
+def time_user_split(df: DataFrame, order_by: list[str], test: float = 0.1, train_users: float = 0.8889, seed: int = 42) -> DataFrame:
     """The last rows in time are test; of the other rows' users a seeded share is train, the rest val."""
     n = df.count()
-    numbered = global_row_number(df, order_by, bucket, name="__rn")
+    numbered = global_row_number(df, order_by, name="__rn")
     rest = numbered.where(F.col("__rn") <= int(n * (1 - test) + 1e-9))
     users = rest.select("user_id").distinct().withColumn("__h", shared_hash(F.col("user_id"), seed))
-    ranked = global_row_number(users, ["__h", "user_id"], F.floor(F.col("__h") / 16777216), name="__rank")
+    ranked = global_row_number(users, ["__h", "user_id"], name="__rank")
     chosen = ranked.select("user_id", (F.col("__rank") <= int(users.count() * train_users)).alias("__train"))
     split = F.when(F.col("__rn") > int(n * (1 - test) + 1e-9), "test").when(F.col("__train"), "train").otherwise("val")
     return numbered.join(chosen, "user_id", "left").withColumn("split", split).drop("__rn", "__train")
@@ -110,7 +110,7 @@ def single_genre_users(ratings: DataFrame, movies: DataFrame, users: DataFrame,
 def assign_batches(df: DataFrame, size: int, key: str, seed: int = 0) -> DataFrame:
     """Adds ``batch_id``: rows in a seeded order, cut into batches of ``size``."""
     rows = df.withColumn("__h", shared_hash(F.col(key), seed))
-    numbered = global_row_number(rows, ["__h", key], F.floor(F.col("__h") / 16777216), name="__rn")
+    numbered = global_row_number(rows, ["__h", key], name="__rn")
     return numbered.withColumn("batch_id", F.floor((F.col("__rn") - 1) / size)).drop("__rn", "__h")
 
 

@@ -10,7 +10,7 @@ from tastemill.functions.vocab import GENRES
 from tastemill.operators import joins, mining, models, popularity, profile, ranking, splits
 from tastemill.plans import fixtures
 from tastemill.plans.fixtures import TIES
-from tastemill.plans.relations import _day, _joined, query
+from tastemill.plans.relations import TIME_ORDER, _joined, query
 from tastemill.sources.folders import shared_path
 from tastemill.streaming import jobs
 
@@ -232,9 +232,7 @@ def dataset_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT CAST(floor((rn - 1) / 6000) AS bigint) AS chunk, count(*) AS n, round(sqrt(avg(pow(rating - 3.0::double, 2))), 6) AS rmse, round(avg(abs(rating - 3.0::double)), 6) AS mae, round(avg(pow(rating - 3.0::double, 2)), 6) AS mse FROM r GROUP BY 1""")
 def error_by_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tastemill.operators.ranks import global_row_number
-    from tastemill.plans.relations import TIME_ORDER
-
-    rows = global_row_number(fixtures.ratings(spark, sf_dir, True), TIME_ORDER, _day()).withColumns({"chunk": F.floor((F.col("rn") - 1) / 6000), "guess": F.lit(3.0)})
+    rows = global_row_number(fixtures.ratings(spark, sf_dir, True), TIME_ORDER).withColumns({"chunk": F.floor((F.col("rn") - 1) / 6000), "guess": F.lit(3.0)})
     return _round(ranking.error_metrics(rows, "rating", "guess", ("chunk",)), "rmse", "mae", "mse")
 
 
@@ -459,8 +457,6 @@ def approved_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def drift_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors expected on the second half in time, by chunk, from a model of the first half's errors."""
-    from tastemill.plans.relations import TIME_ORDER
-
     rows = models.halves(fixtures.ratings(spark, sf_dir, True).withColumns({"guess": F.lit(3.0), "hr_wk": fx.hour_of_week(F.col("timestamp")).cast("double")}), TIME_ORDER)
     analysis = models.chunked(rows.where("period = 'analysis'"), TIME_ORDER, 6000)
     return models.estimate_error(rows.where("period = 'reference'"), analysis, ["hr_wk", "movie_id"], "rating", "guess", trees=5)

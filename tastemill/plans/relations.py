@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tastemill.functions import features as fx
@@ -193,15 +193,11 @@ def group_frequency_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT r.user_id, m.movie_id, m.movie_id_orig, r.rating FROM fx_events r LEFT JOIN m ON m.movie_id_orig = r.movie_id""")
 def id_renumber(spark: SparkSession, sf_dir: str) -> DataFrame:
     movies = fixtures.movies(spark, sf_dir)
-    _, mapping = ranks.renumber(movies, "movie_id", ["title", "movie_id"], 6040, F.substring("title", 1, 2))
+    _, mapping = ranks.renumber(movies, "movie_id", ["title", "movie_id"], 6040)
     return fixtures.events(spark, sf_dir).withColumnRenamed("movie_id", "movie_id_orig").join(mapping, "movie_id_orig", "left").select("user_id", "movie_id", "movie_id_orig", "rating")
 
 
 
-def _day() -> Column:
-    return F.floor(F.col("timestamp") / 86400)
-
-
 _RN = """
 , r AS (SELECT *, row_number() OVER (ORDER BY timestamp, user_id, movie_id, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS rn, count(*) OVER () AS n FROM fx_ratings)"""
 _KEYS = "user_id, movie_id, rating, timestamp, l_orderkey, l_linenumber, l_suppkey"
@@ -211,7 +207,7 @@ _COLUMNS = [c.strip() for c in _KEYS.split(",")]
 @query(_RN + f"""
 SELECT {_KEYS}, CASE WHEN rn <= floor(n * 0.8) THEN 'train' WHEN rn <= floor(n * 0.8) + floor((n - floor(n * 0.8)) / 2) THEN 'val' ELSE 'test' END AS split FROM r""")
 def time_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = splits.time_split(fixtures.ratings(spark, sf_dir, True), {"train": 0.8, "val": 0.1, "test": 0.1}, TIME_ORDER, _day())
+    out = splits.time_split(fixtures.ratings(spark, sf_dir, True), {"train": 0.8, "val": 0.1, "test": 0.1}, TIME_ORDER)
     return out.select(*_COLUMNS, "split")
 
 
@@ -219,7 +215,7 @@ def time_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 , u AS (SELECT user_id, row_number() OVER (ORDER BY (user_id % 2147483647 * 2654435761 + 42 * 40503) % 4294967296, user_id) AS k, count(*) OVER () AS nu FROM (SELECT DISTINCT user_id FROM r WHERE rn <= floor(n * 0.9)))
 SELECT {_KEYS}, CASE WHEN rn > floor(n * 0.9) THEN 'test' WHEN k <= floor(nu * 0.8889) THEN 'train' ELSE 'val' END AS split FROM r LEFT JOIN u USING (user_id)""")
 def user_time_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.time_user_split(fixtures.ratings(spark, sf_dir, True), TIME_ORDER, bucket=_day()).select(*_COLUMNS, "split")
+    return splits.time_user_split(fixtures.ratings(spark, sf_dir, True), TIME_ORDER).select(*_COLUMNS, "split")
 
 
 @query(f"""
@@ -350,7 +346,7 @@ SELECT 6040 + row_number() OVER (ORDER BY title, movie_id) AS movie_id, movie_id
 def roundtrip_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mapping of renumbered movies, written as text and read back."""
     path = shared_path(spark, "mapping")
-    _, mapping = ranks.renumber(fixtures.movies(spark, sf_dir), "movie_id", ["title", "movie_id"], 6040, F.substring("title", 1, 2))
+    _, mapping = ranks.renumber(fixtures.movies(spark, sf_dir), "movie_id", ["title", "movie_id"], 6040)
     sinks.write_mapping(mapping, path)
     spec = delimited.SourceSpec("movies", path, (("movie_id", int), ("movie_id_orig", int)), sep=",", header=True)
     return delimited.read_delimited(spark, spec)

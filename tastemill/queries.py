@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tastemill.plans import analysis, relations
+from tastemill.plans import analysis, relations, study
 
-# both modules register where relations keeps the tables
+# all modules register where relations keeps the tables
 QUERIES = relations.QUERIES
 ORACLES = relations.ORACLES
 
-__all__ = ["ORACLES", "QUERIES", "analysis"]
+__all__ = ["ORACLES", "QUERIES", "analysis", "study"]

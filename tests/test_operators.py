@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tastemill.operators import mining, models, popularity, profile, ranking, ranks, splits
+from tastemill.operators import dependence, mining, models, popularity, profile, ranking, ranks, splits, vertical
 from tastemill.plans import analysis, fixtures
 from tastemill.streaming import jobs
 
@@ -144,9 +144,7 @@ def test_profiles(spark):
     cov, va, vb = (max((center(p) * center(q)).mean(), 0) for p, q in ((a, b), (a, a), (b, b)))
     d = profile.distance_correlation(rows, "x", "y").first()
     assert d.dcov == pytest.approx(math.sqrt(cov)) and d.dcor == pytest.approx(math.sqrt(cov / math.sqrt(va * vb)))
-    for block in (7, 20):  # blocks of cells against blocks give the same
-        other = profile.distance_correlation(rows, "x", "y", block=block).first()
-        assert (other.n, other.cells) == (60, d.cells) and other.dcov == pytest.approx(d.dcov)
+    assert (d.n, d.cells) == (60, len({*zip(x, y, strict=True)}))
     assert profile.distance_correlation(rows, "x", "y", grid=4).first().cells <= 16
     matrix = {(r.x, r.y): r.dcor for r in profile.distance_matrix(rows.withColumn("z", F.lit(1.0)), ["x", "y", "z"]).collect()}
     assert matrix == {("x", "y"): pytest.approx(d.dcor), ("x", "z"): 0.0, ("y", "z"): 0.0}
@@ -158,6 +156,37 @@ def test_profiles(spark):
         profile.load_constraints('[{"type": "int"}]')
 
 
+def brute_dcor(x, y):
+    center = lambda m: m - m.mean(0) - m.mean(1)[:, None] + m.mean()
+    a, b = center(np.abs(x[:, None] - x)), center(np.abs(y[:, None] - y))
+    return math.sqrt((a * b).mean()), math.sqrt((a * b).mean() / math.sqrt((a * a).mean() * (b * b).mean()))
+
+
+def test_distance_correlation_of_continuous_columns(spark):
+    """Ranks, levels and cuts of a few points each give what all pairs give."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=400)
+    data = {"x": x, "y": x**2 + rng.normal(size=400), "few": np.round(x), "hot": np.where(rng.random(400) < 0.4, 7.0, rng.normal(size=400))}
+    rows = spark.createDataFrame(pd.DataFrame(data)).unionByName(spark.createDataFrame([(None, 1.0, 2.0, 3.0)], "x double, y double, few double, hot double"))
+    pairs = list(combinations(data, 2))
+    for run in (16, 1 << 16):
+        got = {(r.x, r.y): r for r in dependence.distance_pairs(rows, pairs, run=run).collect()}
+        for p, q in pairs:
+            assert (got[p, q].dcov, got[p, q].dcor) == pytest.approx(brute_dcor(data[p], data[q])) if p == "x" else got[p, q].n == 401
+
+
+def test_ranges_follow_the_number_of_rows(spark):
+    """Ranges are cut by every column of the order, so one common value does not stay whole."""
+    rows = spark.range(1000).select(F.lit(1).alias("a"), F.col("id").alias("b"), (F.col("id") % 3).alias("v"))
+    got = ranks.running(rows, ["a", "b"], {"before": F.col("v")}, each=50)
+    assert len(got.inputFiles()) >= 20
+    out = got.orderBy("b").collect()
+    assert [(r["__rn"], r.before) for r in out] == [(i, sum(j % 3 for j in range(i))) for i in range(1000)]
+    # percentiles work their input out once, however often the counts are read
+    plan = profile.box_stats(rows, "v", ["a"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Range (0, 1000" not in plan
+
+
 def test_itemsets_agree_with_cooccurrence(spark, tmp_path):
     rows = spark.createDataFrame([(u, i) for u in range(20) for i in range(6) if (u * 7 + i * 3) % 4], "user long, item long")
     baskets = mining.baskets(rows, "user", "item")
@@ -322,3 +351,48 @@ def test_top_k_of_empty_sides_and_constraints(spark):
     df = spark.createDataFrame([("a", 1, [1.0]), (None, 2, [1.0])], "s string, i int, v array<double>")
     got = {r.feature: (r.type, r.min_fraction, r.min_count, r.shape, r.domain) for r in profile.infer_constraints(df, 5).collect()}
     assert got == {"s": ("string", 0.5, 1, 1, ["a"]), "i": ("int", 1.0, 1, 1, None), "v": ("array", 1.0, 1, 1, None)}
+
+
+def test_vertical_sets_and_rules(spark):
+    """Against all subsets of each basket; owners past a word of 64, a repeated row, nulls, and a group of its own."""
+    rng = np.random.default_rng(3)
+    rows = [(g, f"u{u}", int(i)) for g in ("a", "b") for u in range(150) for i in np.unique(rng.integers(0, 7 if g == "a" else 12, rng.integers(1, 7)))]
+    df = spark.createDataFrame([*rows, rows[0], ("a", None, 1), ("a", "u1", None), (None, "u1", 3), (None, "u2", 3)], "g string, u string, i int")
+    for size in (None, 2):
+        want = {}
+        for g in ("a", "b", None):
+            baskets = {}
+            for h, u, i in [*rows, (None, "u1", 3), (None, "u2", 3)]:
+                if h == g:
+                    baskets.setdefault(u, set()).add(i)
+            for b in baskets.values():
+                for k in range(1, (size or 6) + 1):
+                    for s in combinations(sorted(b), k):
+                        want[g, s] = want.get((g, s), 0) + 1
+            want = {k: n for k, n in want.items() if k[0] != g or n >= 0.1 * len(baskets)}
+        sets = vertical.frequent_sets(df, ["g"], "u", "i", 0.1, size)
+        assert {(r.g, tuple(r["items"])): r.freq for r in sets.collect()} == want
+    alone = vertical.frequent_sets(df.where("g = 'a'"), [], "u", "i", 0.1, 2).collect()
+    assert {("a", tuple(r["items"])): r.freq for r in alone} == {k: n for k, n in want.items() if k[0] == "a"}
+    rules = vertical.set_rules(sets, ["g"], 0.3, 1).collect()
+    assert {(r.g, tuple(r.antecedent), r.consequent): r.confidence for r in rules} == {
+        (g, (x,), y): pytest.approx(want[g, s] / want[g, (x,)]) for (g, s) in want if len(s) == 2 for x, y in (s, s[::-1]) if want[g, s] / want[g, (x,)] >= 0.3
+    }
+    assert vertical.frequent_sets(df.where("false"), ["g"], "u", "i").count() == 0
+
+
+def test_vertical_sequences(spark):
+    """Against the subsequences of each owner, with repeated items and equal times."""
+    rng = np.random.default_rng(5)
+    rows = [(f"u{u}", t // 2, t, "abcd"[rng.integers(4)]) for u in range(40) for t in range(rng.integers(1, 8))]
+    df = spark.createDataFrame(rows, "u string, t int, k int, i string")
+    want = {}
+    for u in {r[0] for r in rows}:
+        items = [r[3] for r in sorted(rows, key=lambda r: r[1:]) if r[0] == u]
+        for s in {c for k in range(1, 8) for c in combinations(items, k)}:
+            want[s] = want.get(s, 0) + 1
+    got = vertical.frequent_sequences(df, [], "u", "i", ["t", "k"], 0.1).collect()
+    assert {tuple(r["items"]): r.freq for r in got} == {s: n for s, n in want.items() if n >= 4}
+    assert max(r.length for r in got) >= 3
+    short = vertical.frequent_sequences(df, [], "u", "i", ["t", "k"], 0.1, 2).collect()
+    assert max(r.length for r in short) == 2
