@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tastemill.functions.features import dot
+from tastemill.operators.retrieval import BLOCK, Search
 
 SCORES = "batch long, qid long, cid long, score double, weight double"
 QUERIES = "batch long, qid long, rank long, weight double, true_score double, max_score double, log_sum double, best long"
@@ -136,44 +137,6 @@ def quality_gate(metrics: DataFrame, thresholds: dict[str, float], baseline: Dat
     return out.withColumn("passed", F.col("value") >= F.col("bound"))
 
 
-TOP = "qid long, item long, score double"
-
-
-def top_k(queries: DataFrame, items: DataFrame, k: int, item_bytes: int = 64 << 20, bias: str | None = None) -> DataFrame:
-    """(qid, item, score, rank): the k items of largest inner product for each query.
-
-    queries: (qid, vector), items: (item, vector); ``bias`` names an item column that is
-    folded into the product. Both sides are dealt to blocks of about ``item_bytes``; every
-    block of items meets every block of queries in a task of its own, which keeps k a
-    query, and the blocks' winners are ranked by query. Ties go to the smaller item.
-    """
-    vector = F.col("vector").cast("array<double>")
-    wide = items.select(F.col("item").cast("long").alias("item"), (F.array_append(vector, F.col(bias).cast("double")) if bias else vector).alias("vector"))
-    q = queries.select(F.col("qid").cast("long").alias("qid"), (F.array_append(vector, F.lit(1.0)) if bias else vector).alias("vector"))
-
-    def blocks(df: DataFrame) -> int:
-        n, width = df.agg(F.count("*"), F.max(F.size("vector"))).first()
-        return max(1, -(-n * 8 * max(width or 0, 1) // item_bytes))
-
-    n_items, n_queries = blocks(wide), blocks(q)
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = q.withColumns({"b": F.pmod(F.xxhash64("qid"), F.lit(n_queries)).cast("int"), "a": every(n_items)}).groupBy("a", "b")
-    right = wide.withColumns({"a": F.pmod(F.xxhash64("item"), F.lit(n_items)).cast("int"), "b": every(n_queries)}).groupBy("a", "b")
-    found = left.cogroup(right).applyInArrow(lambda x, y: _best(x, y, k), TOP)
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "item"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
-def _best(q: pa.Table, items: pa.Table, k: int) -> pa.Table:
-    """The k best items of a block for each query of a block."""
-    items = items.sort_by("item")
-    rows = lambda t: t["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
-    names, qids, out = items["item"].to_numpy(), q["qid"].to_numpy(), []
-    if len(names) and len(qids):
-        matrix, asked = rows(items), rows(q)
-        for at in range(0, len(qids), 1024):
-            s = asked[at : at + 1024] @ matrix.T
-            best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            out.append((np.repeat(qids[at : at + 1024], best.shape[1]), names[best].ravel(), np.take_along_axis(s, best, axis=1).ravel()))
-    columns = [np.concatenate([o[i] for o in out]) if out else np.zeros(0, t) for i, t in enumerate((np.int64, np.int64, np.float64))]
-    return pa.table(columns, names=["qid", "item", "score"])
+def top_k(queries: DataFrame, items: DataFrame, k: int, item_bytes: int = BLOCK, bias: str | None = None) -> DataFrame:
+    """(qid, item, score, rank): the k items of largest inner product for each query (see retrieval.Search)."""
+    return Search(queries, items, k, item_bytes, bias).result()

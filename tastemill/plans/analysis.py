@@ -397,7 +397,7 @@ def seq_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def als_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User and item tables of implicit factors of the liked ratings."""
-    users, items = models.embedding_tables(models.fit_embeddings(fixtures.ratings(spark, sf_dir), rank=8, iterations=3))
+    users, items = models.embedding_tables(models.fit_embeddings(fixtures.ratings(spark, sf_dir)))
     return users.withColumn("side", F.lit("user")).unionByName(items.withColumn("side", F.lit("item"))).select("side", "id", F.size("embedding").alias("width"))
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastemill.operators import profile, vertical
+from tastemill.operators import models, profile, ranking, retrieval, vertical
 from tastemill.plans import fixtures
 from tastemill.plans.analysis import R, _round
 from tastemill.plans.relations import ORACLES, query
+from tastemill.sources.folders import kept
 
 # each of the few quantities against all prices, by running sums in the order of price
 _PRICES = """
@@ -77,5 +78,87 @@ def movie_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("rating", F.array_join(F.transform("items", lambda x: x.cast("string")), " > ").alias("items"), "length", "freq")
 
 
+# vectors of ten lengths, so that blocks by norm differ
+_SCALED = "WITH e AS (SELECT vec_id, list_transform(CAST(embedding AS double[]), lambda x: x * pow(2, label)) AS v, CAST(embedding AS double[]) AS q, label FROM embeddings)"
+
+
+def _scaled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = fixtures.table(spark, sf_dir, "embeddings")
+    items = rows.select(F.col("vec_id").alias("item"), F.transform("embedding", lambda x: x * F.pow(F.lit(2.0), F.col("label"))).alias("vector"))
+    return rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector")), items
+
+
+def _search(spark: SparkSession, sf_dir: str) -> retrieval.Search:
+    """A search in about sixteen blocks of items."""
+    queries, items = _scaled(spark, sf_dir)
+    return retrieval.Search(queries, items, 10, max(1, items.count() * 64 * 8 // 16))
+
+
+@query(_SCALED + """
+, s AS (SELECT q.vec_id AS qid, i.vec_id AS item, list_dot_product(q.q, i.v) AS score FROM e q JOIN e i ON q.vec_id % 20 = 0), r AS (SELECT qid, item, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, item) AS rank FROM s)
+SELECT * FROM r WHERE rank <= 10""", views=False)
+def topk_by_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact top k of items of very different lengths, most blocks of which no query has to meet."""
+    return _round(_search(spark, sf_dir).result(), "score")
+
+
+@query()
+def topk_blocks_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many blocks of items each block of queries met in topk_by_norm, and how many it skipped."""
+    return _search(spark, sf_dir).pairs()
+
+
+@query("""
+WITH e AS (SELECT vec_id, CAST(embedding AS double[]) AS v, label / 100.0::double AS bias, count(*) OVER () AS n FROM embeddings),
+k AS (SELECT q.vec_id AS qid, q.v, i.vec_id AS item, list_dot_product(q.v, i.v) + i.bias AS score FROM e q JOIN e i ON i.vec_id = (q.vec_id * 7 + 3) % q.n WHERE q.vec_id % 20 = 0)
+SELECT qid, item, count(*) FILTER (list_dot_product(k.v, e.v) + e.bias >= score - 1e-6) AS rank, round(score, 6) AS score FROM k, e GROUP BY qid, item, score""", views=False)
+def catalogue_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of one known item for each query among all items."""
+    rows = fixtures.table(spark, sf_dir, "embeddings")
+    n = rows.count()
+    queries = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+    items = rows.select(F.col("vec_id").alias("item"), F.col("embedding").alias("vector"), (F.col("label") / 100.0).alias("bias"))
+    out = retrieval.catalogue_ranks(queries.select("qid", ((F.col("qid") * 7 + 3) % n).alias("item")), queries, items, "bias")
+    return out.select("qid", "item", "rank", F.round("score", R).alias("score"))
+
+
+def _bias_sql(rounds: int) -> str:
+    """Alternating shrunken means, a table for each half round."""
+    sql = ", r AS (SELECT user_id, movie_id, rating::double AS rating FROM fx_ratings), m AS (SELECT avg(rating) AS mean FROM r), u0 AS (SELECT DISTINCT user_id, 0.0::double AS b FROM r)"
+    for i in range(rounds):
+        sql += f", i{i + 1} AS (SELECT movie_id, sum(rating - mean - b) / (count(*) + 25) AS b FROM r JOIN u{i} USING (user_id), m GROUP BY movie_id), u{i + 1} AS (SELECT user_id, sum(rating - mean - b) / (count(*) + 10) AS b FROM r JOIN i{i + 1} USING (movie_id), m GROUP BY user_id)"
+    return "\n" + sql + f"\nSELECT 'user' AS side, user_id AS id, round(b, 6) AS bias FROM u{rounds} UNION ALL SELECT 'item', movie_id, round(b, 6) FROM i{rounds}"
+
+
+@query(_bias_sql(4))
+def rating_biases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What users and movies add to the mean rating, after four rounds."""
+    _, users, items = retrieval.rating_biases(fixtures.ratings(spark, sf_dir), 4)
+    both = users.select(F.lit("user").alias("side"), F.col("user_id").alias("id"), "bias").unionByName(items.select(F.lit("item").alias("side"), F.col("movie_id").alias("id"), "bias"))
+    return _round(both, "bias")
+
+
+@query()
+def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics at 20 of held-out likes in the whole catalogue: trained factors, with the items' biases, and a random order."""
+    rows = kept(fixtures.ratings(spark, sf_dir, True).withColumn("held", F.pmod(F.xxhash64(*fixtures.TIES), F.lit(5)) == 0), "retrieval-rows")
+    train = rows.where("not held")
+    users, items = models.embedding_tables(models.fit_embeddings(train))
+    _, _, bias = retrieval.rating_biases(train)
+    queries = users.select(F.col("id").alias("qid"), F.col("embedding").alias("vector"))
+    table = kept(items.join(bias, F.col("id") == F.col("movie_id"), "left").select(F.col("id").alias("item"), F.col("embedding").alias("vector"), F.coalesce("bias", F.lit(0.0)).alias("bias")), "retrieval-items")
+    likes = lambda part: part.where("rating >= 4").select(F.col("user_id").alias("qid"), F.col("movie_id").alias("item")).distinct()
+    seen = likes(train)
+    held = likes(rows.where("held")).join(seen, ["qid", "item"], "left_anti")
+    out = None
+    for kind, column in (("factors", None), ("factors and biases", "bias")):
+        ranks = retrieval.catalogue_ranks(held, queries, table, column, seen)
+        one = ranking.ranking_metrics(ranks).select(F.lit(kind).alias("kind"), "queries", "hit_rate", "mrr", "ndcg", "recall")
+        out = one if out is None else out.unionByName(one)
+    chance = retrieval.random_metrics(table.count())
+    row = out.agg(F.max("queries").alias("queries")).select(F.lit("random order").alias("kind"), "queries", *(F.lit(chance[c]).alias(c) for c in ("hit_rate", "mrr", "ndcg", "recall")))
+    return _round(out.unionByName(row), "hit_rate", "mrr", "ndcg", "recall")
+
+
 for _name in ("movie_itemsets", "movie_rules", "movie_sequences"):
     ORACLES[_name] = _recursive(ORACLES[_name])

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tastemill.operators import dependence, mining, models, popularity, profile, ranking, ranks, splits, vertical
+from tastemill.operators import dependence, mining, models, popularity, profile, ranking, ranks, retrieval, splits, vertical
 from tastemill.plans import analysis, fixtures
 from tastemill.streaming import jobs
 
@@ -396,3 +396,48 @@ def test_vertical_sequences(spark):
     assert max(r.length for r in got) >= 3
     short = vertical.frequent_sequences(df, [], "u", "i", ["t", "k"], 0.1, 2).collect()
     assert max(r.length for r in short) == 2
+
+
+def test_search_skips_blocks_and_loses_nothing(spark):
+    """Norms over several powers of two, ties, negative scores, fewer items than k; most blocks are skipped."""
+    rng = np.random.default_rng(8)
+    items = rng.normal(size=(300, 6)) * 2.0 ** rng.integers(-6, 4, 300)[:, None]
+    items[5] = items[9]
+    asked = np.vstack([rng.normal(size=(19, 6)), np.zeros(6)])
+    frame = lambda m, name: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], f"{name} long, vector array<double>")
+    for k, each in ((3, 480), (400, 2000)):
+        search = retrieval.Search(frame(asked, "qid"), frame(items, "item"), k, each)
+        got = {(r.qid, r.rank): r.item for r in search.result().collect()}
+        for q, v in enumerate(asked):
+            s = items @ v
+            best = sorted(range(300), key=lambda i: (-s[i], i))[:k]
+            assert [got[q, r + 1] for r in range(len(best))] == best
+        pairs = search.pairs().collect()
+        assert all(r.scanned + r.skipped == search.n_items for r in pairs)
+        if k == 3:
+            assert sum(r.queries_sent for r in pairs) < 0.5 * 20 * search.n_items and max(r.skipped for r in pairs) > 0
+
+
+def test_catalogue_ranks_and_biases(spark):
+    rng = np.random.default_rng(2)
+    items, asked = rng.normal(size=(50, 4)), rng.normal(size=(7, 4))
+    frame = lambda m, name: spark.createDataFrame([(i, v.tolist(), float(i % 3)) for i, v in enumerate(m)], f"{name} long, vector array<double>, bias double")
+    pairs = [(q, int(i)) for q in range(7) for i in rng.choice(50, 4, replace=False)]
+    seen = [(q, int(i)) for q in range(7) for i in rng.choice(50, 10, replace=False)]
+    known = spark.createDataFrame([*pairs, (99, 1), (1, 99)], "qid long, item long")
+    for block in (200, 1 << 20):
+        got = retrieval.catalogue_ranks(known, frame(asked, "qid"), frame(items, "item"), "bias", spark.createDataFrame(seen, "qid long, item long"), block).collect()
+        want = {}
+        for q, i in set(pairs):
+            s = items @ asked[q] + np.arange(50) % 3
+            want[q, i] = sum(s[j] >= s[i] - 1e-6 for j in range(50) if j == i or (q, j) not in seen)
+        assert {(r.qid, r.item): r["rank"] for r in got} == want
+    chance = retrieval.random_metrics(1000)
+    assert chance["recall"] == 0.02 and chance["mrr"] == pytest.approx(sum(1 / r for r in range(1, 21)) / 1000)
+    rows = [(u, m, 1 + (u * 3 + m * 5) % 5) for u in range(20) for m in range(15) if (u + m) % 3]
+    mean, users, movies = retrieval.rating_biases(spark.createDataFrame(rows, "user_id long, movie_id long, rating int"), 30)
+    bu, bm = {r.user_id: r.bias for r in users.collect()}, {r.movie_id: r.bias for r in movies.collect()}
+    assert mean == pytest.approx(np.mean([r for *_, r in rows]))
+    for m in range(15):  # a fixed point
+        own = [r - mean - bu[u] for u, n, r in rows if n == m]
+        assert bm[m] == pytest.approx(sum(own) / (len(own) + 25), abs=1e-6)
