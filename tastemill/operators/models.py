@@ -1,25 +1,22 @@
-"""Embedding and rating models on Spark ML, their search, batch scoring and error estimates."""
+"""Embeddings and rating models, their search, batch scoring and error estimates."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
-import numpy as np
-import pyarrow as pa
-from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.common import _py2java
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.linalg import DenseMatrix, DenseVector
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.recommendation import ALS, ALSModel
-from pyspark.ml.regression import FMRegressionModel, GBTRegressor
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tastemill.functions.vocab import GENRES
+from tastemill.operators.machine import RatingMachine, fit_rating, genre_vectors
 from tastemill.operators.ranking import quality_gate
 from tastemill.operators.ranks import global_row_number
 
+__all__ = ["RatingMachine", "approve", "chunked", "clipped", "embedding_tables", "estimate_error", "fit_embeddings", "fit_rating", "genre_vectors", "halves", "halving", "score_batches", "search"]
+
 
 def fit_embeddings(ratings: DataFrame, rank: int = 16, iterations: int = 5, alpha: float = 10.0, reg: float = 0.05, seed: int = 1, min_rating: int = 4, confidence: str | None = None) -> ALSModel:
     """Implicit factors of liked ratings; ``confidence`` names a column that scales a row's confidence."""
@@ -32,98 +29,43 @@ def embedding_tables(model: ALSModel) -> tuple[DataFrame, DataFrame]:
     return model.userFactors.select("id", F.col("features").alias("embedding")), model.itemFactors.select("id", F.col("features").alias("embedding"))
 
 
-def fit_rating(df: DataFrame, factors: int = 4, iterations: int = 30, step: float = 0.05, seed: int = 1) -> PipelineModel:
-    """A factorization machine of movie and genre weights for the rating in [0, 1]; input: movie_id, genres (array), rating.
-
-    Every movie has its own weights; a movie that is new to the model weighs nothing. FMRegressor makes a dense
-    gradient of the whole width for each row, so the same squared loss is summed here over distinct inputs, which
-    carry the number and the mean of their ratings, and Adam's steps are taken on the driver, where the weights are.
-    """
-    rating = F.coalesce(F.col("rating").cast("double"), F.raise_error(F.lit("a rating is null")).cast("double"))
-    rows = genre_vectors(df).groupBy("movie_id", "genre_weights").agg(F.count("*").alias("n"), F.avg(rating).alias("mean"))
-    indexer = StringIndexer(inputCol="movie_id", outputCol="movie_index", handleInvalid="keep").fit(rows.select("movie_id"))
-    rows = indexer.transform(rows).select(F.col("movie_index").cast("long").alias("movie_index"), "genre_weights", "n", "mean").persist()
-    try:
-        intercept, linear, pairs = _descend(rows, len(indexer.labels), factors, iterations, step, seed)
-    finally:
-        rows.unpersist()
-    context = df.sparkSession.sparkContext
-    machine = context._jvm.org.apache.spark.ml.regression.FMRegressionModel(
-        f"fm_{seed}_{factors}", float(intercept), _py2java(context, DenseVector(linear)), _py2java(context, DenseMatrix(*pairs.shape, pairs.ravel("F")))
-    )
-    # the index of unknown movies is the last category, which is dropped
-    hot = OneHotEncoder(inputCols=["movie_index"], outputCols=["movie_hot"]).fit(indexer.transform(genre_vectors(df).limit(1)))
-    return PipelineModel([indexer, hot, VectorAssembler(inputCols=["movie_hot", "genre_vector"], outputCol="features"), FMRegressionModel(machine)])
-
-
-def _gradient(weights: list[np.ndarray], movie: np.ndarray, genres: np.ndarray, n: np.ndarray, mean: np.ndarray) -> list[np.ndarray]:
-    """Of the summed squared loss: for the intercept, genres and genre factors, and for each input's movie and its factors."""
-    intercept, w_movie, v_movie, w_genre, v_genre = weights
-    v = v_movie[movie]
-    side = genres @ v_genre
-    both = v + side
-    guess = intercept + w_movie[movie] + genres @ w_genre + (both**2 - v**2 - genres**2 @ v_genre**2).sum(1) / 2
-    d = 2 * n * (guess - mean)
-    return [d.sum(keepdims=True), genres.T @ d, genres.T @ (d[:, None] * both) - (genres.T**2 @ d)[:, None] * v_genre, d, d[:, None] * side]
-
-
-def _descend(rows: DataFrame, movies: int, factors: int, iterations: int, step: float, seed: int) -> tuple[float, np.ndarray, np.ndarray]:
-    """(intercept, linear weights, pair factors) after Adam's steps on all rows (movie_index, genre_weights, n, mean)."""
-    context, rng, width = rows.sparkSession.sparkContext, np.random.default_rng(seed), len(GENRES)
-    weights = [np.zeros(1), np.zeros(movies), rng.normal(0, 0.01, (movies, factors)), np.zeros(width), rng.normal(0, 0.01, (width, factors))]
-    first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
-    total = rows.agg(F.sum("n")).first()[0]
-    for i in range(1, iterations + 1):
-        sent = context.broadcast(weights)
-
-        def part(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if b.num_rows:
-                    movie = b.column(0).to_numpy()
-                    genres = b.column(1).flatten().to_numpy().reshape(-1, width)
-                    out = _gradient(sent.value, movie, genres, b.column(2).to_numpy(), b.column(3).to_numpy())
-                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in (movie, *out)], names=list("mabcde"))
-
-        total_gradient = [np.zeros_like(w) for w in weights]
-        for r in rows.mapInArrow(part, "m binary, a binary, b binary, c binary, d binary, e binary").collect():
-            movie = np.frombuffer(r.m, np.int64)
-            for at, x in zip((0, 3, 4), (r.a, r.b, r.c), strict=True):
-                total_gradient[at] += np.frombuffer(x).reshape(weights[at].shape)
-            np.add.at(total_gradient[1], movie, np.frombuffer(r.d))
-            np.add.at(total_gradient[2], movie, np.frombuffer(r.e).reshape(-1, factors))
-        sent.destroy()
-        for at, g in enumerate(total_gradient):
-            g /= total
-            first[at] = 0.9 * first[at] + 0.1 * g
-            second[at] = 0.999 * second[at] + 0.001 * g * g
-            weights[at] = weights[at] - step * (first[at] / (1 - 0.9**i)) / (np.sqrt(second[at] / (1 - 0.999**i)) + 1e-8)
-    return weights[0][0], np.concatenate([weights[1], weights[3]]), np.concatenate([weights[2], weights[4]])
-
-
-def genre_vectors(df: DataFrame) -> DataFrame:
-    """Adds genre_weights (array) and genre_vector; unknown genres weigh nothing."""
-    weights = F.transform(F.coalesce("genres", F.array_repeat(F.lit(0.0).cast("float"), len(GENRES))), lambda x: F.coalesce(x, F.lit(0.0)).cast("double"))
-    return df.withColumns({"genre_weights": weights, "genre_vector": array_to_vector(weights)})
-
-
 def clipped(predictions: DataFrame, column: str = "prediction") -> DataFrame:
     """Predictions of a share, held in [0, 1]."""
     return predictions.withColumn(column, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(column))))
 
 
-def search(fit: Callable[..., object], grid: Iterable[dict], score: Callable[[object], float], largest: bool = True) -> tuple[dict, object, list[tuple[dict, float]]]:
-    """(best parameters, its model, all trials): every grid point is fitted and scored."""
-    best, trials = None, []
-    for params in grid:
+def search(fit: Callable[..., object], grid: Iterable[dict], score: Callable[[object], float], largest: bool = True, at_once: int = 2) -> tuple[dict, object, list[tuple[dict, float]]]:
+    """(best parameters, its model, all trials): every grid point is fitted and scored, ``at_once`` at a time; of equal ones the earlier is best."""
+
+    def trial(params: dict) -> tuple[dict, object, float]:
         model = fit(**params)
-        value = score(model)
-        trials.append((params, value))
-        if best is None or (value > best[2] if largest else value < best[2]):
-            best = (params, model, value)
-    return best[0], best[1], trials
+        return params, model, score(model)
+
+    with ThreadPoolExecutor(at_once) as pool:
+        trials = list(pool.map(trial, grid))
+    best = (max if largest else min)(trials, key=lambda t: t[2])
+    return best[0], best[1], [(params, value) for params, _, value in trials]
 
 
-def approve(baseline: Transformer, candidate: Transformer, errors: Callable[[Transformer], dict[str, float]], bounds: dict[str, float], df: DataFrame) -> tuple[DataFrame, Transformer]:
+def halving(grid: list[dict], score: Callable[..., float], shares: list[float], keep: float = 0.5, at_once: int = 2) -> list[tuple[int, float, dict, float, bool]]:
+    """(rung, share, parameters, value, stays) of a search by successive halving; higher values are better.
+
+    On each rung the trials that are left are scored on a larger share of the data, ``at_once``
+    of them at a time, and the best ``keep`` of them go on; of equal ones the earlier. The
+    last rung's best is the winner.
+    """
+    out, left = [], list(grid)
+    for rung, share in enumerate(shares):
+        with ThreadPoolExecutor(at_once) as pool:
+            values = list(pool.map(lambda p, share=share: score(share=share, **p), left))
+        order = sorted(range(len(left)), key=lambda i: (-values[i], i))
+        best = set(order[: 1 if rung == len(shares) - 1 else max(1, round(len(left) * keep))])
+        out += [(rung, share, left[i], values[i], i in best) for i in range(len(left))]
+        left = [left[i] for i in sorted(best)]
+    return out
+
+
+def approve(baseline: RatingMachine, candidate: RatingMachine, errors: Callable[[RatingMachine], dict[str, float]], bounds: dict[str, float], df: DataFrame) -> tuple[DataFrame, RatingMachine]:
     """((metric, value, bound, passed), the approved model): a candidate must reach lower bounds and a baseline's values.
 
     ``errors`` gives a model's metrics on held-out rows, higher being better; the baseline stays
@@ -134,7 +76,7 @@ def approve(baseline: Transformer, candidate: Transformer, errors: Callable[[Tra
     return verdict, candidate if all(r.passed for r in verdict.select("passed").collect()) else baseline
 
 
-def score_batches(df: DataFrame, model: Transformer) -> DataFrame:
+def score_batches(df: DataFrame, model: RatingMachine) -> DataFrame:
     return model.transform(df)
 
 

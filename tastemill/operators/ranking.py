@@ -106,15 +106,26 @@ def composite_ndcg(by_part: DataFrame, weights: dict[str, float] | None = None)
     return by_part.agg(*(one(p).alias(f"ndcg_{p}") for p in weights)).withColumn("composite", sum((F.col(f"ndcg_{p}") * w for p, w in weights.items()), F.lit(0.0)))
 
 
-def inbatch_loss(ranks: DataFrame, kind: str = "softmax", by: tuple[str, ...] = ()) -> DataFrame:
-    """Mean loss over queries: softmax; weighted by 1 / ln(rank + 1) and relevance (heuristic); or by the NDCG to gain (lambda)."""
+LOSSES = ("softmax", "heuristic", "lambda")
+
+
+def inbatch_losses(ranks: DataFrame, kinds: tuple[str, ...] = LOSSES, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, kind, loss): means over queries, all kinds in one aggregate.
+
+    softmax; weighted by 1 / ln(rank + 1) and relevance (heuristic); or by the NDCG to gain (lambda).
+    """
     ce, r, y = F.col("log_sum") - F.col("true_score"), F.col("rank"), F.col("weight")
     loss = {
         "softmax": ce,
         "heuristic": ce * y / F.log(r + 1),
         "lambda": ce * ((F.pow(F.lit(2.0), y) - 1) * (1 - 1 / F.log2(r + 1)) + 1),
-    }[kind]
-    return ranks.groupBy(*by).agg(F.avg(loss).alias("loss"))
+    }
+    means = ranks.groupBy(*by).agg(*(F.avg(loss[k]).alias(k) for k in kinds))
+    return means.select(*by, F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("loss")) for k in kinds))).alias("__l")).select(*by, "__l.*")
+
+
+def inbatch_loss(ranks: DataFrame, kind: str = "softmax", by: tuple[str, ...] = ()) -> DataFrame:
+    return inbatch_losses(ranks, (kind,), by).select(*by, "loss")
 
 
 def score_stats(scores: DataFrame, by: tuple[str, ...] = ("batch",)) -> DataFrame:

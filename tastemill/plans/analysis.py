@@ -11,7 +11,7 @@ from tastemill.operators import joins, mining, models, popularity, profile, rank
 from tastemill.plans import fixtures
 from tastemill.plans.fixtures import TIES
 from tastemill.plans.relations import TIME_ORDER, _joined, query
-from tastemill.sources.folders import shared_path
+from tastemill.sources.folders import kept, shared_path
 from tastemill.streaming import jobs
 
 R = 6  # decimals that both engines are compared on
@@ -143,12 +143,7 @@ def composite_ndcg(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_P4 + """SELECT 'softmax' AS kind, round(avg(log_sum - true_score), 6) AS loss FROM r UNION ALL SELECT 'heuristic', round(avg((log_sum - true_score) * weight / ln(rank + 1)), 6) FROM r
 UNION ALL SELECT 'lambda', round(avg((log_sum - true_score) * ((pow(2.0::double, weight) - 1) * (1 - 1 / log2(rank + 1)) + 1)), 6) FROM r""", views=False)
 def inbatch_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = _ranks(spark, sf_dir)
-    out = None
-    for kind in ("softmax", "heuristic", "lambda"):
-        one = ranking.inbatch_loss(ranks, kind).select(F.lit(kind).alias("kind"), F.round("loss", R).alias("loss"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return _round(ranking.inbatch_losses(_ranks(spark, sf_dir)), "loss")
 
 
 @query("""
@@ -413,7 +408,7 @@ def _rated_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def fm_rating(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors of the rating machine for two grid points, the better one marked."""
-    rows = _rated_features(spark, sf_dir)
+    rows = kept(_rated_features(spark, sf_dir), "rated-features")
     train, held = rows.where("not held"), rows.where("held")
 
     def errors(model) -> float:
@@ -426,10 +421,10 @@ def fm_rating(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _approved(spark: SparkSession, sf_dir: str):
     """A baseline on genres alone, a candidate that knows the movies too, and the gate between them."""
-    rows = _rated_features(spark, sf_dir)
-    train, held = rows.where("not held").persist(), models.genre_vectors(rows.where("held")).persist()
-    baseline = models.fit_rating(train.withColumn("movie_id", F.lit(0)), factors=2, iterations=10)
-    candidate = models.fit_rating(train, factors=2, iterations=10)
+    rows = kept(_rated_features(spark, sf_dir), "rated-features")
+    train, held = rows.where("not held"), models.genre_vectors(rows.where("held"))
+    baseline = models.fit_rating(train.withColumn("movie_id", F.lit(0)))
+    candidate = models.fit_rating(train)
 
     def metrics(model) -> dict[str, float]:
         e = ranking.error_metrics(models.clipped(models.score_batches(held, model)), "rating", "prediction").first()
@@ -449,8 +444,8 @@ def approved_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every rating scored in a batch by the approved model, which is saved and loaded, summed up by movie."""
     rows, _, model = _approved(spark, sf_dir)
     path = shared_path(spark, "approved")
-    model.write().save(path)
-    scored = models.clipped(models.score_batches(models.genre_vectors(rows), models.PipelineModel.load(path)))
+    model.save(path)
+    scored = models.clipped(models.score_batches(models.genre_vectors(rows), models.RatingMachine.load(spark, path)))
     return scored.groupBy("movie_id").agg(F.count("*").alias("n"), F.avg("prediction").alias("mean_prediction"), F.avg("rating").alias("mean_rating"))
 
 
@@ -471,10 +466,16 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query(_GAP + """
 SELECT movie_id AS item, n, last_step, round(b, 6) AS b, round(1 / greatest(b, 1e-6), 6) AS p FROM b""")
 def stream_popularity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """popularity_ema as keyed state over a stream; each item's last update."""
-    raw = _stream(spark, sf_dir, "events")
-    steps = raw.select(F.get_json_object("props", "$.k").cast("bigint").alias("movie_id"), (F.floor(F.col("event_id") / 50) + 1).alias("step"))
-    out = jobs.run_available(jobs.stream_item_gap(steps, "movie_id", "step", 0.1), shared_path(spark, "stream"), shared_path(spark, "state"), "update")
+    """popularity_ema as keyed state over a stream of four micro-batches, some rows of which come a batch late; each item's last update."""
+    rows = fixtures.table(spark, sf_dir, "events").select(F.get_json_object("props", "$.k").cast("bigint").alias("movie_id"), (F.floor(F.col("event_id") / 50) + 1).alias("step"), F.to_timestamp_ltz(F.col("ts").cast("string")).alias("ts"), "event_id")
+    ends = rows.agg(F.min("ts").alias("low"), F.max("ts").alias("high"))  # one row
+    quarter = F.floor(4 * (F.unix_micros("ts") - F.unix_micros("low")) / (F.unix_micros("high") - F.unix_micros("low") + 1)) + (F.pmod(F.xxhash64("event_id"), F.lit(10)) == 0).cast("int")
+    dealt = kept(rows.crossJoin(F.broadcast(ends)).withColumn("part", F.least(quarter, F.lit(3))).drop("low", "high"), "stream-parts")
+    source = shared_path(spark, "stream-source")
+    for part in range(4):  # file by file, in the order of writing
+        dealt.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(source)
+    events = spark.readStream.schema(dealt.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(source)
+    out = jobs.run_available(jobs.stream_item_gap(events, "movie_id", "step", 0.1, "ts", "9 days"), shared_path(spark, "stream"), shared_path(spark, "state"), "update")
     return _round(out.groupBy("item").agg(F.max_by(F.struct("n", "last_step", "b", "p"), "micro_batch").alias("s")).select("item", "s.*"), "b", "p")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastemill.operators import models, profile, ranking, retrieval, vertical
+from tastemill.operators import joins, models, popularity, profile, ranking, retrieval, sketches, vertical
 from tastemill.plans import fixtures
 from tastemill.plans.analysis import R, _round
 from tastemill.plans.relations import ORACLES, query
@@ -160,5 +160,85 @@ def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(out.unionByName(row), "hit_rate", "mrr", "ndcg", "recall")
 
 
+_PARTS = "CASE WHEN timestamp < 900000000 THEN 'train' WHEN user_id % 2 = 0 THEN 'val' ELSE 'test' END"
+
+
+def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratings with users' columns in three splits and two versions."""
+    rows = joins.join_one(fixtures.ratings(spark, sf_dir), fixtures.users(spark, sf_dir), "user_id")
+    split = F.when(F.col("timestamp") < 900000000, "train").when(F.col("user_id") % 2 == 0, "val").otherwise("test")
+    return rows.withColumns({"split": split, "version": F.when(F.col("movie_id") % 2 == 0, "v1").otherwise("v2")})
+
+
+def _sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of sketches, version by version, as it would be kept from run to run."""
+    rows = _versions(spark, sf_dir)
+    table = None
+    for version in ("v1", "v2"):
+        part = kept(sketches.sketched(rows.where(F.col("version") == version), ["split", "version"]), f"sketches-{version}")
+        table = part if table is None else table.unionByName(part)
+    return table
+
+
+_UNION = f"""
+, r AS (SELECT *, {_PARTS} AS split FROM fx_ratings JOIN fx_users USING (user_id))
+"""
+_NUMBER = "count(*) AS n, count(*) - count({c}) AS missing, count(*) FILTER ({c} = 0) AS zeros, round(avg({c}), 5) AS mean, round(stddev({c}), 4) AS std, min({c})::double AS min, max({c})::double AS max"
+
+
+@query(_UNION + " UNION ALL ".join(f"SELECT split, '{c}' AS feature, {_NUMBER.format(c=c)}, true AS distinct_ok, true AS median_ok FROM r GROUP BY split" for c in ("user_id", "movie_id", "rating", "timestamp", "age", "occupation"))
+       + " UNION ALL " + " UNION ALL ".join(f"SELECT split, '{c}' AS feature, count(*), count(*) - count({c}), 0, NULL, NULL, NULL, NULL, true, true FROM r GROUP BY split" for c in ("gender", "zipcode")))
+def merged_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of both versions of each split from their kept sketches; estimates are held against exact values."""
+    table = sketches.statistics(sketches.merged(_sketches(spark, sf_dir), ["split"]))
+    cells = sketches._cells(_versions(spark, sf_dir).drop("version"), ["split"], None)
+    median = F.col("m.median")
+    low, high = F.count_if(F.col("value") < median), F.count_if(F.col("value") <= median)
+    # the median's rank lies between the shares of values below it and up to it
+    exact = cells.alias("x").join(table.alias("m"), ["split", "feature"]).groupBy("split", "feature").agg(F.countDistinct("text").alias("exact"), low.alias("low"), high.alias("high"), F.count("value").alias("k"))
+    ok = (F.col("k") == 0) | (F.col("low") <= (0.5 + 2 * sketches.RANK_ERROR) * F.col("k")) & (F.col("high") >= (0.5 - 2 * sketches.RANK_ERROR) * F.col("k"))
+    out = table.join(exact, ["split", "feature"])
+    return out.select("split", "feature", "n", "missing", "zeros", F.round("mean", 5).alias("mean"), F.round("std", 4).alias("std"), "min", "max", sketches.within(F.col("distinct"), F.col("exact"), sketches.DISTINCT_ERROR).alias("distinct_ok"), ok.alias("median_ok"))
+
+
+@query(_UNION + ", u AS (SELECT DISTINCT split, user_id FROM r), s AS (SELECT a.split AS a, b.split AS b, count(*) AS k FROM u a JOIN u b ON a.user_id = b.user_id AND a.split < b.split GROUP BY ALL) SELECT a, b, k AS exact, true AS ok FROM s")
+def split_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users that two splits share, estimated from theta sketches and counted."""
+    shared = sketches.overlaps(sketches.merged(_sketches(spark, sf_dir), ["split"]), "split", "user_id")
+    users = _versions(spark, sf_dir).select("split", "user_id").distinct()
+    each = users.groupBy("user_id").agg(F.sort_array(F.collect_set("split")).alias("splits"))  # at most three
+    pairs = each.select(F.explode("splits").alias("p"), "splits").select("p", F.explode("splits").alias("q")).where("p < q").groupBy("p", "q").agg(F.count("*").alias("exact"))
+    both = shared.join(pairs, (F.col("a") == F.col("p")) & (F.col("b") == F.col("q")))
+    # the error of an intersection is that of the union
+    return both.select("a", "b", "exact", (F.abs(F.col("in_both") - F.col("exact")) <= F.greatest(4 * sketches.OVERLAP_ERROR * F.col("in_either"), F.lit(1.0))).alias("ok"))
+
+
+@query(_UNION + """, c AS (SELECT split, 'gender' AS feature, gender AS value, count(*) AS n FROM r GROUP BY ALL UNION ALL SELECT split, 'zipcode', zipcode, count(*) FROM r GROUP BY ALL)
+SELECT split, feature, value, n, CAST(row_number() OVER w AS int) AS place FROM c WINDOW w AS (PARTITION BY split, feature ORDER BY n DESC, value) QUALIFY row_number() OVER w <= 10""")
+def string_top_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most frequent values of each string column by split."""
+    return sketches.top_texts(_versions(spark, sf_dir).drop("version"), ["split"])
+
+
+@query()
+def search_by_ndcg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Successive halving of factor models by composite NDCG over popularity parts, on hash shares of the users."""
+    rows = kept(fixtures.ratings(spark, sf_dir, True).withColumn("held", F.pmod(F.xxhash64(*fixtures.TIES), F.lit(5)) == 0), "search-rows")
+    steps = rows.where("not held").select("movie_id", F.floor(F.col("timestamp") / 86400).alias("step"))
+    parts = kept(popularity.with_parts(popularity.item_gap(steps, "movie_id", "step", 0.1)).select("movie_id", "part"), "search-parts")
+
+    def composite(share: float, rank: int, reg: float) -> float:
+        own = rows.where(F.pmod(F.xxhash64("user_id"), F.lit(1000)) < int(1000 * share))
+        users, items = models.embedding_tables(models.fit_embeddings(own.where("not held"), rank, reg=reg))
+        likes = own.where("rating >= 4 and held").select(F.col("user_id").alias("qid"), F.col("movie_id").alias("item")).distinct()
+        ranks = retrieval.catalogue_ranks(likes, users.select(F.col("id").alias("qid"), F.col("embedding").alias("vector")), items.select(F.col("id").alias("item"), F.col("embedding").alias("vector")))
+        by_part = ranking.ranking_metrics(ranks.join(parts, F.col("item") == F.col("movie_id")), by=("part",))
+        return float(ranking.composite_ndcg(by_part).first()["composite"])
+
+    grid = [{"rank": rank, "reg": reg} for rank in (8, 16) for reg in (0.05, 0.5)]
+    found = models.halving(grid, composite, [0.25, 0.5, 1.0])
+    return spark.createDataFrame([(rung, share, p["rank"], p["reg"], value, stays) for rung, share, p, value, stays in found], "rung int, share double, rank int, reg double, composite double, stays boolean")
+
+
 for _name in ("movie_itemsets", "movie_rules", "movie_sequences"):
     ORACLES[_name] = _recursive(ORACLES[_name])

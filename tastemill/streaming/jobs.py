@@ -8,34 +8,84 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tastemill.functions.features import featurize, genre_names
 from tastemill.operators.joins import join_one
 
 GAPS = "item long, n long, last_step long, b double, p double"
-STATE = "n long, last_step long, b double"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def stream_item_gap(events: DataFrame, item: str, step: str, alpha: float) -> DataFrame:
-    """The batch operator item_gap as keyed state (n, last step, b) on a stream of (item, step).
+class ItemGaps(StatefulProcessor):
+    """The recurrence of one item: what is folded (n, last step, b), and steps that the watermark has not passed.
 
-    Update mode: one row for each item of a micro-batch. Steps are ordered inside the
-    micro-batch; a step that is not later than the item's last one is late and ignored.
+    A step is folded by an event-time timer once no earlier one can come any more, so steps may
+    arrive in any order within the watermark's delay. With ``forget`` an item's state goes
+    when nothing has come for so many milliseconds of event time; it then starts anew.
     """
 
-    def fold(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, last, b = state.get if state.exists else (0, 0, 1.0)
-        steps = sorted({int(s) for df in batches for s in df["step"]})
-        for s in steps:
-            if s > last or n == 0:
-                b = (1 - alpha) * b + alpha * (s - last)
-                n, last = n + 1, s
-        state.update((n, last, b))
-        yield pd.DataFrame({"item": [key[0]], "n": [n], "last_step": [last], "b": [b], "p": [1 / max(b, 1e-6)]})
+    def __init__(self, alpha: float, forget: int | None = None):
+        self.alpha, self.forget = alpha, forget
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.folded = handle.getValueState("folded", "n long, last_step long, b double, at long")
+        self.pending = handle.getListState("pending", "step long, at long")
 
-    rows = events.select(F.col(item).cast("long").alias("item"), F.col(step).cast("long").alias("step"))
-    return rows.groupBy("item").applyInPandasWithState(fold, GAPS, STATE, "update", GroupStateTimeout.NoTimeout)
+    def _fold(self, steps: list[int]) -> tuple[int, int, float]:
+        n, last, b, _ = self.folded.get() if self.folded.exists() else (0, 0, 1.0, 0)
+        for s in sorted(set(steps)):
+            if s > last or n == 0:
+                n, last, b = n + 1, s, (1 - self.alpha) * b + self.alpha * (s - last)
+        return n, last, b
+
+    def _row(self, key: tuple[Any, ...], steps: list[int]) -> pd.DataFrame:
+        n, last, b = self._fold(steps)
+        return pd.DataFrame({"item": [key[0]], "n": [n], "last_step": [last], "b": [b], "p": [1 / max(b, 1e-6)]})
+
+    def handleInputRows(self, key: tuple[Any, ...], rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        passed = timerValues.getCurrentWatermarkInMs()
+        new = {(int(s), int(t)) for df in rows for s, t in zip(df["step"], df["at"], strict=True) if t >= passed}
+        if not new:
+            return
+        steps = new | {tuple(x) for x in self.pending.get()}
+        self.pending.put(sorted(steps))
+        for at in {t for _, t in new}:
+            self.handle.registerTimer(at + 1)
+        if self.forget is not None:
+            self.handle.registerTimer(max(t for _, t in new) + self.forget)
+        yield self._row(key, [s for s, _ in steps])  # what it comes to with all steps so far
+
+    def handleExpiredTimer(self, key: tuple[Any, ...], timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        steps = [tuple(x) for x in self.pending.get()]
+        ripe, left = [x for x in steps if x[1] < now], [x for x in steps if x[1] >= now]
+        latest = max([t for _, t in steps] + ([self.folded.get()[3]] if self.folded.exists() else []), default=None)
+        if self.forget is not None and latest is not None and latest + self.forget <= now:
+            self.folded.clear()
+            self.pending.clear()
+        elif ripe:
+            self.folded.update((*self._fold([s for s, _ in ripe]), latest))
+            if left:
+                self.pending.put(left)
+            else:
+                self.pending.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def stream_item_gap(events: DataFrame, item: str, step: str, alpha: float, ts: str, late: str = "1 hour", forget: int | None = None) -> DataFrame:
+    """The batch operator item_gap as keyed state on a stream of (item, step) with an event time ``ts``.
+
+    Update mode: one row for each item of a micro-batch, with all steps seen so far, in the
+    order of the steps. Rows later than ``late`` are dropped; ``forget``: see ItemGaps. The
+    session's state store must be RocksDB's (run_available sees to it).
+    """
+    rows = events.withWatermark(ts, late).select(F.col(item).cast("long").alias("item"), F.col(step).cast("long").alias("step"), F.unix_millis(F.col(ts)).alias("at"), F.col(ts))
+    return rows.groupBy("item").transformWithStateInPandas(ItemGaps(alpha, forget), GAPS, "Update", "EventTime")
 
 
 def stream_features(ratings: DataFrame, users: DataFrame, movies: DataFrame, dates: str = "compat") -> DataFrame:
@@ -66,6 +116,12 @@ def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append
     def save(batch: DataFrame, number: int) -> None:
         batch.withColumn("micro_batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    query = df.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, ROCKS)  # state with timers lies outside the executors' heaps
+    try:
+        query = df.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
     return spark.read.option("basePath", path).parquet(f"{path}/batch=*")

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tastemill.operators import dependence, mining, models, popularity, profile, ranking, ranks, retrieval, splits, vertical
+from tastemill.operators import dependence, machine, mining, models, popularity, profile, ranking, ranks, retrieval, splits, vertical
 from tastemill.plans import analysis, fixtures
 from tastemill.streaming import jobs
 
@@ -74,14 +74,32 @@ def test_item_gap_and_its_stream(spark, tmp_path):
         item, steps = IDS[name], [s for n, s in EVENTS if n == name]
         assert got[item].b == pytest.approx(folded(steps, 0.1))
         assert got[item].p == pytest.approx(1 / folded(steps, 0.1))
-    source = tmp_path / "in"
-    rows.where("step < 5").select("item", "step").coalesce(1).write.parquet(str(source / "a"))
-    stream = lambda: spark.readStream.schema("item long, step long").parquet(f"{source}/*")
-    run = lambda: jobs.run_available(jobs.stream_item_gap(stream(), "item", "step", 0.1), str(tmp_path / "out"), str(tmp_path / "state"), "update")
-    run()
-    rows.where("step >= 5").select("item", "step").coalesce(1).write.parquet(str(source / "b"))
-    last = run().groupBy("item").agg(F.max_by("b", "micro_batch").alias("b")).collect()
-    assert {r.item: r.b for r in last} == pytest.approx({i: r.b for i, r in got.items()})
+    hours = rows.select("item", "step", (F.timestamp_seconds(F.lit(0)) + F.make_interval(hours=F.col("step").cast("int"))).alias("ts"))
+    out = pd.DataFrame([r.asDict() for r in streamed(hours, tmp_path, ["step = 5", "step < 3", "step in (3, 90)"], "10 hours").collect()])
+    last = out.sort_values("micro_batch").groupby("item").b.last()
+    # step 2 and 3 come after step 5, step 90 closes them all
+    assert last.to_dict() == pytest.approx({i: r.b for i, r in got.items()})
+
+
+def streamed(rows, folder, parts, late, forget=None):
+    """The parts of ``rows`` as micro-batches of the stream, in their order."""
+    for part in parts:
+        rows.where(part).coalesce(1).write.mode("append").parquet(str(folder / "in"))
+    source = rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(folder / "in"))
+    return jobs.run_available(jobs.stream_item_gap(source, "item", "step", 0.1, "ts", late, forget), str(folder / "out"), str(folder / "state"), "update")
+
+
+def test_timers_fold_late_steps_and_forget(spark, tmp_path):
+    """Steps behind the watermark are dropped; an item that nothing came for starts anew."""
+    times = spark.createDataFrame([(1, s) for s in (1, 4, 2, 50, 3, 51)] + [(2, s) for s in (1, 60, 200, 201)] + [(3, 170), (3, 171)], "item long, step long")
+    rows = times.select("item", "step", (F.timestamp_seconds(F.lit(0)) + F.make_interval(hours=F.col("step").cast("int"))).alias("ts"))
+    parts = ["item = 1 and step in (1, 4)", "step = 2", "item = 1 and step = 50", "item = 1 and step in (3, 51)"]
+    out = streamed(rows, tmp_path / "late", parts, "5 hours").collect()
+    last = max((r for r in out if r.item == 1), key=lambda r: (r.micro_batch, r.n))
+    assert (last.n, last.b) == (5, pytest.approx(folded([1, 2, 4, 50, 51], 0.1)))  # step 3 came 47 hours late
+    out = streamed(rows, tmp_path / "forget", ["item = 2 and step = 1", "item = 2 and step = 60", "step = 170", "step = 171", "item = 2 and step = 200", "item = 2 and step = 201"], "1 hour", 100 * 3600 * 1000).collect()
+    last = max((r for r in out if r.item == 2), key=lambda r: r.micro_batch)
+    assert (last.n, last.b) == (2, pytest.approx(folded([200, 201], 0.1)))
 
 
 def test_watermark_drops_late_rows(spark, tmp_path):
@@ -269,7 +287,7 @@ def test_rating_machine_gradient_and_real_movie_ids(spark, monkeypatch, tmp_path
         pairs = sum(np.outer(x[:, i] * x[:, j], v[i] @ v[j])[:, 0] for i in range(21) for j in range(i))
         return (n * (w[0] + x @ np.concatenate([w[1], w[3]]) + pairs - mean) ** 2).sum()
 
-    a, b, c, d, e = models._gradient(w, movie, genres, n, mean)
+    a, b, c, d, e = machine.gradient(w, movie, genres, n, mean)
     for at, got in ((0, a), (3, b), (4, c), (1, d[[0, 2, 1]]), (2, e[[0, 2, 1]])):
         for place in np.ndindex(w[at].shape):
             w[at][place] += 1e-5
@@ -287,9 +305,9 @@ def test_rating_machine_gradient_and_real_movie_ids(spark, monkeypatch, tmp_path
     held = {r.movie_id: r.n for r in analysis._rated_features(spark, "").where("held").groupBy("movie_id").agg(F.count("*").alias("n")).collect()}
     assert set(held) == set(ids) and 0 < sum(held.values()) < 120
     model = models.fit_rating(analysis._rated_features(spark, "").where("not held"), factors=2)
-    model.write().save(str(tmp_path / "machine"))
+    model.save(str(tmp_path / "machine"))
     asked = models.genre_vectors(analysis._rated_features(spark, "").select("genres").limit(1).crossJoin(spark.createDataFrame([(7,), (507,), (8,)], "movie_id long")))
-    for m in (model, models.PipelineModel.load(str(tmp_path / "machine"))):
+    for m in (model, models.RatingMachine.load(spark, str(tmp_path / "machine"))):
         got = {r.movie_id: r.prediction for r in models.score_batches(asked, m).collect()}
         assert got[7] < 0.2 and got[507] > 0.8 and 0.2 < got[8] < 0.8  # a new movie rests on its genres
 
