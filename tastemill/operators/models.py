@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tastemill.operators.machine import RatingMachine, fit_rating, genre_vectors
+from tastemill.operators.profile import exact_percentiles
 from tastemill.operators.ranking import quality_gate
 from tastemill.operators.ranks import global_row_number
 
-__all__ = ["RatingMachine", "approve", "chunked", "clipped", "embedding_tables", "estimate_error", "fit_embeddings", "fit_rating", "genre_vectors", "halves", "halving", "score_batches", "search"]
+__all__ = ["RatingMachine", "approve", "chunked", "clipped", "embedding_tables", "estimate_by_feature", "estimate_error", "fit_embeddings", "fit_rating", "genre_vectors", "halves", "halving", "score_batches", "search"]
 
 
 def fit_embeddings(ratings: DataFrame, rank: int = 16, iterations: int = 5, alpha: float = 10.0, reg: float = 0.05, seed: int = 1, min_rating: int = 4, confidence: str | None = None) -> ALSModel:
@@ -105,3 +106,25 @@ def estimate_error(reference: DataFrame, analysis: DataFrame, features: list[str
         model = GBTRegressor(featuresCol="__features", labelCol=label, predictionCol=f"{label}_hat", maxIter=trees, maxDepth=3, seed=seed).fit(known)
         out = model.transform(out)
     return out.groupBy("chunk").agg(F.count("*").alias("n"), F.avg("__abs_hat").alias("mae"), F.sqrt(F.greatest(F.avg("__sq_hat"), F.lit(0.0))).alias("rmse"))
+
+
+def estimate_by_feature(reference: DataFrame, analysis: DataFrame, features: list[str], y: str, y_hat: str, bins: int = 20) -> DataFrame:
+    """(feature, chunk, n, mae, rmse) expected on ``analysis`` from one feature at a time.
+
+    A feature's values are cut at its percentiles on ``reference``; a bin's mean errors there
+    are what its rows are expected to have. Which feature moves the estimate is what it shows.
+    """
+    e, out = F.col(y) - F.col(y_hat), None
+    shares = [i / bins for i in range(1, bins)]
+    for name in features:
+        cuts = exact_percentiles(reference, name, shares, name="__cuts").select("__cuts")  # one row
+        value = F.col(name)
+        place = F.size(F.filter("__cuts", lambda c: c < value)).alias("__bin")  # noqa: B023
+        known = reference.crossJoin(F.broadcast(cuts)).groupBy(place).agg(F.avg(F.abs(e)).alias("__abs"), F.avg(e * e).alias("__sq"))
+        rows = analysis.crossJoin(F.broadcast(cuts)).select("chunk", place)
+        counted = rows.groupBy("chunk", "__bin").agg(F.count("*").alias("__n"))
+        both = counted.join(known.withColumnRenamed("__bin", "__b"), F.col("__bin") == F.col("__b"), "left")
+        mean = lambda c: F.sum(F.col("__n") * F.col(c)) / F.sum(F.when(F.col(c).isNotNull(), F.col("__n")))
+        one = both.groupBy("chunk").agg(F.sum("__n").alias("n"), mean("__abs").alias("mae"), F.sqrt(mean("__sq")).alias("rmse")).select(F.lit(name).alias("feature"), "chunk", "n", "mae", "rmse")
+        out = one if out is None else out.unionByName(one)
+    return out

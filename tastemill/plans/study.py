@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastemill.operators import joins, models, popularity, profile, ranking, retrieval, sketches, vertical
+from tastemill.operators import joins, mining, models, popularity, profile, ranking, retrieval, scoring, sketches, vertical
 from tastemill.plans import fixtures
 from tastemill.plans.analysis import R, _round
-from tastemill.plans.relations import ORACLES, query
-from tastemill.sources.folders import kept
+from tastemill.plans.relations import ORACLES, TIME_ORDER, query
+from tastemill.sources import delimited, shards, sinks
+from tastemill.sources.folders import kept, shared_path
 
 # each of the few quantities against all prices, by running sums in the order of price
 _PRICES = """
@@ -78,6 +81,10 @@ def movie_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("rating", F.array_join(F.transform("items", lambda x: x.cast("string")), " > ").alias("items"), "length", "freq")
 
 
+for _name in ("movie_itemsets", "movie_rules", "movie_sequences"):
+    ORACLES[_name] = _recursive(ORACLES[_name])
+
+
 # vectors of ten lengths, so that blocks by norm differ
 _SCALED = "WITH e AS (SELECT vec_id, list_transform(CAST(embedding AS double[]), lambda x: x * pow(2, label)) AS v, CAST(embedding AS double[]) AS q, label FROM embeddings)"
 
@@ -240,5 +247,101 @@ def search_by_ndcg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(rung, share, p["rank"], p["reg"], value, stays) for rung, share, p, value, stays in found], "rung int, share double, rank int, reg double, composite double, stays boolean")
 
 
-for _name in ("movie_itemsets", "movie_rules", "movie_sequences"):
-    ORACLES[_name] = _recursive(ORACLES[_name])
+@query("""
+SELECT user_id, gender, age, genres FROM fx_events JOIN fx_users USING (user_id) JOIN fx_movies USING (movie_id) WHERE rating >= 4""")
+def shard_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Liked events in JSON shards, written twice and published at once each time, the second in place of the first, read back."""
+    liked = joins.join_ratings(fixtures.events(spark, sf_dir), fixtures.users(spark, sf_dir), fixtures.movies(spark, sf_dir)).where("rating >= 4")
+    rows, path = liked.select("user_id", "gender", "age", "genres"), shared_path(spark, "shards")
+    shards.write_shards(rows.limit(0), path)
+    shards.write_shards(rows, path, "overwrite")
+    return shards.read_shards(spark, path, rows.schema)
+
+
+def _likings(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The items' biases, sorted by item."""
+    table = scoring.read_table(path).sort_by("movie_id")
+    return table["movie_id"].to_numpy(), table["bias"].to_numpy()
+
+
+def _liked(likings: tuple[np.ndarray, np.ndarray], batch: pa.RecordBatch) -> pa.RecordBatch:
+    ids, bias = likings
+    asked = batch.column(1).to_numpy()
+    at = np.minimum(np.searchsorted(ids, asked), max(len(ids) - 1, 0))
+    found = np.where(ids[at] == asked, bias[at], 0.0) if len(ids) else np.zeros(len(asked))
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], names=["event_id", "movie_id", "score"])
+
+
+@query("""
+, r AS (SELECT movie_id, rating::double AS rating FROM fx_ratings), m AS (SELECT avg(rating) AS mean FROM r), i AS (SELECT movie_id, sum(rating - mean) / (count(*) + 25) AS b FROM r, m GROUP BY movie_id)
+SELECT event_id, movie_id, round(coalesce(b, 0), 6) AS score FROM fx_events LEFT JOIN i USING (movie_id)""")
+def scored_by_worker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events scored by their movie's bias, from a table that each worker loads once."""
+    _, _, bias = retrieval.rating_biases(fixtures.ratings(spark, sf_dir), 1)
+    path = shared_path(spark, "scorer")
+    bias.coalesce(1).write.parquet(path)
+    out = scoring.score_with(fixtures.events(spark, sf_dir).select("event_id", "movie_id"), _likings, path, _liked, "event_id long, movie_id long, score double")
+    return _round(out, "score")
+
+
+# ratings in the order of time, the first half known, and a guess from the items' means there
+_HALVES = """
+, r AS (SELECT user_id, movie_id, rating::double AS rating, timestamp, row_number() OVER (ORDER BY timestamp, user_id, movie_id, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS rn, count(*) OVER () AS total FROM fx_ratings),
+m AS (SELECT avg(rating) AS mean FROM r WHERE rn <= total // 2), i AS (SELECT movie_id, sum(rating - mean) / (count(*) + 25) AS b FROM r, m WHERE rn <= total // 2 GROUP BY movie_id),
+g AS (SELECT r.*, mean + coalesce(b, 0) AS guess FROM r LEFT JOIN i USING (movie_id), m)"""
+
+
+def _one_feature(name: str) -> str:
+    cuts = ", ".join(str(i / 20) for i in range(1, 20))
+    return f"""(WITH q AS (SELECT quantile_cont({name}::double, [{cuts}]) AS cuts FROM g WHERE rn <= total // 2), b AS (SELECT g.*, len(list_filter(cuts, lambda c: c < {name})) AS bin FROM g, q),
+k AS (SELECT bin, avg(abs(rating - guess)) AS a, avg(pow(rating - guess, 2)) AS s FROM b WHERE rn <= total // 2 GROUP BY bin)
+SELECT '{name}' AS feature, CAST(floor((rn - total // 2 - 1) / 6000) AS bigint) AS chunk, count(*) AS n, round(avg(a), 6) AS mae, round(sqrt(avg(s)), 6) AS rmse FROM b LEFT JOIN k USING (bin) WHERE rn > total // 2 GROUP BY 2)"""
+
+
+@query(_HALVES + "\n" + " UNION ALL ".join(_one_feature(c) for c in ("timestamp", "movie_id", "user_id")))
+def drift_by_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors expected of a fitted guess on the second half in time, by chunk, from one feature at a time."""
+    rows = kept(models.halves(fixtures.ratings(spark, sf_dir, True), TIME_ORDER), "drift-halves")
+    known = rows.where("period = 'reference'")
+    mean, _, bias = retrieval.rating_biases(known, 1)
+    guessed = rows.join(bias.withColumnRenamed("movie_id", "m"), F.col("movie_id") == F.col("m"), "left").withColumn("guess", mean + F.coalesce("bias", F.lit(0.0)))
+    guessed = kept(guessed.drop("m", "bias"), "drift-guessed")
+    analysis = models.chunked(guessed.where("period = 'analysis'"), TIME_ORDER, 6000)
+    out = models.estimate_by_feature(guessed.where("period = 'reference'"), analysis, ["timestamp", "movie_id", "user_id"], "rating", "guess")
+    return _round(out, "mae", "rmse")
+
+
+@query()
+def pattern_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many patterns of each length there are among movie_sequences, and the most frequent one's count."""
+    out = vertical.frequent_sequences(fixtures.events(spark, sf_dir), ["rating"], "user_id", "movie_id", ["timestamp", "event_id"], 0.02)
+    return mining.patterns_by_length(out)
+
+
+ORACLES["pattern_lengths"] = f"SELECT length, count(*) AS patterns, max(freq) AS max_freq FROM ({ORACLES['movie_sequences']}) GROUP BY length"
+
+
+@query("""
+SELECT fault, message, (SELECT count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey) AS n FROM (VALUES ('list lengths', 'ratings: 2 columns and 1 types'), ('no path', 'ratings: path, separator and fields are needed'), ('repeated column', 'ratings: repeated column names'), ('type', 'ratings.x: type <class ''list''> is not int, float, str or bytes'), ('unknown relation', 'unknown relation ''films''; one of (''ratings'', ''users'', ''movies'')'))
+ v(fault, message)""", views=False)
+def rejected_catalogs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the check of a catalog says of wrong specifications of an export, and the rows that the right one reads."""
+    path = shared_path(spark, "catalog")
+    rows = fixtures.ratings(spark, sf_dir).select("user_id", "rating")
+    sinks.write_delimited(rows, path)
+    good = delimited.specs_from_lists("ratings", path, ["user_id", "rating"], [int, int])
+    wrong = {
+        "list lengths": lambda: delimited.specs_from_lists("ratings", path, ["user_id", "rating"], [int]),
+        "no path": lambda: delimited.SourceSpec("ratings", "", good.fields),
+        "repeated column": lambda: delimited.SourceSpec("ratings", path, (("x", int), ("x", int))),
+        "type": lambda: delimited.SourceSpec("ratings", path, (("x", list),)),
+        "unknown relation": lambda: delimited.SourceSpec("films", path, good.fields),
+    }
+    said = []
+    for fault, make in wrong.items():
+        try:
+            make()
+        except ValueError as e:
+            said.append((fault, str(e)))
+    read = delimited.read_delimited(spark, good).agg(F.count("*").alias("n"))  # one row
+    return spark.createDataFrame(said, "fault string, message string").crossJoin(read)

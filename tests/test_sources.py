@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tastemill.sources import delimited, sinks
@@ -77,3 +78,77 @@ def test_a_cluster_without_a_shared_folder_is_an_error(spark, monkeypatch):
     with pytest.raises(ValueError):
         folders.shared_folder(cluster)
     assert folders.shared_path(spark, "x") != folders.shared_path(spark, "x")
+
+
+def test_shards_are_published_together(spark, tmp_path):
+    from tastemill.sources import shards
+
+    path, schema = str(tmp_path / "out"), "id long, text string, tags array<string>"
+    rows = spark.createDataFrame([(i, "é\n\"" if i % 3 else None, ["a", "b"][: i % 3]) for i in range(2500)], schema).repartition(5)
+    shards.write_shards(rows, path)
+    assert sorted(shards.read_shards(spark, path, schema).collect()) == sorted(rows.collect())
+    # a task that fails leaves nothing behind, and what was there stays
+    broken = rows.withColumn("id", F.when(F.col("id") == 1234, F.raise_error(F.lit("no")).cast("long")).otherwise(F.col("id")))
+    with pytest.raises(Exception, match="no"):
+        shards.write_shards(broken, path, "overwrite")
+    assert [p.name[:4] for p in (tmp_path / "out").iterdir()] == ["job-"]
+    assert shards.read_shards(spark, path, schema).count() == 2500
+    shards.write_shards(rows.where("id < 10"), path)  # appends a job
+    assert shards.read_shards(spark, path, schema).count() == 2510
+    shards.write_shards(rows.where("id < 10"), path, "overwrite")
+    assert shards.read_shards(spark, path, schema).count() == 10
+
+
+def test_a_second_attempt_leaves_no_duplicate(tmp_path, monkeypatch):
+    from pyspark.sql import Row
+
+    from tastemill.sources import shards
+
+    class Task:
+        attempt = 0
+
+        def partitionId(self):  # noqa: N802
+            return 7
+
+        def taskAttemptId(self):  # noqa: N802
+            return Task.attempt
+
+    monkeypatch.setattr(shards.TaskContext, "get", classmethod(lambda cls: Task()))
+    writer = shards.ShardWriter(str(tmp_path / "out"), False, 2)
+
+    def breaks():
+        yield Row(x=1)
+        raise OSError("lost")
+
+    with pytest.raises(OSError):
+        writer.write(breaks())
+    found = []
+    for Task.attempt in (1, 2):  # the second of these is a speculative copy, of which Spark hears nothing
+        found.append(writer.write(iter([Row(x=1), Row(x=2), Row(x=3)])))
+    writer.commit([found[0]])
+    files = [p for p in (tmp_path / "out").rglob("*") if p.is_file()]
+    assert [p.name for p in files] == ["shard-00007-1.json.gz"] and found[0].rows == 3
+    import gzip
+
+    assert gzip.decompress(files[0].read_bytes()).decode().splitlines() == ['{"x": 1}', '{"x": 2}', '{"x": 3}']
+
+
+def test_an_object_is_loaded_once_a_worker(spark, tmp_path):
+    from tastemill.operators import scoring
+
+    spark.range(1).write.parquet(str(tmp_path / "model"))
+    out = scoring.score_with(spark.range(0, 4000, 1, 40), scoring.read_table, str(tmp_path / "model"), loads_so_far, "pid long, loads long").distinct().collect()
+    pids = {r.pid for r in out}
+    assert len(pids) <= 8 and all(r.loads == 1 for r in out)  # 40 tasks
+
+
+def loads_so_far(model, batch):
+    import os
+
+    import pyarrow as pa
+
+    from tastemill.operators import scoring
+
+    assert model.num_rows == 1
+    n = batch.num_rows
+    return pa.RecordBatch.from_arrays([pa.array([os.getpid()] * n), pa.array([sum(scoring.LOADS.values())] * n)], names=["pid", "loads"])
