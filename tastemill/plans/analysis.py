@@ -288,7 +288,7 @@ _NUMBERS = ("rating", "age", "occupation", "movie_id % 10")
 @query("\n" + "\nUNION ALL ".join(_distance_sql(x, y, "").replace("'movie_id % 10'", "'movie_digit'") for i, x in enumerate(_NUMBERS) for y in _NUMBERS[i + 1 :]))
 def distance_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distance correlation of all pairs of four columns, exact."""
-    rows = _joined(spark, sf_dir).select("rating", "age", "occupation", (F.col("movie_id") % 10).alias("movie_digit")).persist()
+    rows = _joined(spark, sf_dir).select("rating", "age", "occupation", (F.col("movie_id") % 10).alias("movie_digit"))
     return profile.distance_matrix(rows, rows.columns).select("x", "y", "n", F.round("dcov", 5).alias("dcov"), F.round("dcor", 5).alias("dcor"))
 
 
@@ -312,9 +312,10 @@ def frequent_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _genre_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The genres of the movies that each user of the events touched at one hour: short baskets over few items."""
+    """The genres of the movies that each user of the events touched on one day: short baskets over few items."""
     rows = joins.join_one(fixtures.events(spark, sf_dir), fixtures.movies(spark, sf_dir), "movie_id", ("title",))
-    return rows.groupBy("user_id", F.floor(F.col("timestamp") / 86400).alias("day")).agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list(fx.genre_names(F.col("genres")))))).alias("items"))
+    each = rows.select("user_id", F.floor(F.col("timestamp") / 86400).alias("day"), F.explode(fx.genre_names(F.col("genres"))).alias("genre")).distinct()
+    return each.groupBy("user_id", "day").agg(F.sort_array(F.collect_list("genre")).alias("items"))
 
 
 _BASKETS = """
@@ -358,7 +359,7 @@ _NAMED = "(SELECT '[\"' || string_agg(g, '\",\"' ORDER BY g) || '\"]' FROM names
 SELECT {_NAMED.format(m="m")} AS label, CAST(bit_count(m) AS int) AS size, f AS freq, round(f / n, 6) AS support FROM z, n WHERE bit_count(m) >= 3 AND f >= ceil(0.005 * n)""")
 def long_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FP-growth itemsets of three genres and more, at the operator's own support."""
-    rows = _genre_baskets(spark, sf_dir).select("items").persist()  # grouped once, read by the fit's passes and the count
+    rows = kept(_genre_baskets(spark, sf_dir).select("items"), "baskets")  # grouped once, read by the fit's passes and the count
     model = mining.fit_itemsets(rows, min_confidence=0.1)
     return mining.frequent_itemsets(model, rows.count(), 3).select("label", F.size("items").alias("size"), "freq", F.round("support", R).alias("support"))
 
@@ -369,7 +370,7 @@ SELECT {_NAMED.format(m="s.x")} AS antecedent, {_NAMED.format(m="s.y")} AS conse
 FROM s JOIN z p ON p.m = s.x JOIN z q ON q.m = s.y, n WHERE s.f / p.f >= 0.6""")
 def long_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules with two genres and more before the arrow, at the operator's own support and confidence, by lift."""
-    model = mining.fit_itemsets(_genre_baskets(spark, sf_dir).select("items").persist())
+    model = mining.fit_itemsets(kept(_genre_baskets(spark, sf_dir).select("items"), "baskets"))
     rules = mining.association_rules(model)
     return rules.select(fx.itemset_label(F.col("antecedent")).alias("antecedent"), fx.itemset_label(F.col("consequent")).alias("consequent"), *(F.round(c, R).alias(c) for c in ("confidence", "lift", "support")))
 

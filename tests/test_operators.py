@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tastemill.operators import dependence, machine, mining, models, popularity, profile, ranking, ranks, retrieval, splits, vertical
+from tastemill.operators import dependence, machine, mining, models, popularity, profile, ranking, ranks, retrieval, sketches, splits, vertical
 from tastemill.plans import analysis, fixtures
 from tastemill.streaming import jobs
 
@@ -459,3 +459,46 @@ def test_catalogue_ranks_and_biases(spark):
     for m in range(15):  # a fixed point
         own = [r - mean - bu[u] for u, n, r in rows if n == m]
         assert bm[m] == pytest.approx(sum(own) / (len(own) + 25), abs=1e-6)
+
+
+def test_sketches_merge_as_one_scan(spark):
+    rng = np.random.default_rng(1)
+    data = [(("a", "b")[i % 2], ("x", "y", "z")[i % 3], int(v), None if i % 7 == 0 else f"k{int(v) % 50}", float("nan") if False else None if i % 5 == 0 else float(v) / 3) for i, v in enumerate(rng.integers(0, 9000, 12_000))]
+    df = spark.createDataFrame(data, "split string, version string, n int, s string, x double")
+    table = sketches.sketched(df, ["split", "version"])
+    got = {(r.split, r.feature): r for r in sketches.statistics(sketches.merged(table, ["split"])).collect()}
+    for split in "ab":
+        own = pd.DataFrame([d for d in data if d[0] == split], columns=["split", "version", "n", "s", "x"])
+        for c in ("n", "x"):
+            r, v = got[split, c], own[c].dropna()
+            assert (r.n, r.missing, r.min, r.max) == (len(own), int(own[c].isna().sum()), v.min(), v.max())
+            assert (r["mean"], r["std"]) == pytest.approx((v.mean(), v.std()))
+            assert r.distinct == pytest.approx(v.nunique(), rel=4 * sketches.DISTINCT_ERROR)
+            for q, estimate in ((0.25, r.q25), (0.5, r.median), (0.75, r.q75)):
+                assert abs((v <= estimate).mean() - q) < 2 * sketches.RANK_ERROR
+        r = got[split, "s"]
+        assert (r.n, r.missing, r.distinct, r["mean"], r["std"], r.median) == (len(own), int(own.s.isna().sum()), 50, None, None, None)
+    both = sketches.overlaps(sketches.merged(table, ["split"]), "split", "n").collect()
+    sets = [{d[2] for d in data if d[0] == s} for s in "ab"]
+    assert len(both) == 1 and both[0].in_both == pytest.approx(len(sets[0] & sets[1]), abs=4 * sketches.OVERLAP_ERROR * len(sets[0] | sets[1]))
+    top = {(r.split, r.place): (r.value, r.n) for r in sketches.top_texts(df.drop("version"), ["split"], 3).collect() if r.feature == "s"}
+    counts = sorted(((-n, k) for k, n in pd.Series([d[3] for d in data if d[0] == "a"]).value_counts().items()))[:3]
+    assert [top["a", i + 1] for i in range(3)] == [(k, -n) for n, k in counts]
+
+
+def test_halving_and_single_features(spark):
+    seen = []
+
+    def score(share, a):
+        seen.append((share, a))
+        return -abs(a - 3) * share
+
+    found = models.halving([{"a": a} for a in range(8)], score, [0.25, 0.5, 1.0])
+    assert [sum(r[0] == rung for r in found) for rung in range(3)] == [8, 4, 2]
+    assert [r[2] for r in found if r[0] == 2 and r[4]] == [{"a": 3}] and len(seen) == 14
+    rows = spark.createDataFrame([(i, float(i % 4), float(i % 2), i // 50) for i in range(400)], "i long, y double, f double, chunk long")
+    out = models.estimate_by_feature(rows.where("i < 200"), rows.where("i >= 200"), ["f", "i"], "y", "f").collect()
+    assert {r.feature for r in out} == {"f", "i"} and all(r.n == 50 for r in out)
+    for r in out:
+        if r.feature == "f":  # errors are 0 or 2, half of each, whatever the value
+            assert (r.mae, r.rmse) == pytest.approx((1.0, math.sqrt(2)))
