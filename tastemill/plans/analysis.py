@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tastemill.functions import features as fx
 from tastemill.functions.vocab import GENRES
-from tastemill.operators import joins, mining, models, popularity, profile, ranking, splits
+from tastemill.operators import joins, mining, models, popularity, profile, ranking, retrieval, splits
 from tastemill.plans import fixtures
 from tastemill.plans.fixtures import TIES
 from tastemill.plans.relations import TIME_ORDER, _joined, query
@@ -222,21 +222,34 @@ def dataset_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.dataset_diff(rows.where("rating >= 3"), rows.where("rating <= 3"), ["user_id", "movie_id"])
 
 
-@query("""
-, r AS (SELECT *, row_number() OVER (ORDER BY timestamp, user_id, movie_id, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS rn FROM fx_ratings)
-SELECT CAST(floor((rn - 1) / 6000) AS bigint) AS chunk, count(*) AS n, round(sqrt(avg(pow(rating - 3.0::double, 2))), 6) AS rmse, round(avg(abs(rating - 3.0::double)), 6) AS mae, round(avg(pow(rating - 3.0::double, 2)), 6) AS mse FROM r GROUP BY 1""")
+# a guess for each rating: the mean and what its movie adds to it
+_GUESS = """
+, m AS (SELECT avg(rating::double) AS mean FROM fx_ratings), i AS (SELECT movie_id, sum(rating - mean) / (count(*) + 25) AS b FROM fx_ratings, m GROUP BY movie_id), g AS (SELECT fx_ratings.*, mean + b AS guess FROM fx_ratings JOIN i USING (movie_id), m)"""
+_ERRORS = "round(sqrt(avg(pow(rating - guess, 2))), 6) AS rmse, round(avg(abs(rating - guess)), 6) AS mae, round(avg(pow(rating - guess, 2)), 6) AS mse"
+
+
+def _guessed(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Adds ``guess``, fitted on ``known`` (all rows): the mean rating and the movie's bias."""
+    mean, _, bias = retrieval.rating_biases(rows if known is None else known, 1)
+    own = bias.select(F.col("movie_id").alias("__m"), F.col("bias").alias("__b"))
+    return rows.join(own, F.col("movie_id") == F.col("__m"), "left").withColumn("guess", mean + F.coalesce("__b", F.lit(0.0))).drop("__m", "__b")
+
+
+@query(_GUESS + f"""
+, r AS (SELECT *, row_number() OVER (ORDER BY timestamp, user_id, movie_id, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS rn FROM g)
+SELECT CAST(floor((rn - 1) / 6000) AS bigint) AS chunk, count(*) AS n, {_ERRORS} FROM r GROUP BY 1""")
 def error_by_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tastemill.operators.ranks import global_row_number
-    rows = global_row_number(fixtures.ratings(spark, sf_dir, True), TIME_ORDER).withColumns({"chunk": F.floor((F.col("rn") - 1) / 6000), "guess": F.lit(3.0)})
+    rows = global_row_number(_guessed(fixtures.ratings(spark, sf_dir, True)), TIME_ORDER).withColumn("chunk", F.floor((F.col("rn") - 1) / 6000))
     return _round(ranking.error_metrics(rows, "rating", "guess", ("chunk",)), "rmse", "mae", "mse")
 
 
-@query("""
-SELECT gender, occupation, count(*) AS n, round(sqrt(avg(pow(rating - 3.0::double, 2))), 6) AS rmse, round(avg(abs(rating - 3.0::double)), 6) AS mae, round(avg(pow(rating - 3.0::double, 2)), 6) AS mse
-FROM fx_ratings JOIN fx_users USING (user_id) GROUP BY ROLLUP (gender, occupation)""")
+@query(_GUESS + f"""
+SELECT gender, occupation, count(*) AS n, {_ERRORS}
+FROM g JOIN fx_users USING (user_id) GROUP BY ROLLUP (gender, occupation)""")
 def error_by_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors overall, by gender, and by gender and occupation."""
-    rows = _joined(spark, sf_dir).withColumn("guess", F.lit(3.0))
+    rows = _guessed(_joined(spark, sf_dir))
     return _round(ranking.error_metrics(rows, "rating", "guess", ("gender", "occupation"), rollup=True), "rmse", "mae", "mse")
 
 
@@ -263,11 +276,11 @@ def gate_against_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(ranking.quality_gate(metrics(rows.where("user_id % 2 = 1")), {"liked": 0.1, "n": 1000.0}, base), "value", "bound")
 
 
-@query("""
-, m AS (SELECT unnest(['rmse', 'mae', 'count']) AS metric, unnest([-sqrt(avg(pow(rating - 3.0::double, 2))), -avg(abs(rating - 3.0::double)), count(*)::double]) AS value FROM fx_ratings)
-SELECT metric, round(value, 6) AS value, bound, value >= bound AS passed FROM m JOIN (VALUES ('rmse', -2.0::double), ('mae', -0.5), ('count', 100.0)) b(metric, bound) USING (metric)""")
+@query(_GUESS + """
+, v AS (SELECT unnest(['rmse', 'mae', 'count']) AS metric, unnest([-sqrt(avg(pow(rating - guess, 2))), -avg(abs(rating - guess)), count(*)::double]) AS value FROM g)
+SELECT metric, round(value, 6) AS value, bound, value >= bound AS passed FROM v JOIN (VALUES ('rmse', -2.0::double), ('mae', -0.5), ('count', 100.0)) b(metric, bound) USING (metric)""")
 def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = ranking.error_metrics(fixtures.ratings(spark, sf_dir).withColumn("guess", F.lit(3.0)), "rating", "guess")
+    e = ranking.error_metrics(_guessed(fixtures.ratings(spark, sf_dir)), "rating", "guess")
     metrics = e.select(F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), c.cast("double").alias("value")) for n, c in (("rmse", -F.col("rmse")), ("mae", -F.col("mae")), ("count", F.col("n")))))).alias("m")).select("m.*")
     return _round(ranking.quality_gate(metrics, {"rmse": -2.0, "mae": -0.5, "count": 100.0}), "value")
 
@@ -453,9 +466,10 @@ def approved_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def drift_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors expected on the second half in time, by chunk, from a model of the first half's errors."""
-    rows = models.halves(fixtures.ratings(spark, sf_dir, True).withColumns({"guess": F.lit(3.0), "hr_wk": fx.hour_of_week(F.col("timestamp")).cast("double")}), TIME_ORDER)
+    rows = kept(models.halves(fixtures.ratings(spark, sf_dir, True).withColumn("hr_wk", fx.hour_of_week(F.col("timestamp")).cast("double")), TIME_ORDER), "drift-rows")
+    rows = _guessed(rows, rows.where("period = 'reference'"))
     analysis = models.chunked(rows.where("period = 'analysis'"), TIME_ORDER, 6000)
-    return models.estimate_error(rows.where("period = 'reference'"), analysis, ["hr_wk", "movie_id"], "rating", "guess", trees=5)
+    return models.estimate_error(rows.where("period = 'reference'"), analysis, ["hr_wk", "movie_id"], "rating", "guess")
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tastemill.operators import joins, mining, models, popularity, profile, ranking, retrieval, scoring, sketches, vertical
 from tastemill.plans import fixtures
-from tastemill.plans.analysis import R, _round
+from tastemill.plans.analysis import R, _guessed, _round
 from tastemill.plans.relations import ORACLES, TIME_ORDER, query
 from tastemill.sources import delimited, shards, sinks
 from tastemill.sources.folders import kept, shared_path
@@ -303,9 +303,7 @@ def drift_by_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors expected of a fitted guess on the second half in time, by chunk, from one feature at a time."""
     rows = kept(models.halves(fixtures.ratings(spark, sf_dir, True), TIME_ORDER), "drift-halves")
     known = rows.where("period = 'reference'")
-    mean, _, bias = retrieval.rating_biases(known, 1)
-    guessed = rows.join(bias.withColumnRenamed("movie_id", "m"), F.col("movie_id") == F.col("m"), "left").withColumn("guess", mean + F.coalesce("bias", F.lit(0.0)))
-    guessed = kept(guessed.drop("m", "bias"), "drift-guessed")
+    guessed = kept(_guessed(rows, known), "drift-guessed")
     analysis = models.chunked(guessed.where("period = 'analysis'"), TIME_ORDER, 6000)
     out = models.estimate_by_feature(guessed.where("period = 'reference'"), analysis, ["timestamp", "movie_id", "user_id"], "rating", "guess")
     return _round(out, "mae", "rmse")
