@@ -192,7 +192,8 @@ def equal_spans(a: np.ndarray, a_starts: np.ndarray, a_ends: np.ndarray, b: np.n
 def window_hashes(values: np.ndarray, k: int) -> np.ndarray:
     """Hash of every k consecutive values; out[i] covers values[i : i + k].
 
-    A polynomial modulo 2**64 over scrambled values: fit for k of a few hundred at most.
+    A polynomial modulo 2**64: fit for k of a few hundred at most. Callers that take equal
+    hashes for equal values must scramble the values first; over raw ones, compare what is equal.
     """
     n = len(values) - k + 1
     if n <= 0:

@@ -279,6 +279,33 @@ def repeated_offsets(right: list[bytes], shared: np.ndarray, left: list[bytes],
     return pick[entry], first, np.nonzero(edge == -1)[1] - 1
 
 
+def _fresh(
+    doc: np.ndarray, tie: np.ndarray, place: np.ndarray, n_left: np.ndarray, shared: np.ndarray, tails: np.ndarray, data: bytes, seen: dict, base: int
+) -> tuple[list[tuple[int, bytes, int]], list[bytes], np.ndarray, np.ndarray]:
+    """A packed run without the entries whose bytes ``seen`` has: (run, left sides, numbers of its entries, spans of the copies).
+
+    All windows of an entry and its copy are repeats, so both are put down as spans at once,
+    and only the first is kept to be met by others.
+    """
+    ends = (int(tails.sum()) + np.cumsum(n_left, dtype=np.int64)).tolist()
+    run, sides, fresh, copies, common = [], [], [], [], None
+    for i, (n, suffix, _) in enumerate(_decoded(shared.tolist(), tails.tolist(), data, 0)):
+        side = data[ends[i] - int(n_left[i]) : ends[i]]
+        cover = (int(doc[i]), int(tie[i]), int(place[i] - n_left[i]), int(place[i]) + len(suffix))
+        common = n if common is None else min(common, n)  # with the last entry that is kept
+        if (side, suffix) in seen:
+            first = seen[side, suffix]
+            seen[side, suffix] = None
+            copies += [cover] if first is None else [first, cover]
+            continue
+        seen[side, suffix] = cover
+        run.append((common, suffix, base + len(run)))
+        sides.append(side)
+        fresh.append(i)
+        common = None
+    return run, sides, np.array(fresh, dtype=np.int64), np.array(copies, dtype=np.int64).reshape(-1, 4)
+
+
 def _merge(batches: Iterator[pa.RecordBatch], length: int, q: int, most: int | None, fan_in: int = 256) -> Iterator[pa.RecordBatch]:
     """Spans of repeated windows, bucket by bucket, as FOUND; a bucket of more than ``most`` bytes comes out to be dealt again."""
 
@@ -291,7 +318,9 @@ def _merge(batches: Iterator[pa.RecordBatch], length: int, q: int, most: int | N
         left: list[bytes] = []
         runs: list[Iterator[tuple[int, bytes, int]]] = []
         held: list[bytes] = []
-        size = 0
+        #: (bytes to the left, suffix): what the first entry of its kind covers, until that is told
+        seen: dict[tuple[bytes, bytes], tuple[int, int, int, int] | None] = {}
+        size = packed_size = 0
         for _, packed in own:
             (doc, tie, place, n_left, shared, tails), data = _unpack(packed)
             if len(shared) and shared[0] < 0:
@@ -300,17 +329,22 @@ def _merge(batches: Iterator[pa.RecordBatch], length: int, q: int, most: int | N
             if size < 0:
                 yield again_batch([packed])
                 continue
-            held.append(packed)
-            runs.append(_decoded(shared.tolist(), tails.tolist(), data, len(left)))
-            ends = (int(tails.sum()) + np.cumsum(n_left)).tolist()
-            left += [data[e - n : e] for e, n in zip(ends, n_left.tolist(), strict=True)]
-            columns.append([doc, tie, place])
-            size += len(data) + 300 * len(doc)
-            if most is not None and size > most:
+            if most is not None:
+                held.append(packed)
+                packed_size += len(packed)
+            run, sides, fresh, copies = _fresh(doc, tie, place, n_left, shared, tails, data, seen, len(left))
+            if len(copies):
+                yield span_batch(*copies.T)
+            if len(run):
+                runs.append(iter(run))
+                left += sides
+                columns.append([doc[fresh], tie[fresh], place[fresh]])
+            size += sum(len(x) for _, x, _ in run) + sum(map(len, sides)) + 300 * len(run)
+            if most is not None and max(size, packed_size) > most:
                 for run in held:
                     yield again_batch([run])
-                columns, left, runs, held, size = [], [], [], [], -1
-        del held
+                columns, left, runs, held, seen, size = [], [], [], [], {}, -1
+        del held, seen
         if not columns:
             continue
         while len(runs) > fan_in:
@@ -344,7 +378,8 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_strings(docs: DataFrame, length: int = 200, q: int = 16, memory: int = 96 << 20) -> DataFrame:
     """(doc, tie, s, e): byte ranges of keyed() documents covered by a string of ``length`` bytes that also starts elsewhere.
 
-    ``memory`` bounds the bytes of a bucket's entries in a task, but for what is left after all levels.
+    ``memory`` bounds the bytes of a bucket's different entries in a task, but for what is left after
+    all levels; copies of one entry are not held.
     """
     spark, q = docs.sparkSession, min(q, length)
     n = parts(spark, 3.2 * text_bytes(docs))

@@ -221,3 +221,23 @@ def test_short_sets_lose_no_link(spark, monkeypatch, k, share):
     monkeypatch.setattr(ngram_join, "_hot", lambda *a: common if k == 1 else np.zeros(0, np.uint64))
     out = ngram_join.similar_groups(documents(spark, rows), k, share).collect()
     assert {r.doc_id: r.component_id for r in out} == label
+
+
+def test_copies_of_one_string_take_no_memory():
+    """Ten times the pieces with one and the same entry: as much is held, and all copies are put down."""
+    import tracemalloc
+
+    suffix, side = bytes(range(200)), b"left"
+    rest = [suffix_dedup._pack([[10**6 + i], [0], [0], [0], [0], [300]], bytes([i]) * 300) for i in range(5)]
+    peaks = []
+    for n in (3_000, 30_000):
+        packed = (suffix_dedup._pack([[i], [0], [4], [4], [0], [200]], suffix + side) for i in range(n))
+        rows = (pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([r])], names=["bucket", "run"]) for part in (packed, rest) for r in part)
+        tracemalloc.start()
+        spans = 0
+        for batch in suffix_dedup._merge(rows, 200, 16, None):
+            spans += sum(s is not None for s in batch.column(0).to_pylist())
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert spans == n
+    assert peaks[1] < 1.5 * peaks[0]
