@@ -180,25 +180,26 @@ def _first_shingles(rows: np.ndarray, hashed: np.ndarray, last: np.ndarray, want
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between the classes of each part, from one to the next; the input is sorted by (part, set, doc).
+    """Links from the first class of each part to its others; the input is sorted by (part, set, doc).
 
-    A class is named by its smallest id, which is that of the first of its rows.
+    A class is named by its smallest id, which is that of the first of its rows. Stars, not
+    chains: the component search then takes few steps.
     """
-    part, last_set, name = None, None, None
+    part, last_set, centre = None, None, 0
     for batch in batches:
         if not batch.num_rows:
             continue
         parts_, sets, docs = (batch.column(i).to_numpy() for i in range(3))
-        if part is not None:  # the last class of the batch before goes on here
-            parts_, sets, docs = np.append(part, parts_), np.append(last_set, sets), np.append(name, docs)
-        new_part = np.append(True, parts_[1:] != parts_[:-1])
-        new = new_part | np.append(True, sets[1:] != sets[:-1])
-        at = np.flatnonzero(new)
-        names, fresh = docs[at], new_part[at]
-        a, b = names[:-1][~fresh[1:]], names[1:][~fresh[1:]]
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b], axis=0)
-        part, last_set, name = parts_[-1], sets[-1], names[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        new_part = np.append(part is None or parts_[0] != part, parts_[1:] != parts_[:-1])
+        at = np.flatnonzero(new_part | np.append(last_set is None or sets[0] != last_set, sets[1:] != sets[:-1]))
+        if len(at):
+            names, first = docs[at], np.maximum.accumulate(np.where(new_part[at], np.arange(len(at)), -1))
+            centres = np.where(first >= 0, names[first], centre)  # a part may go on from the batch before
+            pairs = np.stack([np.minimum(centres, names), np.maximum(centres, names)], axis=1)[centres != names]
+            pairs = np.unique(pairs, axis=0)
+            centre = centres[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        part, last_set = parts_[-1], sets[-1]
 
 
 def _members(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -448,6 +449,8 @@ def _large_clusters(docs: DataFrame, large: DataFrame, k: int, share: tuple[int,
     parts_ = now.groupBy("cluster", "label").count().groupBy(F.col("cluster").alias("c")).agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("components"))
     apart = now.join(parts_.where("components > 1"), F.col("cluster") == F.col("c")).drop("c", "components")
     open_ = written(apart.select("cluster", "member", "n", "blocks", "label", (F.col("label") != F.col("main")).alias("lone")), "join-apart")
+    # what is joined already goes on as one link a member, not as all links found
+    found = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
     if open_.isEmpty():
         return found
     # sets outside the main component, in groups of a block's size, meet every block of their cluster
