@@ -338,21 +338,21 @@ i1 AS (SELECT g, count(*) AS f FROM t GROUP BY g), i2 AS (SELECT x.g AS a, y.g A
 
 
 @query(_BASKETS + """
-SELECT '["' || g || '"]' AS label, f AS freq, round(f / n, 6) AS support FROM i1, n WHERE f >= ceil(0.02 * n) UNION ALL SELECT '["' || a || '","' || b || '"]', f, round(f / n, 6) FROM i2, n WHERE f >= ceil(0.02 * n)""")
+SELECT '["' || g || '"]' AS label, f AS freq, round(f / n, 6) AS support FROM i1, n WHERE f >= ceil(0.005 * n) UNION ALL SELECT '["' || a || '","' || b || '"]', f, round(f / n, 6) FROM i2, n WHERE f >= ceil(0.005 * n)""")
 def frequent_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FP-growth itemsets of one and two genres, which counting can confirm; the longer ones are in long_itemsets."""
-    rows = _genre_baskets(spark, sf_dir).select("items")
-    model = mining.fit_itemsets(rows, 0.02, 0.1)
+    rows = kept(_genre_baskets(spark, sf_dir).select("items"), "baskets")
+    model = mining.fit_itemsets(rows, min_confidence=0.1)
     return mining.frequent_itemsets(model, rows.count()).where(F.size("items") <= 2).select("label", "freq", F.round("support", R).alias("support"))
 
 
 @query(_BASKETS + """
 , d AS (SELECT a AS x, b AS y, f FROM i2 UNION ALL SELECT b, a, f FROM i2)
 SELECT '["' || x || '"]' AS antecedent, '["' || y || '"]' AS consequent, round(d.f / p.f, 6) AS confidence, round(d.f / p.f / (q.f / n), 6) AS lift
-FROM d JOIN i1 p ON p.g = x JOIN i1 q ON q.g = y, n WHERE d.f >= ceil(0.02 * n) AND d.f / p.f >= 0.1""")
+FROM d JOIN i1 p ON p.g = x JOIN i1 q ON q.g = y, n WHERE d.f >= ceil(0.005 * n) AND d.f / p.f >= 0.1""")
 def assoc_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules from one genre to another; longer antecedents are in long_rules."""
-    model = mining.fit_itemsets(_genre_baskets(spark, sf_dir).select("items"), 0.02, 0.1)
+    model = mining.fit_itemsets(kept(_genre_baskets(spark, sf_dir).select("items"), "baskets"), min_confidence=0.1)
     rules = mining.association_rules(model, 0.1, 1).where(F.size("antecedent") == 1)
     return rules.select(fx.itemset_label(F.col("antecedent")).alias("antecedent"), fx.itemset_label(F.col("consequent")).alias("consequent"), F.round("confidence", R).alias("confidence"), F.round("lift", R).alias("lift"))
 
@@ -388,7 +388,15 @@ def long_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.select(fx.itemset_label(F.col("antecedent")).alias("antecedent"), fx.itemset_label(F.col("consequent")).alias("consequent"), *(F.round(c, R).alias(c) for c in ("confidence", "lift", "support")))
 
 
-@query()
+_EVEN = _SETS.replace("FROM t JOIN names USING (g) GROUP BY", "FROM t JOIN names USING (g) WHERE user_id % 2 = 0 GROUP BY").replace("(SELECT DISTINCT user_id, day FROM t)", "(SELECT DISTINCT user_id, day FROM t WHERE user_id % 2 = 0)")
+
+
+@query(_EVEN + """
+, s AS (SELECT m, f, m - (1 << CAST(i AS int)) AS x, 1 << CAST(i AS int) AS y, g FROM z JOIN names ON m & (1 << CAST(i AS int)) <> 0, n WHERE bit_count(m) >= 3 AND f >= ceil(0.01 * n)),
+r AS (SELECT x, y, s.g FROM s JOIN z p ON p.m = s.x WHERE s.f / p.f >= 0.3),
+o AS (SELECT user_id, day, bit_or(1 << CAST(i AS int)) AS mask, string_agg(g, ',' ORDER BY g) AS items FROM t JOIN names USING (g) WHERE user_id % 2 = 1 GROUP BY user_id, day),
+k AS (SELECT mask, string_agg(g, ',' ORDER BY g) AS prediction FROM (SELECT DISTINCT mask, r.g FROM (SELECT DISTINCT mask FROM o) JOIN r ON mask & x = x AND mask & y = 0) GROUP BY mask)
+SELECT user_id, day, items, coalesce(prediction, '') AS prediction FROM o LEFT JOIN k USING (mask)""")
 def rules_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules of the even users' baskets, with at least two genres before the arrow, applied to the odd users'."""
     rows = _genre_baskets(spark, sf_dir)

@@ -502,3 +502,11 @@ def test_halving_and_single_features(spark):
     for r in out:
         if r.feature == "f":  # errors are 0 or 2, half of each, whatever the value
             assert (r.mae, r.rmse) == pytest.approx((1.0, math.sqrt(2)))
+
+
+def test_losses_rank_once(spark):
+    _, df = vectors(spark)
+    ranks = ranking.inbatch_ranks(df, "batch", "id", "q", "c", "mask", "w")
+    out = ranking.inbatch_losses(ranks)
+    assert out._jdf.queryExecution().executedPlan().toString().count("FlatMapGroupsIn") == 1
+    assert {r.kind: r.loss for r in out.collect()} == {k: pytest.approx(ranking.inbatch_loss(ranks, k).first().loss) for k in ranking.LOSSES}
