@@ -10,6 +10,8 @@ from tastemill.sources.folders import delete
 
 #: nodes with more than this part of all edges are stars
 STARS = 512
+#: edges that a task writes at least, where there are so many
+ROWS = 1 << 19
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -29,9 +31,9 @@ def components(edges: DataFrame) -> DataFrame:
     while mark is not None:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both, 2 * mark[0]).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
-        large, between = written_at(large, "components-large")
+        large, between = written_at(_in_few(large, 2 * mark[0]), "components-large")
         small = _with_least(large, mark[0]).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        e, new, after = _step(small.distinct())
+        e, new, after = _step(_in_few(small.distinct(), mark[0]))
         delete(e.sparkSession, between)
         delete(e.sparkSession, path)
         path = after
@@ -41,6 +43,11 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _in_few(edges: DataFrame, n: int) -> DataFrame:
+    """At most ``n`` edges in tasks, and so in files, of ROWS each, but in no fewer than there are cores: steps are many and small."""
+    return edges.coalesce(max(edges.sparkSession.sparkContext.defaultParallelism, -(-n // ROWS)))
+
+
 def _with_least(edges: DataFrame, n: int) -> DataFrame:
     """Edges (u, v, m) with the least v of their u, from at most ``n`` edges (u, v).
 
