@@ -114,52 +114,90 @@ class Search:
         return both.select("query_block", "queries", F.lit(self.n_items).alias("item_blocks"), "scanned", (F.lit(self.n_items) - F.col("scanned")).alias("skipped"), "queries_sent")
 
 
+#: bytes of the scores that a task holds at once
+SCORES = 64 << 20
+#: items of the first blocks that a search for places up to a limit counts, and by how many times each later round is larger
+HEAD, GROWTH = 4096, 16
+
+
 def _reached(q: pa.Table, items: pa.Table, slack: float) -> pa.Table:
-    """How many items of a block reach the known score of each row of a block; equal queries are scored once."""
+    """How many items of a block reach the known score of each row of a block; equal queries that follow each other are scored once."""
+    q = q.sort_by("qid")
     qids, known = q["qid"].to_numpy(), q["score"].to_numpy()
     n = np.zeros(len(qids), dtype=np.int64)
     if items.num_rows and len(qids):
         matrix, asked = _matrix(items), _matrix(q)
-        _, first, at = np.unique(qids, return_index=True, return_inverse=True)
-        step = max(1, (64 << 20) // (8 * len(matrix)))
-        for low in range(0, len(first), step):
-            s = asked[first[low : low + step]] @ matrix.T
-            rows = np.flatnonzero((at >= low) & (at < low + step))
-            s.sort(axis=1)
-            for r in rows.tolist():
-                row = s[at[r] - low]
-                n[r] = len(row) - np.searchsorted(row, known[r] - slack)
+        step = max(1, SCORES // (8 * len(matrix)))
+        for low in range(0, len(qids), step):
+            _, first, at = np.unique(qids[low : low + step], return_index=True, return_inverse=True)
+            s = asked[low : low + step][first] @ matrix.T
+            n[low : low + step] = np.count_nonzero((s if len(first) == len(at) else s[at]) >= (known[low : low + step] - slack)[:, None], axis=1)
     return pa.table([q["qid"], q["item"], pa.array(n)], names=["qid", "item", "n"])
 
 
-def catalogue_ranks(pairs: DataFrame, queries: DataFrame, items: DataFrame, bias: str | None = None, seen: DataFrame | None = None, block: int = BLOCK, slack: float = 1e-6) -> DataFrame:
+def _counted(met: DataFrame, wide: DataFrame, block: int, slack: float) -> DataFrame:
+    """(qid, item, n): how many items reach the known score, block by block."""
+    n_items, n_pairs = _blocks(wide, block), _blocks(met, block)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = met.select("qid", "item", "vector", "score").withColumns({"b": F.pmod(F.xxhash64("qid", "item"), F.lit(n_pairs)).cast("int"), "a": every(n_items)}).groupBy("a", "b")
+    right = wide.select("item", "vector").withColumns({"a": F.pmod(F.xxhash64("item"), F.lit(n_items)).cast("int"), "b": every(n_pairs)}).groupBy("a", "b")
+    return left.cogroup(right).applyInArrow(lambda x, y: _reached(x, y, slack), COUNTED)
+
+
+def catalogue_ranks(pairs: DataFrame, queries: DataFrame, items: DataFrame, bias: str | None = None, seen: DataFrame | None = None, block: int = BLOCK, slack: float = 1e-6, upto: int | None = None, head: int = HEAD) -> DataFrame:
     """(qid, item, rank, weight, score): the place of known items of (qid, item[, weight]) in the whole catalogue.
 
     rank counts the items whose product with the query reaches that of the known one, itself
     included. Blocks of pairs meet blocks of items, and a block says only how many of its
     items reach the score, so no list of scores leaves a task. Items in ``seen`` (qid, item)
     don't count, but for the known one. Pairs whose query or item has no vector are left out.
+
+    With ``upto`` ranks are exact up to that place; one beyond it is only known to be beyond,
+    and is given as ``upto + 1`` or more. That is all that metrics at ``upto`` ask for. Items
+    are then met by descending norm, ``head`` of them first, then rounds of ``GROWTH`` times as
+    many: a pair that more unseen items have reached than ``upto`` is settled and meets no others.
     """
-    wide = kept(_wide(items, "item", F.col(bias) if bias else None).drop("norm"), "ranks-items")
+    wide = kept(_wide(items, "item", F.col(bias) if bias else None), "ranks-items")
     asked = kept(_wide(queries, "qid", F.lit(1.0) if bias else None).drop("norm"), "ranks-queries")
     weight = F.col("weight").cast("double") if "weight" in pairs.columns else F.lit(1.0)
     known = pairs.select(F.col("qid").cast("long").alias("qid"), F.col("item").cast("long").alias("item"), weight.alias("weight")).dropDuplicates(["qid", "item"])
     product = F.aggregate(F.zip_with("vector", "other", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     other = wide.select(F.col("item").alias("i"), F.col("vector").alias("other"))
     asked_ = asked.select(F.col("qid").alias("q"), "vector")
-    met = kept(known.join(asked_, F.col("qid") == F.col("q")).join(other, F.col("item") == F.col("i")).select("qid", "item", "weight", "vector", product.alias("score")), "ranks-known")
-    n_items, n_pairs = _blocks(wide, block), _blocks(met, block)
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = met.withColumns({"b": F.pmod(F.xxhash64("qid", "item"), F.lit(n_pairs)).cast("int"), "a": every(n_items)}).groupBy("a", "b")
-    right = wide.withColumns({"a": F.pmod(F.xxhash64("item"), F.lit(n_items)).cast("int"), "b": every(n_pairs)}).groupBy("a", "b")
-    counted = left.cogroup(right).applyInArrow(lambda x, y: _reached(x, y, slack), COUNTED)
+    met = known.join(asked_, F.col("qid") == F.col("q")).join(other, F.col("item") == F.col("i")).select("qid", "item", "weight", "vector", product.alias("score"))
+    gone = None
     if seen is not None:
+        gone = kept(seen.select(F.col("qid").cast("long").alias("q"), F.col("item").cast("long").alias("gone")).distinct(), "ranks-seen")
+    if upto is None:
+        met = kept(met, "ranks-known")
+        left, settled, counted = met, None, _counted(met, wide, block, slack)
+    else:
+        if gone is not None:  # at most so many of the items that reach a score don't count
+            sizes = gone.groupBy(F.col("q").alias("q_")).agg(F.count("*").alias("own"))
+            met = met.join(sizes, F.col("qid") == F.col("q_"), "left").withColumn("own", F.coalesce("own", F.lit(0).cast("long"))).drop("q_")
+        else:
+            met = met.withColumn("own", F.lit(0).cast("long"))
+        left, counted, settled = kept(met.withColumn("n", F.lit(0).cast("long")), "ranks-known"), None, None
+        placed = kept(running(wide.withColumn("turned", -F.col("norm")), ["turned", "item"], cheap=True).select("item", "vector", "__rn"), "ranks-placed")
+        low, high, n = 0, head, placed.count()
+        while low < n:
+            round_ = _counted(left, placed.where((F.col("__rn") >= low) & (F.col("__rn") < high)), block, slack)
+            new = round_.groupBy(F.col("qid").alias("q"), F.col("item").alias("i")).agg(F.sum("n").alias("new"))
+            left = kept(left.join(new, (F.col("qid") == F.col("q")) & (F.col("item") == F.col("i"))).withColumn("n", F.col("n") + F.col("new")).drop("q", "i", "new"), "ranks-round")
+            done = left.where(F.col("n") - F.col("own") > upto).select("qid", "item", (F.col("n") - F.col("own")).alias("rank"), "weight", "score")
+            settled = done if settled is None else settled.unionByName(done)
+            left = left.where(F.col("n") - F.col("own") <= upto)
+            if left.isEmpty():
+                break
+            low, high = high, high * GROWTH
+        counted = left.select("qid", "item", "n")
+    if gone is not None:
         # an item that the query has seen is taken off again where it reaches the score
-        gone = seen.select(F.col("qid").cast("long").alias("q"), F.col("item").cast("long").alias("gone")).distinct()
-        own = met.join(gone, (F.col("qid") == F.col("q")) & (F.col("item") != F.col("gone"))).join(other, F.col("gone") == F.col("i"))
+        own = left.join(gone, (F.col("qid") == F.col("q")) & (F.col("item") != F.col("gone"))).join(other, F.col("gone") == F.col("i"))
         counted = counted.unionByName(own.where(product >= F.col("score") - slack).groupBy("qid", "item").agg((-F.count("*")).alias("n")))
     total = counted.groupBy(F.col("qid").alias("q"), F.col("item").alias("i")).agg(F.sum("n").alias("rank"))
-    return met.join(total, (F.col("qid") == F.col("q")) & (F.col("item") == F.col("i"))).select("qid", "item", "rank", "weight", "score")
+    out = left.drop("n").join(total, (F.col("qid") == F.col("q")) & (F.col("item") == F.col("i"))).select("qid", "item", "rank", "weight", "score")
+    return out if settled is None else out.unionByName(settled)
 
 
 def random_metrics(n: int, k: int = 20) -> dict[str, float]:

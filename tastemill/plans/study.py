@@ -159,7 +159,7 @@ def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = likes(rows.where("held")).join(seen, ["qid", "item"], "left_anti")
     out = None
     for kind, column in (("factors", None), ("factors and biases", "bias")):
-        ranks = retrieval.catalogue_ranks(held, queries, table, column, seen)
+        ranks = retrieval.catalogue_ranks(held, queries, table, column, seen, upto=20)
         one = ranking.ranking_metrics(ranks).select(F.lit(kind).alias("kind"), "queries", "hit_rate", "mrr", "ndcg", "recall")
         out = one if out is None else out.unionByName(one)
     chance = retrieval.random_metrics(table.count())

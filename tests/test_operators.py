@@ -510,3 +510,31 @@ def test_losses_rank_once(spark):
     out = ranking.inbatch_losses(ranks)
     assert out._jdf.queryExecution().executedPlan().toString().count("FlatMapGroupsIn") == 1
     assert {r.kind: r.loss for r in out.collect()} == {k: pytest.approx(ranking.inbatch_loss(ranks, k).first().loss) for k in ranking.LOSSES}
+
+
+def test_ranks_up_to_a_place_are_settled_early(spark):
+    rng = np.random.default_rng(4)
+    items, asked = rng.normal(size=(600, 4)) * rng.uniform(0.1, 3, size=(600, 1)), rng.normal(size=(9, 4))
+    frame = lambda m, name: spark.createDataFrame([(i, v.tolist(), float(i % 3)) for i, v in enumerate(m)], f"{name} long, vector array<double>, bias double")
+    known = spark.createDataFrame([(q, int(i)) for q in range(9) for i in np.argsort(-(items @ asked[q]))[[0, 3, 9, 15, 30, 300]]], "qid long, item long")
+    seen = spark.createDataFrame([(q, int(i)) for q in range(9) for i in rng.choice(600, 60, replace=False)], "qid long, item long")
+    for own in (seen, None):
+        every = {(r.qid, r.item): r for r in retrieval.catalogue_ranks(known, frame(asked, "qid"), frame(items, "item"), "bias", own).collect()}
+        for head in (4, 4096):  # three rounds, and one
+            part = retrieval.catalogue_ranks(known, frame(asked, "qid"), frame(items, "item"), "bias", own, upto=5, head=head).collect()
+            assert {(r.qid, r.item): min(r["rank"], 6) for r in part} == {k: min(r["rank"], 6) for k, r in every.items()} and len(part) == 54
+            assert all(r.score == pytest.approx(every[r.qid, r.item].score) for r in part)
+
+
+def test_counting_holds_few_scores_at_once(spark, monkeypatch):
+    import pyarrow as pa
+
+    rng, held = np.random.default_rng(5), []
+    q = pa.table({"qid": np.arange(300) // 3, "item": np.arange(300), "score": rng.normal(size=300), "vector": [[float(i // 3)] for i in range(300)]})
+    items = pa.table({"item": np.arange(50), "vector": rng.normal(size=(50, 1)).tolist()})
+    want = retrieval._reached(q, items, 0.0)["n"].to_pylist()
+    monkeypatch.setattr(retrieval, "SCORES", 8 * 50 * 7)
+    count = np.count_nonzero
+    monkeypatch.setattr(np, "count_nonzero", lambda a, axis: held.append(a.shape) or count(a, axis=axis))
+    assert retrieval._reached(q, items, 0.0)["n"].to_pylist() == want
+    assert max(n for n, _ in held) == 7
