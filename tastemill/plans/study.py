@@ -238,7 +238,7 @@ def search_by_ndcg(spark: SparkSession, sf_dir: str) -> DataFrame:
         own = rows.where(F.pmod(F.xxhash64("user_id"), F.lit(1000)) < int(1000 * share))
         users, items = models.embedding_tables(models.fit_embeddings(own.where("not held"), rank, reg=reg))
         likes = own.where("rating >= 4 and held").select(F.col("user_id").alias("qid"), F.col("movie_id").alias("item")).distinct()
-        ranks = retrieval.catalogue_ranks(likes, users.select(F.col("id").alias("qid"), F.col("embedding").alias("vector")), items.select(F.col("id").alias("item"), F.col("embedding").alias("vector")))
+        ranks = retrieval.catalogue_ranks(likes, users.select(F.col("id").alias("qid"), F.col("embedding").alias("vector")), items.select(F.col("id").alias("item"), F.col("embedding").alias("vector")), upto=20)
         by_part = ranking.ranking_metrics(ranks.join(parts, F.col("item") == F.col("movie_id")), by=("part",))
         return float(ranking.composite_ndcg(by_part).first()["composite"])
 
