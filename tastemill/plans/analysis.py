@@ -490,10 +490,12 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 SELECT movie_id AS item, n, last_step, round(b, 6) AS b, round(1 / greatest(b, 1e-6), 6) AS p FROM b""")
 def stream_popularity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """popularity_ema as keyed state over a stream of four micro-batches, some rows of which come a batch late; each item's last update."""
-    rows = fixtures.table(spark, sf_dir, "events").select(F.get_json_object("props", "$.k").cast("bigint").alias("movie_id"), (F.floor(F.col("event_id") / 50) + 1).alias("step"), F.to_timestamp_ltz(F.col("ts").cast("string")).alias("ts"), "event_id")
-    ends = rows.agg(F.min("ts").alias("low"), F.max("ts").alias("high"))  # one row
-    quarter = F.floor(4 * (F.unix_micros("ts") - F.unix_micros("low")) / (F.unix_micros("high") - F.unix_micros("low") + 1)) + (F.pmod(F.xxhash64("event_id"), F.lit(10)) == 0).cast("int")
-    dealt = kept(rows.crossJoin(F.broadcast(ends)).withColumn("part", F.least(quarter, F.lit(3))).drop("low", "high"), "stream-parts")
+    rows = fixtures.table(spark, sf_dir, "events").select(F.get_json_object("props", "$.k").cast("bigint").alias("movie_id"), (F.floor(F.col("event_id") / 50) + 1).alias("step"), "event_id")
+    ends = rows.agg(F.min("step").alias("low"), F.max("step").alias("high"))  # one row
+    # event time has to order the steps, which ts need not do: they are spread evenly over 30 days after the first watermark, 0
+    share = (F.col("step") - F.col("low")) / (F.col("high") - F.col("low") + 1)
+    quarter = F.floor(4 * share) + (F.pmod(F.xxhash64("event_id"), F.lit(10)) == 0).cast("int")
+    dealt = kept(rows.crossJoin(F.broadcast(ends)).select("movie_id", "step", F.timestamp_micros(((1 + share * 30) * 86_400_000_000).cast("long")).alias("ts"), F.least(quarter, F.lit(3)).alias("part")), "stream-parts")
     source = shared_path(spark, "stream-source")
     for part in range(4):  # file by file, in the order of writing
         dealt.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(source)

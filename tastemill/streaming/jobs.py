@@ -20,9 +20,11 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 class ItemGaps(StatefulProcessor):
     """The recurrence of one item: what is folded (n, last step, b), and steps that the watermark has not passed.
 
-    A step is folded by an event-time timer once no earlier one can come any more, so steps may
-    arrive in any order within the watermark's delay. With ``forget`` an item's state goes
-    when nothing has come for so many milliseconds of event time; it then starts anew.
+    A step is folded once no earlier one can come any more: with the item's next rows, or, if none
+    come, by an event-time timer, of which each micro-batch sets one for the item. So steps may
+    arrive in any order within the watermark's delay, as long as event time orders them. With
+    ``forget`` an item's state goes when nothing has come for so many milliseconds of event
+    time; it then starts anew.
     """
 
     def __init__(self, alpha: float, forget: int | None = None):
@@ -49,13 +51,15 @@ class ItemGaps(StatefulProcessor):
         new = {(int(s), int(t)) for df in rows for s, t in zip(df["step"], df["at"], strict=True) if t >= passed}
         if not new:
             return
-        steps = new | {tuple(x) for x in self.pending.get()}
-        self.pending.put(sorted(steps))
-        for at in {t for _, t in new}:
-            self.handle.registerTimer(at + 1)
+        steps, newest = new | {tuple(x) for x in self.pending.get()}, max(t for _, t in new)
+        ripe, left = [s for s, t in steps if t < passed], sorted(x for x in steps if x[1] >= passed)
+        if ripe:
+            self.folded.update((*self._fold(ripe), newest))
+        self.pending.put(left)
+        self.handle.registerTimer(newest + 1)
         if self.forget is not None:
-            self.handle.registerTimer(max(t for _, t in new) + self.forget)
-        yield self._row(key, [s for s, _ in steps])  # what it comes to with all steps so far
+            self.handle.registerTimer(newest + self.forget)
+        yield self._row(key, [s for s, _ in left])  # what it comes to with all steps so far
 
     def handleExpiredTimer(self, key: tuple[Any, ...], timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         now = expiredTimerInfo.getExpiryTimeInMs()

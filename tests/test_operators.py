@@ -538,3 +538,29 @@ def test_counting_holds_few_scores_at_once(spark, monkeypatch):
     monkeypatch.setattr(np, "count_nonzero", lambda a, axis: held.append(a.shape) or count(a, axis=axis))
     assert retrieval._reached(q, items, 0.0)["n"].to_pylist() == want
     assert max(n for n, _ in held) == 7
+
+
+def test_an_item_sets_one_timer_a_batch():
+    import types
+
+    timers, gaps = [], jobs.ItemGaps(0.1)
+    cell = types.SimpleNamespace(value=None)
+    gaps.handle = types.SimpleNamespace(registerTimer=timers.append)
+    gaps.folded = types.SimpleNamespace(exists=lambda: cell.value is not None, get=lambda: cell.value, update=lambda v: setattr(cell, "value", v))
+    held = types.SimpleNamespace(value=[])
+    gaps.pending = types.SimpleNamespace(get=lambda: iter(held.value), put=lambda v: setattr(held, "value", v))
+    rows = lambda steps: iter([pd.DataFrame({"step": steps, "at": [1000 * s for s in steps]})])
+    first = list(gaps.handleInputRows((1,), rows(range(1, 301)), types.SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)))
+    then = list(gaps.handleInputRows((1,), rows([301, 303]), types.SimpleNamespace(getCurrentWatermarkInMs=lambda: 250_000)))
+    assert len(timers) == 2 and timers == [300_001, 303_001]
+    assert [len(held.value), cell.value[:2]] == [53, (249, 249)]
+    assert first[0].n[0] == 300 and (then[0].n[0], then[0].b[0]) == (302, pytest.approx(folded([*range(1, 302), 303], 0.1)))
+
+
+def test_stream_popularity_where_times_do_not_order_the_steps(spark, tmp_path):
+    rows = spark.range(4000).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.pmod(F.col("id"), F.lit(1000)) * 2592).cast("timestamp_ntz").alias("ts"), F.format_string('{"k": %d}', F.col("id") % 7).alias("props"))
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.item: (r.n, r.last_step, r.b) for r in analysis.stream_popularity(spark, str(tmp_path)).collect()}
+    for item in range(7):
+        steps = {i // 50 + 1 for i in range(item, 4000, 7)}
+        assert got[item] == (len(steps), max(steps), pytest.approx(folded(steps, 0.1), abs=1e-6))
