@@ -14,6 +14,8 @@ TOP = "qid long, item long, score double"
 COUNTED = "qid long, item long, n long"
 #: bytes of the vectors of a block
 BLOCK = 64 << 20
+#: bytes of the scores that a task holds at once
+SCORES = 64 << 20
 #: products are compared with bounds and known scores up to rounding
 SLACK = 1e-9
 
@@ -40,10 +42,18 @@ def _best(q: pa.Table, items: pa.Table, k: int) -> pa.Table:
     names, qids, out = items["item"].to_numpy(), q["qid"].to_numpy(), []
     if len(names) and len(qids):
         matrix, asked = _matrix(items), _matrix(q)
-        for at in range(0, len(qids), 1024):
-            s = asked[at : at + 1024] @ matrix.T
-            best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            out.append((np.repeat(qids[at : at + 1024], best.shape[1]), names[best].ravel(), np.take_along_axis(s, best, axis=1).ravel()))
+        step = max(1, SCORES // (8 * len(matrix)))
+        for at in range(0, len(qids), step):
+            s = asked[at : at + step] @ matrix.T
+            r = np.where(np.isnan(s), -np.inf, s) if np.isnan(s).any() else s
+            # the k-th best score of each query; what reaches it, ties included, is sorted
+            least = np.partition(r, len(names) - k, axis=1)[:, len(names) - k, None] if k < len(names) else r.min(axis=1, keepdims=True)
+            q_, i_ = np.nonzero(r >= least)
+            order = np.lexsort((i_, -r[q_, i_], q_))
+            q_, i_ = q_[order], i_[order]
+            best = np.arange(len(q_)) - np.searchsorted(q_, q_) < k
+            q_, i_ = q_[best], i_[best]
+            out.append((qids[at : at + step][q_], names[i_], s[q_, i_]))
     columns = [np.concatenate([o[i] for o in out]) if out else np.zeros(0, t) for i, t in enumerate((np.int64, np.int64, np.float64))]
     return pa.table(columns, names=["qid", "item", "score"])
 
@@ -114,8 +124,6 @@ class Search:
         return both.select("query_block", "queries", F.lit(self.n_items).alias("item_blocks"), "scanned", (F.lit(self.n_items) - F.col("scanned")).alias("skipped"), "queries_sent")
 
 
-#: bytes of the scores that a task holds at once
-SCORES = 64 << 20
 #: items of the first blocks that a search for places up to a limit counts, and by how many times each later round is larger
 HEAD, GROWTH = 4096, 16
 

@@ -564,3 +564,19 @@ def test_stream_popularity_where_times_do_not_order_the_steps(spark, tmp_path):
     for item in range(7):
         steps = {i // 50 + 1 for i in range(item, 4000, 7)}
         assert got[item] == (len(steps), max(steps), pytest.approx(folded(steps, 0.1), abs=1e-6))
+
+
+def test_best_of_a_block_holds_few_scores_at_once(monkeypatch):
+    import pyarrow as pa
+
+    rng, held = np.random.default_rng(6), []
+    vectors_, asked = rng.integers(-2, 3, size=(60, 3)).astype(float), rng.integers(-2, 3, size=(40, 3)).astype(float)  # many ties
+    items, q = pa.table({"item": np.arange(60)[::-1], "vector": vectors_[::-1].tolist()}), pa.table({"qid": np.arange(40), "vector": asked.tolist()})
+    monkeypatch.setattr(retrieval, "SCORES", 8 * 60 * 7)
+    part = np.partition
+    monkeypatch.setattr(np, "partition", lambda a, *rest, **more: held.append(len(a)) or part(a, *rest, **more))
+    got = retrieval._best(q, items, 5)
+    want = [(i, int(j)) for i in range(40) for j in np.lexsort((np.arange(60), -(vectors_ @ asked[i])))[:5]]
+    assert list(zip(got["qid"].to_pylist(), got["item"].to_pylist(), strict=True)) == want
+    assert max(held) == 7
+    assert retrieval._best(q, items.slice(0, 3), 5).num_rows == 120
