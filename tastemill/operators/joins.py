@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tastemill.operators.ranks import in_parts
+
 JOINED = ("user_id", "movie_id", "rating", "timestamp", "gender", "age", "occupation", "genres")
 
 
@@ -75,9 +77,9 @@ def with_group_size(df: DataFrame, by: str, name: str = "group_size") -> DataFra
     return df.join(sizes, F.col(by).eqNullSafe(F.col("__by")), "left").drop("__by")
 
 
-def dataset_diff(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows whose numbers of copies differ, with both numbers."""
-    count = lambda d, n: d.groupBy(*columns).agg(F.count("*").alias(n))
+def dataset_diff(a: DataFrame, b: DataFrame, columns: list[str], parts: int | None = None) -> DataFrame:
+    """Rows whose numbers of copies differ, with both numbers; ``parts``: see ranks.in_parts."""
+    one = lambda d, n: d.select(*columns, *(F.lit(int(n == c)).cast("long").alias(c) for c in ("n_a", "n_b")))
     # equal keys null-safely: a union and one aggregate instead of a full join
-    both = count(a, "n").select(*columns, F.col("n").alias("n_a"), F.lit(0).cast("long").alias("n_b")).unionByName(count(b, "n").select(*columns, F.lit(0).cast("long").alias("n_a"), F.col("n").alias("n_b")))
+    both = in_parts(one(a, "n_a").unionByName(one(b, "n_b")), columns, parts)
     return both.groupBy(*columns).agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b")).where("n_a <> n_b")

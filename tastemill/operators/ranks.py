@@ -17,6 +17,20 @@ def shared_hash(value: Column, seed: int = 0) -> Column:
 RANGE = 1 << 20
 
 
+#: rows that one task groups by keys of which most are distinct
+GROUPED = 1 << 19
+
+
+def in_parts(df: DataFrame, keys: list[str], parts: int | None) -> DataFrame:
+    """The rows dealt by their keys before they are grouped, where that takes more than the session's partitions.
+
+    Keys that hardly repeat fill the memory of a task that counts its share of the input first;
+    ``parts`` of about GROUPED rows bound it.
+    """
+    few = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *keys) if parts is not None and parts > few else df
+
+
 def running(df: DataFrame, order_by: list[str], sums: dict[str, Column] | None = None, each: int = RANGE, cheap: bool = False) -> DataFrame:
     """Adds ``__rn``, the rows before a row, and for each of ``sums`` its total over those rows; the order must be unique.
 

@@ -219,7 +219,7 @@ SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.movie_id, b.movie_i
 FROM a FULL JOIN b ON a.user_id = b.user_id AND a.movie_id = b.movie_id WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)""")
 def dataset_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fixtures.ratings(spark, sf_dir)
-    return joins.dataset_diff(rows.where("rating >= 3"), rows.where("rating <= 3"), ["user_id", "movie_id"])
+    return joins.dataset_diff(rows.where("rating >= 3"), rows.where("rating <= 3"), ["user_id", "movie_id"], fixtures.rating_parts(spark, sf_dir))
 
 
 # a guess for each rating: the mean and what its movie adds to it

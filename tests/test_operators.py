@@ -580,3 +580,15 @@ def test_best_of_a_block_holds_few_scores_at_once(monkeypatch):
     assert list(zip(got["qid"].to_pylist(), got["item"].to_pylist(), strict=True)) == want
     assert max(held) == 7
     assert retrieval._best(q, items.slice(0, 3), 5).num_rows == 120
+
+
+def test_many_distinct_keys_are_dealt_before_they_are_grouped(spark):
+    from tastemill.operators import joins
+
+    rows = spark.range(1000).select((F.col("id") % 300).alias("a"))
+    got = joins.dataset_diff(rows, rows.where("a < 200"), ["a"], 9)
+    assert {(r.a, r.n_a, r.n_b) for r in got.collect()} == {(i, 4 if i < 100 else 3, 0) for i in range(200, 300)}
+    assert ranks.in_parts(rows, ["a"], 9).rdd.getNumPartitions() == 9 and ranks.in_parts(rows, ["a"], 3) is rows
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("Initial Plan")[0]
+    assert plan.count("HashAggregate") == 2 and "REPARTITION_BY_NUM" in plan  # no partial count before the rows are dealt
