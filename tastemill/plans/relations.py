@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tastemill.functions import features as fx
 from tastemill.functions.vocab import GENRES, OCCUPATIONS
 from tastemill.operators import joins, ranks, splits
+from tastemill.operators.ranks import in_parts
 from tastemill.plans import fixtures
 from tastemill.plans.fixtures import SQL, TIES
 from tastemill.sources import delimited, sinks
@@ -247,7 +248,8 @@ def dev_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 , p AS (SELECT *, row_number() OVER (PARTITION BY rating ORDER BY n DESC, movie_id) AS place FROM (SELECT rating, movie_id, count(*) AS n FROM fx_ratings GROUP BY ALL))
 SELECT rating, movie_id, n, place FROM p WHERE place <= 20""")
 def top_by_rating(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = fixtures.ratings(spark, sf_dir).groupBy("rating", "movie_id").agg(F.count("*").alias("n"))
+    rows = in_parts(fixtures.ratings(spark, sf_dir).select("rating", "movie_id"), ["rating", "movie_id"], fixtures.rating_parts(spark, sf_dir))
+    counts = rows.groupBy("rating", "movie_id").agg(F.count("*").alias("n"))
     return splits.top_by(counts, ["rating"], [F.desc("n"), F.col("movie_id")], 20)
 
 

@@ -592,3 +592,13 @@ def test_many_distinct_keys_are_dealt_before_they_are_grouped(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     plan = plan.split("Initial Plan")[0]
     assert plan.count("HashAggregate") == 2 and "REPARTITION_BY_NUM" in plan  # no partial count before the rows are dealt
+
+
+def test_top_by_rating_in_parts(spark, monkeypatch):
+    from tastemill.plans import relations
+
+    parts = []
+    monkeypatch.setattr(fixtures, "rating_parts", lambda *_: 9)
+    monkeypatch.setattr(relations, "in_parts", lambda df, keys, n: parts.append((keys, n)) or ranks.in_parts(df, keys, n))
+    got = relations.top_by_rating(spark, "/root/testdata/sf0.001").collect()
+    assert parts == [(["rating", "movie_id"], 9)] and all(r.place <= 20 for r in got) and {r.rating for r in got} == {1, 2, 3, 4, 5}
