@@ -230,7 +230,7 @@ _ERRORS = "round(sqrt(avg(pow(rating - guess, 2))), 6) AS rmse, round(avg(abs(ra
 
 def _guessed(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Adds ``guess``, fitted on ``known`` (all rows): the mean rating and the movie's bias."""
-    mean, _, bias = retrieval.rating_biases(rows if known is None else known, 1)
+    mean, bias = retrieval.item_biases(rows if known is None else known)
     own = bias.select(F.col("movie_id").alias("__m"), F.col("bias").alias("__b"))
     return rows.join(own, F.col("movie_id") == F.col("__m"), "left").withColumn("guess", mean + F.coalesce("__b", F.lit(0.0))).drop("__m", "__b")
 
@@ -249,7 +249,7 @@ SELECT gender, occupation, count(*) AS n, {_ERRORS}
 FROM g JOIN fx_users USING (user_id) GROUP BY ROLLUP (gender, occupation)""")
 def error_by_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors overall, by gender, and by gender and occupation."""
-    rows = _guessed(_joined(spark, sf_dir))
+    rows = _guessed(_joined(spark, sf_dir), fixtures.ratings(spark, sf_dir))
     return _round(ranking.error_metrics(rows, "rating", "guess", ("gender", "occupation"), rollup=True), "rmse", "mae", "mse")
 
 

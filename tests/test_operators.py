@@ -602,3 +602,10 @@ def test_top_by_rating_in_parts(spark, monkeypatch):
     monkeypatch.setattr(relations, "in_parts", lambda df, keys, n: parts.append((keys, n)) or ranks.in_parts(df, keys, n))
     got = relations.top_by_rating(spark, "/root/testdata/sf0.001").collect()
     assert parts == [(["rating", "movie_id"], 9)] and all(r.place <= 20 for r in got) and {r.rating for r in got} == {1, 2, 3, 4, 5}
+
+
+def test_item_biases_are_the_first_half_round(spark):
+    rows = spark.createDataFrame([(u, m, 1 + (u * 3 + m * 5) % 5) for u in range(20) for m in range(15) if (u + m) % 3], "user_id long, movie_id long, rating int")
+    mean, items = retrieval.item_biases(rows)
+    want, _, first = retrieval.rating_biases(rows, 1)
+    assert mean == want and {r.movie_id: r.bias for r in items.collect()} == pytest.approx({r.movie_id: r.bias for r in first.collect()})
