@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tastemill.operators.machine import RatingMachine, fit_rating, genre_vectors
 from tastemill.operators.profile import exact_percentiles
 from tastemill.operators.ranking import quality_gate
-from tastemill.operators.ranks import global_row_number
+from tastemill.operators.ranks import global_row_number, running
 
 __all__ = ["RatingMachine", "approve", "chunked", "clipped", "embedding_tables", "estimate_by_feature", "estimate_error", "fit_embeddings", "fit_rating", "genre_vectors", "halves", "halving", "score_batches", "search"]
 
@@ -86,10 +86,14 @@ def chunked(df: DataFrame, order_by: list[str], size: int) -> DataFrame:
     return global_row_number(df, order_by, name="__rn").withColumn("chunk", F.floor((F.col("__rn") - 1) / size)).drop("__rn")
 
 
-def halves(df: DataFrame, order_by: list[str]) -> DataFrame:
-    """Adds ``period``: the first half in order is reference, the rest analysis."""
-    n = df.count()
-    return global_row_number(df, order_by, name="__rn").withColumn("period", F.when(F.col("__rn") <= n // 2, "reference").otherwise("analysis")).drop("__rn")
+def halves(df: DataFrame, order_by: list[str], size: int | None = None) -> DataFrame:
+    """Adds ``period``: the first half in order is reference, the rest analysis; with ``size`` also ``chunk``, as chunked gives it to the analysis."""
+    placed = running(df, order_by)
+    half = placed.count() // 2
+    period = F.when(F.col("__rn") < half, "reference").otherwise("analysis")
+    if size is None:
+        return placed.withColumn("period", period).drop("__rn")
+    return placed.withColumns({"period": period, "chunk": F.when(F.col("__rn") >= half, F.floor((F.col("__rn") - half) / size))}).drop("__rn")
 
 
 def estimate_error(reference: DataFrame, analysis: DataFrame, features: list[str], y: str, y_hat: str, seed: int = 1, trees: int = 10) -> DataFrame:

@@ -474,9 +474,9 @@ def approved_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def drift_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors expected on the second half in time, by chunk, from a model of the first half's errors."""
-    rows = kept(models.halves(fixtures.ratings(spark, sf_dir, True).withColumn("hr_wk", fx.hour_of_week(F.col("timestamp")).cast("double")), TIME_ORDER), "drift-rows")
-    rows = _guessed(rows, rows.where("period = 'reference'"))
-    analysis = models.chunked(rows.where("period = 'analysis'"), TIME_ORDER, 6000)
+    rows = kept(models.halves(fixtures.ratings(spark, sf_dir, True).withColumn("hr_wk", fx.hour_of_week(F.col("timestamp")).cast("double")), TIME_ORDER, 6000).drop(*TIES), "drift-rows")
+    rows = kept(_guessed(rows, rows.where("period = 'reference'")), "drift-guessed")  # read by every pass of the fits
+    analysis = rows.where("period = 'analysis'")
     return models.estimate_error(rows.where("period = 'reference'"), analysis, ["hr_wk", "movie_id"], "rating", "guess")
 
 

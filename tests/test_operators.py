@@ -609,3 +609,12 @@ def test_item_biases_are_the_first_half_round(spark):
     mean, items = retrieval.item_biases(rows)
     want, _, first = retrieval.rating_biases(rows, 1)
     assert mean == want and {r.movie_id: r.bias for r in items.collect()} == pytest.approx({r.movie_id: r.bias for r in first.collect()})
+
+
+def test_halves_are_chunked_in_one_order(spark):
+    rows = spark.range(101).select(((F.col("id") * 37) % 101).alias("t"))
+    got = {r.t: (r.period, r.chunk) for r in models.halves(rows, ["t"], 20).collect()}
+    parts = models.halves(rows, ["t"])
+    assert {r.t: r.period for r in parts.collect()} == {t: p for t, (p, _) in got.items()}
+    want = {r.t: r.chunk for r in models.chunked(parts.where("period = 'analysis'"), ["t"], 20).collect()}
+    assert {t: c for t, (p, c) in got.items() if p == "analysis"} == want and all(c is None for p, c in got.values() if p == "reference")
