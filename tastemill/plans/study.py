@@ -301,10 +301,10 @@ SELECT '{name}' AS feature, CAST(floor((rn - total // 2 - 1) / 6000) AS bigint)
 @query(_HALVES + "\n" + " UNION ALL ".join(_one_feature(c) for c in ("timestamp", "movie_id", "user_id")))
 def drift_by_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors expected of a fitted guess on the second half in time, by chunk, from one feature at a time."""
-    rows = kept(models.halves(fixtures.ratings(spark, sf_dir, True), TIME_ORDER), "drift-halves")
+    rows = kept(models.halves(fixtures.ratings(spark, sf_dir, True), TIME_ORDER, 6000).drop(*fixtures.TIES), "drift-halves")
     known = rows.where("period = 'reference'")
     guessed = kept(_guessed(rows, known), "drift-guessed")
-    analysis = models.chunked(guessed.where("period = 'analysis'"), TIME_ORDER, 6000)
+    analysis = guessed.where("period = 'analysis'")
     out = models.estimate_by_feature(guessed.where("period = 'reference'"), analysis, ["timestamp", "movie_id", "user_id"], "rating", "guess")
     return _round(out, "mae", "rmse")
 
