@@ -86,8 +86,9 @@ class RatingMachine:
         """Adds ``prediction`` to rows with movie_id and genre_weights; a new movie weighs nothing."""
         _, w_genre, v_genre = _shared(np.array(self.shared), self.factors)
         g = F.col("genre_weights")
-        product = lambda ws: F.aggregate(F.zip_with(g, F.array(*(F.lit(float(x)) for x in ws)), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-        squares = F.aggregate(F.zip_with(g, F.array(*(F.lit(float(x)) for x in (v_genre**2).sum(axis=1))), lambda a, b: a * a * b), F.lit(0.0), lambda s, x: s + x)
+        # term by term, which is compiled, and not by functions on arrays, which are called for each element
+        product = lambda ws: sum((F.get(g, i) * float(x) for i, x in enumerate(ws)), F.lit(0.0))
+        squares = sum((F.get(g, i) * F.get(g, i) * float(x) for i, x in enumerate((v_genre**2).sum(axis=1))), F.lit(0.0))
         own = lambda i: F.coalesce(F.get("__own", F.lit(i)), F.lit(0.0))
         pairs = -squares
         for f in range(self.factors):

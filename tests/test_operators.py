@@ -618,3 +618,16 @@ def test_halves_are_chunked_in_one_order(spark):
     assert {r.t: r.period for r in parts.collect()} == {t: p for t, (p, _) in got.items()}
     want = {r.t: r.chunk for r in models.chunked(parts.where("period = 'analysis'"), ["t"], 20).collect()}
     assert {t: c for t, (p, c) in got.items() if p == "analysis"} == want and all(c is None for p, c in got.values() if p == "reference")
+
+
+def test_scores_are_compiled(spark):
+    rng = np.random.default_rng(7)
+    shared, own, g = rng.normal(size=1 + machine.WIDTH * 3), rng.normal(size=3), rng.normal(size=machine.WIDTH)
+    movies = spark.createDataFrame([(1, own.tolist())], "movie_id long, weights array<double>")
+    out = machine.RatingMachine(movies, shared.tolist(), 2).transform(spark.createDataFrame([(1, g.tolist()), (2, g.tolist())], "movie_id long, genre_weights array<double>"))
+    assert "lambdafunction" not in out._jdf.queryExecution().optimizedPlan().toString()
+    _, w, v = machine._shared(shared, 2)
+    for r in out.collect():
+        mine = own if r.movie_id == 1 else np.zeros(3)
+        pairs = ((mine[1:] + g @ v) ** 2 - mine[1:] ** 2 - (g**2) @ (v**2)).sum() / 2
+        assert r.prediction == pytest.approx(shared[0] + mine[0] + g @ w + pairs)
