@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tastemill.operators.ranks import in_parts
@@ -18,6 +18,18 @@ def key_violations(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return repeated.unionByName(missing)
 
 
+def _counted(right: DataFrame, key: str) -> DataFrame:
+    """A row for each key with ``__n``, how many the dimension has."""
+    return right.groupBy(key).agg(F.count("*").alias("__n"), *(F.first(c).alias(c) for c in right.columns if c != key))
+
+
+def _checked(key: str, *row: str) -> Column:
+    """True where there is one right row, an error elsewhere; ``row`` names columns that the message adds."""
+    said = [F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in (key, *row)]
+    message = F.concat(F.lit(f"{key} without exactly one right row: "), F.concat_ws(", ", *said))
+    return F.when(F.coalesce("__n", F.lit(0)) == 1, F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
+
+
 def join_one(left: DataFrame, right: DataFrame, key: str, drop: tuple[str, ...] = (), enforce: str = "error", hint: str | None = None) -> DataFrame:
     """Join a fact with a dimension that has one row for each key.
 
@@ -29,13 +41,23 @@ def join_one(left: DataFrame, right: DataFrame, key: str, drop: tuple[str, ...]
         return left.join(dim.hint(hint) if hint else dim, key, "inner")
     if enforce != "error":
         raise ValueError("enforce is 'error' or 'drop'")
-    others = [c for c in dim.columns if c != key]
-    one = dim.groupBy(key).agg(F.count("*").alias("__n"), *(F.first(c).alias(c) for c in others))
+    one = _counted(dim, key)
     joined = left.join(one.hint(hint) if hint else one, key, "left")
-    message = F.concat(F.lit(f"{key} without exactly one right row: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
     # as a filter the check can't be pruned, whatever columns are used later
-    checked = F.when(F.coalesce("__n", F.lit(0)) == 1, F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
-    return joined.where(checked).select(*left.columns, *others)
+    return joined.where(_checked(key)).select(*left.columns, *(c for c in dim.columns if c != key))
+
+
+def join_over(left: DataFrame, bridge: DataFrame, on: tuple[str, str], right: DataFrame, key: str) -> DataFrame:
+    """A fact joined with a bridge, whose column ``key`` it gets, and with a dimension that has one row for each of these keys.
+
+    As join_one of the fact and the bridge, with the same error; but the dimension meets the
+    bridge, which has fewer rows, so the fact is shuffled once. ``on`` names the columns of
+    fact and bridge that are equal. Rows of the bridge that no fact has are not checked.
+    """
+    met = bridge.join(_counted(right, key), key, "left")
+    joined = left.join(met, F.col(on[0]) == F.col(on[1]))
+    # a filter that reads a column of the fact can't be moved below the join, to bridge rows without a fact
+    return joined.where(_checked(key, next(c for c in left.columns if c != on[0]))).select(*left.columns, key, *(c for c in right.columns if c != key))
 
 
 def join_ratings(ratings: DataFrame, users: DataFrame, movies: DataFrame, enforce: str = "error", hint: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:

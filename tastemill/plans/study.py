@@ -172,19 +172,14 @@ _PARTS = "CASE WHEN timestamp < 900000000 THEN 'train' WHEN user_id % 2 = 0 THEN
 
 def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ratings with users' columns in three splits and two versions."""
-    rows = joins.join_one(fixtures.ratings(spark, sf_dir), fixtures.users(spark, sf_dir), "user_id")
+    rows = fixtures.rated_by_users(spark, sf_dir)
     split = F.when(F.col("timestamp") < 900000000, "train").when(F.col("user_id") % 2 == 0, "val").otherwise("test")
     return rows.withColumns({"split": split, "version": F.when(F.col("movie_id") % 2 == 0, "v1").otherwise("v2")})
 
 
-def _sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table of sketches, version by version, as it would be kept from run to run."""
-    rows = _versions(spark, sf_dir)
-    table = None
-    for version in ("v1", "v2"):
-        part = kept(sketches.sketched(rows.where(F.col("version") == version), ["split", "version"]), f"sketches-{version}")
-        table = part if table is None else table.unionByName(part)
-    return table
+def _sketches(rows: DataFrame) -> DataFrame:
+    """The table of sketches by split and version, as it would be kept from run to run."""
+    return kept(sketches.sketched(rows, ["split", "version"]), "sketches")
 
 
 _UNION = f"""
@@ -197,12 +192,14 @@ _NUMBER = "count(*) AS n, count(*) - count({c}) AS missing, count(*) FILTER ({c}
        + " UNION ALL " + " UNION ALL ".join(f"SELECT split, '{c}' AS feature, count(*), count(*) - count({c}), 0, NULL, NULL, NULL, NULL, true, true FROM r GROUP BY split" for c in ("gender", "zipcode")))
 def merged_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of both versions of each split from their kept sketches; estimates are held against exact values."""
-    table = sketches.statistics(sketches.merged(_sketches(spark, sf_dir), ["split"]))
-    cells = sketches._cells(_versions(spark, sf_dir).drop("version"), ["split"], None)
+    rows = kept(_versions(spark, sf_dir), "versions")  # joined once, read for the sketches and for the exact values
+    table = kept(sketches.statistics(sketches.merged(_sketches(rows), ["split"])), "statistics")
+    own = rows.drop("version")
     median = F.col("m.median")
     low, high = F.count_if(F.col("value") < median), F.count_if(F.col("value") <= median)
-    # the median's rank lies between the shares of values below it and up to it
-    exact = cells.alias("x").join(table.alias("m"), ["split", "feature"]).groupBy("split", "feature").agg(F.countDistinct("text").alias("exact"), low.alias("low"), high.alias("high"), F.count("value").alias("k"))
+    # the median's rank lies between the shares of values below it and up to it; the table has a row for each split and feature
+    ranks = sketches._cells(own, ["split"], None).alias("x").join(F.broadcast(table.alias("m")), ["split", "feature"]).groupBy("split", "feature").agg(low.alias("low"), high.alias("high"), F.count("value").alias("k"))
+    exact = ranks.join(sketches.distinct_cells(own, ["split"]).withColumnRenamed("distinct", "exact"), ["split", "feature"], "left").fillna(0, ["exact"])
     ok = (F.col("k") == 0) | (F.col("low") <= (0.5 + 2 * sketches.RANK_ERROR) * F.col("k")) & (F.col("high") >= (0.5 - 2 * sketches.RANK_ERROR) * F.col("k"))
     out = table.join(exact, ["split", "feature"])
     return out.select("split", "feature", "n", "missing", "zeros", F.round("mean", 5).alias("mean"), F.round("std", 4).alias("std"), "min", "max", sketches.within(F.col("distinct"), F.col("exact"), sketches.DISTINCT_ERROR).alias("distinct_ok"), ok.alias("median_ok"))
@@ -211,8 +208,9 @@ def merged_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_UNION + ", u AS (SELECT DISTINCT split, user_id FROM r), s AS (SELECT a.split AS a, b.split AS b, count(*) AS k FROM u a JOIN u b ON a.user_id = b.user_id AND a.split < b.split GROUP BY ALL) SELECT a, b, k AS exact, true AS ok FROM s")
 def split_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users that two splits share, estimated from theta sketches and counted."""
-    shared = sketches.overlaps(sketches.merged(_sketches(spark, sf_dir), ["split"]), "split", "user_id")
-    users = _versions(spark, sf_dir).select("split", "user_id").distinct()
+    rows = _versions(spark, sf_dir)
+    shared = sketches.overlaps(sketches.merged(_sketches(rows), ["split"]), "split", "user_id")
+    users = rows.select("split", "user_id").distinct()
     each = users.groupBy("user_id").agg(F.sort_array(F.collect_set("split")).alias("splits"))  # at most three
     pairs = each.select(F.explode("splits").alias("p"), "splits").select("p", F.explode("splits").alias("q")).where("p < q").groupBy("p", "q").agg(F.count("*").alias("exact"))
     both = shared.join(pairs, (F.col("a") == F.col("p")) & (F.col("b") == F.col("q")))

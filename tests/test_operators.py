@@ -6,8 +6,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tastemill.operators import dependence, machine, mining, models, popularity, profile, ranking, ranks, retrieval, sketches, splits, vertical
-from tastemill.plans import analysis, fixtures
+from tastemill.operators import dependence, joins, machine, mining, models, popularity, profile, ranking, ranks, retrieval, sketches, splits, vertical
+from tastemill.plans import analysis, fixtures, study
 from tastemill.streaming import jobs
 
 
@@ -486,6 +486,55 @@ def test_sketches_merge_as_one_scan(spark):
     assert [top["a", i + 1] for i in range(3)] == [(k, -n) for n, k in counts]
 
 
+def test_merged_spreads_keep_their_digits(spark):
+    """Values far from zero: a difference of sums of squares would leave nothing of the spread."""
+    rows = spark.range(2000).select(F.lit("a").alias("split"), (F.col("id") % 3).cast("string").alias("version"), (1_000_000_000_000 + F.col("id")).alias("n"), F.when(F.col("id") < 0, 1).alias("none"))
+    got = {r.feature: r for r in sketches.statistics(sketches.merged(sketches.sketched(rows, ["split", "version"]), ["split"])).collect()}
+    assert got["n"]["std"] == pytest.approx(math.sqrt(2000 * 2001 / 12), rel=1e-6)
+    assert got["n"]["mean"] == 1_000_000_000_999.5
+    assert (got["none"].missing, got["none"]["mean"], got["none"]["std"]) == (2000, None, None)
+    exact = {r.feature: r.distinct for r in sketches.distinct_cells(rows.drop("version"), ["split"]).collect()}
+    assert exact == {"n": 2000}
+
+
+def test_a_bridge_shuffles_the_fact_once(spark):
+    """Same rows and errors as the fact's own join with the dimension, which meets the bridge instead."""
+    fact = spark.createDataFrame([(1, 5), (1, 6), (2, 7), (9, 8)], "line long, part long")
+    bridge = spark.createDataFrame([(1, 10), (2, 20), (3, 30)], "order long, user long")
+    people = spark.createDataFrame([(10, "a"), (20, "b")], "user long, name string")
+    on = ("line", "order")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        # the order 3 has no line, so its user may be missing
+        out = joins.join_over(fact, bridge, on, people, "user")
+        assert sorted(tuple(r) for r in out.collect()) == [(1, 5, 10, "a"), (1, 6, 10, "a"), (2, 7, 20, "b")]
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(line#") == 1 and plan.count("Exchange hashpartitioning(user#") == 2  # bridge and dimension
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert joins.join_over(fact, bridge, on, people, "user").count() == 3
+    for bad in (people.where("user = 10"), people.unionByName(people)):
+        with pytest.raises(Exception, match="user without exactly one right row"):
+            joins.join_over(fact, bridge, on, bad, "user").count()
+
+
+def test_merged_stats_join_the_ratings_once(spark, monkeypatch):
+    seen, versions = spark.sparkContext.accumulator(0), study._versions
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    monkeypatch.setattr(study, "_versions", lambda *a: (rows := versions(*a)).mapInArrow(counted, rows.schema))
+    small = "/root/testdata/sf0.001"
+    out = study.merged_stats(spark, small).collect()
+    assert len(out) == 24 and all(r.distinct_ok and r.median_ok for r in out)
+    assert seen.value == sum(r.n for r in out if r.feature == "rating")
+
+
 def test_halving_and_single_features(spark):
     seen = []
 
