@@ -1,23 +1,33 @@
 """Distance covariance and correlation in n log n, for many pairs of columns at once.
 
 With a_ij = |x_i - x_j| and b_ij = |y_i - y_j|, the row sums of a and b follow from running
-sums in the order of x and of y. The sum of a_ij b_ij needs, for each point, the points that
-are smaller in both: these are found by rank blocks of x. At level l, blocks of 2**l ranks
-are taken in pairs; points of the right block meet those of the left one, in the order of y,
-as running sums. Any two ranks part at exactly one level, so each pair counts once.
+sums in the order of x and of y, whatever the order of equal values, whose distance is 0. The
+sum of a_ij b_ij needs the pairs of points of which one is smaller in both. The order of x is
+cut into chunks and so is that of y. Pairs of one chunk of x are added up there, pairs of one
+chunk of y and two of x in that chunk of y, and all others from the sums of the cells of the
+grid of chunks. So the points are sorted once in each order, and once only where x has few
+values, each of which is a chunk then.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tastemill.operators.ranks import running
+from tastemill.operators.ranks import RANGE
 from tastemill.sources.folders import kept
 
-#: points in the order of y that one task adds up; pairs of blocks with more are cut
-RUN = 1 << 16
+#: points of a chunk, which a task adds up at once
+RUN = 1 << 18
+#: values of a column that are chunks of their own, in a table that all tasks get
+FEW = 1 << 12
 SUMS = ("w", "wx", "wy", "wxy")
+OWN = ("first", "n", "sx", "sy", "sxx", "syy", "sxy", "ra", "raa", "u", "l", "uu", "ul", "ll", "rau", "ral", "c")
 
 
 def _cells(df: DataFrame, pairs: list[tuple[str, str]], grid: int | None) -> DataFrame:
@@ -34,43 +44,133 @@ def _cells(df: DataFrame, pairs: list[tuple[str, str]], grid: int | None) -> Dat
     return cells.select("p", *((F.col(c) - F.col(f"m{c}")).alias(c) for c in "xy"), "w")
 
 
-def _row_sums(cells: DataFrame, c: str) -> DataFrame:
-    """(p, value, rank, sum): for each distinct value of a column its rank from 0 and the weighted sum of its distances."""
-    v, w = F.col("value"), F.col("w")
-    values = cells.groupBy("p", F.col(c).alias("value")).agg(F.sum("w").alias("w"))
-    order = running(values, ["p", "value"], {"below": w, "below_v": w * v}, cheap=True)
-    base = order.groupBy(F.col("p").alias("p_")).agg(F.min("__rn").alias("first"), F.min_by("below", "__rn").alias("w0"), F.min_by("below_v", "__rn").alias("v0"), F.sum("w").alias("n"), F.sum(w * v).alias("s"))
-    distance = v * (2 * (F.col("below") - F.col("w0")) - F.col("n")) + F.col("s") - 2 * (F.col("below_v") - F.col("v0"))
-    return order.join(F.broadcast(base), F.col("p") == F.col("p_")).select(F.col("p").alias(f"p{c}"), v.alias(f"v{c}"), (F.col("__rn") - F.col("first")).alias(f"rank{c}"), distance.alias(f"r{c}"))
-
-
-def _concordant(points: DataFrame, run: int) -> DataFrame:
-    """(p, c): the sum of w_i w_j (x_i - x_j) (y_i - y_j) over pairs of points of which one is smaller in both."""
-    most = points.agg(F.max("rankx")).first()[0] or 0
-    level = F.explode(F.sequence(F.lit(0), F.lit(max(int(most).bit_length(), 1) - 1))).alias("level")
-    side = F.col("rankx") / F.pow(F.lit(2.0), F.col("level"))
-    block = F.floor(side / 2)
-    dealt = points.select("p", "rankx", "place", "x", "y", "w", level).withColumns({"block": block, "right": F.floor(side) % 2 == 1})
-    # how many points the largest pair of blocks of each level has: a row for each level reaches the driver
-    by_value = points.groupBy("p", "rankx").count().select("p", "rankx", "count", level)
-    large = [r.level for r in by_value.groupBy("p", "level", block.alias("block")).agg(F.sum("count").alias("n")).groupBy("level").agg(F.max("n").alias("n")).where(F.col("n") > run).collect()]
-    cut = F.when(F.col("level").isin(large), F.floor(F.col("place") / run)).otherwise(0) if large else F.lit(0)
-    w, x, y = (F.col(c) for c in "wxy")
-    terms = dict(zip(SUMS, (w, w * x, w * y, w * x * y), strict=True))
-    dealt = dealt.withColumns({"cut": cut, **{f"t_{k}": v for k, v in terms.items()}})
-    inside = Window.partitionBy("p", "level", "block", "cut").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    left = lambda k: F.when(~F.col("right"), F.col(f"t_{k}")).otherwise(0.0)
-    met = dealt.withColumns({f"s_{k}": F.sum(left(k)).over(inside) for k in SUMS}).where("right")
-    own = met.groupBy("p").agg(F.sum(w * (x * y * F.col("s_w") - x * F.col("s_wy") - y * F.col("s_wx") + F.col("s_wxy"))).alias("c"))
-    if not large:
-        return own
-    # what the cuts before it bring to a cut: the same sums, cut by cut
-    right = lambda k: F.sum(F.when(F.col("right"), F.col(f"t_{k}")).otherwise(0.0)).alias(f"q_{k}")
-    sizes = dealt.where(F.col("level").isin(large)).groupBy("p", "level", "block", "cut").agg(*(F.sum(left(k)).alias(f"l_{k}") for k in SUMS), *(right(k) for k in SUMS))
-    before = Window.partitionBy("p", "level", "block").orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumns({f"b_{k}": F.coalesce(F.sum(f"l_{k}").over(before), F.lit(0.0)) for k in SUMS})
-    offset = F.col("q_wxy") * F.col("b_w") - F.col("q_wx") * F.col("b_wy") - F.col("q_wy") * F.col("b_wx") + F.col("q_w") * F.col("b_wxy")
-    return own.unionByName(sizes.groupBy("p").agg(F.sum(offset).alias("c"))).groupBy("p").agg(F.sum("c").alias("c"))
+def _chunks(batches: Iterator[pa.RecordBatch], run: int) -> Iterator[tuple[int, int, dict[str, np.ndarray]]]:
+    """(p, number, columns) of at most ``run`` rows of one pair each; numbers ascend over all sorted partitions."""
+    number, held = TaskContext.get().partitionId() << 32, []
+
+    def closed():
+        table = pa.Table.from_batches(held)
+        return held[0].column(0)[0].as_py(), number, {c: table[c].to_numpy() for c in table.column_names[1:]}
+
+    for batch in batches:
+        while batch.num_rows:
+            pairs = batch.column(0).to_numpy()
+            if held and (held[0].column(0)[0].as_py() != pairs[0] or sum(b.num_rows for b in held) >= run):
+                yield closed()
+                number, held = number + 1, []
+            take = min(int(np.searchsorted(pairs, pairs[0], "right")), run - sum(b.num_rows for b in held))
+            held.append(batch.slice(0, take))
+            batch = batch.slice(take)
+    if held:
+        yield closed()
+
+
+def _beyond(v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted values: how far each lies beyond the first, and the weighted sum of its distances from those before it."""
+    u = v - v[0]
+    return u, u * (np.cumsum(w) - w) - (np.cumsum(w * u) - w * u)
+
+
+def _concordant(key: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
+    """The sum of w_i w_j (x_i - x_j) (y_i - y_j) over j before i with key_j < key_i.
+
+    Keys are halved bit by bit, so any two part at exactly one of them: there the left half's
+    points meet those of the right half as running sums.
+    """
+    rank = np.unique(key, return_inverse=True)[1]
+    x, y, total = x - x.mean(), y - y.mean(), 0.0
+    for bit in reversed(range(int(rank.max()).bit_length())):
+        block = rank >> (bit + 1)
+        right = (rank >> bit & 1).astype(bool)
+        starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+        group = np.cumsum(np.r_[False, block[1:] != block[:-1]])[right]
+        left = np.where(right, 0.0, w)
+
+        def met(values, starts=starts, group=group, right=right):
+            sums = np.cumsum(values)
+            return sums[right] - (sums[starts] - values[starts])[group]
+
+        xr, yr = x[right], y[right]
+        total += float(np.sum(w[right] * (xr * yr * met(left) - xr * met(left * y) - yr * met(left * x) + met(left * x * y))))
+        half = rank >> bit
+        order = np.argsort(half.astype(np.uint16) if int(half.max()) < 1 << 16 else half, kind="stable")
+        rank, x, y, w = rank[order], x[order], y[order], w[order]
+    return total
+
+
+def _in_order_of_x(run: int):
+    """Each point with its chunk of x and where it lies in it; a chunk's first row has the sum over the pairs in it."""
+
+    def add(batches):
+        for p, cx, c in _chunks(batches, run):
+            x, y, w = c["x"], c["y"], c["w"]
+            u, l = _beyond(x, w)  # noqa: E741
+            pairs = np.zeros(len(x))
+            pairs[0] = _concordant(y, x, y, w)
+            yield pa.RecordBatch.from_pydict({"p": pa.array(np.full(len(x), p), pa.int32()), "x": x, "y": y, "w": w, "cx": np.full(len(x), cx), "u": u, "l": l, "c": pairs})
+
+    return add
+
+
+def _in_order_of_y(run: int):
+    """The sums of each chunk of y, and in it of each chunk of x."""
+
+    def add(batches):
+        for p, cy, c in _chunks(batches, run):
+            x, y, w, r = c["x"], c["y"], c["w"], c["rx"]
+            u, l = _beyond(y, w)  # noqa: E741
+            cells, at = np.unique(c["cx"], return_inverse=True)
+            grid = {k: np.bincount(at, v) for k, v in zip(SUMS, (w, w * x, w * y, w * x * y), strict=True)}
+            sums = (w, w * x, w * y, w * x * x, w * y * y, w * x * y, w * r, w * r * r, w * u, w * l, w * u * u, w * u * l, w * l * l, w * r * u, w * r * l)
+            own = dict(zip(OWN, (y[0], *(v.sum() for v in sums), _concordant(c["cx"], x, y, w)), strict=True))
+            n = len(cells)
+            rows = {"p": pa.array([p] * (n + 1), pa.int32()), "cy": pa.array([cy] * (n + 1), pa.int64()), "cx": pa.array([*cells.tolist(), None], pa.int64()), "cells": pa.array([None] * n + [len(x)], pa.int64())}
+            rows |= {f"g_{k}": pa.array([*v.tolist(), None], pa.float64()) for k, v in grid.items()}
+            yield pa.RecordBatch.from_pydict(rows | {k: pa.array([None] * n + [float(v)], pa.float64()) for k, v in own.items()})
+
+    return add
+
+
+def _sorted_ranges(df: DataFrame, rows: int, *order: str) -> DataFrame:
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // RANGE))
+    return df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+
+
+def _starts(chunks: DataFrame, chunk: str, w: str, v: str) -> DataFrame:
+    """Adds k and r0, of which a value's row sum is r0 + k u + 2 l: r0 is that of the chunk's first value. A row for each chunk."""
+    pair = Window.partitionBy("p")
+    earlier = pair.orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0.0))
+    k = 2 * before(w) - F.sum(w).over(pair)
+    return chunks.withColumns({"k": k, "r0": F.col("first") * k + F.sum(v).over(pair) - 2 * before(v)})
+
+
+def _by_value(cells: DataFrame) -> DataFrame:
+    """(p, x, y, w, cx, rx): points with a chunk for each value of x, of which there are few."""
+    values = cells.groupBy("p", "x").agg(F.sum("w").alias("w"))
+    values = values.select(F.col("p").alias("p_"), F.col("x").alias("x_"), "p", "w", F.col("x").alias("first"), (F.col("w") * F.col("x")).alias("wx"))
+    values = _starts(values.withColumn("cx", F.row_number().over(Window.partitionBy("p").orderBy("first")).cast("long")), "cx", "w", "wx")
+    return cells.join(F.broadcast(values.select("p_", "x_", "cx", F.col("r0").alias("rx"))), (F.col("p") == F.col("p_")) & (F.col("x") == F.col("x_"))).select("p", "x", "y", "w", "cx", "rx")
+
+
+def _by_chunk(cells: DataFrame, run: int) -> tuple[DataFrame, DataFrame]:
+    """The same points with chunks of the order of x, and (p, c): the sum over the pairs that share a chunk."""
+    dealt = kept(_sorted_ranges(cells, cells.count(), "p", "x", "y").mapInArrow(_in_order_of_x(run), "p int, x double, y double, w double, cx long, u double, l double, c double"), "distance-by-x")
+    chunks = dealt.groupBy("p", "cx").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("x")).alias("wx"), F.min("x").alias("first"))
+    chunks = _starts(chunks, "cx", "w", "wx").select(F.col("p").alias("p_"), F.col("cx").alias("cx_"), "k", "r0")
+    points = dealt.join(F.broadcast(chunks), (F.col("p") == F.col("p_")) & (F.col("cx") == F.col("cx_")))
+    return points.select("p", "x", "y", "w", "cx", (F.col("r0") + F.col("k") * F.col("u") + 2 * F.col("l")).alias("rx")), dealt.groupBy("p").agg(F.sum("c").alias("c"))
+
+
+def _across(table: DataFrame) -> DataFrame:
+    """(p, c): the sum over pairs of points in different chunks of x and of y; all cells of the grid, as those without points pass on sums too."""
+    grid, chunks = table.where("cx is not null"), table.where("cx is null").select("p", "cy")
+    full = chunks.join(grid.select("p", "cx").distinct(), "p").join(grid.select("p", "cy", "cx", *(f"g_{k}" for k in SUMS)), ["p", "cy", "cx"], "left").fillna(0.0)
+    earlier = lambda by, order: Window.partitionBy("p", by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    below = full.withColumns({f"b_{k}": F.coalesce(F.sum(f"g_{k}").over(earlier("cx", "cy")), F.lit(0.0)) for k in SUMS})
+    both = below.withColumns({f"s_{k}": F.coalesce(F.sum(f"b_{k}").over(earlier("cy", "cx")), F.lit(0.0)) for k in SUMS})
+    met = F.col("g_wxy") * F.col("s_w") - F.col("g_wx") * F.col("s_wy") - F.col("g_wy") * F.col("s_wx") + F.col("g_w") * F.col("s_wxy")
+    return both.groupBy("p").agg(F.sum(met).alias("c"))
 
 
 def distance_pairs(df: DataFrame, pairs: list[tuple[str, str]], grid: int | None = None, run: int = RUN) -> DataFrame:
@@ -85,13 +185,23 @@ def distance_pairs(df: DataFrame, pairs: list[tuple[str, str]], grid: int | None
     few = {c: about[f"n{i}"] for i, c in enumerate(names)}
     turned = [(y, x) if few[y] < few[x] else (x, y) for x, y in pairs]
     cells = kept(_cells(df, turned, grid), "distance-cells")
-    ranked = running(cells, ["p", "y", "x"], cheap=True).withColumnRenamed("__rn", "place")
-    xs, ys = _row_sums(cells, "x"), _row_sums(cells, "y").drop("ranky")
-    points = kept(ranked.join(xs, (F.col("p") == F.col("px")) & (F.col("x") == F.col("vx"))).join(ys, (F.col("p") == F.col("py")) & (F.col("y") == F.col("vy"))).select("p", "x", "y", "w", "rankx", "place", "rx", "ry"), "distance-points")
-    w, x, y, rx, ry = (F.col(c) for c in ("w", "x", "y", "rx", "ry"))
-    total = {"n": w, "sx": w * x, "sy": w * y, "sxx": w * x * x, "syy": w * y * y, "sxy": w * x * y, "ra": w * rx, "rb": w * ry, "raa": w * rx * rx, "rbb": w * ry * ry, "rab": w * rx * ry}
-    s = points.groupBy("p").agg(F.count("*").alias("cells"), *(F.sum(v).alias(k) for k, v in total.items()))
-    found = s.join(_concordant(points, run).withColumnRenamed("p", "p_"), F.col("p") == F.col("p_"), "left")
+    wide = [i for i, (x, _) in enumerate(turned) if few[x] > FEW]
+    points, inside = None, None
+    if len(wide) < len(pairs):
+        points = _by_value(cells.where(~F.col("p").isin(wide)) if wide else cells)
+    if wide:
+        more, inside = _by_chunk(cells.where(F.col("p").isin(wide)), run)
+        points = points.unionByName(more) if points is not None else more
+    schema = ", ".join(["p int, cy long, cx long, cells long", *(f"g_{k} double" for k in SUMS), *(f"{k} double" for k in OWN)])
+    table = kept(_sorted_ranges(points, cells.count(), "p", "y", "x").mapInArrow(_in_order_of_y(run), schema), "distance-chunks")
+    k, r0 = F.col("k"), F.col("r0")
+    shift = k * F.col("u") + 2 * F.col("l")
+    rb = {"rb": F.col("n") * r0 + shift, "rab": r0 * F.col("ra") + k * F.col("rau") + 2 * F.col("ral")}
+    rb["rbb"] = F.col("n") * r0 * r0 + 2 * r0 * shift + k * k * F.col("uu") + 4 * k * F.col("ul") + 4 * F.col("ll")
+    s = _starts(table.where("cx is null"), "cy", "n", "sy").withColumns(rb).groupBy("p").agg(F.sum("cells").alias("cells"), *(F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy", "ra", "raa", "rb", "rab", "rbb")))
+    c = _across(table).unionByName(table.where("cx is null").select("p", "c"))
+    c = (c.unionByName(inside) if inside is not None else c).groupBy(F.col("p").alias("p_")).agg(F.sum("c").alias("c"))
+    found = s.join(c, F.col("p") == F.col("p_"), "left")
     n = F.col("n")
     spread = lambda p, q: 2 * (n * F.col(f"s{p}{q}") - F.col(f"s{p}") * F.col(f"s{q}"))
 

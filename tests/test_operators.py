@@ -193,6 +193,38 @@ def test_distance_correlation_of_continuous_columns(spark):
             assert (got[p, q].dcov, got[p, q].dcor) == pytest.approx(brute_dcor(data[p], data[q])) if p == "x" else got[p, q].n == 401
 
 
+def test_distance_correlation_in_chunks_of_both_orders(spark, monkeypatch):
+    """Columns with more values than are chunks of their own: pairs within a chunk of x, of y, and across both."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=300)
+    data = {"x": x, "y": x**2 + rng.normal(size=300), "few": np.round(x), "hot": np.where(rng.random(300) < 0.4, 7.0, rng.normal(size=300)), "flat": np.full(300, 0.1)}
+    rows = spark.createDataFrame(pd.DataFrame(data))
+    monkeypatch.setattr(dependence, "FEW", 8)
+    pairs = list(combinations(data, 2))
+    for run in (1, 7, 1 << 16):
+        got = {(r.x, r.y): r for r in dependence.distance_pairs(rows, pairs, run=run).collect()}
+        for p, q in pairs:
+            assert (got[p, q].n, got[p, q].cells) == (300, len(set(zip(data[p], data[q], strict=True))))
+            assert (got[p, q].dcov, got[p, q].dcor) == ((0.0, 0.0) if q == "flat" else pytest.approx(brute_dcor(data[p], data[q])))
+    assert dependence.distance_pairs(rows.limit(0), pairs).count() == 0
+
+
+def _shuffled(spark) -> int:
+    """Records that the session has shuffled so far."""
+    sc = spark.sparkContext
+    none, quantiles = sc._jvm.java.util.ArrayList(), sc._gateway.new_array(sc._jvm.double, 0)
+    stages = sc._jsc.sc().statusStore().stageList(none, False, False, quantiles, none)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_points_are_shuffled_twice_whatever_the_number_of_values(spark):
+    """Once to count equal points and once into the order of y; they were copied for each halving of x before."""
+    rows = spark.range(20_000).select((F.col("id") % 64).cast("double").alias("x"), F.col("id").cast("double").alias("y"))
+    before = _shuffled(spark)
+    assert dependence.distance_pairs(rows, [("x", "y")]).first().cells == 20_000
+    assert _shuffled(spark) - before < 3 * 20_000
+
+
 def test_ranges_follow_the_number_of_rows(spark):
     """Ranges are cut by every column of the order, so one common value does not stay whole."""
     rows = spark.range(1000).select(F.lit(1).alias("a"), F.col("id").alias("b"), (F.col("id") % 3).alias("v"))
