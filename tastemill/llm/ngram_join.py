@@ -7,8 +7,10 @@ There the sets hang in a signature tree: a node holds the OR-combined bitmap and
 range of the sets below it, and pairs of nodes are walked together, cut off where the
 bitmaps and sizes leave no room for enough overlap, or where both nodes lie in one
 component already: components come out, not all links. What is left is verified on the whole sets.
-Clusters too large for a task are cut into blocks with common pivots, and only sets that
-these leave apart are compared across blocks.
+Chance candidates chain sets that are not alike into clusters that outgrow the table's
+own growth, so a cluster too large for a task is taken apart into stars: a centre with all
+classes that share a part with it that it is the first of. Stars too large for a task are
+cut into blocks with common pivots, and only sets that these leave apart are compared across blocks.
 """
 
 from __future__ import annotations
@@ -180,10 +182,10 @@ def _first_shingles(rows: np.ndarray, hashed: np.ndarray, last: np.ndarray, want
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links from the first class of each part to its others; the input is sorted by (part, set, doc).
+    """Links (centre, other) from the first class of each part to its others; the input is sorted by (part, set, doc).
 
     A class is named by its smallest id, which is that of the first of its rows. Stars, not
-    chains: the component search then takes few steps.
+    chains: the component search then takes few steps, and a centre and its others hold all classes of a part.
     """
     part, last_set, centre = None, None, 0
     for batch in batches:
@@ -195,7 +197,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(at):
             names, first = docs[at], np.maximum.accumulate(np.where(new_part[at], np.arange(len(at)), -1))
             centres = np.where(first >= 0, names[first], centre)  # a part may go on from the batch before
-            pairs = np.stack([np.minimum(centres, names), np.maximum(centres, names)], axis=1)[centres != names]
+            pairs = np.stack([centres, names], axis=1)[centres != names]
             pairs = np.unique(pairs, axis=0)
             centre = centres[-1]
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
@@ -375,8 +377,8 @@ def _tree_join(texts: DataFrame, units: DataFrame, k: int, share: tuple[int, int
     return written(sets.repartition(n, "unit").sortWithinPartitions("unit", "doc").mapInArrow(lambda b: _join(b, share), LINKS), name)
 
 
-def _candidates(docs: DataFrame, k: int, share: tuple[int, int]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The rows' sets (doc, n, set, check), their classes (n, set, check, rep, copies) and clusters of reps (node, root) that may be similar."""
+def _candidates(docs: DataFrame, k: int, share: tuple[int, int]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The rows' sets (doc, n, set, check), their classes (n, set, check, rep, copies), clusters of reps (node, root) that may be similar, and the stars (a, b) that make them."""
     rows = written(docs.mapInArrow(lambda b: _classes(b, k), CLASSES), "join-classes")
     classes = rows.where("n > 0").groupBy("n", "set", "check").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"))
 
@@ -385,8 +387,24 @@ def _candidates(docs: DataFrame, k: int, share: tuple[int, int]) -> tuple[DataFr
     hot = _hot(docs, k, rows) if parting.weakest < 3 else np.zeros(0, np.uint64)
     keys = docs.mapInArrow(lambda b: _part_keys(b, k, parting, hot, share), PARTS)
     n = parts(docs.sparkSession, 24 * (tokens or 0) * 5 * (share[1] - share[0]) / share[1] / 2)
-    edges = keys.repartition(n, "part").sortWithinPartitions("part", "set", "doc").mapInArrow(_neighbours, LINKS)
-    return rows, classes, components(edges)
+    stars = written(keys.repartition(n, "part").sortWithinPartitions("part", "set", "doc").mapInArrow(_neighbours, LINKS).distinct(), "join-stars")
+    return rows, classes, components(stars), stars
+
+
+def _bounded(members: DataFrame, most: int, memory: int) -> tuple[DataFrame, DataFrame]:
+    """Members (cluster, member, n) of clusters that a task holds, as units, and those of the others, with a number of blocks."""
+    loads = members.groupBy("cluster").agg(F.count("*").alias("sets"), F.sum("n").alias("load"))
+    large = loads.where((F.col("sets") > most) | (8 * F.col("load") > memory)).select(F.col("cluster").alias("large"), F.ceil(F.greatest(2 * F.col("sets") / most, 16 * F.col("load") / memory)).cast("long").alias("blocks"))
+    marked = members.join(large, F.col("cluster") == F.col("large"), "left")
+    small = marked.where("large is null").select(F.col("cluster").alias("unit"), "member", F.col("member").alias("label"), "n")
+    return small, written(marked.where("large is not null").select("cluster", "member", "n", "blocks"), "join-large")
+
+
+def _star_members(stars: DataFrame, members: DataFrame) -> DataFrame:
+    """(cluster, member, n): each centre of some members with its others. Classes of one part are all in the star of its centre."""
+    sizes = members.select("member", "n")
+    centres = stars.select("a").distinct().select(F.col("a").alias("cluster"), F.col("a").alias("other"))
+    return stars.select(F.col("a").alias("cluster"), F.col("b").alias("other")).unionByName(centres).join(sizes, F.col("other") == F.col("member")).select("cluster", "member", "n")
 
 
 def similar_groups(df: DataFrame, k: int = 3, share: tuple[int, int] = (9, 10), most: int = 2048, memory: int = 24 << 20) -> DataFrame:
@@ -405,15 +423,14 @@ def similar_groups(df: DataFrame, k: int = 3, share: tuple[int, int] = (9, 10),
     """
     spark = df.sparkSession
     docs = df.select(id_key().alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows, classes, clusters = _candidates(docs, k, share)
+    rows, classes, clusters, stars = _candidates(docs, k, share)
     sizes = classes.select("rep", "n").groupBy("rep").agg(F.sum("n").alias("n"))
     members = written(clusters.join(sizes, F.col("node") == F.col("rep")).select(F.col("root").alias("cluster"), F.col("node").alias("member"), "n"), "join-members")
-    loads = members.groupBy("cluster").agg(F.count("*").alias("sets"), F.sum("n").alias("load"))
-    large = loads.where((F.col("sets") > most) | (8 * F.col("load") > memory)).select(F.col("cluster").alias("large"), F.ceil(F.greatest(2 * F.col("sets") / most, 16 * F.col("load") / memory)).cast("long").alias("blocks"))
-    marked = members.join(large, F.col("cluster") == F.col("large"), "left")
-    small = marked.where("large is null").select(F.col("cluster").alias("unit"), "member", F.col("member").alias("label"), "n")
+    small, large = _bounded(members, most, memory)
     found = _tree_join(docs, small, k, share, "join-links")
-    large = written(marked.where("large is not null").select("cluster", "member", "n", "blocks"), "join-large")
+    if not large.isEmpty():
+        small, large = _bounded(written(_star_members(stars, large), "join-star-members"), most, memory)
+        found = found.unionByName(_tree_join(docs, small, k, share, "join-star-links"))
     if not large.isEmpty():
         found = found.unionByName(_large_clusters(docs, large, k, share))
     roots = components(found)
@@ -516,7 +533,7 @@ def link_counts(df: DataFrame, k: int = 3, share: tuple[int, int] = (9, 10), mos
     """
     spark = df.sparkSession
     docs = df.select(id_key().alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows, classes, clusters = _candidates(docs, k, share)
+    rows, classes, clusters, _ = _candidates(docs, k, share)
     members = written(classes.join(clusters, F.col("rep") == F.col("node")).select(F.col("root").alias("cluster"), "rep", "set", "check", "n", "copies"), "links-members")
     blocks = F.when((F.count("*") > most) | (8 * F.sum("n") > memory), F.ceil(F.greatest(2 * F.count("*") / most, 16 * F.sum("n") / memory))).otherwise(1).cast("long")
     loads = members.groupBy(F.col("cluster").alias("c")).agg(F.count("*").alias("sets"), blocks.alias("blocks")).where("sets > 1")

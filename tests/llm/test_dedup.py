@@ -241,3 +241,18 @@ def test_copies_of_one_string_take_no_memory():
         tracemalloc.stop()
         assert spans == n
     assert peaks[1] < 1.5 * peaks[0]
+
+def test_a_chain_of_candidates_is_not_paired_with_itself(spark, monkeypatch):
+    """Sets of a cluster beyond a task are sent to a bounded number of others, not to all of the cluster."""
+    sent, join = [], ngram_join._tree_join
+
+    def counted(texts, units, *rest):
+        sent.append(units.count())
+        return join(texts, units, *rest)
+
+    monkeypatch.setattr(ngram_join, "_tree_join", counted)
+    words = np.random.default_rng(5).integers(0, 10**9, 2050).astype(str)
+    rows = [(i, " ".join(words[10 * i : 10 * i + 60])) for i in range(200)]  # neighbours share 46 of 66 shingles, and are not alike
+    got = ngram_join.similar_groups(documents(spark, rows).repartition(3), 5, (8, 10), most=16).collect()
+    assert [r for r in got if r.component_id != r.doc_id] == [] and len(got) == 200
+    assert 0 < sum(sent) <= 5 * 200
