@@ -20,9 +20,13 @@ __all__ = ["RatingMachine", "approve", "chunked", "clipped", "embedding_tables",
 
 
 def fit_embeddings(ratings: DataFrame, rank: int = 16, iterations: int = 5, alpha: float = 10.0, reg: float = 0.05, seed: int = 1, min_rating: int = 4, confidence: str | None = None) -> ALSModel:
-    """Implicit factors of liked ratings; ``confidence`` names a column that scales a row's confidence."""
+    """Implicit factors of liked ratings; ``confidence`` names a column that scales a row's confidence.
+
+    Where the context has a checkpoint folder each iteration's item factors go there, for then
+    ALS deletes the shuffle files that made them.
+    """
     liked = ratings.where(F.col("rating") >= min_rating).select(F.col("user_id").cast("int").alias("user_id"), F.col("movie_id").cast("int").alias("movie_id"), (F.col(confidence) if confidence else F.lit(1.0)).cast("float").alias("preference"))
-    return ALS(userCol="user_id", itemCol="movie_id", ratingCol="preference", implicitPrefs=True, rank=rank, maxIter=iterations, alpha=alpha, regParam=reg, seed=seed, coldStartStrategy="drop").fit(liked)
+    return ALS(userCol="user_id", itemCol="movie_id", ratingCol="preference", implicitPrefs=True, rank=rank, maxIter=iterations, alpha=alpha, regParam=reg, seed=seed, coldStartStrategy="drop", checkpointInterval=1).fit(liked)
 
 
 def embedding_tables(model: ALSModel) -> tuple[DataFrame, DataFrame]:

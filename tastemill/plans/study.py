@@ -12,7 +12,7 @@ from tastemill.plans import fixtures
 from tastemill.plans.analysis import R, _guessed, _round
 from tastemill.plans.relations import ORACLES, TIME_ORDER, query
 from tastemill.sources import delimited, shards, sinks
-from tastemill.sources.folders import kept, shared_path
+from tastemill.sources.folders import kept, passing, release, shared_path
 
 # each of the few quantities against all prices, by running sums in the order of price
 _PRICES = """
@@ -234,14 +234,20 @@ def search_by_ndcg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def composite(share: float, rank: int, reg: float) -> float:
         own = rows.where(F.pmod(F.xxhash64("user_id"), F.lit(1000)) < int(1000 * share))
-        users, items = models.embedding_tables(models.fit_embeddings(own.where("not held"), rank, reg=reg))
+        # of the fit only the tables stay, so its shuffle files go before the ranks make theirs
+        users, items = (kept(t, "search-factors") for t in models.embedding_tables(models.fit_embeddings(own.where("not held"), rank, reg=reg)))
+        release(spark)
         likes = own.where("rating >= 4 and held").select(F.col("user_id").alias("qid"), F.col("movie_id").alias("item")).distinct()
         ranks = retrieval.catalogue_ranks(likes, users.select(F.col("id").alias("qid"), F.col("embedding").alias("vector")), items.select(F.col("id").alias("item"), F.col("embedding").alias("vector")), upto=20)
         by_part = ranking.ranking_metrics(ranks.join(parts, F.col("item") == F.col("movie_id")), by=("part",))
         return float(ranking.composite_ndcg(by_part).first()["composite"])
 
+    def trial(**params: float) -> float:
+        with passing(spark):
+            return composite(**params)
+
     grid = [{"rank": rank, "reg": reg} for rank in (8, 16) for reg in (0.05, 0.5)]
-    found = models.halving(grid, composite, [0.25, 0.5, 1.0])
+    found = models.halving(grid, trial, [0.25, 0.5, 1.0])
     return spark.createDataFrame([(rung, share, p["rank"], p["reg"], value, stays) for rung, share, p, value, stays in found], "rung int, share double, rank int, reg double, composite double, stays boolean")
 
 

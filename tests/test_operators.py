@@ -1,5 +1,8 @@
 import math
+import os
+from concurrent.futures import ThreadPoolExecutor
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -8,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tastemill.operators import dependence, joins, machine, mining, models, popularity, profile, ranking, ranks, retrieval, sketches, splits, vertical
 from tastemill.plans import analysis, fixtures, study
+from tastemill.sources.folders import kept, passing, shared_folder
 from tastemill.streaming import jobs
 
 
@@ -712,3 +716,26 @@ def test_scores_are_compiled(spark):
         mine = own if r.movie_id == 1 else np.zeros(3)
         pairs = ((mine[1:] + g @ v) ** 2 - mine[1:] ** 2 - (g**2) @ (v**2)).sum() / 2
         assert r.prediction == pytest.approx(shared[0] + mine[0] + g @ w + pairs)
+
+
+def test_a_trial_leaves_no_tables(spark, monkeypatch):
+    """What a trial of the search keeps goes with it; else the folder holds the tables of all trials."""
+    monkeypatch.setattr(study.models, "halving", lambda grid, score, shares: [(0, 1.0, grid[0], score(share=1.0, **grid[0]), True)])
+    folder = Path(shared_folder(spark).removeprefix("file://"))
+    before = set(folder.iterdir())
+    assert study.search_by_ndcg(spark, "/root/testdata/sf0.001").count() == 1
+    left = {p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before}
+    assert {"search-rows", "search-parts"} <= left <= {"search-rows", "search-parts", "running", "running-input"}
+
+
+def test_passing_deletes_what_is_kept_inside(spark):
+    outside = kept(spark.range(5), "outside")
+    with passing(spark):
+        inside = kept(spark.range(7), "inside")
+        with passing(spark):
+            innermost = kept(spark.range(9), "inside")
+        assert inside.count() == 7 and not os.path.exists(innermost.inputFiles()[0].removeprefix("file://"))
+    assert outside.count() == 5 and not os.path.exists(inside.inputFiles()[0].removeprefix("file://"))
+    with ThreadPoolExecutor(1) as pool, passing(spark):  # other threads' tables are theirs
+        other = pool.submit(lambda: kept(spark.range(3), "other")).result()
+    assert other.count() == 3
